@@ -108,7 +108,9 @@ def percent_change(before: Column, after: Column) -> Column:
 
 
 def kilobytes(length: Column) -> Column:
-    return F.format_string("%.2f KB", length.cast("double") / 1024)
+    """Size in KB with two decimals, halves to the even digit."""
+    kb = (length.cast("decimal(19,0)") * F.lit("0.0009765625").cast("decimal(10,10)"))
+    return F.concat(F.bround(kb, 2).cast("decimal(20,2)").cast("string"), F.lit(" KB"))
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -85,7 +85,10 @@ def chunk_sentences(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
     pieces = docs.select("doc_id", F.flatten(F.transform(filled, cut)).alias("_pieces"))
     counted = pieces.select("doc_id", "_pieces", _spans(size, overlap)(
         F.transform("_pieces", F.size)).alias("_spans"))
-    each = counted.select("doc_id", "_pieces", F.posexplode("_spans").alias("chunk_no", "_span"))
+    # The outer form keeps the optimizer from moving a test of the batch
+    # function's result below the function.
+    each = (counted.select("doc_id", "_pieces", F.posexplode_outer("_spans").alias("chunk_no", "_span"))
+            .where("_span IS NOT NULL"))
     packed = F.flatten(F.slice("_pieces", F.col("_span.first") + 1,
                                F.col("_span.last") - F.col("_span.first")))
     return _finish(each.select("doc_id", "chunk_no", F.array_join(packed, " ").alias("text"),

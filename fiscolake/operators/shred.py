@@ -67,9 +67,11 @@ def shred(returns: DataFrame, source: str) -> dict[str, DataFrame]:
 
 def typed_returns(returns: DataFrame, source: str) -> DataFrame:
     """Whole returns with typed lines, one row each; lines never leave their row."""
-    arrays = [F.transform(F.coalesce(t, F.array().cast(returns.schema[t].dataType)),
-                          lambda x, t=t: F.struct(*_aliased(_line(t, x, source)))).alias(t)
-              for t in SCHEDULES]
+    def typed(table: str) -> Column:
+        given = F.coalesce(table, F.array().cast(returns.schema[table].dataType))
+        return F.transform(given, lambda x: F.struct(*_aliased(_line(table, x, source))))
+
+    arrays = [typed(t).alias(t) for t in SCHEDULES]
     kept = [c for c in (KEY, "file_path", "file_name", "parse_error") if c in returns.columns]
     return returns.select(*kept, *arrays, "data_documento",
                           F.struct(F.col("summary").alias("text")).alias("summary"))

@@ -10,6 +10,7 @@ from fiscolake.plans.catalog import table_report
 from fiscolake.plans.documents import process_documents
 from fiscolake.plans.knowledge import build_knowledge_base
 from fiscolake.schemas import ALL_TABLES
+from fiscolake.sources.readers import path_exists
 from fiscolake.sources.writers import declare_tables
 
 
@@ -31,10 +32,10 @@ def set_up(spark: SparkSession, *, knowledge: str, documents: str, store: str,
         spark, knowledge, f"{store}/collection", f"{store}/manifest/knowledge", force=force)
     processed = process_documents(
         spark, documents, f"{store}/manifest/documents", f"{store}/tables", force=force)
-    try:
+    declared = []
+    if path_exists(spark, f"{store}/tables"):
         for name in ALL_TABLES:
             spark.read.parquet(f"{store}/tables/{name}").createOrReplaceTempView(name)
-        declared = []
-    except Exception:  # nothing loaded so far
+    else:
         declared = declare_tables(spark)
     return SetUp(knowledge_updated, processed, declared, table_report(spark))

@@ -110,13 +110,16 @@ def _reach(c: Column, t: T.DataType, path: Path) -> Column:
 def _raw_lines(schema: T.StructType, root: Column | None, table: str) -> Column:
     """All raw lines of a schedule in one array, each with the tag around it."""
     line = xml_line_schema(table)
+
+    def tagged(lines: Column, tag: str) -> Column:
+        return F.transform(lines, lambda x: F.struct(
+            F.lit(tag).alias("_kind"), *[x[n].alias(n) for n in line.fieldNames()]))
+
     found = []
     for path in _wanted(schema):
         if _table_of(path) == table:
             start = root[path[0]] if root is not None else F.col(path[0])
-            lines = _reach(start, schema[path[0]].dataType, path[1:])
-            found.append(F.transform(lines, lambda x, tag=path[-2]: F.struct(
-                F.lit(tag).alias("_kind"), *[x[n].alias(n) for n in line.fieldNames()])))
+            found.append(tagged(_reach(start, schema[path[0]].dataType, path[1:]), path[-2]))
     if not found:
         kind = T.StructField("_kind", T.StringType())
         return F.array().cast(T.ArrayType(T.StructType([kind, *line.fields])))

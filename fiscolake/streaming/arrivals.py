@@ -74,7 +74,8 @@ def stream_json_returns(spark: SparkSession, path: str, out: str, checkpoint: st
 
 def stream_texts(spark: SparkSession, path: str, collection: str, checkpoint: str, *,
                  embedder: Embedder | None = None, files_per_batch: int = 1000) -> StreamingQuery:
-    """Arriving texts to the collection; a file that comes again replaces its chunks."""
+    """Arriving texts to the collection. A batch repeated after a failure replaces
+    the chunks it wrote before."""
     files = (spark.readStream.format("text").option("wholetext", True)
              .option("maxFilesPerTrigger", files_per_batch).load(path)
              .select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text")))
