@@ -16,6 +16,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+          "boolean": "BOOLEAN", "date": "DATE"}
+
+
 def connect(sf: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -25,7 +29,7 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
 
 def _cell(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value:.9g}"
+        return "nan" if math.isnan(value) else repr(value)
     return "\0" if value is None else str(value)
 
 
@@ -43,6 +47,11 @@ def difference(spark, con, sf: str, query, sql: str) -> str | None:
     theirs = result.fetchall()
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} / {sorted(names)}"
+    types = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+             for f in df.schema.fields}
+    given = {d[0]: str(d[1]) for d in result.description}
+    if types != given:
+        return f"types {sorted(types.items() - given.items())} / {sorted(given.items() - types.items())}"
     ours, other = rows_of(df.columns, mine), rows_of(names, theirs)
     if len(ours) != len(other):
         return f"rows {len(ours)} / {len(other)}"
