@@ -15,8 +15,9 @@ from fiscolake.operators import crawl, incremental, retrieve, shred, validate
 from fiscolake.operators.chunk import chunk_sentences, chunk_words
 from fiscolake.operators.embed import embed
 from fiscolake.plans import analytics, catalog
+from fiscolake.plans.knowledge import collection_rows
 from fiscolake.schemas import INCOME_TABLES, SCHEDULES, xml_line_schema
-from fiscolake.session import shared_path
+from fiscolake.session import shared_path, written_table
 from fiscolake.sources import readers, writers
 from fiscolake.sources.xml import parse_xml_column, read_xml_returns
 from fiscolake.streaming import arrivals
@@ -273,10 +274,14 @@ def _label_amounts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def _parsed(docs: DataFrame) -> DataFrame:
+    """Parsed returns, written down for the six schedules to read their part of."""
+    return written_table(shred.parse_json_column(docs, "document", key=F.col("declaration_id")), "returns")
+
+
 def json_shred(spark: Spark, sf: str) -> DataFrame:
     docs = render.json_documents(render.nested(bridge.tables(spark, sf), date=_doc_date()))
-    returns = shred.parse_json_column(docs, "document", key=F.col("declaration_id"))
-    return _label_amounts(shred.shred(returns, "json"))
+    return _label_amounts(shred.shred(_parsed(docs), "json"))
 
 
 def return_to_json(spark: Spark, sf: str) -> DataFrame:
@@ -299,8 +304,7 @@ def return_to_json(spark: Spark, sf: str) -> DataFrame:
 def typed_empty_schedule(spark: Spark, sf: str) -> DataFrame:
     docs = render.json_documents(
         render.nested(bridge.tables(spark, sf), date=_doc_date()), "doacoes_efetuadas", "bens_direitos")
-    rows = _label_amounts(shred.shred(
-        shred.parse_json_column(docs, "document", key=F.col("declaration_id")), "json"))
+    rows = _label_amounts(shred.shred(_parsed(docs), "json"))
     counts = [F.count_if(F.col("table_name") == n).alias(n) for n in SCHEDULES]
     return rows.agg(*counts, F.round(F.sum("amount"), 2).alias("amount"))
 
@@ -354,7 +358,7 @@ def stream_arrivals(spark: Spark, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- retrieval
 
 def _docs(spark: Spark, sf: str) -> DataFrame:
-    return given(spark, sf, "documents").select("doc_id", "text")
+    return readers.read_documents(spark, f"{sf}/documents.parquet")
 
 
 def _questions(spark: Spark, sf: str) -> DataFrame:
@@ -407,7 +411,7 @@ def embed_hashed(spark: Spark, sf: str) -> DataFrame:
 
 
 def kb_context(spark: Spark, sf: str) -> DataFrame:
-    collection = embed(chunk_sentences(_docs(spark, sf)))
+    collection = written_table(collection_rows(_docs(spark, sf)), "collection")
     return retrieve.ask(_questions(spark, sf), collection).select(
         "query_id", "rank", "score", F.col("doc_id").cast("long").alias("doc_id"), "chunk_no",
         F.md5("context").alias("context_md5"))
@@ -431,7 +435,7 @@ def collection_upsert(spark: Spark, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- pages
 
 def _pages(spark: Spark, sf: str) -> DataFrame:
-    return given(spark, sf, "pages").select("url", "html")
+    return readers.read_pages(spark, f"{sf}/pages.parquet")
 
 
 def page_links(spark: Spark, sf: str) -> DataFrame:

@@ -36,15 +36,15 @@ def reachable(pages: DataFrame, start_url: str, host_suffix: str) -> DataFrame:
     whose url begins with it.
 
     Breadth first. Links are extracted once and written down, reduced to those
-    a crawl could follow; each round is one equi-join with the newest urls and
-    is appended to a table in the shared folder.
+    a crawl could follow. Each round is one equi-join with the newest urls; its
+    finds lose their repeats before they meet the stored and the seen urls, so
+    a page everybody links to is one row there. Every round is a table in the
+    shared folder.
     """
     spark = pages.sparkSession
-    stored = pages.select("url").distinct()
+    stored = written_table(pages.select("url").distinct(), "urls")
     followed = F.col("dst_url").startswith(start_url) & (F.col("src_url") != F.col("dst_url"))
-    edges = (link_table(pages, host_suffix).where(followed).distinct()
-             .join(stored.withColumnRenamed("url", "dst_url"), "dst_url", "left_semi"))
-    edges = written_table(edges, "edges")
+    edges = written_table(link_table(pages, host_suffix).where(followed).distinct(), "edges")
     seen_path = shared_path(spark, "seen")
 
     newest = stored.where(F.col("url") == start_url)
@@ -57,7 +57,7 @@ def reachable(pages: DataFrame, start_url: str, host_suffix: str) -> DataFrame:
             return seen.select("url")
         found = (edges.join(last.withColumnRenamed("url", "src_url"), "src_url", "left_semi")
                  .select(F.col("dst_url").alias("url")).distinct())
-        newest = found.join(seen.select("url"), "url", "left_anti")
+        newest = found.join(stored, "url").join(seen.select("url"), "url", "left_anti")
         round_no += 1
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,47 +96,56 @@ def parse_json_column(df: DataFrame, text: str, key: Column | None = None) -> Da
 
 # ---------------------------------------------------------------- assembling
 
-def _with_page(lines: DataFrame, max_lines: int) -> DataFrame:
-    """Number of the page a line goes to; a return gets one page per ``max_lines``.
-
-    Lines are first counted per return, which combines before the shuffle, and
-    a line's page is drawn from a digest of the line, so the lines of a very
-    large return spread over many groups.
-    """
-    sizes = lines.groupBy(KEY).agg(F.ceil(F.count("*") / max_lines).cast("int").alias("_pages"))
-    large = sizes.where("_pages > 1")
-    digest = F.xxhash64(*lines.columns)
-    return (lines.join(large, KEY, "left")
-            .withColumn("page", F.coalesce(F.pmod(digest, F.col("_pages")).cast("int"), F.lit(0)))
-            .drop("_pages"))
+def _page_counts(tables: dict[str, DataFrame], max_lines: int) -> DataFrame:
+    """Returns with more than ``max_lines`` lines in a schedule, and the number of
+    pages each needs. Counting combines before the shuffle; the result, at most
+    one row per ``max_lines`` lines, is written down."""
+    keys = [tables[n].select(KEY, F.lit(n).alias("_table")) for n in SCHEDULES]
+    counted = (reduce(DataFrame.unionByName, keys).groupBy("_table", KEY)
+               .agg(F.ceil(F.count("*") / max_lines).cast("int").alias("_pages")))
+    return written_table(counted.where("_pages > 1"), "pages")
 
 
 def assemble(tables: dict[str, DataFrame], *, data_documento: Column, max_lines: int = 100_000) -> DataFrame:
     """Flat tables back to nested returns, one row per return and page.
 
-    Nearly every return has the single page 0. A return with more than
-    ``max_lines`` lines in a schedule is cut into pages instead of being
-    gathered in one row; together its pages hold all its lines.
+    Nearly every return has the single page 0. One with more than ``max_lines``
+    lines in a schedule is cut into pages instead of being gathered in one row:
+    the page of a line is drawn from a digest of the line, and together the
+    pages hold all lines. All schedules and the returns' own data share one
+    shuffle. ``data_documento`` is computed from the table of returns.
     """
-    declarations = tables[DECLARATIONS]
-    tagged = []
-    for name in SCHEDULES:
+    large = _page_counts(tables, max_lines)
+    paged = not large.isEmpty()
+
+    def lines_of(name: str) -> DataFrame:
         lines = tables[name].select(KEY, *SCHEDULES[name].fieldNames())
-        own = F.struct(*SCHEDULES[name].fieldNames()).alias(name)
-        others = [F.lit(None).cast(SCHEDULES[n]).alias(n) for n in SCHEDULES if n != name]
-        tagged.append(_with_page(lines, max_lines).select(KEY, "page", own, *others)
-                      .select(KEY, "page", *SCHEDULES))
-    bare = declarations.select(KEY, F.lit(0).alias("page"),
-                               *[F.lit(None).cast(s).alias(n) for n, s in SCHEDULES.items()])
-    union = bare
-    for part in tagged:
-        union = union.unionByName(part)
-    # One shuffle for all schedules; collect_list leaves the nulls out.
-    pages = union.groupBy(KEY, "page").agg(*[F.collect_list(n).alias(n) for n in SCHEDULES])
-    return (pages.join(declarations, KEY, "inner")
-            .select(KEY, "page", "file_path", "file_name", *SCHEDULES,
-                    data_documento.alias("data_documento"),
-                    F.struct(F.coalesce("summary", F.lit("")).alias("text")).alias("summary")))
+        page = F.lit(0)
+        if paged:
+            pages = large.where(F.col("_table") == name).select(KEY, "_pages")
+            digest = F.xxhash64(KEY, *SCHEDULES[name].fieldNames())
+            lines = lines.join(pages, KEY, "left")
+            page = F.coalesce(F.pmod(digest, F.col("_pages")).cast("int"), F.lit(0))
+        return lines.select(KEY, page.alias("page"), F.struct(*SCHEDULES[name].fieldNames()).alias(name))
+
+    own = F.struct("file_path", "file_name", data_documento.alias("data_documento"),
+                   F.struct(F.coalesce("summary", F.lit("")).alias("text")).alias("summary"))
+    returns = tables[DECLARATIONS].select(KEY, own.alias("_own"))
+    if paged:
+        most = large.groupBy(KEY).agg(F.max("_pages").alias("_pages"))
+        every = F.explode(F.sequence(F.lit(0), F.coalesce("_pages", F.lit(1)) - 1))
+        returns = returns.join(most, KEY, "left").select(KEY, every.alias("page"), "_own")
+    else:
+        returns = returns.withColumn("page", F.lit(0))
+
+    parts = [returns, *[lines_of(n) for n in SCHEDULES]]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    # Nulls stay out of the lists; lines without a return drop with their group.
+    grouped = union.groupBy(KEY, "page").agg(F.any_value("_own", ignoreNulls=True).alias("_own"),
+                                             *[F.collect_list(n).alias(n) for n in SCHEDULES])
+    return (grouped.where("_own IS NOT NULL")
+            .select(KEY, "page", "_own.file_path", "_own.file_name", *SCHEDULES,
+                    "_own.data_documento", "_own.summary"))
 
 
 def flatten_returns(typed: DataFrame) -> dict[str, DataFrame]:

@@ -75,9 +75,27 @@ def read_scraped_json(spark: SparkSession, root: str | list[str], record_schema:
         .select("path", "record_no", "r.*")
 
 
+def spread_scan(scan: DataFrame, *key: str) -> DataFrame:
+    """A scan whose files split into fewer parts than there are cores, spread over
+    all of them by a unique key; any other scan as it is.
+
+    For work that costs far more per row than moving the row does, such as
+    taking texts apart.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= 2 * cores:
+        return scan
+    return scan.repartition(cores, *key)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Stored web pages."""
-    return spark.read.parquet(path).select("url", "html")
+    return spread_scan(spark.read.parquet(path).select("url", "html"), "url")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Stored texts with their document ids."""
+    return spread_scan(spark.read.parquet(path).select("doc_id", "text"), "doc_id")
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
