@@ -406,7 +406,7 @@ def hybrid_hits(spark: Spark, sf: str) -> DataFrame:
 
 def embed_hashed(spark: Spark, sf: str) -> DataFrame:
     return (_doc_vectors(spark, sf).select(F.col("item_id").alias("doc_id"),
-                                           F.posexplode("embedding").alias("slot", "v"))
+                                           F.posexplode_outer("embedding").alias("slot", "v"))
             .where("v > 0").select("doc_id", "slot", F.round(F.col("v").cast("double"), 5).alias("value")))
 
 

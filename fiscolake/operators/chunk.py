@@ -30,12 +30,13 @@ def chunk_words(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OV
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
     step = size - overlap
-    split = docs.select("doc_id", words(F.col("text")).alias("_words")).where(F.size("_words") > 0)
+    split = docs.select("doc_id", words(F.col("text")).alias("_words"))
     n = F.size("_words")
     # Windows after the first are needed only for words past the first window.
     last = F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
-    windows = split.select("doc_id", "_words", F.posexplode(starts).alias("chunk_no", "_from"))
+    starts = F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: i * step))
+    windows = (split.select("doc_id", "_words", F.posexplode_outer(starts).alias("chunk_no", "_from"))
+               .where("_from IS NOT NULL"))
     part = F.slice("_words", F.col("_from") + 1, F.lit(size))
     return _finish(windows.select("doc_id", "chunk_no", F.array_join(part, " ").alias("text"),
                                   F.size(part).alias("n_tokens")))
@@ -85,8 +86,6 @@ def chunk_sentences(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
     pieces = docs.select("doc_id", F.flatten(F.transform(filled, cut)).alias("_pieces"))
     counted = pieces.select("doc_id", "_pieces", _spans(size, overlap)(
         F.transform("_pieces", F.size)).alias("_spans"))
-    # The outer form keeps the optimizer from moving a test of the batch
-    # function's result below the function.
     each = (counted.select("doc_id", "_pieces", F.posexplode_outer("_spans").alias("chunk_no", "_span"))
             .where("_span IS NOT NULL"))
     packed = F.flatten(F.slice("_pieces", F.col("_span.first") + 1,

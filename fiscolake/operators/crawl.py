@@ -12,8 +12,8 @@ from fiscolake.session import shared_path, written_table
 
 def link_table(pages: DataFrame, host_suffix: str) -> DataFrame:
     """Edges ``src_url, dst_url``, one per link of a page, repeats included."""
-    links = F.explode(page_links(F.col("url"), F.col("html"), host_suffix))
-    return pages.select(F.col("url").alias("src_url"), links.alias("dst_url"))
+    links = F.explode_outer(page_links(F.col("url"), F.col("html"), host_suffix))
+    return pages.select(F.col("url").alias("src_url"), links.alias("dst_url")).where("dst_url IS NOT NULL")
 
 
 def page_records(pages: DataFrame) -> DataFrame:

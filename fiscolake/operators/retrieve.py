@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fiscolake.functions.tokens import Normalizer, same_term, terms
 from fiscolake.operators.embed import Embedder, embed
 from fiscolake.operators.topk import best_matches
+from fiscolake.session import written_table
 
 TOP_K = 2
 K1 = 1.5
@@ -30,10 +31,15 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, **limits
 
 
 def postings(docs: DataFrame, normalize: Normalizer = same_term) -> DataFrame:
-    """``item_id, n_terms, term, tf``: the keyword index of ``item_id, text``."""
+    """``item_id, n_terms, term, tf``: the keyword index of ``item_id, text``.
+
+    Here as in the other operators lists are exploded in the outer form, since
+    for the inner one the optimizer adds a test of the list below the step that
+    makes it, and the texts would be taken apart twice.
+    """
     listed = docs.select("item_id", terms(F.col("text"), normalize).alias("_terms"))
-    each = listed.select("item_id", F.size("_terms").alias("n_terms"), F.explode("_terms").alias("term"))
-    return each.groupBy("item_id", "n_terms", "term").agg(F.count("*").cast("int").alias("tf"))
+    each = listed.select("item_id", F.size("_terms").alias("n_terms"), F.explode_outer("_terms").alias("term"))
+    return each.where("term IS NOT NULL").groupBy("item_id", "n_terms", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
 def collection_size(docs: DataFrame, normalize: Normalizer = same_term) -> DataFrame:
@@ -76,7 +82,8 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, *,
     size = collection_size(docs, normalize) if size is None else size
     asked = (queries.select("query_id", F.explode(terms(F.col("text"), normalize)).alias("term"))
              .groupBy("query_id", "term").agg(F.count("*").alias("n")))
-    matching = index.join(asked.select("term").distinct(), "term", "left_semi")
+    # Needed for the frequencies and again for the scores.
+    matching = written_table(index.join(asked.select("term").distinct(), "term", "left_semi"), "matching")
     n_docs, mean_length = (size.select(c).scalar() for c in ("n_docs", "mean_length"))
     frequency = matching.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))

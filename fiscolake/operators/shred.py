@@ -47,7 +47,7 @@ def schedule_lines(returns: DataFrame, table: str, source: str, *, with_raw: boo
 
     ``source`` is ``xml`` or ``json`` and says how the raw lines are named.
     """
-    rows = returns.select(KEY, F.explode(table).alias("_line"))
+    rows = returns.select(KEY, F.explode_outer(table).alias("_line")).where("_line IS NOT NULL")
     line = F.col("_line")
     extra = [_raw(table, line, source).alias("_raw")] if with_raw else []
     return rows.select(KEY, *_aliased(_line(table, line, source)), *extra)
@@ -175,7 +175,7 @@ def return_json(typed: DataFrame) -> DataFrame:
             (x[f.name].cast("string") if f.dataType == MONEY else x[f.name]).alias(f.name)
             for f in SCHEDULES[table].fields])).alias(table)
     document = F.struct(*[text_money(t) for t in SCHEDULES], "data_documento", "summary")
-    kept = [c for c in (KEY, "page", "file_path", "file_name") if c in typed.columns]
+    kept = [c for c in (KEY, "page", "file_path", "file_name", "parse_error") if c in typed.columns]
     return typed.select(*kept, F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
 
 

@@ -75,10 +75,8 @@ def read_tax_return(spark: SparkSession, path: str, *, as_of: str, root_tag: str
         return spark.createDataFrame([(path, '{"error": "Tax return file not found"}')],
                                      "file_path string, document string")
     returns = read_xml_returns(spark, path, as_of=as_of, root_tag=root_tag)
-    documents = return_json(typed_returns(returns, "xml").drop("declaration_id"))
-    errors = returns.select("file_path", "parse_error")
+    documents = return_json(typed_returns(returns, "xml"))
     failed = F.to_json(F.struct(F.concat(F.lit("Failed to read tax return: "),
                                          F.col("file_path")).alias("error")))
-    return (documents.join(errors, "file_path")
-            .select("file_path", F.when(F.col("parse_error").isNull(), F.col("document"))
-                    .otherwise(failed).alias("document")))
+    return documents.select("file_path", F.when(F.col("parse_error").isNull(), F.col("document"))
+                            .otherwise(failed).alias("document"))

@@ -17,8 +17,8 @@ from fiscolake.schemas import SCHEDULES, xml_line_schema
 
 ROOT_TAG = "declaracao"
 CORRUPT = "_corrupt_record"
-_IDENT, _DATE = "identificadorDeclaracao", "dataDeclaracao"
-_OPTIONS = {"inferSchema": "false", "ignoreNamespace": "true", "mode": "PERMISSIVE",
+_IDENT, _DATE, _VERSION = "identificadorDeclaracao", "dataDeclaracao", "_versao"
+READ_OPTIONS = {"inferSchema": "false", "ignoreNamespace": "true", "mode": "PERMISSIVE",
             "columnNameOfCorruptRecord": CORRUPT}
 
 Path = tuple[str, ...]
@@ -26,7 +26,7 @@ Path = tuple[str, ...]
 
 def learn_layout(spark: SparkSession, path: str | list[str], root_tag: str = ROOT_TAG) -> T.StructType:
     """Tag tree of the files, by one distributed pass over all of them."""
-    return (spark.read.format("xml").options(**_OPTIONS).option("rowTag", root_tag)
+    return (spark.read.format("xml").options(**READ_OPTIONS).option("rowTag", root_tag)
             .load(path).schema)
 
 
@@ -93,7 +93,15 @@ def reading_schema(layout: T.StructType) -> T.StructType:
     """The part of the layout the model needs, every value as text."""
     wanted = _wanted(layout)
     schema = _pruned(layout, wanted) if wanted else T.StructType()
-    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return T.StructType([*schema.fields, T.StructField(_VERSION, T.StringType()),
+                         T.StructField(CORRUPT, T.StringType())])
+
+
+def parse_error(root: Column | None = None) -> Column:
+    """Text of an unreadable return, null for a readable one. Spark refuses to
+    scan for this text alone, so it is tied to an attribute of the root."""
+    text, version = (root[CORRUPT], root[_VERSION]) if root is not None else (F.col(CORRUPT), F.col(_VERSION))
+    return F.nullif(F.concat_ws("", text, F.substring(version, 1, 0)), F.lit("")).alias("parse_error")
 
 
 def _reach(c: Column, t: T.DataType, path: Path) -> Column:
@@ -156,11 +164,11 @@ def read_xml_returns(spark: SparkSession, path: str | list[str], *, as_of: str,
     files come out with ``parse_error`` set and no lines.
     """
     schema = reading_schema(layout or learn_layout(spark, path, root_tag))
-    files = (spark.read.format("xml").options(**_OPTIONS).option("rowTag", root_tag)
+    files = (spark.read.format("xml").options(**READ_OPTIONS).option("rowTag", root_tag)
              .schema(schema).load(path))
     rows = files.select("_metadata.file_path", "_metadata.file_name",
                         *raw_columns(schema, F.lit(as_of).cast("date")),
-                        F.col(CORRUPT).alias("parse_error"))
+                        parse_error())
     return rows.select((F.sha2("file_path", 256) if key is None else key).alias("declaration_id"), "*")
 
 
@@ -172,4 +180,4 @@ def parse_xml_column(df: DataFrame, text: str, *, as_of: str, layout: T.StructTy
     kept = [c for c in df.columns if c != text]
     root = F.col("_return")
     return parsed.select(*kept, *raw_columns(schema, F.lit(as_of).cast("date"), root),
-                         root[CORRUPT].alias("parse_error"))
+                         parse_error(root))

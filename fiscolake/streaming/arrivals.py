@@ -21,7 +21,7 @@ from fiscolake.plans.knowledge import collection_rows
 from fiscolake.schemas import json_schema
 from fiscolake.session import written_table
 from fiscolake.sources.writers import upsert_chunks
-from fiscolake.sources.xml import CORRUPT, ROOT_TAG, _OPTIONS, raw_columns, reading_schema
+from fiscolake.sources.xml import READ_OPTIONS, ROOT_TAG, parse_error, raw_columns, reading_schema
 
 
 def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -39,11 +39,11 @@ def stream_xml_returns(spark: SparkSession, path: str, layout: T.StructType, out
                        files_per_batch: int = 1000) -> StreamingQuery:
     """Arriving XML returns to the served tables; rejects go beside them."""
     schema = reading_schema(layout)
-    files = (spark.readStream.format("xml").options(**_OPTIONS).option("rowTag", root_tag)
+    files = (spark.readStream.format("xml").options(**READ_OPTIONS).option("rowTag", root_tag)
              .option("maxFilesPerTrigger", files_per_batch).schema(schema).load(path))
     rows = files.select("_metadata.file_path", "_metadata.file_name",
                         *raw_columns(schema, F.lit(as_of).cast("date")),
-                        F.col(CORRUPT).alias("parse_error"))
+                        parse_error())
     returns = rows.select((F.sha2("file_path", 256) if key is None else key).alias("declaration_id"), "*")
 
     def load(batch: DataFrame, number: int) -> None:
