@@ -80,9 +80,16 @@ def typed_returns(returns: DataFrame, source: str) -> DataFrame:
 
 
 def json_returns(df: DataFrame, key: Column | None = None) -> DataFrame:
-    """Nested returns read under the JSON schema, with key, file, date and summary."""
+    """Nested returns read under the JSON schema, with key, file, date and summary.
+
+    A file may hold many returns, so the default key is a digest of the path and
+    the record; a record repeated word for word in one file is one return.
+    """
     columns = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("file_path", "file_name")]
-    return df.select((F.sha2("file_path", 256) if key is None else key).alias(KEY), *columns,
+    columns += [F.col(c) for c in ("source_path",) if c in df.columns]
+    record = F.xxhash64(*json_schema().fieldNames()).cast("string")
+    own = F.sha2(F.concat_ws("#", "file_path", record), 256)
+    return df.select((own if key is None else key).alias(KEY), *columns,
                      F.expr("try_cast(data_documento AS date)").alias("data_documento"),
                      S.summary_text(F.col("summary")).alias("summary"), *SCHEDULES)
 

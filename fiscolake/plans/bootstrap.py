@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from fiscolake.plans.catalog import table_report
-from fiscolake.plans.documents import process_documents
+from fiscolake.plans.documents import process_documents, read_stored
 from fiscolake.plans.knowledge import build_knowledge_base
 from fiscolake.schemas import ALL_TABLES
 from fiscolake.sources.readers import path_exists
@@ -35,7 +35,7 @@ def set_up(spark: SparkSession, *, knowledge: str, documents: str, store: str,
     declared = []
     if path_exists(spark, f"{store}/tables"):
         for name in ALL_TABLES:
-            spark.read.parquet(f"{store}/tables/{name}").createOrReplaceTempView(name)
+            read_stored(spark, f"{store}/tables", name).createOrReplaceTempView(name)
     else:
         declared = declare_tables(spark)
     return SetUp(knowledge_updated, processed, declared, table_report(spark))

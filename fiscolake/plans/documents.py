@@ -6,14 +6,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fiscolake.operators.incremental import changed_files, read_manifest
+from fiscolake.operators.incremental import changed_files, read_manifest, removed_files
 from fiscolake.operators.shred import (declarations_of, return_json, schedule_lines, typed_returns)
-from fiscolake.operators.validate import split_declarations, split_lines, without_rejected
-from fiscolake.schemas import DECLARATIONS, SCHEDULES
+from fiscolake.operators.validate import REJECT_SCHEMA, split_declarations, split_lines, without_rejected
+from fiscolake.schemas import DECLARATIONS, SCHEDULES, table_schema
 from fiscolake.session import written_table
-from fiscolake.sources.readers import list_files, path_exists, read_json_returns
-from fiscolake.sources.writers import write_manifest, write_parquet_tables
+from fiscolake.sources.readers import list_files, path_exists, paths_to_read, read_json_returns
+from fiscolake.sources.writers import replace_rows, write_manifest
 from fiscolake.sources.xml import ROOT_TAG, read_xml_returns
 
 
@@ -30,43 +31,83 @@ def checked_tables(returns: DataFrame, source: str, strict: bool = False) -> tup
         rejects.append(bad)
     all_rejects = reduce(DataFrame.unionByName, rejects)
     if strict:
+        all_rejects = written_table(all_rejects, "rejects")  # read by every table below
         tables[DECLARATIONS] = without_rejected(declarations, all_rejects)
         tables.update({n: without_rejected(tables[n], all_rejects) for n in SCHEDULES})
     return tables, all_rejects
 
 
-def process_documents(spark: SparkSession, folder: str, manifest: str, out: str, *,
-                      force: bool = False, strict: bool = False, key: Column | None = None) -> bool:
-    """Load the extracted returns (JSON) of a folder into parquet tables.
+def process_documents(spark: SparkSession, folder: str, manifest: str, out: str, *, source: str = "json",
+                      as_of: str | None = None, force: bool = False, strict: bool = False,
+                      key: Column | None = None) -> bool:
+    """Bring the stored tables up to date with a folder of returns, extracted
+    ones in JSON or return files in XML (``source="xml"``, with ``as_of``).
 
-    Nothing is done unless a file is new or changed; then the tables are built
-    from all files, so a file's earlier rows never stay behind. Returns whether
-    anything was done.
+    Only new and changed files are read. The rows of their returns, and those of
+    files that are gone, are replaced in every table. Returns whether anything
+    was done.
     """
     if not path_exists(spark, folder):
         return False
-    files = list_files(spark, folder, (".json",))
-    changed = written_table(changed_files(files, read_manifest(spark, manifest), force), "changed")
-    if changed.isEmpty():
+    known = read_manifest(spark, manifest)
+    files = list_files(spark, folder, (f".{source}",))
+    changed = written_table(changed_files(files, known, force), "changed")
+    gone = written_table(removed_files(files, known).select("path"), "removed")
+    if changed.isEmpty() and gone.isEmpty():
         return False
-    returns = written_table(read_json_returns(spark, folder, key=key), "returns")
-    tables, rejects = checked_tables(returns, "json", strict)
-    write_parquet_tables({**tables, "rejects": rejects}, out)
+
+    paths = paths_to_read(changed, folder)
+    if source == "xml":
+        read = read_xml_returns(spark, paths, as_of=as_of, key=key)
+    else:
+        read = read_json_returns(spark, paths, key=key)
+    source_file = F.col("source_path")
+    read = read.join(changed.select(F.col("path").alias("source_path")), "source_path", "left_semi")
+    returns = written_table(read, "returns")
+    tables, rejects = checked_tables(
+        returns.where("parse_error IS NULL") if source == "xml" else returns, source, strict)
+    if source == "xml":
+        rejects = rejects.unionByName(unreadable(returns))
+
+    origin = returns.select("declaration_id", source_file)
+    stale = origin.select("declaration_id")
+    if path_exists(spark, f"{out}/origin"):
+        touched = changed.select("path").unionByName(gone).withColumnRenamed("path", "source_path")
+        key_type = returns.schema["declaration_id"].dataType
+        before = read_stored(spark, out, "origin", key_type).join(touched, "source_path", "left_semi")
+        stale = stale.unionByName(before.select("declaration_id"))
+    stale = written_table(stale.distinct(), "stale")
+    for name, rows in {**tables, "rejects": rejects, "origin": origin}.items():
+        replace_rows(rows, stale, f"{out}/{name}", "declaration_id")
     write_manifest(changed, manifest)
     return True
 
 
+def read_stored(spark: SparkSession, out: str, table: str, key_type: T.DataType | None = None) -> DataFrame:
+    """A stored table of ``process_documents``, typed also while it is empty.
+    ``key_type`` is the type of a key of the caller's own."""
+    key = (key_type or T.StringType()).simpleString()
+    schemas = {"rejects": REJECT_SCHEMA.replace("declaration_id string", f"declaration_id {key}"),
+               "origin": f"declaration_id {key}, source_path string"}
+    schema = schemas[table] if table in schemas else table_schema(table, key_type)
+    return spark.read.schema(schema).parquet(f"{out}/{table}")
+
+
+def unreadable(returns: DataFrame) -> DataFrame:
+    """Rejects for the files that could not be parsed."""
+    return returns.where("parse_error IS NOT NULL").select(
+        "declaration_id", F.lit(DECLARATIONS).alias("table_name"),
+        F.lit("file_path").alias("column_name"), F.lit("readable").alias("rule"),
+        F.col("file_path").alias("raw_value"))
+
+
 def load_xml(spark: SparkSession, path: str | list[str], *, as_of: str, key: Column | None = None,
              strict: bool = False, root_tag: str = ROOT_TAG) -> tuple[dict[str, DataFrame], DataFrame]:
     """Return files in XML to flat tables and rejects. The files are read once
     and kept as a written table, which the seven tables then share."""
     returns = written_table(read_xml_returns(spark, path, as_of=as_of, key=key, root_tag=root_tag), "returns")
     tables, rejects = checked_tables(returns.where("parse_error IS NULL"), "xml", strict)
-    broken = returns.where("parse_error IS NOT NULL").select(
-        "declaration_id", F.lit(DECLARATIONS).alias("table_name"),
-        F.lit("file_path").alias("column_name"), F.lit("readable").alias("rule"),
-        F.col("file_path").alias("raw_value"))
-    return tables, rejects.unionByName(broken)
+    return tables, rejects.unionByName(unreadable(returns))
 
 
 def read_tax_return(spark: SparkSession, path: str, *, as_of: str, root_tag: str = ROOT_TAG) -> DataFrame:

@@ -10,18 +10,19 @@ from fiscolake.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, chunk_sentences
 from fiscolake.operators.embed import Embedder, embed
 from fiscolake.operators.incremental import changed_files, read_manifest, removed_files
 from fiscolake.session import written_table
-from fiscolake.sources.readers import (TEXT_EXTENSIONS, list_files, path_exists, read_collection,
-                                       read_scraped_json, read_texts)
+from fiscolake.sources.readers import (TEXT_EXTENSIONS, list_files, path_exists, paths_to_read,
+                                       read_collection, read_scraped_json, read_texts)
 from fiscolake.sources.writers import upsert_chunks, write_manifest
 
 SCRAPED_SCHEMA = "url string, title string, description string, text string"
 BUILT_EXTENSIONS = (*TEXT_EXTENSIONS, ".json")
 
 
-def folder_documents(spark: SparkSession, root: str) -> DataFrame:
-    """Texts of a folder as ``doc_id, path, text``: files, and scraped records."""
-    texts = read_texts(spark, root).select(F.col("path").alias("doc_id"), "path", "text")
-    scraped = read_scraped_json(spark, root, SCRAPED_SCHEMA).where("text <> ''")
+def folder_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Texts of a folder or of listed files as ``doc_id, path, text``: text files,
+    and scraped records."""
+    texts = read_texts(spark, paths).select(F.col("path").alias("doc_id"), "path", "text")
+    scraped = read_scraped_json(spark, paths, SCRAPED_SCHEMA).where("text <> ''")
     return texts.unionByName(scraped.select(
         F.concat_ws("#", "path", F.col("record_no").cast("string")).alias("doc_id"), "path", "text"))
 
@@ -50,7 +51,8 @@ def build_knowledge_base(spark: SparkSession, root: str, collection: str, manife
     if changed.isEmpty() and gone.isEmpty():
         return read_collection(spark, collection), False
 
-    docs = folder_documents(spark, root).join(changed.select("path"), "path", "left_semi")
+    docs = (folder_documents(spark, paths_to_read(changed, root))
+            .join(changed.select("path"), "path", "left_semi"))
     rows = collection_rows(docs.select("doc_id", "text"), embedder, size, overlap)
     stored = read_collection(spark, collection).select("doc_id").distinct()
     stale = (stored.withColumn("path", F.regexp_replace("doc_id", r"#[0-9]+$", ""))

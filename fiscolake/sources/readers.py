@@ -15,20 +15,42 @@ KNOWLEDGE_EXTENSIONS = (".pdf", ".json", ".txt", ".doc", ".docx")
 TEXT_EXTENSIONS = (".txt", ".html", ".htm", ".md")
 
 
+def _file_system(spark: SparkSession, path: str):
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), named
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, on whatever file system it names."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jvm_path)
+    system, named = _file_system(spark, path)
+    return system.exists(named)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    system, named = _file_system(spark, path)
+    system.delete(named, True)
+
+
+MAX_LISTED = 10_000
+
+
+def paths_to_read(changed: DataFrame, root: str) -> str | list[str]:
+    """The changed files one by one while they are few, else the folder, to be
+    narrowed down by a join on the path."""
+    few = [r.path for r in changed.select("path").limit(MAX_LISTED + 1).collect()]
+    return few if 0 < len(few) <= MAX_LISTED else root
 
 
 def read_json_returns(spark: SparkSession, path: str | list[str], *, key: Column | None = None,
                       multi_line: bool = True) -> DataFrame:
-    """Nested returns from JSON files; a file's own path and name win over fields
-    of the same name only where the record has none."""
+    """Nested returns from JSON files. A record's own ``file_path`` and
+    ``file_name``, those of the document it was extracted from, come before the
+    JSON file's; ``source_path`` is the JSON file."""
     rows = (spark.read.schema(json_schema()).option("multiLine", multi_line)
             .option("mode", "PERMISSIVE").json(path))
     placed = rows.select(
         *[c for c in rows.columns if c not in ("file_path", "file_name")],
+        F.col("_metadata.file_path").alias("source_path"),
         F.coalesce("file_path", F.col("_metadata.file_path")).alias("file_path"),
         F.coalesce("file_name", F.col("_metadata.file_name")).alias("file_name"))
     return json_returns(placed, key)
@@ -102,7 +124,7 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
     """Stored chunks with embeddings; typed and empty where none are stored yet."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], COLLECTION_SCHEMA)
-    return spark.read.parquet(path).where(F.col("chunk_id").isNotNull()).drop("bucket")
+    return spark.read.schema(COLLECTION_SCHEMA).parquet(path)
 
 
 def file_status(requested: DataFrame, files: DataFrame) -> DataFrame:

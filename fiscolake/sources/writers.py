@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fiscolake.schemas import ALL_TABLES, COLLECTION_SCHEMA, DECLARED_TABLES
-from fiscolake.sources.readers import path_exists
+from fiscolake.sources.readers import delete_folder, path_exists
 
 BUCKETS = 256
 
@@ -73,36 +73,40 @@ def write_manifest(processed: DataFrame, path: str) -> None:
      .write.mode("append").parquet(path))
 
 
-def upsert_chunks(changed: DataFrame, doc_ids: DataFrame, path: str, buckets: int = BUCKETS) -> int:
-    """Replace the stored chunks of the given documents by ``changed``.
+def replace_rows(rows: DataFrame, stale: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> int:
+    """Replace the stored rows of the ``stale`` keys by ``rows``, whose keys must
+    be among them. Returns how many rows were written.
 
-    The collection is split into buckets by document. Only the buckets of the
-    given documents are read and written again; within a bucket the rows are
-    spread by chunk, so one very large document does not fill one task. A row
-    without chunk marks each rewritten bucket, so that a bucket whose last
-    document went away is replaced too; readers leave these rows out.
+    The store is split into buckets by key. Only the buckets of the stale keys
+    are read and written again; within a bucket rows are spread by their
+    content, so one key with very many rows does not fill one task.
     """
-    spark = changed.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-    fresh = changed.select(*_columns()).withColumn("bucket", bucket)
+    spark = rows.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    fresh = rows.withColumn("bucket", bucket)
+    hit = []
     if path_exists(spark, path):
-        touched = doc_ids.select("doc_id").distinct().withColumn("bucket", bucket)
-        hit = [r.bucket for r in touched.select("bucket").distinct().collect()]  # at most `buckets`
+        keys = stale.select(key).distinct().withColumn("bucket", bucket)
+        hit = [r.bucket for r in keys.select("bucket").distinct().collect()]  # at most `buckets`
         if not hit:
             return 0
-        kept = (spark.read.parquet(path)
-                .where(F.col("bucket").isin(hit) & F.col("chunk_id").isNotNull())
-                .join(touched.select("doc_id"), "doc_id", "left_anti"))
-        marks = spark.createDataFrame([(b,) for b in hit], "bucket int")
-        fresh = (fresh.unionByName(kept.select(fresh.columns))
-                 .unionByName(marks, allowMissingColumns=True))
-    spread = F.pmod(F.xxhash64("chunk_id"), F.lit(8))
+        kept = (spark.read.schema(fresh.schema).parquet(path).where(F.col("bucket").isin(hit))
+                .join(keys.select(key), key, "left_anti"))
+        fresh = fresh.unionByName(kept)
+    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(8))
     counted = Observation()
-    (fresh.repartition("bucket", spread).observe(counted, F.count("chunk_id").alias("n_rows"))
+    (fresh.repartition("bucket", spread)
+     .observe(counted, F.count(F.lit(1)).alias("n_rows"), F.collect_set("bucket").alias("filled"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket").parquet(path))
+    # A bucket that lost its last row got nothing written over it.
+    for emptied in set(hit) - set(counted.get["filled"]):
+        delete_folder(spark, f"{path}/bucket={emptied}")
     return counted.get["n_rows"]
 
 
-def _columns() -> list[str]:
-    return [part.split()[0] for part in COLLECTION_SCHEMA.split(", ")]
+def upsert_chunks(changed: DataFrame, doc_ids: DataFrame, path: str, buckets: int = BUCKETS) -> int:
+    """Replace the stored chunks of the given documents by ``changed``."""
+    columns = [part.split()[0] for part in COLLECTION_SCHEMA.split(", ")]
+    return replace_rows(changed.select(*columns), doc_ids.select(F.col("doc_id").cast("string").alias("doc_id")),
+                        path, "doc_id", buckets)

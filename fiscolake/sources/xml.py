@@ -160,13 +160,14 @@ def read_xml_returns(spark: SparkSession, path: str | list[str], *, as_of: str,
     """One row per return: key, file, date, summary, six arrays of raw lines.
 
     ``key`` may use ``file_path`` and ``cpf``; by default it is a digest of the
-    path. ``as_of`` (a date) stands in for a missing document date. Unreadable
+    path, for files of one return. ``as_of`` (a date) stands in for a missing document date. Unreadable
     files come out with ``parse_error`` set and no lines.
     """
     schema = reading_schema(layout or learn_layout(spark, path, root_tag))
     files = (spark.read.format("xml").options(**READ_OPTIONS).option("rowTag", root_tag)
              .schema(schema).load(path))
     rows = files.select("_metadata.file_path", "_metadata.file_name",
+                        F.col("_metadata.file_path").alias("source_path"),
                         *raw_columns(schema, F.lit(as_of).cast("date")),
                         parse_error())
     return rows.select((F.sha2("file_path", 256) if key is None else key).alias("declaration_id"), "*")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fiscolake.operators.shred import shred
 from fiscolake.plans.bootstrap import set_up
-from fiscolake.plans.documents import process_documents
+from fiscolake.plans.documents import process_documents, read_stored
 from fiscolake.plans.knowledge import build_knowledge_base, query_knowledge_base
 from fiscolake.sources.readers import read_collection, read_json_returns
 from fiscolake.sources.xml import learn_layout, read_xml_returns
@@ -60,16 +60,44 @@ def test_process_documents(spark, tmp_path):
     now = time.time()
     _put(src / "a.json", json.dumps(RETURN), now - 50)
     assert process_documents(spark, str(src), log, out) is True
-    assert spark.read.parquet(f"{out}/pagamentos_efetuados").count() == 1
-    assert spark.read.parquet(f"{out}/rejects").first().rule == "length"
+    assert read_stored(spark, out, "pagamentos_efetuados").count() == 1
+    assert read_stored(spark, out, "rejects").first().rule == "length"
     assert process_documents(spark, str(src), log, out) is False
     assert process_documents(spark, str(src), log, out, force=True) is True
     _put(src / "b.json", json.dumps(RETURN), now)
     assert process_documents(spark, str(src), log, out) is True
-    assert spark.read.parquet(f"{out}/declarations").count() == 2
-    _put(src / "b.json", json.dumps({**RETURN, "pagamentos_efetuados": []}), now + 5)
+    assert read_stored(spark, out, "declarations").count() == 2
+    # One changed file: the other's rows stay, its own are replaced.
+    _put(src / "b.json", json.dumps([{**RETURN, "pagamentos_efetuados": []}, {**RETURN, "summary": "dois"}]), now + 5)
+    assert process_documents(spark, str(src), log, out) is True
+    names = [r.file_name for r in read_stored(spark, out, "declarations").collect()]
+    assert sorted(names) == ["a.json", "b.json", "b.json"]
+    assert read_stored(spark, out, "pagamentos_efetuados").count() == 2
+    # A removed file takes its rows along.
+    (src / "a.json").rename(tmp_path / "a.json")
+    assert process_documents(spark, str(src), log, out) is True
+    assert read_stored(spark, out, "declarations").count() == 2
+    _put(src / "b.json", json.dumps({**RETURN, "pagamentos_efetuados": []}), now + 9)
+    _put(src / "c.json", json.dumps(RETURN), now + 9)
     assert process_documents(spark, str(src), log, out, strict=True) is True
-    assert [r.file_name for r in spark.read.parquet(f"{out}/declarations").collect()] == ["b.json"]
+    assert [r.file_name for r in read_stored(spark, out, "declarations").collect()] == ["b.json"]
+    assert read_stored(spark, out, "rejects").count() == 1
+
+
+def test_process_xml_documents(spark, tmp_path):
+    src, log, out = tmp_path / "in", str(tmp_path / "log"), str(tmp_path / "out")
+    _put(src / "full.xml", FULL)
+    _put(src / "broken.xml", "<declaracao><bens><item></bens></declaracao>")
+
+    def run():
+        return process_documents(spark, str(src), log, out, source="xml", as_of="2025-05-31")
+    assert run() is True and run() is False
+    assert read_stored(spark, out, "bens_direitos").count() == 2
+    assert [r.rule for r in read_stored(spark, out, "rejects").collect()] == ["readable"]
+    _put(src / "broken.xml", SPARSE, time.time() + 9)
+    assert run() is True
+    assert read_stored(spark, out, "declarations").count() == 2
+    assert read_stored(spark, out, "rejects").count() == 0
 
 
 def _same(spark, out, batch):
