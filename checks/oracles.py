@@ -210,6 +210,11 @@ _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 _ROOT = "regexp_extract(url, '^[a-z]+://[^/?#]*')"
 _PATHLESS = "regexp_extract(url, '^[^?#]*')"
 
+_SEEN = """seen AS (
+        SELECT page_id FROM pages WHERE page_id = 1
+        UNION SELECT p.page_id FROM seen s, pages p WHERE p.page_id IN (2 * s.page_id + 1, 2 * s.page_id + 2)
+            OR (s.page_id > 2 AND p.page_id = (s.page_id - 1) // 2))"""
+
 ORACLES = {
     "income_sources": _SOURCES,
     "income_sources_guard": _SOURCES,
@@ -299,6 +304,12 @@ ORACLES = {
         FROM ({_LABEL_AMOUNTS}) WHERE {_HAS_RETURN} AND table_name NOT IN ('doacoes_efetuadas', 'bens_direitos')""",
     "csv_round_trip": _ALL + f"""SELECT x.*, d.file_name FROM ({_LABEL_AMOUNTS}) x
         LEFT JOIN declarations d USING (declaration_id)""",
+    "money_double": sql_with("declarations", "doacoes_efetuadas") + f"""SELECT declaration_id, codigo,
+        CAST(valor_pago AS DOUBLE) AS valor_pago FROM doacoes_efetuadas WHERE {_HAS_RETURN}""",
+    "dense_ids": sql_with("declarations") + """SELECT row_number() OVER (ORDER BY file_path) - 1 AS declaration_id,
+        file_path FROM declarations""",
+    "load_xml": _ALL + f"SELECT * FROM ({_LABEL_AMOUNTS}) WHERE {_HAS_RETURN}",
+    "load_documents": _ALL + f"SELECT * FROM ({_LABEL_AMOUNTS}) WHERE {_HAS_RETURN}",
     "file_changes": """SELECT '/kb/' || source || '/' || doc_id || '.txt' AS path,
         CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'modified' END AS change FROM documents
         WHERE doc_id % 5 = 0 OR doc_id % 4 = 0""",
@@ -350,9 +361,13 @@ ORACLES = {
         UNION ALL SELECT url, 'mailto:a@b.example', 'mailto:a@b.example', '' FROM p
         UNION ALL SELECT url, '', url, host FROM p)
         SELECT url, href, resolved, host, regexp_extract(url, '^[^#]*') AS page FROM f""",
-    "page_reachable": """WITH RECURSIVE seen AS (
-        SELECT page_id FROM pages WHERE page_id = 1
-        UNION SELECT p.page_id FROM seen s, pages p WHERE p.page_id IN (2 * s.page_id + 1, 2 * s.page_id + 2)
-            OR (s.page_id > 2 AND p.page_id = (s.page_id - 1) // 2))
+    "page_reachable": f"""WITH RECURSIVE {_SEEN}
         SELECT 'https://site.example/p/' || page_id AS url FROM seen UNION ALL SELECT 'https://site.example/p/'""",
+    "site_records": f"""WITH RECURSIVE {_SEEN}, c AS (SELECT page_id, html, {_code_free('html')} AS m
+            FROM pages JOIN seen USING (page_id)),
+        b AS (SELECT page_id, html, CASE WHEN regexp_matches(m, '{_MAIN}') THEN regexp_extract(m, '{_MAIN}', 1)
+            ELSE m END AS m FROM c)
+        SELECT * FROM (SELECT 'https://site.example/p/' || page_id AS url, 'site.example' AS host, {_TITLE} AS title,
+            CAST(NULL AS VARCHAR) AS description, {_plain_text('m')} AS text FROM b) WHERE text <> ''
+        UNION ALL SELECT 'https://site.example/p/', 'site.example', NULL, NULL, 'first'""",
 }

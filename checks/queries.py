@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks import bridge, render
 from checks.bridge import AS_OF, given, money
@@ -14,8 +15,9 @@ from fiscolake.functions import urls as U
 from fiscolake.operators import crawl, incremental, retrieve, shred, validate
 from fiscolake.operators.chunk import chunk_sentences, chunk_words
 from fiscolake.operators.embed import embed
-from fiscolake.plans import analytics, catalog
+from fiscolake.plans import analytics, catalog, documents
 from fiscolake.plans.knowledge import collection_rows
+from fiscolake.plans.web import crawl_to_json
 from fiscolake.schemas import INCOME_TABLES, SCHEDULES, xml_line_schema
 from fiscolake.session import shared_path, written_table
 from fiscolake.sources import readers, writers
@@ -318,6 +320,41 @@ def csv_round_trip(spark: Spark, sf: str) -> DataFrame:
     return _label_amounts(back).join(names, "declaration_id", "left")
 
 
+def money_double(spark: Spark, sf: str) -> DataFrame:
+    nested = render.nested(bridge.tables(spark, sf, "declarations", "doacoes_efetuadas"), date=_doc_date())
+    return (shred.money_as_double(nested).select("declaration_id", F.inline("doacoes_efetuadas"))
+            .select("declaration_id", "codigo", "valor_pago"))
+
+
+def dense_ids(spark: Spark, sf: str) -> DataFrame:
+    return shred.dense_ids(bridge.tables(spark, sf, "declarations")["declarations"]).select(
+        F.col("declaration_id").cast("long").alias("declaration_id"), "file_path")
+
+
+def load_xml(spark: Spark, sf: str) -> DataFrame:
+    returns = render.nested(bridge.tables(spark, sf), date=_doc_date())
+    path = shared_path(spark, "xml")
+    render.write_xml(render.xml_returns(returns, *SCHEDULES), path)
+    tables, _ = documents.load_xml(spark, path, as_of=AS_OF, key=F.col("cpf").cast("long"))
+    return _label_amounts(tables)
+
+
+def load_documents(spark: Spark, sf: str) -> DataFrame:
+    """Extracted returns from a folder to the stored tables, then a second run
+    that finds nothing to do."""
+    docs = render.json_documents(render.nested(bridge.tables(spark, sf), date=_doc_date()))
+    root = shared_path(spark, "load")
+    # The file name carries the key of a return, which its lines come back with.
+    (docs.select(F.from_json("document", render.docs_schema()).alias("r"),
+                 F.col("declaration_id").cast("string").alias("file_name"))
+     .select("r.*", "file_name").write.json(f"{root}/in"))
+    key = F.col("file_name").cast("long")
+    for _ in range(2):
+        documents.process_documents(spark, f"{root}/in", f"{root}/log", f"{root}/out", key=key,
+                                    multi_line=False, buckets=4)
+    return _label_amounts({n: documents.read_stored(spark, f"{root}/out", n, T.LongType()) for n in SCHEDULES})
+
+
 # ---------------------------------------------------------------- files
 
 def file_changes(spark: Spark, sf: str) -> DataFrame:
@@ -476,17 +513,27 @@ def _site(spark: Spark, sf: str) -> DataFrame:
         link(F.concat(F.lit("../p/"), (2 * n + 1).cast("string"))),
         link(F.concat((2 * n + 2).cast("string"), F.lit("#top"))), link(F.lit("#self")), back,
         link(F.lit("https://site.example/q/0")), link(F.concat(F.lit("/p/none"), n.cast("string"))), "html")
-    return given(spark, sf, "pages").select(
+    return readers.spread_scan(given(spark, sf, "pages"), "page_id").select(
         F.concat(F.lit(SITE), n.cast("string")).alias("url"), markup.alias("html"))
 
 
-def page_reachable(spark: Spark, sf: str) -> DataFrame:
-    # The start page's url is no prefix of the others, so links are followed
-    # from a front page that carries the prefix itself.
+def _linked_site(spark: Spark, sf: str) -> DataFrame:
+    """The site with a front page, whose url is the prefix of all others."""
     front = given(spark, sf, "pages").agg(F.count("*").alias("n")).select(
         F.lit(SITE).alias("url"),
         F.concat(F.lit('<a href="1">first</a><!-- '), F.col("n").cast("string"), F.lit(" -->")).alias("html"))
-    return crawl.reachable(_site(spark, sf).unionByName(front), SITE, "site.example")
+    return _site(spark, sf).unionByName(front)
+
+
+def page_reachable(spark: Spark, sf: str) -> DataFrame:
+    return crawl.reachable(_linked_site(spark, sf), SITE, "site.example")
+
+
+def site_records(spark: Spark, sf: str) -> DataFrame:
+    """Crawl, extraction and the JSON file, read back."""
+    path = shared_path(spark, "site")
+    crawl_to_json(_linked_site(spark, sf), path, SITE, "site.example")
+    return spark.read.schema("url string, host string, title string, description string, text string").json(path)
 
 
 QUERIES = {
@@ -523,6 +570,10 @@ QUERIES = {
     "return_to_json": return_to_json,
     "typed_empty_schedule": typed_empty_schedule,
     "csv_round_trip": csv_round_trip,
+    "money_double": money_double,
+    "dense_ids": dense_ids,
+    "load_xml": load_xml,
+    "load_documents": load_documents,
     "file_changes": file_changes,
     "file_status": file_status,
     "stream_arrivals": stream_arrivals,
@@ -539,4 +590,5 @@ QUERIES = {
     "page_main_text": page_main_text,
     "url_forms": url_forms,
     "page_reachable": page_reachable,
+    "site_records": site_records,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fiscolake.functions.html import main_text, page_description, page_links, page_text, page_title
@@ -50,11 +50,13 @@ def reachable(pages: DataFrame, start_url: str, host_suffix: str) -> DataFrame:
     newest = stored.where(F.col("url") == start_url)
     round_no = 0
     while True:
-        newest.withColumn("round", F.lit(round_no)).write.mode("append").partitionBy("round").parquet(seen_path)
+        counted = Observation()
+        (newest.withColumn("round", F.lit(round_no)).observe(counted, F.count(F.lit(1)).alias("n"))
+         .write.mode("append").partitionBy("round").parquet(seen_path))
         seen = spark.read.schema("url string, round int").parquet(seen_path)
-        last = seen.where(F.col("round") == round_no).select("url")
-        if last.isEmpty():
+        if counted.get["n"] == 0:
             return seen.select("url")
+        last = seen.where(F.col("round") == round_no).select("url")
         found = (edges.join(last.withColumnRenamed("url", "src_url"), "src_url", "left_semi")
                  .select(F.col("dst_url").alias("url")).distinct())
         newest = found.join(stored, "url").join(seen.select("url"), "url", "left_anti")

@@ -14,7 +14,7 @@ from fiscolake.operators.validate import REJECT_SCHEMA, split_declarations, spli
 from fiscolake.schemas import DECLARATIONS, SCHEDULES, table_schema
 from fiscolake.session import written_table
 from fiscolake.sources.readers import list_files, path_exists, paths_to_read, read_json_returns
-from fiscolake.sources.writers import replace_rows, write_manifest
+from fiscolake.sources.writers import BUCKETS, replace_rows, write_manifest
 from fiscolake.sources.xml import ROOT_TAG, read_xml_returns
 
 
@@ -39,13 +39,15 @@ def checked_tables(returns: DataFrame, source: str, strict: bool = False) -> tup
 
 def process_documents(spark: SparkSession, folder: str, manifest: str, out: str, *, source: str = "json",
                       as_of: str | None = None, force: bool = False, strict: bool = False,
-                      key: Column | None = None) -> bool:
+                      key: Column | None = None, multi_line: bool = True,
+                      buckets: int = BUCKETS) -> bool:
     """Bring the stored tables up to date with a folder of returns, extracted
     ones in JSON or return files in XML (``source="xml"``, with ``as_of``).
 
     Only new and changed files are read. The rows of their returns, and those of
-    files that are gone, are replaced in every table. Returns whether anything
-    was done.
+    files that are gone, are replaced in every table. ``multi_line`` is false for
+    JSON files of one return per line; ``buckets`` is how many parts each stored
+    table has, the same in every run. Returns whether anything was done.
     """
     if not path_exists(spark, folder):
         return False
@@ -60,7 +62,7 @@ def process_documents(spark: SparkSession, folder: str, manifest: str, out: str,
     if source == "xml":
         read = read_xml_returns(spark, paths, as_of=as_of, key=key)
     else:
-        read = read_json_returns(spark, paths, key=key)
+        read = read_json_returns(spark, paths, key=key, multi_line=multi_line)
     source_file = F.col("source_path")
     read = read.join(changed.select(F.col("path").alias("source_path")), "source_path", "left_semi")
     returns = written_table(read, "returns")
@@ -78,7 +80,7 @@ def process_documents(spark: SparkSession, folder: str, manifest: str, out: str,
         stale = stale.unionByName(before.select("declaration_id"))
     stale = written_table(stale.distinct(), "stale")
     for name, rows in {**tables, "rejects": rejects, "origin": origin}.items():
-        replace_rows(rows, stale, f"{out}/{name}", "declaration_id")
+        replace_rows(rows, stale, f"{out}/{name}", "declaration_id", buckets)
     write_manifest(changed, manifest)
     return True
 

@@ -12,7 +12,7 @@ from fiscolake.operators.incremental import changed_files, read_manifest, remove
 from fiscolake.session import written_table
 from fiscolake.sources.readers import (TEXT_EXTENSIONS, list_files, path_exists, paths_to_read,
                                        read_collection, read_scraped_json, read_texts)
-from fiscolake.sources.writers import upsert_chunks, write_manifest
+from fiscolake.sources.writers import BUCKETS, upsert_chunks, write_manifest
 
 SCRAPED_SCHEMA = "url string, title string, description string, text string"
 BUILT_EXTENSIONS = (*TEXT_EXTENSIONS, ".json")
@@ -35,7 +35,8 @@ def collection_rows(docs: DataFrame, embedder: Embedder | None = None,
 
 def build_knowledge_base(spark: SparkSession, root: str, collection: str, manifest: str, *,
                          force: bool = False, embedder: Embedder | None = None,
-                         size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> tuple[DataFrame, bool]:
+                         size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                         buckets: int = BUCKETS) -> tuple[DataFrame, bool]:
     """Bring the stored collection up to date with a folder.
 
     Only new and modified files are read; chunks of removed files are dropped.
@@ -57,7 +58,7 @@ def build_knowledge_base(spark: SparkSession, root: str, collection: str, manife
     stored = read_collection(spark, collection).select("doc_id").distinct()
     stale = (stored.withColumn("path", F.regexp_replace("doc_id", r"#[0-9]+$", ""))
              .join(changed.select("path").unionByName(gone), "path", "left_semi").select("doc_id"))
-    upsert_chunks(rows, stale.unionByName(docs.select("doc_id")).distinct(), collection)
+    upsert_chunks(rows, stale.unionByName(docs.select("doc_id")).distinct(), collection, buckets)
     write_manifest(changed, manifest)
     return read_collection(spark, collection), True
 
