@@ -310,19 +310,19 @@ ORACLES = {
         file_path FROM declarations""",
     "load_xml": _ALL + f"SELECT * FROM ({_LABEL_AMOUNTS}) WHERE {_HAS_RETURN}",
     "load_documents": _ALL + f"SELECT * FROM ({_LABEL_AMOUNTS}) WHERE {_HAS_RETURN}",
-    "file_changes": """SELECT '/kb/' || source || '/' || doc_id || '.txt' AS path,
-        CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE 'modified' END AS change FROM documents
-        WHERE doc_id % 5 = 0 OR doc_id % 4 = 0""",
-    "file_status": sql_with("declarations") + """SELECT
-        CASE WHEN declaration_id % 3 <> 0 THEN 'disponível' ELSE 'indisponível' END AS status, file_path AS arquivo,
-        CASE WHEN declaration_id % 3 <> 0 THEN format('{:.2f} KB', declaration_id * 37 / 1024.0::DOUBLE) END AS tamanho,
-        CASE WHEN declaration_id % 3 <> 0 THEN 'A declaração está disponível para acesso'
-             ELSE 'O arquivo da declaração não foi encontrado' END AS mensagem FROM declarations""",
+    "file_changes": """SELECT '/kb/' || source || '/' || d.doc_id || '.txt' AS path,
+        CASE WHEN quality IS NULL THEN 'new' ELSE 'modified' END AS change
+        FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE quality IS NULL OR quality = 0""",
+    "file_status": """SELECT
+        CASE WHEN c_acctbal >= 0 THEN 'disponível' ELSE 'indisponível' END AS status, '/in/' || c_name || '.xml' AS arquivo,
+        CASE WHEN c_acctbal >= 0 THEN format('{:.2f} KB', c_custkey * 37 / 1024.0::DOUBLE) END AS tamanho,
+        CASE WHEN c_acctbal >= 0 THEN 'A declaração está disponível para acesso'
+             ELSE 'O arquivo da declaração não foi encontrado' END AS mensagem FROM customer""",
     "stream_arrivals": _typed("pagamentos_efetuados"),
     "chunk_words": "WITH " + _word_chunks("documents") + " " + _CHUNK_VIEW,
     "chunk_sentences": "WITH RECURSIVE " + _SENTENCE_CHUNKS + " " + _CHUNK_VIEW,
-    "collection_upsert": f"""WITH kept AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'nova versão ' || text
-            ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3), {_word_chunks('kept')} {_CHUNK_VIEW}""",
+    "collection_upsert": f"""WITH kept AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN 'nova versão ' || text
+            ELSE text END AS text FROM documents WHERE lang <> 'es'), {_word_chunks('kept')} {_CHUNK_VIEW}""",
     "bm25_topk": "WITH " + _BM25 + _top("SELECT * FROM bm"),
     "vector_topk": "WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, "
         "range(1, 65) r(i) GROUP BY label, i) " + _top("""SELECT m.label AS query_id, vec_id AS item_id,

@@ -358,25 +358,26 @@ def load_documents(spark: Spark, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- files
 
 def file_changes(spark: Spark, sf: str) -> DataFrame:
-    d = F.col("doc_id")
+    """Documents as files; the labelled ones were processed before, and the files
+    of those of low quality have changed since."""
     base = F.lit("2025-01-01").cast("timestamp")
-    days = F.make_interval(days=(d % 30).cast("int"))
-    later = F.make_interval(days=F.when(d % 4 == 0, 60).otherwise(0))
-    docs = given(spark, sf, "documents").withColumn(
-        "path", F.concat(F.lit("/kb/"), "source", F.lit("/"), d.cast("string"), F.lit(".txt")))
-    files = docs.select("path", (base + days + later).alias("modified_at"))
-    manifest = docs.where(d % 5 != 0).select("path", (base + days).alias("modified_at"),
-                                             F.lit("2025-03-01").cast("timestamp").alias("processed_at"))
+    labels = given(spark, sf, "labels").select("doc_id", "quality")
+    docs = (given(spark, sf, "documents").select("doc_id", "source").join(labels, "doc_id", "left")
+            .withColumn("path", F.concat(F.lit("/kb/"), "source", F.lit("/"),
+                                         F.col("doc_id").cast("string"), F.lit(".txt"))))
+    later = F.make_interval(days=F.when(F.col("quality") == 0, 60).otherwise(0))
+    files = docs.select("path", (base + later).alias("modified_at"))
+    manifest = docs.where("quality IS NOT NULL").select(
+        "path", base.alias("modified_at"), F.lit("2025-02-01").cast("timestamp").alias("processed_at"))
     return incremental.changed_files(files, manifest).select("path", "change")
 
 
 def file_status(spark: Spark, sf: str) -> DataFrame:
-    files = bridge.tables(spark, sf, "declarations")["declarations"]
-    there = files.where(F.col("declaration_id") % 3 != 0).select(
-        F.col("file_path").alias("path"), (F.col("declaration_id") * 37).alias("length"),
-        F.lit("2025-01-01").cast("timestamp").alias("modified_at"))
-    return readers.file_status(files.select(F.col("file_path").alias("path")), there) \
-        .drop("ultima_modificacao")
+    """Return files of all customers; only those with a positive balance have one."""
+    c = given(spark, sf, "customer").withColumn("path", F.concat(F.lit("/in/"), "c_name", F.lit(".xml")))
+    there = c.where("c_acctbal >= 0").select(
+        "path", (F.col("c_custkey") * 37).alias("length"), F.lit("2025-01-01").cast("timestamp").alias("modified_at"))
+    return readers.file_status(c.select("path"), there).drop("ultima_modificacao")
 
 
 def stream_arrivals(spark: Spark, sf: str) -> DataFrame:
@@ -455,17 +456,19 @@ def kb_context(spark: Spark, sf: str) -> DataFrame:
 
 
 def collection_upsert(spark: Spark, sf: str) -> DataFrame:
+    """All documents stored; then the French ones edited and the Spanish removed."""
     docs = _docs(spark, sf)
+    lang = given(spark, sf, "documents").select("doc_id", "lang")
     path = shared_path(spark, "collection")
 
     def rows(df: DataFrame) -> DataFrame:
         return chunk_words(df).withColumn("embedding", F.array(F.col("n_tokens").cast("float")))
 
     writers.upsert_chunks(rows(docs), docs, path, buckets=16)
-    edited = docs.where(F.col("doc_id") % 4 == 0).withColumn("text", F.concat(F.lit("nova versão "), "text"))
-    gone = docs.where(F.col("doc_id") % 10 == 3).select("doc_id")
-    writers.upsert_chunks(rows(edited), edited.select("doc_id").unionByName(gone)
-                          .select(F.col("doc_id").cast("string").alias("doc_id")), path, buckets=16)
+    french = docs.join(lang.where("lang = 'fr'"), "doc_id", "left_semi")
+    edited = french.withColumn("text", F.concat(F.lit("nova versão "), "text"))
+    touched = lang.where("lang IN ('fr', 'es')").select(F.col("doc_id").cast("string").alias("doc_id"))
+    writers.upsert_chunks(rows(edited), touched, path, buckets=16)
     return _chunk_view(readers.read_collection(spark, path))
 
 

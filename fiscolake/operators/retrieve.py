@@ -19,14 +19,20 @@ B = 0.75
 
 def _dot(queries: pd.DataFrame, items: pd.DataFrame) -> np.ndarray:
     left = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
-    right = np.stack(items["embedding"].to_numpy()).astype(np.float64)
-    return left @ right.T
+    scores = np.full((len(queries), len(items)), -np.inf)
+    # Items without a vector keep the score that is never a hit. They are left
+    # out here, since a filter before would run the embedder a second time.
+    given = items["embedding"].notna().to_numpy()
+    if given.any():
+        right = np.stack(items["embedding"][given].to_numpy()).astype(np.float64)
+        scores[:, given] = left @ right.T
+    return scores
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, **limits: int) -> DataFrame:
     """Nearest vectors by dot product: ``query_id, embedding`` against ``item_id, embedding``."""
     return best_matches(queries.select("query_id", "embedding"),
-                        vectors.where(F.col("embedding").isNotNull()).select("item_id", "embedding"),
+                        vectors.select("item_id", "embedding"),
                         _dot, k, query_bytes=F.size("embedding") * 4, **limits)
 
 

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Scorer: pandas queries and items to a matrix with a row per query.
+# Scorer: pandas queries and items to a matrix with a row per query. A score that
+# is not finite is no hit.
 Scorer = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
 DIGITS = 6
@@ -37,7 +38,7 @@ def _best(queries: pd.DataFrame, items: pd.DataFrame, score: Scorer, k: int,
         scores = np.round(score(queries, part), DIGITS)
         n = scores.shape[1]
         floor = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else scores.min(axis=1)
-        mask = scores >= floor[:, None]
+        mask = (scores >= floor[:, None]) & np.isfinite(scores)
         if positive_only:
             mask &= scores > 0
         q, i = np.nonzero(mask)

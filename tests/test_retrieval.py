@@ -86,6 +86,8 @@ def test_fewer_items_than_k_and_empty_sides(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0])], "item_id int, embedding array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id int, embedding array<float>")
     assert grouped(retrieve.vector_topk(q, v, 5)) == {1: [(1, 1.0)], 2: [(1, 0.0)]}
+    more = v.union(v.sparkSession.createDataFrame([(2, None)], v.schema))
+    assert grouped(retrieve.vector_topk(q, more, 5)) == {1: [(1, 1.0)], 2: [(1, 0.0)]}
     assert retrieve.vector_topk(q, v.limit(0), 5).count() == 0
     assert retrieve.vector_topk(q.limit(0), v, 5).count() == 0
 
