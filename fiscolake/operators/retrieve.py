@@ -88,10 +88,11 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, *,
     size = collection_size(docs, normalize) if size is None else size
     asked = (queries.select("query_id", F.explode(terms(F.col("text"), normalize)).alias("term"))
              .groupBy("query_id", "term").agg(F.count("*").alias("n")))
-    # Needed for the frequencies and again for the scores.
-    matching = written_table(index.join(asked.select("term").distinct(), "term", "left_semi"), "matching")
+    # Both are needed again, and a join of plain scans lets adaptive execution
+    # split the postings of a term that is everywhere.
+    matching = written_table(index.join(asked.select("term"), "term", "left_semi"), "matching")
+    frequency = written_table(matching.groupBy("term").agg(F.count("*").alias("df")), "frequency")
     n_docs, mean_length = (size.select(c).scalar() for c in ("n_docs", "mean_length"))
-    frequency = matching.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     worths = frequency.select("term", idf.alias("idf"))
     tf = F.col("tf").cast("double")

@@ -81,9 +81,9 @@ def split_declarations(declarations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def without_rejected(declarations: DataFrame, rejects: DataFrame) -> DataFrame:
     """Only the returns none of whose lines were rejected: the strict reading,
-    in which one bad field refuses the whole return."""
-    keys = rejects.select("declaration_id").distinct()
-    return declarations.join(keys, "declaration_id", "left_anti")
+    in which one bad field refuses the whole return. ``rejects`` is joined as it
+    is: behind an aggregate, adaptive execution could not split a large return."""
+    return declarations.join(rejects.select("declaration_id"), "declaration_id", "left_anti")
 
 
 def duplicate_keys(df: DataFrame, *key: str) -> DataFrame:

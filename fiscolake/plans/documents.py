@@ -31,9 +31,9 @@ def checked_tables(returns: DataFrame, source: str, strict: bool = False) -> tup
         rejects.append(bad)
     all_rejects = reduce(DataFrame.unionByName, rejects)
     if strict:
-        all_rejects = written_table(all_rejects, "rejects")  # read by every table below
-        tables[DECLARATIONS] = without_rejected(declarations, all_rejects)
-        tables.update({n: without_rejected(tables[n], all_rejects) for n in SCHEDULES})
+        all_rejects = written_table(all_rejects, "rejects")
+        refused = written_table(all_rejects.select("declaration_id").distinct(), "refused")
+        tables = {n: without_rejected(df, refused) for n, df in tables.items()}
     return tables, all_rejects
 
 
@@ -78,7 +78,7 @@ def process_documents(spark: SparkSession, folder: str, manifest: str, out: str,
         key_type = returns.schema["declaration_id"].dataType
         before = read_stored(spark, out, "origin", key_type).join(touched, "source_path", "left_semi")
         stale = stale.unionByName(before.select("declaration_id"))
-    stale = written_table(stale.distinct(), "stale")
+    stale = written_table(stale.distinct(), "stale")  # for all tables
     for name, rows in {**tables, "rejects": rejects, "origin": origin}.items():
         replace_rows(rows, stale, f"{out}/{name}", "declaration_id", buckets)
     write_manifest(changed, manifest)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fiscolake.schemas import ALL_TABLES, COLLECTION_SCHEMA, DECLARED_TABLES
+from fiscolake.session import written_table
 from fiscolake.sources.readers import delete_folder, path_exists
 
 BUCKETS = 256
@@ -86,7 +87,9 @@ def replace_rows(rows: DataFrame, stale: DataFrame, path: str, key: str, buckets
     fresh = rows.withColumn("bucket", bucket)
     hit = []
     if path_exists(spark, path):
-        keys = stale.select(key).distinct().withColumn("bucket", bucket)
+        # Written down, so that the join below is one of plain scans, in which
+        # adaptive execution can split a key with very many rows.
+        keys = written_table(stale.select(key).distinct().withColumn("bucket", bucket), "keys")
         hit = [r.bucket for r in keys.select("bucket").distinct().collect()]  # at most `buckets`
         if not hit:
             return 0
