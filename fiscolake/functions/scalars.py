@@ -19,7 +19,9 @@ BENEFICIARY_LABELS = {
     "V": "alimentando",
 }
 
+# The id that stands for a missing one, and the summary of a return.
 ZERO_ID = "00000000000"
+SUMMARY = "Declaração IRPF-2025 de %s (CPF %s)."
 
 # Optional sign, digits with dots as thousands marks, at most two decimals
 # (zeros beyond them change nothing).
@@ -86,7 +88,7 @@ def document_date(text: Column, as_of: Column) -> Column:
 
 
 def summary_sentence(name: Column, cpf: Column) -> Column:
-    return F.format_string("Declaração IRPF-2025 de %s (CPF %s).",
+    return F.format_string(SUMMARY,
                            F.coalesce(name, F.lit("declarante")),
                            F.coalesce(cpf, F.lit("???")))
 

@@ -14,6 +14,11 @@ from fiscolake.schemas import INCOME_TABLES, empty_table
 logger = logging.getLogger(__name__)
 Tables = Mapping[str, DataFrame]
 
+# Labels of the kinds of income, and the message without any table.
+SALARY_LABEL = "Tributável PJ"
+SALARY_LABEL_GROUPED = "Tributável"
+EXCLUSIVE_LABEL = "Exclusivo"
+EXEMPT_LABEL = "Isento"
 NO_INCOME_MESSAGE = "Nenhuma tabela de receitas encontrada no banco de dados"
 
 
@@ -63,25 +68,25 @@ def asset_change(tables: Tables) -> DataFrame:
 def _income_rows(tables: Tables, salary_label: str, drop_null_source: bool) -> DataFrame:
     def branch(table: str, label: str, measure: str) -> DataFrame:
         rows = tables[table]
-        if drop_null_source and label == "Isento":
+        if drop_null_source and label == EXEMPT_LABEL:
             rows = rows.where(F.col("nome_fonte_pagadora").isNotNull())
         return rows.select(F.lit(label).alias("tipo"), F.col("nome_fonte_pagadora").alias("fonte"),
                            F.col(measure).alias("valor"), "declaration_id")
 
     return (branch("rendimentos_tributaveis_pj", salary_label, "rendimentos")
-            .unionByName(branch("rendimentos_exclusivos", "Exclusivo", "valor"))
-            .unionByName(branch("rendimentos_isentos", "Isento", "valor")))
+            .unionByName(branch("rendimentos_exclusivos", EXCLUSIVE_LABEL, "valor"))
+            .unionByName(branch("rendimentos_isentos", EXEMPT_LABEL, "valor")))
 
 
 def income_sources(tables: Tables) -> DataFrame:
     """Every income line of the three kinds with kind and source, largest first."""
-    rows = _income_rows(tables, "Tributável PJ", drop_null_source=True)
+    rows = _income_rows(tables, SALARY_LABEL, drop_null_source=True)
     return _descending(rows, "valor", "tipo", "fonte", "declaration_id").select("tipo", "fonte", "valor")
 
 
 def income_by_source(tables: Tables) -> DataFrame:
     """Income summed per source and kind; lines without a source form a group."""
-    rows = _income_rows(tables, "Tributável", drop_null_source=False)
+    rows = _income_rows(tables, SALARY_LABEL_GROUPED, drop_null_source=False)
     sums = (rows.groupBy(F.col("fonte").alias("nome_fonte_pagadora"),
                          F.col("tipo").alias("tipo_rendimento"))
             .agg(F.sum("valor").alias("total_valor")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,14 +113,18 @@ def load_xml(spark: SparkSession, path: str | list[str], *, as_of: str, key: Col
     return tables, rejects.unionByName(unreadable(returns))
 
 
+# What is said of a return that cannot be read.
+NOT_FOUND = "Tax return file not found"
+FAILED = "Failed to read tax return: "
+
+
 def read_tax_return(spark: SparkSession, path: str, *, as_of: str, root_tag: str = ROOT_TAG) -> DataFrame:
     """A return file as one JSON document, or a document with ``error``."""
     if not path_exists(spark, path):
-        return spark.createDataFrame([(path, '{"error": "Tax return file not found"}')],
+        return spark.createDataFrame([(path, json.dumps({"error": NOT_FOUND}))],
                                      "file_path string, document string")
     returns = read_xml_returns(spark, path, as_of=as_of, root_tag=root_tag)
     documents = return_json(typed_returns(returns, "xml"))
-    failed = F.to_json(F.struct(F.concat(F.lit("Failed to read tax return: "),
-                                         F.col("file_path")).alias("error")))
+    failed = F.to_json(F.struct(F.concat(F.lit(FAILED), F.col("file_path")).alias("error")))
     return documents.select("file_path", F.when(F.col("parse_error").isNull(), F.col("document"))
                             .otherwise(failed).alias("document"))

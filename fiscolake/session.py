@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR_KEY = "spark.checkpoint.dir"
+_local_roots: dict[str, str] = {}
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -48,9 +49,10 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {SHARED_DIR_KEY} to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set(SHARED_DIR_KEY, root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="run-")
+    return _local_roots[app]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

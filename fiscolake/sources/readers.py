@@ -127,14 +127,18 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COLLECTION_SCHEMA).parquet(path)
 
 
+# The words of a status report.
+AVAILABLE = ("disponível", "A declaração está disponível para acesso")
+MISSING = ("indisponível", "O arquivo da declaração não foi encontrado")
+
+
 def file_status(requested: DataFrame, files: DataFrame) -> DataFrame:
     """Per requested path: there or not, size, time of change, message."""
     found = files.select("path", "length", "modified_at")
     there = F.col("length").isNotNull()
     return requested.select("path").join(found, "path", "left").select(
-        F.when(there, "disponível").otherwise("indisponível").alias("status"),
+        F.when(there, AVAILABLE[0]).otherwise(MISSING[0]).alias("status"),
         F.col("path").alias("arquivo"),
         F.when(there, S.kilobytes(F.col("length"))).alias("tamanho"),
         F.col("modified_at").alias("ultima_modificacao"),
-        F.when(there, "A declaração está disponível para acesso")
-        .otherwise("O arquivo da declaração não foi encontrado").alias("mensagem"))
+        F.when(there, AVAILABLE[1]).otherwise(MISSING[1]).alias("mensagem"))

@@ -168,3 +168,11 @@ def test_typed_returns_and_flat_tables_agree(spark, folder):
     for name in flat:
         assert sorted(map(str, flat[name].collect())) == sorted(map(str, again[name].collect())), name
     assert return_json(typed_returns(returns, "xml")).count() == 4
+
+
+def test_latin_files(spark, tmp_path):
+    text = '<?xml version="1.0" encoding="ISO-8859-1"?><declaracao><identificadorDeclaracao nome="João" cpf="1"/><bens><item grupo="1" discriminacao="ação"/></bens></declaracao>'
+    (tmp_path / "l.xml").write_bytes(text.encode("latin-1"))
+    tables, _ = load_xml(spark, str(tmp_path), as_of="2025-05-31")
+    assert tables["bens_direitos"].first().discriminacao == "ação"
+    assert tables["declarations"].first().summary == "Declaração IRPF-2025 de João (CPF 1)."
