@@ -33,7 +33,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, **limits
     """Nearest vectors by dot product: ``query_id, embedding`` against ``item_id, embedding``."""
     return best_matches(queries.select("query_id", "embedding"),
                         vectors.select("item_id", "embedding"),
-                        _dot, k, query_bytes=F.size("embedding") * 4, **limits)
+                        _dot, k, query_bytes=F.size("embedding") * 4, item_bytes=F.size("embedding") * 4, **limits)
 
 
 def postings(docs: DataFrame, normalize: Normalizer = same_term) -> DataFrame:
@@ -103,7 +103,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, *,
     asked_lists = (asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "n")).alias("e"))
                    .select("query_id", F.col("e.term").alias("terms"), F.col("e.n").alias("counts")))
     bytes_of = F.length(F.array_join("terms", "")) + F.size("terms") * 16
-    return best_matches(asked_lists, items, _term_scores, k, query_bytes=bytes_of,
+    return best_matches(asked_lists, items, _term_scores, k, query_bytes=bytes_of, item_bytes=bytes_of,
                         positive_only=True, **limits)
 
 

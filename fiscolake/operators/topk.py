@@ -24,7 +24,9 @@ DIGITS = 6
 MAX_SHARED_QUERIES = 4096
 MAX_SHARED_BYTES = 16 << 20
 ITEMS_PER_BLOCK = 50_000
+BYTES_PER_BLOCK = 64 << 20
 _CELLS = 4_000_000
+_ROWS = 4096
 
 
 def _best(queries: pd.DataFrame, items: pd.DataFrame, score: Scorer, k: int,
@@ -32,7 +34,7 @@ def _best(queries: pd.DataFrame, items: pd.DataFrame, score: Scorer, k: int,
     """Best ``k`` items of every query; equal scores go by item id."""
     ids, keys = queries["query_id"].to_numpy(), items["item_id"].to_numpy()
     found = []
-    step = max(1, _CELLS // max(1, len(ids)))
+    step = max(1, min(_ROWS, _CELLS // max(1, len(ids))))
     for at in range(0, len(keys) if len(ids) else 0, step):
         part = items.iloc[at:at + step]
         scores = np.round(score(queries, part), DIGITS)
@@ -55,21 +57,27 @@ def _head(hits: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def best_matches(queries: DataFrame, items: DataFrame, score: Scorer, k: int, *,
-                 query_bytes: Column, positive_only: bool = False,
+                 query_bytes: Column, item_bytes: Column, positive_only: bool = False,
                  max_shared_queries: int = MAX_SHARED_QUERIES,
                  max_shared_bytes: int = MAX_SHARED_BYTES,
                  items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
     """``query_id, item_id, score, rank`` of the ``k`` best items of every query.
 
     ``queries`` has ``query_id`` and ``items`` has ``item_id``; their other
-    columns are what ``score`` works on. ``query_bytes`` is the size of a query.
+    columns are what ``score`` works on. ``query_bytes`` and ``item_bytes`` are the
+    sizes of a query and of an item; both are summed up before anything is held
+    in one place.
     """
     spark = queries.sparkSession
     schema = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("item_id", items.schema["item_id"].dataType),
         T.StructField("score", T.DoubleType())])
-    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(query_bytes), F.lit(0)).alias("b")).first()
+
+    def measured(df: DataFrame, bytes_of: Column):
+        return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(bytes_of), F.lit(0)).alias("b")).first()
+
+    size = measured(queries, query_bytes)
 
     if size.n <= max_shared_queries and size.b <= max_shared_bytes:
         shared = spark.sparkContext.broadcast(queries.toPandas())
@@ -84,9 +92,12 @@ def best_matches(queries: DataFrame, items: DataFrame, score: Scorer, k: int, *,
 
         hits = items.mapInPandas(match, schema)
     else:
-        per_block = max(1, min(max_shared_queries, int(max_shared_bytes * size.n / max(size.b, 1))))
-        n_query_blocks = -(-size.n // per_block)
-        n_item_blocks = max(1, -(-items.count() // items_per_block))
+        def blocks_of(n: int, b: int, rows: int, limit: int) -> int:
+            return max(1, -(-n // rows), -(-b // limit))
+
+        stock = measured(items, item_bytes)
+        n_query_blocks = blocks_of(size.n, size.b, max_shared_queries, max_shared_bytes)
+        n_item_blocks = blocks_of(stock.n, stock.b, items_per_block, BYTES_PER_BLOCK)
 
         def blocks(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
             return (df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"))
