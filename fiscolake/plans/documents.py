@@ -118,13 +118,27 @@ NOT_FOUND = "Tax return file not found"
 FAILED = "Failed to read tax return: "
 
 
-def read_tax_return(spark: SparkSession, path: str, *, as_of: str, root_tag: str = ROOT_TAG) -> DataFrame:
-    """A return file as one JSON document, or a document with ``error``."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([(path, json.dumps({"error": NOT_FOUND}))],
-                                     "file_path string, document string")
+def return_documents(spark: SparkSession, path: str | list[str], *, as_of: str,
+                     root_tag: str = ROOT_TAG) -> DataFrame:
+    """Return files as JSON documents, one row per return: ``file_path, document``.
+    An unreadable file gives a document with ``error``."""
     returns = read_xml_returns(spark, path, as_of=as_of, root_tag=root_tag)
-    documents = return_json(typed_returns(returns, "xml"))
     failed = F.to_json(F.struct(F.concat(F.lit(FAILED), F.col("file_path")).alias("error")))
-    return documents.select("file_path", F.when(F.col("parse_error").isNull(), F.col("document"))
-                            .otherwise(failed).alias("document"))
+    return return_json(typed_returns(returns, "xml")).select(
+        "file_path", F.when(F.col("parse_error").isNull(), F.col("document")).otherwise(failed).alias("document"))
+
+
+def requested_documents(requested: DataFrame, documents: DataFrame) -> DataFrame:
+    """The documents of the requested files (``file_path``); a file that is not
+    there gives a document with ``error``."""
+    missing = F.lit(json.dumps({"error": NOT_FOUND}))
+    return (requested.select("file_path").join(documents, "file_path", "left")
+            .select("file_path", F.coalesce("document", missing).alias("document")))
+
+
+def read_tax_return(spark: SparkSession, path: str, *, as_of: str, root_tag: str = ROOT_TAG) -> DataFrame:
+    """A return file as one JSON document, or a document with ``error``."""
+    if path_exists(spark, path):
+        return return_documents(spark, path, as_of=as_of, root_tag=root_tag)
+    nothing = spark.createDataFrame([], "file_path string, document string")
+    return requested_documents(spark.createDataFrame([(path,)], "file_path string"), nothing)

@@ -21,9 +21,11 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder is there, on whatever file system it names."""
+    """Whether a file or folder, or any match of a pattern, is there, on whatever
+    file system the path names."""
     system, named = _file_system(spark, path)
-    return system.exists(named)
+    found = system.globStatus(named)
+    return found is not None and len(found) > 0
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:

@@ -80,10 +80,17 @@ def test_guard(spark, tables):
 def test_free_sql(spark, tables):
     analytics.register_views({"pagamentos_efetuados": tables["pagamentos_efetuados"]})
     assert analytics.query(spark, " select count(*) AS n from pagamentos_efetuados").first().n == 3
-    for bad in ("SELECT * FROM no_such_table", "DROP TABLE x", "SELEC 1", ""):
+    ordered = analytics.query(spark, "SELECT valor_pago AS v FROM pagamentos_efetuados ORDER BY v DESC; ")
+    assert [r.v for r in ordered.collect()] == [Decimal("3.00"), Decimal("1.50"), Decimal("1.00")]
+    assert "Sort" in ordered._jdf.queryExecution().optimizedPlan().toString()
+    spark.sql("CREATE TABLE IF NOT EXISTS guarded (a INT) USING parquet")
+    writing = ("WITH x AS (SELECT 1 AS a) INSERT INTO guarded SELECT a FROM x", "INSERT INTO guarded VALUES (1)",
+               "SELECT 1 AS a); DROP TABLE guarded; SELECT * FROM (SELECT 1")
+    for bad in ("SELECT * FROM no_such_table", "DROP TABLE guarded", "SELEC 1", "", *writing):
         assert analytics.query(spark, bad, on_error="empty").count() == 0
         with pytest.raises(Exception):
             analytics.query(spark, bad)
+    assert spark.table("guarded").count() == 0
 
 
 def test_table_report(spark, tables):

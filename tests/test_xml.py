@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fiscolake.operators.shred import flatten_returns, return_json, shred, typed_returns
-from fiscolake.plans.documents import load_xml, read_tax_return
+from fiscolake.plans.documents import load_xml, read_tax_return, requested_documents, return_documents
 from fiscolake.schemas import SCHEDULES
 from fiscolake.sources.xml import learn_layout, read_xml_returns
 
@@ -162,6 +162,15 @@ def test_read_tax_return(spark, folder):
     assert broken["error"].startswith("Failed to read tax return")
 
 
+def test_requested_documents(spark, folder):
+    import json
+    documents = return_documents(spark, f"{folder}/*.xml", as_of="2025-05-31")
+    asked = spark.createDataFrame([(f"file:{folder}/full.xml",), ("file:/none.xml",)], "file_path string")
+    got = {r.file_path: json.loads(r.document) for r in requested_documents(asked, documents).collect()}
+    assert got["file:/none.xml"] == {"error": "Tax return file not found"}
+    assert len(got[f"file:{folder}/full.xml"]["doacoes_efetuadas"]) == 2
+
+
 def test_typed_returns_and_flat_tables_agree(spark, folder):
     returns = read_xml_returns(spark, str(folder), as_of="2025-05-31", key=by_name()).where("parse_error IS NULL")
     flat, again = shred(returns, "xml"), flatten_returns(typed_returns(returns, "xml"))
