@@ -351,7 +351,7 @@ def load_documents(spark: Spark, sf: str) -> DataFrame:
     key = F.col("file_name").cast("long")
     for _ in range(2):
         documents.process_documents(spark, f"{root}/in", f"{root}/log", f"{root}/out", key=key,
-                                    multi_line=False, buckets=4)
+                                    key_type=T.LongType(), multi_line=False, buckets=4)
     return _label_amounts({n: documents.read_stored(spark, f"{root}/out", n, T.LongType()) for n in SCHEDULES})
 
 

@@ -10,12 +10,13 @@ from fiscolake.sources.readers import path_exists
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Newest entry of every processed path; empty before the first run."""
+    """Newest entry of every processed path that is not gone; empty before the
+    first run."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], MANIFEST_SCHEMA)
     entries = spark.read.schema(MANIFEST_SCHEMA).parquet(path)
     newest = F.max_by(F.struct("modified_at", "processed_at"), "processed_at").alias("e")
-    return entries.groupBy("path").agg(newest).select("path", "e.*")
+    return entries.groupBy("path").agg(newest).select("path", "e.*").where("modified_at IS NOT NULL")
 
 
 def changed_files(files: DataFrame, manifest: DataFrame, force: bool = False) -> DataFrame:

@@ -19,6 +19,11 @@ from fiscolake.sources.writers import BUCKETS, replace_rows, write_manifest
 from fiscolake.sources.xml import ROOT_TAG, read_xml_returns
 
 
+# The served tables, the rejects, and the file each return came from. The last
+# is replaced last: until then a repeated run still finds what it has to replace.
+STORED = (DECLARATIONS, *SCHEDULES, "rejects", "origin")
+
+
 def checked_tables(returns: DataFrame, source: str, strict: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
     """Flat tables of the lines that pass the checks, and the rejects.
 
@@ -40,15 +45,16 @@ def checked_tables(returns: DataFrame, source: str, strict: bool = False) -> tup
 
 def process_documents(spark: SparkSession, folder: str, manifest: str, out: str, *, source: str = "json",
                       as_of: str | None = None, force: bool = False, strict: bool = False,
-                      key: Column | None = None, multi_line: bool = True,
-                      buckets: int = BUCKETS) -> bool:
+                      key: Column | None = None, key_type: T.DataType | None = None,
+                      multi_line: bool = True, buckets: int = BUCKETS) -> bool:
     """Bring the stored tables up to date with a folder of returns, extracted
     ones in JSON or return files in XML (``source="xml"``, with ``as_of``).
 
     Only new and changed files are read. The rows of their returns, and those of
     files that are gone, are replaced in every table. ``multi_line`` is false for
-    JSON files of one return per line; ``buckets`` is how many parts each stored
-    table has, the same in every run. Returns whether anything was done.
+    JSON files of one return per line; ``key_type`` is the type of a ``key`` that
+    is no text; ``buckets`` is how many parts each stored table has, the same in
+    every run. Returns whether anything was done.
     """
     if not path_exists(spark, folder):
         return False
@@ -59,33 +65,38 @@ def process_documents(spark: SparkSession, folder: str, manifest: str, out: str,
     if changed.isEmpty() and gone.isEmpty():
         return False
 
-    paths = paths_to_read(changed, folder)
-    if source == "xml":
-        read = read_xml_returns(spark, paths, as_of=as_of, key=key)
+    touched = changed.select("path").unionByName(gone).withColumnRenamed("path", "source_path")
+    if changed.isEmpty():
+        rows = {n: read_stored(spark, out, n, key_type).where(F.lit(False)) for n in STORED}
     else:
-        read = read_json_returns(spark, paths, key=key, multi_line=multi_line)
-    source_file = F.col("source_path")
-    read = read.join(changed.select(F.col("path").alias("source_path")), "source_path", "left_semi")
-    returns = written_table(read, "returns")
-    tables, rejects = checked_tables(
-        returns.where("parse_error IS NULL") if source == "xml" else returns, source, strict)
-    if source == "xml":
-        rejects = rejects.unionByName(unreadable(returns))
-
-    origin = returns.select("declaration_id", source_file)
-    stale = origin.select("declaration_id")
+        paths = paths_to_read(changed, folder)
+        if source == "xml":
+            read = read_xml_returns(spark, paths, as_of=as_of, key=key)
+        else:
+            read = read_json_returns(spark, paths, key=key, multi_line=multi_line)
+        # Where the whole folder is read, this keeps the changed files.
+        returns = written_table(read.join(touched, "source_path", "left_semi"), "returns")
+        rows = _stored_rows(returns, source, strict)
+    stale = rows["origin"].select("declaration_id")
     if path_exists(spark, f"{out}/origin"):
-        touched = changed.select("path").unionByName(gone).withColumnRenamed("path", "source_path")
-        key_type = returns.schema["declaration_id"].dataType
         before = read_stored(spark, out, "origin", key_type).join(touched, "source_path", "left_semi")
         stale = stale.unionByName(before.select("declaration_id"))
     stale = written_table(stale.distinct(), "stale")  # for all tables
-    for name, rows in {**tables, "rejects": rejects, "origin": origin}.items():
-        replace_rows(rows, stale, f"{out}/{name}", "declaration_id", buckets)
-    write_manifest(changed, manifest)
+    for name in STORED:
+        replace_rows(rows[name], stale, f"{out}/{name}", "declaration_id", buckets)
+    write_manifest(changed, manifest, gone)
     return True
 
 
+def _stored_rows(returns: DataFrame, source: str, strict: bool) -> dict[str, DataFrame]:
+    """Every stored table of some returns; ``origin`` says which file a return is from."""
+    readable = returns.where("parse_error IS NULL") if source == "xml" else returns
+    tables, rejects = checked_tables(readable, source, strict)
+    if source == "xml":
+        rejects = rejects.unionByName(unreadable(returns))
+    return {**tables, "rejects": rejects, "origin": returns.select("declaration_id", "source_path")}
+
+
 def read_stored(spark: SparkSession, out: str, table: str, key_type: T.DataType | None = None) -> DataFrame:
     """A stored table of ``process_documents``, typed also while it is empty.
     ``key_type`` is the type of a key of the caller's own."""

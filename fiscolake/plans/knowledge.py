@@ -52,14 +52,19 @@ def build_knowledge_base(spark: SparkSession, root: str, collection: str, manife
     if changed.isEmpty() and gone.isEmpty():
         return read_collection(spark, collection), False
 
-    docs = (folder_documents(spark, paths_to_read(changed, root))
-            .join(changed.select("path"), "path", "left_semi"))
+    touched = changed.select("path").unionByName(gone)
+    if changed.isEmpty():
+        docs = spark.createDataFrame([], "doc_id string, path string, text string")
+    else:
+        # Where the whole folder is read, the join keeps the changed files.
+        docs = (folder_documents(spark, paths_to_read(changed, root))
+                .join(changed.select("path"), "path", "left_semi"))
     rows = collection_rows(docs.select("doc_id", "text"), embedder, size, overlap)
     stored = read_collection(spark, collection).select("doc_id").distinct()
     stale = (stored.withColumn("path", F.regexp_replace("doc_id", r"#[0-9]+$", ""))
-             .join(changed.select("path").unionByName(gone), "path", "left_semi").select("doc_id"))
+             .join(touched, "path", "left_semi").select("doc_id"))
     upsert_chunks(rows, stale.unionByName(docs.select("doc_id")).distinct(), collection, buckets)
-    write_manifest(changed, manifest)
+    write_manifest(changed, manifest, gone)
     return read_collection(spark, collection), True
 
 

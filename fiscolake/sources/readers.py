@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fiscolake.functions import scalars as S
+from fiscolake.functions.files import file_name, file_path
 from fiscolake.operators.shred import json_returns
 from fiscolake.schemas import COLLECTION_SCHEMA, json_schema, table_schema
 
@@ -40,7 +43,9 @@ def paths_to_read(changed: DataFrame, root: str) -> str | list[str]:
     """The changed files one by one while they are few, else the folder, to be
     narrowed down by a join on the path."""
     few = [r.path for r in changed.select("path").limit(MAX_LISTED + 1).collect()]
-    return few if 0 < len(few) <= MAX_LISTED else root
+    if len(few) > MAX_LISTED:
+        return root
+    return [re.sub(r"([\\*?\[\]{}])", r"\\\1", path) for path in few]  # names, no patterns
 
 
 def read_json_returns(spark: SparkSession, path: str | list[str], *, key: Column | None = None,
@@ -52,9 +57,9 @@ def read_json_returns(spark: SparkSession, path: str | list[str], *, key: Column
             .option("mode", "PERMISSIVE").json(path))
     placed = rows.select(
         *[c for c in rows.columns if c not in ("file_path", "file_name")],
-        F.col("_metadata.file_path").alias("source_path"),
-        F.coalesce("file_path", F.col("_metadata.file_path")).alias("file_path"),
-        F.coalesce("file_name", F.col("_metadata.file_name")).alias("file_name"))
+        file_path().alias("source_path"),
+        F.coalesce("file_path", file_path()).alias("file_path"),
+        F.coalesce("file_name", file_name()).alias("file_name"))
     return json_returns(placed, key)
 
 
@@ -85,14 +90,14 @@ def read_texts(spark: SparkSession, root: str | list[str],
     pattern = "*{" + ",".join(extensions) + "}"
     return (spark.read.option("wholetext", True).option("pathGlobFilter", pattern)
             .option("recursiveFileLookup", True).text(root)
-            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+            .select(file_path().alias("path"), F.col("value").alias("text")))
 
 
 def read_scraped_json(spark: SparkSession, root: str | list[str], record_schema: str) -> DataFrame:
     """Scraped records, stored as an array of JSON texts: decoded twice."""
     files = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.json")
              .option("recursiveFileLookup", True).text(root)
-             .select(F.col("_metadata.file_path").alias("path"), "value"))
+             .select(file_path().alias("path"), "value"))
     records = files.select("path", F.posexplode(F.from_json("value", "array<string>"))
                            .alias("record_no", "record"))
     return records.select("path", "record_no", F.from_json("record", record_schema).alias("r")) \

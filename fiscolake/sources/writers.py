@@ -67,11 +67,14 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> int:
     return counted.get["n_rows"]
 
 
-def write_manifest(processed: DataFrame, path: str) -> None:
+def write_manifest(processed: DataFrame, path: str, gone: DataFrame | None = None) -> None:
     """Add processed files to the manifest as a new part; the newest entry of a
-    path counts, so nothing that is being read is replaced."""
-    (processed.select("path", "modified_at", F.current_timestamp().alias("processed_at"))
-     .write.mode("append").parquet(path))
+    path counts, so nothing that is being read is replaced. Files that are gone
+    get an entry without time of change."""
+    entries = processed.select("path", "modified_at")
+    if gone is not None:
+        entries = entries.unionByName(gone.select("path", F.lit(None).cast("timestamp").alias("modified_at")))
+    entries.withColumn("processed_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
 def replace_rows(rows: DataFrame, stale: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> int:

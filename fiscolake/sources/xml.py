@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fiscolake.functions import scalars as S
+from fiscolake.functions.files import file_name, file_path
 from fiscolake.schemas import SCHEDULES, xml_line_schema
 
 ROOT_TAG = "declaracao"
@@ -166,8 +167,7 @@ def read_xml_returns(spark: SparkSession, path: str | list[str], *, as_of: str,
     schema = reading_schema(layout or learn_layout(spark, path, root_tag))
     files = (spark.read.format("xml").options(**READ_OPTIONS).option("rowTag", root_tag)
              .schema(schema).load(path))
-    rows = files.select("_metadata.file_path", "_metadata.file_name",
-                        F.col("_metadata.file_path").alias("source_path"),
+    rows = files.select(file_path(), file_name(), file_path().alias("source_path"),
                         *raw_columns(schema, F.lit(as_of).cast("date")),
                         parse_error())
     return rows.select((F.sha2("file_path", 256) if key is None else key).alias("declaration_id"), "*")

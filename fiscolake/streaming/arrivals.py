@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from fiscolake.functions.files import file_name, file_path
 from fiscolake.operators.embed import Embedder
 from fiscolake.operators.shred import json_returns
 from fiscolake.plans.documents import checked_tables
@@ -41,7 +42,7 @@ def stream_xml_returns(spark: SparkSession, path: str, layout: T.StructType, out
     schema = reading_schema(layout)
     files = (spark.readStream.format("xml").options(**READ_OPTIONS).option("rowTag", root_tag)
              .option("maxFilesPerTrigger", files_per_batch).schema(schema).load(path))
-    rows = files.select("_metadata.file_path", "_metadata.file_name",
+    rows = files.select(file_path(), file_name(),
                         *raw_columns(schema, F.lit(as_of).cast("date")),
                         parse_error())
     returns = rows.select((F.sha2("file_path", 256) if key is None else key).alias("declaration_id"), "*")
@@ -61,8 +62,8 @@ def stream_json_returns(spark: SparkSession, path: str, out: str, checkpoint: st
              .json(path))
     placed = files.select(
         *[c for c in files.columns if c not in ("file_path", "file_name")],
-        F.coalesce("file_path", F.col("_metadata.file_path")).alias("file_path"),
-        F.coalesce("file_name", F.col("_metadata.file_name")).alias("file_name"))
+        F.coalesce("file_path", file_path()).alias("file_path"),
+        F.coalesce("file_name", file_name()).alias("file_name"))
     returns = json_returns(placed, key)
 
     def load(batch: DataFrame, number: int) -> None:
@@ -78,7 +79,7 @@ def stream_texts(spark: SparkSession, path: str, collection: str, checkpoint: st
     the chunks it wrote before."""
     files = (spark.readStream.format("text").option("wholetext", True)
              .option("maxFilesPerTrigger", files_per_batch).load(path)
-             .select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text")))
+             .select(file_path().alias("doc_id"), F.col("value").alias("text")))
 
     def load(batch: DataFrame, number: int) -> None:
         upsert_chunks(collection_rows(batch, embedder), batch.select("doc_id"), collection)

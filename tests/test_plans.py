@@ -31,18 +31,21 @@ def test_knowledge_base(spark, tmp_path):
     kb, store, log = tmp_path / "kb", str(tmp_path / "col"), str(tmp_path / "log")
     assert build_knowledge_base(spark, str(kb), store, log)[1] is False
     now = time.time()
-    _put(kb / "a.txt", "prazo de entrega", now - 50)
+    _put(kb / "a ção+1 [x] 100%.txt", "prazo de entrega", now - 50)
     _put(kb / "sub" / "b.md", "bens e direitos", now - 50)
     _put(kb / "s.json", json.dumps([json.dumps({"url": "u", "text": "página raspada"}),
                                     json.dumps({"url": "v", "text": "outra página"})]), now - 50)
     collection, done = build_knowledge_base(spark, str(kb), store, log)
     assert done and _texts(collection) == ["bens e direitos", "outra página", "prazo de entrega", "página raspada"]
     assert build_knowledge_base(spark, str(kb), store, log)[1] is False
-    _put(kb / "a.txt", "prazo adiado", now)
+    _put(kb / "a ção+1 [x] 100%.txt", "prazo adiado", now)
     _put(kb / "s.json", json.dumps([json.dumps({"url": "u", "text": "página nova"})]), now)
+    collection, done = build_knowledge_base(spark, str(kb), store, log)
+    assert done and _texts(collection) == ["bens e direitos", "prazo adiado", "página nova"]
     (kb / "sub" / "b.md").rename(tmp_path / "b.md")
     collection, done = build_knowledge_base(spark, str(kb), store, log)
     assert done and _texts(collection) == ["prazo adiado", "página nova"]
+    assert build_knowledge_base(spark, str(kb), store, log)[1] is False
     assert build_knowledge_base(spark, str(kb), store, log, force=True)[1]
     assert _texts(read_collection(spark, store)) == ["prazo adiado", "página nova"]
     best = query_knowledge_base(spark, store, "qual o prazo?", k=1).first()
@@ -58,7 +61,7 @@ def test_process_documents(spark, tmp_path):
     src, log, out = tmp_path / "in", str(tmp_path / "log"), str(tmp_path / "out")
     assert process_documents(spark, str(src), log, out) is False
     now = time.time()
-    _put(src / "a.json", json.dumps(RETURN), now - 50)
+    _put(src / "a ç [1]+.json", json.dumps(RETURN), now - 50)
     assert process_documents(spark, str(src), log, out) is True
     assert read_stored(spark, out, "pagamentos_efetuados").count() == 1
     assert read_stored(spark, out, "rejects").first().rule == "length"
@@ -71,11 +74,12 @@ def test_process_documents(spark, tmp_path):
     _put(src / "b.json", json.dumps([{**RETURN, "pagamentos_efetuados": []}, {**RETURN, "summary": "dois"}]), now + 5)
     assert process_documents(spark, str(src), log, out) is True
     names = [r.file_name for r in read_stored(spark, out, "declarations").collect()]
-    assert sorted(names) == ["a.json", "b.json", "b.json"]
+    assert sorted(names) == ["a ç [1]+.json", "b.json", "b.json"]
     assert read_stored(spark, out, "pagamentos_efetuados").count() == 2
     # A removed file takes its rows along.
-    (src / "a.json").rename(tmp_path / "a.json")
+    (src / "a ç [1]+.json").rename(tmp_path / "a.json")
     assert process_documents(spark, str(src), log, out) is True
+    assert process_documents(spark, str(src), log, out) is False
     assert read_stored(spark, out, "declarations").count() == 2
     _put(src / "b.json", json.dumps({**RETURN, "pagamentos_efetuados": []}), now + 9)
     _put(src / "c.json", json.dumps(RETURN), now + 9)
@@ -151,7 +155,7 @@ def test_set_up(spark, tmp_path):
     assert (done.knowledge_updated, done.documents_processed) == (False, False) and len(done.declared) in (0, 6)
     assert {r.status for r in done.report.collect()} == {"empty"}
     _put(tmp_path / "in" / "a.json", json.dumps(RETURN))
-    _put(tmp_path / "kb" / "a.txt", "texto")
+    _put(tmp_path / "kb" / "a ção+1 [x] 100%.txt", "texto")
     done = set_up(spark, knowledge=str(tmp_path / "kb"), documents=str(tmp_path / "in"), store=str(tmp_path / "st"))
     assert done.knowledge_updated and done.documents_processed and done.declared == []
     assert spark.table("pagamentos_efetuados").where(F.col("codigo") == "10").count() == 1
