@@ -294,13 +294,16 @@ def return_to_json(spark: Spark, sf: str) -> DataFrame:
         cents = F.transform(F.col(f"r.{table}.{column}"), lambda v: (v.cast("decimal(14,2)") * 100).cast("long"))
         return F.aggregate(cents, F.lit(0).cast("long"), lambda a, v: a + v)
 
-    return back.select(
+    pages = back.select(
         "declaration_id", F.col("r.data_documento").alias("data_documento"),
         F.col("r.summary.text").alias("summary"),
         *[F.size(f"r.{n}").alias("n_" + n) for n in SCHEDULES],
         total("pagamentos_efetuados", "valor_pago").alias("paid_cents"),
         total("rendimentos_tributaveis_pj", "imposto_retido").alias("tax_cents"),
         F.size(F.filter("r.rendimentos_isentos", lambda x: x["nome_fonte_pagadora"].isNull())).alias("n_nameless"))
+    # A very large return has several documents, which together hold its lines.
+    own = ["declaration_id", "data_documento", "summary"]
+    return pages.groupBy(*own).agg(*[F.sum(c).alias(c) for c in pages.columns if c not in own])
 
 
 def typed_empty_schedule(spark: Spark, sf: str) -> DataFrame:
