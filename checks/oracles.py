@@ -321,6 +321,8 @@ ORACLES = {
     "stream_arrivals": _typed("pagamentos_efetuados"),
     "chunk_words": "WITH " + _word_chunks("documents") + " " + _CHUNK_VIEW,
     "chunk_sentences": "WITH RECURSIVE " + _SENTENCE_CHUNKS + " " + _CHUNK_VIEW,
+    "knowledge_base": "WITH RECURSIVE " + _SENTENCE_CHUNKS.replace(
+        "FROM documents", "FROM (SELECT item_id AS doc_id, text FROM benchmark)") + " " + _CHUNK_VIEW,
     "collection_upsert": f"""WITH kept AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN 'nova versão ' || text
             ELSE text END AS text FROM documents WHERE lang <> 'es'), {_word_chunks('kept')} {_CHUNK_VIEW}""",
     "bm25_topk": "WITH " + _BM25 + _top("SELECT * FROM bm"),
@@ -348,6 +350,10 @@ ORACLES = {
         b AS (SELECT url, html, CASE WHEN regexp_matches(m, '{_MAIN}') THEN regexp_extract(m, '{_MAIN}', 1) ELSE m END AS m FROM c)
         SELECT * FROM (SELECT url, {_HOST} AS host, {_TITLE} AS title, CAST(NULL AS VARCHAR) AS description,
         {_plain_text('m')} AS text FROM b) WHERE text <> ''""",
+    "scraped_json": f"""WITH c AS (SELECT url, html, {_code_free('html')} AS m FROM pages),
+        b AS (SELECT url, html, CASE WHEN regexp_matches(m, '{_MAIN}') THEN regexp_extract(m, '{_MAIN}', 1) ELSE m END AS m FROM c)
+        SELECT url, title, md5(text) AS text_md5 FROM (SELECT url, {_TITLE} AS title, {_plain_text('m')} AS text FROM b)
+        WHERE text <> ''""",
     "url_forms": f"""WITH p AS (SELECT url, {_ROOT} AS root, {_HOST} AS host, {_PATHLESS} AS pathless,
             regexp_extract({_PATHLESS}, '^.*/') AS folder, regexp_extract(url, '^[a-z]+:') AS scheme FROM pages),
         f AS (

@@ -16,7 +16,7 @@ from fiscolake.operators import crawl, incremental, retrieve, shred, validate
 from fiscolake.operators.chunk import chunk_sentences, chunk_words
 from fiscolake.operators.embed import embed
 from fiscolake.plans import analytics, catalog, documents
-from fiscolake.plans.knowledge import collection_rows
+from fiscolake.plans.knowledge import build_knowledge_base, collection_rows
 from fiscolake.plans.web import crawl_to_json
 from fiscolake.schemas import INCOME_TABLES, SCHEDULES, xml_line_schema
 from fiscolake.session import shared_path, written_table
@@ -542,6 +542,32 @@ def site_records(spark: Spark, sf: str) -> DataFrame:
     return spark.read.schema("url string, host string, title string, description string, text string").json(path)
 
 
+def scraped_json(spark: Spark, sf: str) -> DataFrame:
+    """Page records in files of the scraper's form, lists of JSON texts, read back."""
+    pages = _pages(spark, sf)
+    records = crawl.structured_pages(pages).select(
+        "url", F.to_json(F.struct("url", "title", "text")).alias("record"))
+    part = F.pmod(F.xxhash64("url"), F.lit(max(1, pages.count() // 100))).alias("part")
+    path = shared_path(spark, "scraped")
+    (records.groupBy(part).agg(F.to_json(F.collect_list("record")).alias("value"))
+     .repartition("part").write.partitionBy("part").text(path))
+    back = readers.read_scraped_json(spark, path, "url string, title string, text string", "*.txt")
+    return back.select("url", "title", F.md5("text").alias("text_md5"))
+
+
+def knowledge_base(spark: Spark, sf: str) -> DataFrame:
+    """A folder of text files to a stored collection; the second run finds
+    nothing to do."""
+    root = shared_path(spark, "knowledge")
+    (given(spark, sf, "benchmark").select("item_id", F.col("text").alias("value")).repartition("item_id")
+     .write.partitionBy("item_id").text(f"{root}/texts"))
+    for _ in range(2):
+        collection, _done = build_knowledge_base(spark, f"{root}/texts", f"{root}/collection", f"{root}/manifest",
+                                                 buckets=4)
+    item = F.regexp_extract("doc_id", "item_id=([0-9]+)", 1).cast("long")
+    return _chunk_view(collection.withColumn("doc_id", item))
+
+
 QUERIES = {
     "income_sources": income_sources,
     "income_sources_grouped": income_sources_grouped,
@@ -591,10 +617,12 @@ QUERIES = {
     "embed_hashed": embed_hashed,
     "kb_context": kb_context,
     "collection_upsert": collection_upsert,
+    "knowledge_base": knowledge_base,
     "page_links": page_links,
     "page_record": page_record,
     "page_main_text": page_main_text,
     "url_forms": url_forms,
     "page_reachable": page_reachable,
     "site_records": site_records,
+    "scraped_json": scraped_json,
 }

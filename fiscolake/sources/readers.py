@@ -88,15 +88,16 @@ def read_texts(spark: SparkSession, root: str | list[str],
                extensions: tuple[str, ...] = TEXT_EXTENSIONS) -> DataFrame:
     """Whole text files below ``root``, one row each."""
     pattern = "*{" + ",".join(extensions) + "}"
-    return (spark.read.option("wholetext", True).option("pathGlobFilter", pattern)
-            .option("recursiveFileLookup", True).text(root)
+    return (spark.read.option("pathGlobFilter", pattern)
+            .option("recursiveFileLookup", True).text(root, wholetext=True)
             .select(file_path().alias("path"), F.col("value").alias("text")))
 
 
-def read_scraped_json(spark: SparkSession, root: str | list[str], record_schema: str) -> DataFrame:
+def read_scraped_json(spark: SparkSession, root: str | list[str], record_schema: str,
+                      pattern: str = "*.json") -> DataFrame:
     """Scraped records, stored as an array of JSON texts: decoded twice."""
-    files = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.json")
-             .option("recursiveFileLookup", True).text(root)
+    files = (spark.read.option("pathGlobFilter", pattern)
+             .option("recursiveFileLookup", True).text(root, wholetext=True)
              .select(file_path().alias("path"), "value"))
     records = files.select("path", F.posexplode(F.from_json("value", "array<string>"))
                            .alias("record_no", "record"))

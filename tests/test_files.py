@@ -58,11 +58,19 @@ def test_json_lines_count_comes_from_the_write(spark, tmp_path):
 
 def test_scraped_json_is_decoded_twice(spark, tmp_path):
     records = [json.dumps({"url": "u1", "text": "é"}), json.dumps({"url": "u2", "text": "b", "z": 1})]
-    (tmp_path / "s.json").write_text(json.dumps(records), encoding="utf-8")
+    (tmp_path / "s.json").write_text(json.dumps(records, indent=2), encoding="utf-8")
     got = readers.read_scraped_json(spark, str(tmp_path), "url string, text string").collect()
     assert [(r.record_no, r.url, r.text) for r in got] == [(0, "u1", "é"), (1, "u2", "b")]
 
 
+def test_a_text_file_is_one_row(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.txt").write_text("um\ndois\r\n\ntrês", encoding="utf-8")
+    (tmp_path / "b.md").write_text("# b\n", encoding="utf-8")
+    (tmp_path / "c.bin").write_text("no")
+    assert sorted(r.text for r in readers.read_texts(spark, str(tmp_path)).collect()) == ["# b\n", "um\ndois\r\n\ntrês"]
+
+
 def _write(root, name, text="x", at=None):
     path = root / name
     path.parent.mkdir(parents=True, exist_ok=True)

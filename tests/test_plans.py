@@ -142,10 +142,10 @@ def test_json_stream_equals_batch(spark, tmp_path):
 def test_text_stream(spark, tmp_path):
     src, store, mark = tmp_path / "in", str(tmp_path / "col"), str(tmp_path / "mark")
     for i in range(3):
-        _put(src / f"{i}.txt", f"texto {i}")
+        _put(src / f"{i}.txt", f"texto {i}.\nOutra linha")
     for _ in range(2):
         arrivals.stream_texts(spark, str(src), store, mark, files_per_batch=2).awaitTermination()
-    assert _texts(read_collection(spark, store)) == [f"texto {i}" for i in range(3)]
+    assert _texts(read_collection(spark, store)) == [f"texto {i}. Outra linha" for i in range(3)]
 
 
 def test_set_up(spark, tmp_path):
