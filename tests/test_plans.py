@@ -10,6 +10,7 @@ from fiscolake.operators.shred import shred
 from fiscolake.plans.bootstrap import set_up
 from fiscolake.plans.documents import process_documents, read_stored
 from fiscolake.plans.knowledge import build_knowledge_base, query_knowledge_base
+from fiscolake.schemas import ALL_TABLES
 from fiscolake.sources.readers import read_collection, read_json_returns
 from fiscolake.sources.xml import learn_layout, read_xml_returns
 from fiscolake.streaming import arrivals
@@ -149,7 +150,7 @@ def test_text_stream(spark, tmp_path):
 
 
 def test_set_up(spark, tmp_path):
-    for name in ("rendimentos_tributaveis_pj", "rendimentos_exclusivos", "rendimentos_isentos"):
+    for name in ALL_TABLES:  # views other tests left
         spark.catalog.dropTempView(name)
     done = set_up(spark, knowledge=str(tmp_path / "kb"), documents=str(tmp_path / "in"), store=str(tmp_path / "st"))
     assert (done.knowledge_updated, done.documents_processed) == (False, False) and len(done.declared) in (0, 6)
