@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from fiscolake.llm import toxicity
+from fiscolake.llm import lines, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
+    "op10_line_dedup": lines.op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_line_dedup": lines.OP10_SQL,
+}
