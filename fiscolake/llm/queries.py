@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fiscolake.llm import lines, toxicity
+from fiscolake.llm import lines, minhash, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
+    "op9_minhash": minhash.op9_minhash,
     "op10_line_dedup": lines.op10_line_dedup,
 }
 
