@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as registered
+from checks import queries
 from checks.compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
@@ -14,13 +15,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(queries.QUERIES) <= set(registered.oracle_sql())
 
 
 def test_entry(spark):
     assert registered.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_matches_sql(spark, con, name):
     assert difference(spark, con, SF, registered.queries()[name], registered.oracle_sql()[name]) is None
