@@ -39,10 +39,11 @@ def words_of(line: Column) -> Column:
     return F.split(F.btrim(line, F.lit(" \t\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
 
 
-def rarity_ranks(docs: DataFrame) -> list[int]:
-    """For each class of words (a hash modulo 65,536) its place among the classes, rarest first.
+def rarity_ranks(docs: DataFrame) -> DataFrame:
+    """One row: key 0 and, for each class of words (a hash modulo 65,536), its place from 0 to 127 among the classes,
+    rarest first.
 
-    One number per class comes to the driver, whatever the size of the corpus."""
+    One number per class comes to the driver, whatever the size of the corpus, and 64 KB go back."""
     line_words = F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w")
     counts = (docs.select(line_words).select(F.pmod(F.xxhash64("w"), F.lit(CLASSES)).alias("c"))
               .groupBy("c").count().toPandas())
@@ -50,16 +51,15 @@ def rarity_ranks(docs: DataFrame) -> list[int]:
     found[counts["c"].to_numpy(int)] = counts["count"].to_numpy(int)
     ranks = np.empty(CLASSES, np.int64)
     ranks[np.argsort(found, kind="stable")] = np.arange(CLASSES)
-    return (ranks >> 1).tolist()  # 15 bits, so that a rank above 48 bits of hash is a positive long
+    places = (ranks * 128 // CLASSES).tolist()
+    return docs.sparkSession.createDataFrame([(0, places)], "zero long, ranks array<tinyint>")
 
 
-def packed_tokens(words: Column, ranks: list[int]) -> Column:
+def packed_tokens(words: Column) -> Column:
     """Different tokens of a line as sorted longs: rank first, then 48 bits of hash."""
-    table = F.from_json(F.lit(str(ranks)), "array<int>")
-
     def pack(w: Column) -> Column:
         h = F.xxhash64(w)
-        rank = F.get(table, F.pmod(h, F.lit(CLASSES)).cast("int")).cast("long")
+        rank = F.get("ranks", F.pmod(h, F.lit(CLASSES)).cast("int")).cast("long")
         return F.shiftleft(rank, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
     return F.sort_array(F.array_distinct(F.transform(words, pack)))
@@ -100,9 +100,13 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, min_words: int = M
         return (frame.select("doc_id", F.posexplode(split).alias("pos", "line"))
                 .filter(F.length("line") >= 2 * min_words - 1))
 
-    not_copied = first_lines(texts.filter("doc_id IS NOT NULL"),
-                             lambda i: F.col("copied").isNull() | ~F.array_contains("copied", i))
-    tokens = not_copied.select("doc_id", "pos", packed_tokens(words_of(F.col("line")), ranks).alias("t"))
+    # The table of ranks has one row; pmod(., 1) is the key all documents share with it. It is applied per document,
+    # as each row handed on carries it.
+    ranked = texts.filter("doc_id IS NOT NULL").join(F.broadcast(ranks), F.pmod("doc_id", F.lit(1)) == F.col("zero"))
+    long_line = lambda line: F.length(line) >= 2 * min_words - 1
+    per_line = F.transform(F.split(F.lower("text"), "\n"), lambda line, i: F.when(
+        long_line(line) & (F.col("copied").isNull() | ~F.array_contains("copied", i)), packed_tokens(words_of(line))))
+    tokens = ranked.select("doc_id", F.posexplode(per_line).alias("pos", "t"))
     n = F.size("t")
     parity = F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
@@ -113,8 +117,8 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, min_words: int = M
                 .withColumn("at", F.col("at") + 1))
     pairs = similar_pairs(postings, percent)
     # Words of the lines that are in a pair; their number per document is bounded by its lines.
-    ends = pairs.select(F.col("doc_a").alias("doc_id"), F.col("pos_a").alias("pos")).unionAll(
-        pairs.select(F.col("doc_b").alias("doc_id"), F.col("pos_b").alias("pos")))
+    ends = pairs.select(F.explode(F.array(*[F.struct(F.col(f"doc_{s}").alias("doc_id"), F.col(f"pos_{s}").alias("pos"))
+                                            for s in "ab"])).alias("end")).select("end.*")
     needed = ends.groupBy("doc_id").agg(F.collect_set("pos").alias("needed"))
     paired = (first_lines(texts.join(needed, "doc_id"), lambda i: F.array_contains("needed", i))
               .select("doc_id", "pos", F.array_distinct(words_of(F.col("line"))).alias("words")).dropDuplicates(["doc_id", "pos"]))
