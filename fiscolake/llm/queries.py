@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fiscolake.llm import lines, minhash, toxicity
+from fiscolake.llm import decontaminate, lines, minhash, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op9_minhash": minhash.op9_minhash,
     "op10_line_dedup": lines.op10_line_dedup,
 }
