@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from fiscolake.llm import decontaminate, lines, minhash, mixing, suffix_tree, toxicity
+from fiscolake.llm import decontaminate, lines, minhash, mixing, page_text, suffix_tree, toxicity, urls
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_mixing": mixing.op5_mixing,
     "op6_suffix_tree": suffix_tree.op6_suffix_tree,
+    "op7_page_text": page_text.op7_page_text,
+    "op8_url_filter": urls.op8_url_filter,
     "op9_minhash": minhash.op9_minhash,
     "op10_line_dedup": lines.op10_line_dedup,
 }
