@@ -212,7 +212,7 @@ def train(pages: list[tuple[list[Block], list[int]]], *, steps: int = 150, rate:
     return Field(dict(zip(names, w.tolist())), follow)
 
 
-def labelled_pages(count: int = 240, seed: int = 5) -> list[tuple[list[Block], list[int]]]:
+def labelled_pages(count: int = 320, seed: int = 5) -> list[tuple[list[Block], list[int]]]:
     """Pages of many layouts; main text is wrapped in a mark that is taken off again to give the labels."""
     draw = random.Random(seed)
     syllables = "ka lo mi ter an so ve ri du ne pal os in ger tu".split()
@@ -223,8 +223,19 @@ def labelled_pages(count: int = 240, seed: int = 5) -> list[tuple[list[Block], l
     def sentence(low: int = 4, high: int = 25) -> str:
         return words(low, high).capitalize() + (", " + words(2, 8) if draw.random() < 0.5 else "") + draw.choice("....?!")
 
+    def noisy(text: str) -> str:
+        """Text as it comes: without a full stop, in capitals, with signs at the words, as a row of a table."""
+        kind = draw.random()
+        if kind < 0.12:
+            return text.rstrip(".?!,")
+        if kind < 0.2:
+            return " ".join(w + draw.choice(("&amp;", "***", "$$$", "%%%", "###")) for w in text.split())
+        if kind < 0.26:
+            return text.upper().replace(" ", "!! ")
+        return text.replace(" ", " | ") if kind < 0.3 else f"&copy; {text}" if kind < 0.32 else text
+
     def main(inner: str) -> str:
-        return f"\x01{inner}"
+        return f"\x01{noisy(inner)}"
 
     def paragraphs(n: int) -> str:
         out = []
@@ -255,7 +266,8 @@ def labelled_pages(count: int = 240, seed: int = 5) -> list[tuple[list[Block], l
         menu = draw.choice((f"<nav>{links(draw.randint(3, 8))}</nav>", box("menu nav navigation breadcrumb", links(5))))
         head = some(0.6, draw.choice((f"<header><h1>{words(1, 3)}</h1><p>{sentence(3, 9)}</p></header>",
                                       box("header masthead topbar", f"<p>{sentence(3, 9)}</p>"))))
-        advert = box("ad ads advert advertisement banner sponsor promo", draw.choice((sentence(3, 20), f"<p>{sentence()}</p>")))
+        advert = box("ad ads advert advertisement banner sponsor promo", noisy(draw.choice((
+            sentence(3, 20), f"<p>{sentence()}</p>", " ".join(sentence() for _ in range(draw.randint(2, 5)))))))
         notice = some(0.4, box("notice cookie consent alert gdpr", f"<p>{sentence(8, 20)}</p><button>{words(1, 2)}</button>"))
         side = some(0.5, draw.choice((f"<aside><h3>{words(1, 3)}</h3>{links(4)}<p>{sentence()}</p></aside>",
                                       box("sidebar related widget recommended", f"<h3>{words(1, 3)}</h3><p>{sentence()}</p>" + links(3)))))
@@ -265,7 +277,8 @@ def labelled_pages(count: int = 240, seed: int = 5) -> list[tuple[list[Block], l
         foot = draw.choice((f"<footer>&copy; {words(1, 2)}. {sentence(3, 12)}</footer>",
                             box("footer copyright legal", f"<p>&copy; {sentence(3, 12)}</p>" + links(3))))
         title = words(2, 9).capitalize()
-        body = f"<h1>{main(title)}</h1>" + paragraphs(draw.randint(1, 6)) + some(0.3, advert) + paragraphs(draw.randint(0, 8))
+        body = f"<h1>{main(title)}</h1>" + paragraphs(draw.randint(1, 6)) + some(0.3, advert)
+        body += paragraphs(draw.choice((0, 0, 2, 5, 8)))
         body += some(0.25, box("share social tags", links(3)))
         inside = some(0.15, comments)
         kind = draw.random()

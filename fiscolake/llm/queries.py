@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from fiscolake.llm import decontaminate, lines, minhash, mixing, page_text, suffix_tree, toxicity, urls
+from fiscolake.llm import decontaminate, lengths, lines, maxscore, minhash, mixing, page_text, suffix_tree, toxicity, urls
 
 QUERIES = {
+    "op1_length_histogram": lengths.op1_length_histogram,
+    "op2_maxscore": maxscore.op2_maxscore,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_mixing": mixing.op5_mixing,
@@ -16,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_maxscore": maxscore.OP2_SQL,
     "op10_line_dedup": lines.OP10_SQL,
 }

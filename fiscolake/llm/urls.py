@@ -3,7 +3,7 @@
 DataFrame and ML functions only. The host stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased; the path up to ``?``, ``#`` or the end. A rule (host, path prefix, verdict) fits its host and all
 subdomains of it if the path begins with its own; the longest fitting rule decides. Other urls are judged by the
-regression, trained on ``LABELLED``: block if the probability is above one half.
+regression, trained on a small labelled table of urls: block if the probability is above one half.
 
 Rows: a null url, or one without ``://``, has an empty host and path; no rule fits it and it has no n-grams, so the
 intercept decides (allow). Long urls are read whole, repeated rows judged alike, extra columns never read.
@@ -25,35 +25,31 @@ from fiscolake.llm.common import given, lower_ascii
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
-#: A small labelled table: urls to block, and urls to allow.
+#: A small labelled table of host names: to block, and to allow. ``labelled_urls`` gives each the same subdomains, domains
+#: and paths, so that only the names tell them apart.
 BLOCKED = """
-http://casino-royal.example.org/en/1 http://www.casino-slots.example.net/de/win http://best-casino.example.org/bonus
-http://casino-win.example.net/en/77 http://online-casino.example.org/es/3 http://poker-bets.example.org/fr/free
-http://free-bets.example.org/en/10 http://free-bets.example.net/de/44.html http://sports-bets.example.org/odds
-http://bet-now.example.net/live http://betting-tips.example.org/en/2 http://jackpot-slots.example.org/spin
-http://cheap-pills.example.org/en/5 http://www.cheap-pills.example.net/de/9 http://pills-online.example.org/buy
-http://buy-viagra.example.net/cheap http://pharmacy-cheap.example.org/pills http://diet-pills.example.org/offer
-http://adult-x.example.org/en/3 http://www.adult-x.example.net/de/12 http://adult-cams.example.org/live
-http://xxx-videos.example.net/hot http://free-porn.example.org/xxx http://hot-singles.example.org/adult
-http://sex-chat.example.net/free http://escort-girls.example.org/en http://payday-loans.example.org/apply
-http://fast-loans.example.net/cash http://quick-cash.example.org/loans http://crypto-doubler.example.org/win
-http://lottery-win.example.net/prize http://free-gift-cards.example.org/claim http://torrent-warez.example.org/crack
-http://keygen-crack.example.net/download http://replica-watches.example.org/cheap http://get-rich.example.org/win
+casino-win casino-royal online-casino casino-slots poker-casino jackpot-casino free-bets sports-bets betting-tips bet-now
+free-spins free-slots cheap-pills diet-pills pills-online cheap-viagra cheap-pharmacy adult-x adult-cams adult-videos
+xxx-videos xxx-adult free-porn hot-singles sex-chat spam-farm spam-links link-farm click-farm payday-loans fast-loans
+quick-cash lottery-win jackpot-win win-prizes free-prizes torrent-warez warez-crack crack-keygen replica-watches
+cheap-replica get-rich free-money crypto-win pills-cheap casino-bets
 """.split()
 ALLOWED = """
-http://news.example.org/en/1 http://www.daily-news.example.net/de/44 http://blog.garden.example.org/en/10
-http://m.weather.example.org/en/2.html http://museum.example.org/exhibits http://www.library.example.net/en/books
-http://university.example.org/de/studies http://blog.thering.example.org/en/825 http://m.tionble.example.net/de/25
-http://cooking.example.org/en/recipes http://travel.example.net/en/guides http://www.science.example.org/en/41
-http://history.example.org/de/12 http://docs.example.net/en/manual http://forum.example.org/en/topic/5
-http://shop.example.org/en/books http://school.example.net/de/plan http://city-council.example.org/en/minutes
-http://health.example.org/en/advice http://sports.example.net/en/results http://music.example.org/en/albums
-http://www.chess-club.example.org/en/3 http://railway.example.net/de/timetable http://m.cinema.example.org/en/films
-http://open-data.example.org/en/sets http://wiki.example.net/en/page http://blog.theory.example.org/de/9
-http://hiking-trails.example.org/en/7 http://farm.example.net/en/crops http://www.theatre.example.org/de/1
-http://thonan.example.org/en/6 http://erther.example.net/de/3 http://www.inthe.example.org/en/99
-http://blog.ontion.example.net/en/50 http://m.haened.example.org/de/61 http://andre.example.net/en/70
+news daily-news garden-blog weather museum library university cooking travel science history docs forum book-shop school
+city-council health sports music chess-club railway cinema open-data wiki hiking-trails farm-life theatre garden theory
+earth north-river old-town winter-light green-field thonan erther inthe ontion haened andre ththat therst tionble ththly
+nderen tionsh thering ththwh ththes therre ththon thersh ththti erandes inghat ontheth reandon thanhe edoner
 """.split()
+
+
+def labelled_urls(names: Sequence[str]) -> list[str]:
+    """Urls of host names, with subdomains, domains and paths in turn."""
+    before, domains, paths = ("", "www.", "m.", "blog."), ("org", "net", "com"), ("en", "de", "es", "fr")
+    after = ("/17", "/204/", "/3.html", "/88?page=2", "/6#top", "")
+    return [f"http://{before[(i + k) % 4]}{name}.example.{domains[(i + k) % 3]}/{paths[(i // 2 + k) % 4]}{after[(i + k) % 6]}"
+            for i, name in enumerate(names) for k in range(4)]
+
+
 FEATURES = 1 << 13
 SIZES = (3, 4, 5)
 
@@ -96,11 +92,13 @@ def hashed(frame: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(grams)
 
 
-def train(spark: SparkSession, blocked: Sequence[str] = tuple(BLOCKED),
-          allowed: Sequence[str] = tuple(ALLOWED)) -> LogisticRegressionModel:
+def train(spark: SparkSession, blocked: Sequence[str] | None = None,
+          allowed: Sequence[str] | None = None) -> LogisticRegressionModel:
+    blocked = labelled_urls(BLOCKED) if blocked is None else blocked
+    allowed = labelled_urls(ALLOWED) if allowed is None else allowed
     rows = [(u, 1.0) for u in blocked] + [(u, 0.0) for u in allowed]
     table = hashed(with_parts(spark.createDataFrame(rows, "url string, label double").coalesce(1)))
-    return LogisticRegression(regParam=0.01, maxIter=50, standardization=False).fit(table)
+    return LogisticRegression(regParam=0.001, maxIter=50, standardization=False).fit(table)
 
 
 def judged(pages: DataFrame, model: LogisticRegressionModel, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
