@@ -1,6 +1,6 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame operations only.
 
-A line is what stands between line feeds. Its tokens are its lower-cased words. A line is removed if an earlier
+A line is what stands between line feeds. Its tokens are its words, which blanks, tabs and carriage returns part. A line is removed if an earlier
 line, in the order of (doc_id, position), has the same text or a Jaccard similarity of token sets of at least
 ``percent`` / 100. It does not matter whether that earlier line was itself removed. Lines of fewer than
 ``min_words`` different words (blank lines, headings, list marks) always stay.
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscolake.llm.common import given
+from fiscolake.session import written_table
 
 CLASSES = 65_536
 PERCENT = 80
@@ -34,9 +35,14 @@ MIN_WORDS = 5
 HASH_BITS = 48
 
 
+def plain(text: Column) -> Column:
+    """The text with blanks for tabs and carriage returns, so that one character parts all words."""
+    return F.replace(F.replace(text, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+
+
 def words_of(line: Column) -> Column:
-    """Words of a lower-cased line; a blank line gives one empty word."""
-    return F.split(F.btrim(line, F.lit(" \t\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+    """Words of a plain line; runs of blanks leave empty words among them."""
+    return F.split(line, " ")
 
 
 def rarity_ranks(docs: DataFrame) -> DataFrame:
@@ -44,9 +50,8 @@ def rarity_ranks(docs: DataFrame) -> DataFrame:
     rarest first.
 
     One number per class comes to the driver, whatever the size of the corpus, and 64 KB go back."""
-    line_words = F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w")
-    counts = (docs.select(line_words).select(F.pmod(F.xxhash64("w"), F.lit(CLASSES)).alias("c"))
-              .groupBy("c").count().toPandas())
+    words = docs.select(F.explode(F.split(F.replace(plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = (words.select(F.xxhash64("w").bitwiseAND(F.lit(CLASSES - 1)).alias("c")).groupBy("c").count().toPandas())
     found = np.zeros(CLASSES, np.int64)
     found[counts["c"].to_numpy(int)] = counts["count"].to_numpy(int)
     ranks = np.empty(CLASSES, np.int64)
@@ -57,12 +62,13 @@ def rarity_ranks(docs: DataFrame) -> DataFrame:
 
 def packed_tokens(words: Column) -> Column:
     """Different tokens of a line as sorted longs: rank first, then 48 bits of hash."""
-    def pack(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.get("ranks", F.pmod(h, F.lit(CLASSES)).cast("int")).cast("long")
-        return F.shiftleft(rank, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    def pack(h: Column) -> Column:
+        rank = F.get("ranks", h.bitwiseAND(F.lit(CLASSES - 1)).cast("int")).cast("long")
+        return F.shiftleft(rank, HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
 
-    return F.sort_array(F.array_distinct(F.transform(words, pack)))
+    # Hashing in a step of its own: an expression used twice in a lambda is computed twice.
+    hashes = F.array_remove(F.transform(words, lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    return F.sort_array(F.array_distinct(F.transform(hashes, pack)))
 
 
 def similar_pairs(postings: DataFrame, percent: int) -> DataFrame:
@@ -80,33 +86,26 @@ def similar_pairs(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, *, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, text and ``removed``, the positions (from 0) that go."""
-    docs = docs.select("doc_id", "text")
+    """(doc_id, removed): the positions (from 0) that go, for every document that loses any."""
+    docs = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
     ranks = rarity_ranks(docs)
-    lines = (docs.filter("doc_id IS NOT NULL")
-             .select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line")))
-    # Fewer characters than that cannot hold so many different words.
-    lines = lines.filter(F.length("line") >= 2 * min_words - 1).select(
+    per_line = F.split(plain(F.col("text")), "\n")
+    # Fewer bytes than that cannot hold so many words.
+    long_enough = lambda line: F.octet_length(line) >= 2 * min_words - 1
+    lines = docs.select("doc_id", F.posexplode(per_line).alias("pos", "line")).filter(long_enough(F.col("line"))).select(
         "doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     firsts = (lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("k"))
               .filter("k > 1").select("h1", "h2", F.col("f.doc_id").alias("first_doc"), F.col("f.pos").alias("first_pos")))
     copies = (lines.join(firsts, ["h1", "h2"])
               .filter((F.col("doc_id") != F.col("first_doc")) | (F.col("pos") != F.col("first_pos"))))
-    copied = copies.groupBy("doc_id").agg(F.collect_set("pos").alias("copied"))
+    copied = written_table(copies.groupBy("doc_id").agg(F.collect_set("pos").alias("copied")), "copied")
     texts = docs.join(copied, "doc_id", "left")
-
-    def first_lines(frame: DataFrame, wanted: Column) -> DataFrame:
-        split = F.transform(F.split(F.lower("text"), "\n"), lambda line, i: F.when(wanted(i), line))
-        return (frame.select("doc_id", F.posexplode(split).alias("pos", "line"))
-                .filter(F.length("line") >= 2 * min_words - 1))
-
     # The table of ranks has one row; pmod(., 1) is the key all documents share with it. It is applied per document,
     # as each row handed on carries it.
-    ranked = texts.filter("doc_id IS NOT NULL").join(F.broadcast(ranks), F.pmod("doc_id", F.lit(1)) == F.col("zero"))
-    long_line = lambda line: F.length(line) >= 2 * min_words - 1
-    per_line = F.transform(F.split(F.lower("text"), "\n"), lambda line, i: F.when(
-        long_line(line) & (F.col("copied").isNull() | ~F.array_contains("copied", i)), packed_tokens(words_of(line))))
-    tokens = ranked.select("doc_id", F.posexplode(per_line).alias("pos", "t"))
+    ranked = texts.join(F.broadcast(ranks), F.pmod("doc_id", F.lit(1)) == F.col("zero"))
+    firsts_only = F.transform(per_line, lambda line, i: F.when(
+        long_enough(line) & (F.col("copied").isNull() | ~F.array_contains("copied", i)), packed_tokens(words_of(line))))
+    tokens = ranked.select("doc_id", F.posexplode(firsts_only).alias("pos", "t"))
     n = F.size("t")
     parity = F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
@@ -120,8 +119,11 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, min_words: int = M
     ends = pairs.select(F.explode(F.array(*[F.struct(F.col(f"doc_{s}").alias("doc_id"), F.col(f"pos_{s}").alias("pos"))
                                             for s in "ab"])).alias("end")).select("end.*")
     needed = ends.groupBy("doc_id").agg(F.collect_set("pos").alias("needed"))
-    paired = (first_lines(texts.join(needed, "doc_id"), lambda i: F.array_contains("needed", i))
-              .select("doc_id", "pos", F.array_distinct(words_of(F.col("line"))).alias("words")).dropDuplicates(["doc_id", "pos"]))
+    needed_lines = F.transform(per_line, lambda line, i: F.when(F.array_contains("needed", i), line))
+    paired = (docs.join(needed, "doc_id").select("doc_id", F.posexplode(needed_lines).alias("pos", "line"))
+              .filter("line IS NOT NULL")
+              .select("doc_id", "pos", F.array_remove(F.array_distinct(words_of(F.col("line"))), "").alias("words"))
+              .dropDuplicates(["doc_id", "pos"]))
     a, b = (paired.select(F.col("doc_id").alias(f"doc_{s}"), F.col("pos").alias(f"pos_{s}"),
                           F.col("words").alias(f"words_{s}")) for s in "ab")
     shared = F.size(F.array_intersect("words_a", "words_b"))
@@ -129,9 +131,9 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, min_words: int = M
             .filter(shared * (100 + percent) >= (F.size("words_a") + F.size("words_b")) * percent)
             .groupBy(F.col("doc_b").alias("doc_id")).agg(F.collect_set("pos_b").alias("near")))
     # A line that goes takes its copies with it, which are gone already.
-    return texts.join(near, "doc_id", "left").select(
-        "doc_id", "text", F.array_sort(F.array_union(F.coalesce("copied", F.array().cast("array<int>")),
-                                                     F.coalesce("near", F.array().cast("array<int>")))).alias("removed"))
+    none = F.array().cast("array<int>")
+    return copied.join(near, "doc_id", "full").select("doc_id", F.array_sort(
+        F.array_union(F.coalesce("copied", none), F.coalesce("near", none))).alias("removed"))
 
 
 def kept_text(text: Column, removed: Column) -> Column:
@@ -139,22 +141,24 @@ def kept_text(text: Column, removed: Column) -> Column:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document its lines, how many go, which, and the length of what stays."""
-    found = removed_lines(given(spark, sf_dir, "documents")).withColumnRenamed("removed", "gone")
-    return found.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"),
-                        F.size("gone").alias("n_removed"), F.array_join("gone", ",").alias("removed"),
-                        F.coalesce(F.length(kept_text(F.col("text"), F.col("gone"))), F.lit(0)).alias("n_chars_kept"))
+    """Per document its lines, how many go, and which."""
+    docs = given(spark, sf_dir, "documents")
+    gone = removed_lines(docs).select(F.col("doc_id").alias("id"), F.col("removed").alias("gone"))
+    counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    return counted.join(gone, F.col("doc_id") == F.col("id"), "left").select(
+        "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
 
 
 OP10_SQL = r"""
 WITH line AS (
-    SELECT doc_id, n_lines, i AS pos, lower(l[i + 1]) AS line, l[i + 1] AS raw
+    SELECT doc_id, n_lines, i AS pos, replace(replace(l[i + 1], chr(9), ' '), chr(13), ' ') AS line
     FROM (SELECT doc_id, l, len(l) AS n_lines, unnest(range(len(l))) AS i
           FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) x),
 numbered AS (
-    SELECT *, min((doc_id, pos)) OVER (PARTITION BY line) AS f FROM line WHERE length(line) >= 9),
+    SELECT *, min((doc_id, pos)) OVER (PARTITION BY line) AS f FROM line WHERE strlen(line) >= 9),
 firsts AS (
-    SELECT doc_id, pos, list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
+    SELECT doc_id, pos, list_distinct(regexp_extract_all(line, '[^ ]+')) AS w
     FROM numbered WHERE f = (doc_id, pos)),
 token AS (SELECT doc_id, pos, len(w) AS n, unnest(w) AS t FROM firsts WHERE len(w) >= 5),
 often AS (SELECT t, count(*) AS c FROM token GROUP BY t),
@@ -172,8 +176,7 @@ gone AS (
     SELECT db, pb FROM pair JOIN firsts a ON a.doc_id = da AND a.pos = pa JOIN firsts b ON b.doc_id = db AND b.pos = pb
     WHERE len(list_intersect(a.w, b.w)) * 180 >= (len(a.w) + len(b.w)) * 80)
 SELECT doc_id, CAST(any_value(n_lines) AS INTEGER) AS n_lines, CAST(count(g.pos) AS INTEGER) AS n_removed,
-    coalesce(string_agg(CAST(g.pos AS VARCHAR), ',' ORDER BY g.pos), '') AS removed,
-    CAST(greatest(sum(CASE WHEN g.pos IS NULL THEN length(raw) + 1 ELSE 0 END) - 1, 0) AS INTEGER) AS n_chars_kept
+    coalesce(string_agg(CAST(g.pos AS VARCHAR), ',' ORDER BY g.pos), '') AS removed
 FROM line LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id
 """
 
@@ -181,10 +184,10 @@ FROM line LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their later lines, ``n_chars`` counted anew. A document that loses every line goes; one that
     had no text stays."""
+    gone = written_table(removed_lines(docs), "removed")
     keys = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = removed_lines(docs).filter("size(removed) > 0").select(
-        F.col("doc_id").alias("__id"), F.col("removed").alias("__removed")).dropDuplicates(["__id"])
-    joined = docs.join(found, F.col("doc_id") == F.col("__id"), "left")
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("removed").alias("__removed"))
+    joined = docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
     text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col("__removed")))
     out = joined.filter(F.col("__removed").isNull() | (F.size("__removed") < F.size(F.split("text", "\n"))))
     columns = {c: F.col(c) for c in keys} | {"text": text, "n_chars": F.length(text).cast("long")}
