@@ -4,13 +4,14 @@ A document's set holds its different shingles of ``words`` words (A-Z lower-case
 a whole. Two documents are linked if their sets have a Jaccard similarity of ``percent`` / 100 or more.
 
 1. One pass over the texts gives each document the number of shingles, a 128-bit print of the whole set, 25 bands of 5
-   minima each, and one byte of each of the 125 minima as its signature. A pair at a similarity of 0.85 (0.8) misses
+   minima each, and four bits of each of 256 minima as its signature. A pair at a similarity of 0.85 (0.8) misses
    all bands with probability 4e-7 (5e-5 for 25 bands; ``bands`` is a parameter, the near-duplicate stage takes 40).
 2. Documents with equal sets fold into the smallest doc_id, however many they are; only that one goes on.
 3. In each bucket of a band the member with most meetings is the centre, and every member is paired with it: one
    row per member, never all pairs. Pairs pass the filter of lengths and of signatures, and are confirmed on the full sets.
 4. Buckets whose members the first components do not join yet give the pairs across them, so that no link is
-   lost where the centre was the wrong one; these pass the same tests. Pairs within a component would change nothing.
+   lost where the centre was the wrong one; these pass the same tests, lengths and signatures within the join itself.
+   Pairs within a component would change nothing.
 5. Components by alternating stars.
 
 Rows: null or empty texts and texts of white space have no shingles and are linked with nothing; the same holds for
@@ -34,7 +35,10 @@ from fiscolake.llm.components import components
 from fiscolake.session import written_table
 
 ROWS_PER_BAND = 5
-#: A pair at the threshold shows fewer equal signature bytes than this many standard deviations below it with
+#: Minima of a signature, and bits kept of each. Their number is a multiple of 16, so that they fill whole longs.
+HASHES, BITS = 256, 4
+LONGS = HASHES * BITS // 64
+#: Signatures of a pair at the threshold differ by more than this many standard deviations above the mean with
 #: probability 1e-6.
 DEVIATIONS = 4.75
 BLOCK = 4096
@@ -71,7 +75,7 @@ def minima(hashes: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.nd
 def family(bands: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and shifts of the hash functions, the same in every run."""
     draw = np.random.Generator(np.random.PCG64(20240607))
-    n = bands * ROWS_PER_BAND
+    n = max(HASHES, bands * ROWS_PER_BAND)
     factors = draw.integers(0, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1)
     return factors, draw.integers(0, 2**63, n, np.uint64)
 
@@ -92,14 +96,16 @@ def signatures(docs: DataFrame, words: int, bands: int) -> DataFrame:
                 high, low = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
                 keys = [np.int64(np.uint64(xxhash.xxh64_intdigest(least[i * ROWS_PER_BAND:(i + 1) * ROWS_PER_BAND]
                                                                   .tobytes(), seed=i)).astype(np.int64)) for i in range(bands)]
-                rows.append((len(h), high, low, keys, (least >> np.uint64(56)).astype(np.uint8).tobytes()))
+                bits = (least[:HASHES] >> np.uint64(64 - BITS)).reshape(LONGS, -1)
+                packed = (bits << (np.arange(bits.shape[1], dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64)
+                rows.append((len(h), high, low, keys, packed.view(np.int64)))
             out = pd.DataFrame(rows, columns=["n_shingles", "print_a", "print_b", "keys", "signature"])
             out["print_a"], out["print_b"] = out["print_a"].astype("Int64"), out["print_b"].astype("Int64")
             out.insert(0, "doc_id", b["doc_id"].astype("Int64"))
             yield out
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        measure, "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>, signature binary")
+        measure, "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>, signature array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -110,29 +116,25 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", hashes("text").alias("set"))
 
 
-def _agreeing(percent: int, bands: int):
-    """A test of two signatures: could sets this alike reach the threshold?"""
-    n, t = bands * ROWS_PER_BAND, percent / 100
-    least = n * t - DEVIATIONS * (n * t * (1 - t)) ** 0.5
+def _hopeful(percent: int):
+    """A test of columns n_shingles_a, signature_a and the like: could sets of these lengths and signatures reach the
+    threshold? Minima that differ differ in half of their bits."""
+    miss = 1 - percent / 100
+    mean = HASHES * miss * BITS / 2
+    spread = (HASHES * miss * (1 - miss) * (BITS / 2) ** 2 + HASHES * miss * BITS / 4) ** 0.5
+    close = F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent
+    apart = sum((F.bit_count(F.get("signature_a", F.lit(i)).bitwiseXOR(F.get("signature_b", F.lit(i))))
+                 for i in range(LONGS)), F.lit(0))
+    return close & (apart <= mean + DEVIATIONS * spread)
 
-    @F.pandas_udf("boolean")
-    def agree(a: pd.Series, b: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
-        return pd.Series((x == np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1)).sum(axis=1) >= least)
 
-    return agree
+def _side(frame: DataFrame, s: str) -> DataFrame:
+    return frame.select(*[F.col(c).alias(s if c == "doc_id" else f"{c}_{s}") for c in frame.columns])
 
 
-def _confirmed(pairs: DataFrame, marks: DataFrame, sets: DataFrame, percent: int, bands: int) -> DataFrame:
-    """Pairs (a, b) whose lengths, signatures and full sets reach the threshold."""
-    def side(frame: DataFrame, s: str) -> DataFrame:
-        return frame.select(*[F.col(c).alias(s if c == "doc_id" else f"{c}_{s}") for c in frame.columns])
-
-    marks = marks.select("doc_id", "n_shingles", "signature")
-    close = (F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent)
-    hopeful = (pairs.join(side(marks, "a"), "a").join(side(marks, "b"), "b").filter(close)
-               .filter(_agreeing(percent, bands)("signature_a", "signature_b")).select("a", "b").distinct())
-    both = hopeful.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the threshold."""
+    both = pairs.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     total = F.size("set_a") + F.size("set_b")
     return both.filter(shared * (100 + percent) >= total * percent).select("a", "b")
@@ -157,20 +159,23 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, percent: int = 85, bands
             .select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct())
     wanted = docs.join(weight.select("doc_id"), "doc_id", "left_semi")
     sets = written_table(_sets(wanted, words), "sets")
-    firsts = firsts.join(weight.select("doc_id"), "doc_id", "left_semi")
-    links = written_table(_confirmed(star, firsts, sets, percent, bands), "links")
+    told = written_table(firsts.join(weight.select("doc_id"), "doc_id", "left_semi")
+                         .select("doc_id", "n_shingles", "signature"), "told")
+    star = star.join(_side(told, "a"), "a").join(_side(told, "b"), "b").filter(_hopeful(percent)).select("a", "b")
+    star = written_table(star, "star")
+    links = written_table(_confirmed(star, sets, percent), "links")
     joined = components(links)
     # Buckets that hold several components: only pairs across them can still matter.
     named = (met.select("key", "doc_id").join(joined, F.col("doc_id") == F.col("node"), "left")
              .select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     split = (named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .filter("low < high").select("key"))
-    named = named.join(split, "key")
-    across = (named.select("key", F.col("doc_id").alias("a"), F.col("component").alias("of_a"))
-              .join(named.select("key", F.col("doc_id").alias("b"), F.col("component").alias("of_b")), "key")
-              .filter("a < b AND of_a <> of_b").select("a", "b").distinct()
-              .join(star, ["a", "b"], "left_anti"))
-    more = written_table(_confirmed(across, firsts, sets, percent, bands), "links")
+    named = written_table(named.join(split, "key").join(told, "doc_id"), "split")
+    left, right = (_side(named, s).withColumnRenamed(f"key_{s}", "key") for s in "ab")
+    across = (left.join(right.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b"))
+                        & (F.col("component_a") != F.col("component_b")) & _hopeful(percent))
+              .select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
+    more = written_table(_confirmed(across, sets, percent), "links")
     joined = components(links.unionAll(more).select("a", "b"))
     named = folded.join(joined, F.col("first") == F.col("node"), "left").select(
         "print_a", "print_b", F.coalesce("component", "first").alias("component"))
