@@ -85,6 +85,24 @@ def similar_pairs(postings: DataFrame, percent: int) -> DataFrame:
             .select("doc_a", "pos_a", "doc_b", "pos_b").distinct())
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(doc_b, pos_b) of the pairs whose words reach the threshold. A document's needed lines are bounded by its lines."""
+    ends = pairs.select(F.explode(F.array(*[F.struct(F.col(f"doc_{s}").alias("doc_id"), F.col(f"pos_{s}").alias("pos"))
+                                            for s in "ab"])).alias("end")).select("end.*")
+    needed = ends.groupBy("doc_id").agg(F.collect_set("pos").alias("needed"))
+    lines = F.transform(F.split(plain(F.col("text")), "\n"), lambda line, i: F.when(F.array_contains("needed", i), line))
+    words = (docs.join(needed, "doc_id").select("doc_id", F.posexplode(lines).alias("pos", "line"))
+             .filter("line IS NOT NULL")
+             .select("doc_id", "pos", F.array_remove(F.array_distinct(words_of(F.col("line"))), "").alias("words"))
+             .dropDuplicates(["doc_id", "pos"]))
+    a, b = (words.select(F.col("doc_id").alias(f"doc_{s}"), F.col("pos").alias(f"pos_{s}"),
+                         F.col("words").alias(f"words_{s}")) for s in "ab")
+    shared = F.size(F.array_intersect("words_a", "words_b"))
+    return (pairs.join(a, ["doc_a", "pos_a"]).join(b, ["doc_b", "pos_b"])
+            .filter(shared * (100 + percent) >= (F.size("words_a") + F.size("words_b")) * percent)
+            .select("doc_b", "pos_b").distinct())
+
+
 def removed_lines(docs: DataFrame, *, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, removed): the positions (from 0) that go, for every document that loses any."""
     docs = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
@@ -100,9 +118,9 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, min_words: int = M
               .filter((F.col("doc_id") != F.col("first_doc")) | (F.col("pos") != F.col("first_pos"))))
     copied = written_table(copies.groupBy("doc_id").agg(F.collect_set("pos").alias("copied")), "copied")
     texts = docs.join(copied, "doc_id", "left")
-    # The table of ranks has one row; pmod(., 1) is the key all documents share with it. It is applied per document,
-    # as each row handed on carries it.
-    ranked = texts.join(F.broadcast(ranks), F.pmod("doc_id", F.lit(1)) == F.col("zero"))
+    # The table of ranks has one row, and all documents share its key. It is applied per document, as each row handed
+    # on carries it. The key is never null, so that no filter for it parts this use of the texts from the later one.
+    ranked = texts.join(F.broadcast(ranks), F.hash("doc_id").bitwiseAND(F.lit(0)).cast("long") == F.col("zero"))
     firsts_only = F.transform(per_line, lambda line, i: F.when(
         long_enough(line) & (F.col("copied").isNull() | ~F.array_contains("copied", i)), packed_tokens(words_of(line))))
     tokens = ranked.select("doc_id", F.posexplode(firsts_only).alias("pos", "t"))
@@ -114,22 +132,14 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, min_words: int = M
                 .select(F.col("doc_id").alias("doc"), "pos", n.alias("n"), parity.alias("map"),
                         F.posexplode(prefix).alias("at", "token"))
                 .withColumn("at", F.col("at") + 1))
-    pairs = similar_pairs(postings, percent)
-    # Words of the lines that are in a pair; their number per document is bounded by its lines.
-    ends = pairs.select(F.explode(F.array(*[F.struct(F.col(f"doc_{s}").alias("doc_id"), F.col(f"pos_{s}").alias("pos"))
-                                            for s in "ab"])).alias("end")).select("end.*")
-    needed = ends.groupBy("doc_id").agg(F.collect_set("pos").alias("needed"))
-    needed_lines = F.transform(per_line, lambda line, i: F.when(F.array_contains("needed", i), line))
-    paired = (docs.join(needed, "doc_id").select("doc_id", F.posexplode(needed_lines).alias("pos", "line"))
-              .filter("line IS NOT NULL")
-              .select("doc_id", "pos", F.array_remove(F.array_distinct(words_of(F.col("line"))), "").alias("words"))
-              .dropDuplicates(["doc_id", "pos"]))
-    a, b = (paired.select(F.col("doc_id").alias(f"doc_{s}"), F.col("pos").alias(f"pos_{s}"),
-                          F.col("words").alias(f"words_{s}")) for s in "ab")
-    shared = F.size(F.array_intersect("words_a", "words_b"))
-    near = (pairs.join(a, ["doc_a", "pos_a"]).join(b, ["doc_b", "pos_b"])
-            .filter(shared * (100 + percent) >= (F.size("words_a") + F.size("words_b")) * percent)
-            .groupBy(F.col("doc_b").alias("doc_id")).agg(F.collect_set("pos_b").alias("near")))
+    pairs = written_table(similar_pairs(postings, percent), "pairs")
+    # One earlier match is enough: each line is first held against the earliest of its candidates, and only lines
+    # that this does not settle against all others.
+    first = pairs.groupBy("doc_b", "pos_b").agg(F.min(F.struct("doc_a", "pos_a")).alias("a")).select("a.*", "doc_b", "pos_b")
+    settled = written_table(_verified(docs, first, percent), "settled")
+    others = pairs.join(settled, ["doc_b", "pos_b"], "left_anti")
+    near = (settled.unionAll(_verified(docs, others, percent)).groupBy(F.col("doc_b").alias("doc_id"))
+            .agg(F.collect_set("pos_b").alias("near")))
     # A line that goes takes its copies with it, which are gone already.
     none = F.array().cast("array<int>")
     return copied.join(near, "doc_id", "full").select("doc_id", F.array_sort(
