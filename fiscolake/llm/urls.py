@@ -38,7 +38,7 @@ ALLOWED = """
 news daily-news garden-blog weather museum library university cooking travel science history docs forum book-shop school
 city-council health sports music chess-club railway cinema open-data wiki hiking-trails farm-life theatre garden theory
 earth north-river old-town winter-light green-field thonan erther inthe ontion haened andre ththat therst tionble ththly
-nderen tionsh thering ththwh ththes therre ththon thersh ththti erandes inghat ontheth reandon thanhe edoner
+history-books city-news open-library river-trails school-music old-maps free-library art-prints home-cooking nderen tionsh thering ththwh ththes therre ththon thersh ththti erandes inghat ontheth reandon thanhe edoner
 """.split()
 
 
