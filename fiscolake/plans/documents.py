@@ -69,14 +69,16 @@ def process_documents(spark: SparkSession, folder: str, manifest: str, out: str,
     if changed.isEmpty():
         rows = {n: read_stored(spark, out, n, key_type).where(F.lit(False)) for n in STORED}
     else:
-        paths = paths_to_read(changed, folder)
+        paths = paths_to_read(changed)
         if source == "xml":
             read = read_xml_returns(spark, paths, as_of=as_of, key=key)
         else:
             read = read_json_returns(spark, paths, key=key, multi_line=multi_line)
-        # Where the whole folder is read, this keeps the changed files.
-        returns = written_table(read.join(touched, "source_path", "left_semi"), "returns")
+        returns = written_table(read, "returns")
         rows = _stored_rows(returns, source, strict)
+        silent = written_table(_without_return(changed, returns, rows["origin"]), "silent")
+        rows["rejects"] = rows["rejects"].unionByName(_unread(silent))
+        rows["origin"] = rows["origin"].unionByName(silent)
     stale = rows["origin"].select("declaration_id")
     if path_exists(spark, f"{out}/origin"):
         before = read_stored(spark, out, "origin", key_type).join(touched, "source_path", "left_semi")
@@ -97,6 +99,20 @@ def _stored_rows(returns: DataFrame, source: str, strict: bool) -> dict[str, Dat
     return {**tables, "rejects": rejects, "origin": returns.select("declaration_id", "source_path")}
 
 
+def _without_return(changed: DataFrame, returns: DataFrame, origin: DataFrame) -> DataFrame:
+    """Origin rows, under a digest of the path, of files that gave no return: empty ones, and those of another root."""
+    lost = changed.select(F.col("path").alias("source_path")).join(returns.select("source_path"), "source_path", "left_anti")
+    kind = origin.schema["declaration_id"].dataType
+    digest = F.sha2("source_path", 256) if kind == T.StringType() else F.xxhash64("source_path").cast(kind)
+    return lost.select(digest.alias("declaration_id"), "source_path")
+
+
+def _unread(files: DataFrame) -> DataFrame:
+    """Rejects for files without a return, by their origin rows."""
+    return files.select("declaration_id", F.lit(DECLARATIONS).alias("table_name"), F.lit("file_path").alias("column_name"),
+                        F.lit("readable").alias("rule"), F.col("source_path").alias("raw_value"))
+
+
 def read_stored(spark: SparkSession, out: str, table: str, key_type: T.DataType | None = None) -> DataFrame:
     """A stored table of ``process_documents``, typed also while it is empty.
     ``key_type`` is the type of a key of the caller's own."""

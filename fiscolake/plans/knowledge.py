@@ -57,7 +57,7 @@ def build_knowledge_base(spark: SparkSession, root: str, collection: str, manife
         docs = spark.createDataFrame([], "doc_id string, path string, text string")
     else:
         # Where the whole folder is read, the join keeps the changed files.
-        docs = (folder_documents(spark, paths_to_read(changed, root))
+        docs = (folder_documents(spark, paths_to_read(changed))
                 .join(changed.select("path"), "path", "left_semi"))
     rows = collection_rows(docs.select("doc_id", "text"), embedder, size, overlap)
     stored = read_collection(spark, collection).select("doc_id").distinct()

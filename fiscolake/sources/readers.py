@@ -36,31 +36,27 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     system.delete(named, True)
 
 
-MAX_LISTED = 10_000
-
-
-def paths_to_read(changed: DataFrame, root: str) -> str | list[str]:
-    """The changed files one by one while they are few, else the folder, to be
-    narrowed down by a join on the path."""
-    few = [r.path for r in changed.select("path").limit(MAX_LISTED + 1).collect()]
-    if len(few) > MAX_LISTED:
-        return root
-    return [re.sub(r"([\\*?\[\]{}])", r"\\\1", path) for path in few]  # names, no patterns
+def paths_to_read(changed: DataFrame) -> list[str]:
+    """The changed files one by one, however many: the driver holds their names as it does for any scan it plans."""
+    return [re.sub(r"([\\*?\[\]{}])", r"\\\1", r.path)  # names, no patterns
+            for r in changed.select("path").toLocalIterator()]
 
 
 def read_json_returns(spark: SparkSession, path: str | list[str], *, key: Column | None = None,
                       multi_line: bool = True) -> DataFrame:
     """Nested returns from JSON files. A record's own ``file_path`` and
     ``file_name``, those of the document it was extracted from, come before the
-    JSON file's; ``source_path`` is the JSON file."""
+    JSON file's; ``source_path`` is the JSON file. Folders are read with all below
+    them. Under the default key a record repeated in a file comes out once."""
     rows = (spark.read.schema(json_schema()).option("multiLine", multi_line)
-            .option("mode", "PERMISSIVE").json(path))
+            .option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(path))
     placed = rows.select(
         *[c for c in rows.columns if c not in ("file_path", "file_name")],
         file_path().alias("source_path"),
         F.coalesce("file_path", file_path()).alias("file_path"),
         F.coalesce("file_name", file_name()).alias("file_name"))
-    return json_returns(placed, key)
+    returns = json_returns(placed, key)
+    return returns.dropDuplicates(["declaration_id"]) if key is None else returns
 
 
 def read_extracted_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:

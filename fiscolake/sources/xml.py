@@ -28,7 +28,7 @@ Path = tuple[str, ...]
 def learn_layout(spark: SparkSession, path: str | list[str], root_tag: str = ROOT_TAG) -> T.StructType:
     """Tag tree of the files, by one distributed pass over all of them."""
     return (spark.read.format("xml").options(**READ_OPTIONS).option("rowTag", root_tag)
-            .load(path).schema)
+            .option("recursiveFileLookup", True).load(path).schema)
 
 
 def _element(t: T.DataType) -> T.DataType:
@@ -161,16 +161,24 @@ def read_xml_returns(spark: SparkSession, path: str | list[str], *, as_of: str,
     """One row per return: key, file, date, summary, six arrays of raw lines.
 
     ``key`` may use ``file_path`` and ``cpf``; by default it is a digest of the
-    path, for files of one return. ``as_of`` (a date) stands in for a missing document date. Unreadable
+    path and the return, and a return repeated in a file comes out once. ``as_of`` (a date) stands in for a missing document date. Unreadable
     files come out with ``parse_error`` set and no lines.
     """
     schema = reading_schema(layout or learn_layout(spark, path, root_tag))
     files = (spark.read.format("xml").options(**READ_OPTIONS).option("rowTag", root_tag)
-             .schema(schema).load(path))
+             .option("recursiveFileLookup", True).schema(schema).load(path))
     rows = files.select(file_path(), file_name(), file_path().alias("source_path"),
                         *raw_columns(schema, F.lit(as_of).cast("date")),
                         parse_error())
-    return rows.select((F.sha2("file_path", 256) if key is None else key).alias("declaration_id"), "*")
+    returns = keyed(rows, key)
+    return returns.dropDuplicates(["declaration_id"]) if key is None else returns
+
+
+def keyed(rows: DataFrame, key: Column | None) -> DataFrame:
+    """Rows under the caller's key, or a digest of the path and the return."""
+    content = F.xxhash64(*[c for c in rows.columns if c not in ("file_path", "file_name", "source_path")]).cast("string")
+    own = F.sha2(F.concat_ws("#", "file_path", content), 256)
+    return rows.select((own if key is None else key).alias("declaration_id"), "*")
 
 
 def parse_xml_column(df: DataFrame, text: str, *, as_of: str, layout: T.StructType) -> DataFrame:

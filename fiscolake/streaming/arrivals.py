@@ -22,7 +22,7 @@ from fiscolake.plans.knowledge import collection_rows
 from fiscolake.schemas import json_schema
 from fiscolake.session import written_table
 from fiscolake.sources.writers import upsert_chunks
-from fiscolake.sources.xml import READ_OPTIONS, ROOT_TAG, parse_error, raw_columns, reading_schema
+from fiscolake.sources.xml import READ_OPTIONS, ROOT_TAG, keyed, parse_error, raw_columns, reading_schema
 
 
 def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -35,6 +35,11 @@ def _write_batch(tables: dict[str, DataFrame], out: str, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch}")
 
 
+def _once(batch: DataFrame, key: Column | None) -> DataFrame:
+    """Under the default key a return repeated in a file counts once; a file is never split over batches."""
+    return batch.dropDuplicates(["declaration_id"]) if key is None else batch
+
+
 def stream_xml_returns(spark: SparkSession, path: str, layout: T.StructType, out: str, checkpoint: str, *,
                        as_of: str, key: Column | None = None, root_tag: str = ROOT_TAG,
                        files_per_batch: int = 1000) -> StreamingQuery:
@@ -45,10 +50,10 @@ def stream_xml_returns(spark: SparkSession, path: str, layout: T.StructType, out
     rows = files.select(file_path(), file_name(),
                         *raw_columns(schema, F.lit(as_of).cast("date")),
                         parse_error())
-    returns = rows.select((F.sha2("file_path", 256) if key is None else key).alias("declaration_id"), "*")
+    returns = keyed(rows, key)
 
     def load(batch: DataFrame, number: int) -> None:
-        kept = written_table(batch, "batch")
+        kept = written_table(_once(batch, key), "batch")
         tables, rejects = checked_tables(kept.where("parse_error IS NULL"), "xml")
         _write_batch({**tables, "rejects": rejects}, out, number)
 
@@ -67,7 +72,7 @@ def stream_json_returns(spark: SparkSession, path: str, out: str, checkpoint: st
     returns = json_returns(placed, key)
 
     def load(batch: DataFrame, number: int) -> None:
-        tables, rejects = checked_tables(written_table(batch, "batch"), "json")
+        tables, rejects = checked_tables(written_table(_once(batch, key), "batch"), "json")
         _write_batch({**tables, "rejects": rejects}, out, number)
 
     return _run(returns, load, checkpoint)

@@ -160,3 +160,23 @@ def test_set_up(spark, tmp_path):
     done = set_up(spark, knowledge=str(tmp_path / "kb"), documents=str(tmp_path / "in"), store=str(tmp_path / "st"))
     assert done.knowledge_updated and done.documents_processed and done.declared == []
     assert spark.table("pagamentos_efetuados").where(F.col("codigo") == "10").count() == 1
+
+
+def test_load_loses_and_doubles_nothing(spark, tmp_path):
+    """Sub-folders, several returns per file under the default key, a repeated return, a file of another root, one without any element."""
+    src = tmp_path / "in" / "below"
+    src.mkdir(parents=True)
+    one = ('<declaracao><identificadorDeclaracao cpf="{0}" nome="N{0}"/><pagamentos><item codigo="1" valorPago="1,00"/>'
+           "</pagamentos></declaracao>")
+    (src / "two.xml").write_text("<all>" + one.format("11111111111") + one.format("22222222222") + one.format("11111111111") + "</all>")
+    (src.parent / "one.xml").write_text(one.format("33333333333"))
+    (src / "other.xml").write_text("<other><x/></other>")
+    (src / "bare.xml").write_text("<!-- nothing -->")
+    out = str(tmp_path / "out")
+    from fiscolake.plans.documents import process_documents, read_stored
+    assert process_documents(spark, str(tmp_path / "in"), str(tmp_path / "manifest"), out, source="xml", as_of="2025-05-31")
+    assert read_stored(spark, out, "declarations").count() == 3
+    assert read_stored(spark, out, "declarations").select("declaration_id").distinct().count() == 3
+    unread = read_stored(spark, out, "rejects").where("rule = 'readable'").collect()
+    assert sorted(r.raw_value.rsplit("/", 1)[1] for r in unread) == ["bare.xml", "other.xml"]
+    assert not process_documents(spark, str(tmp_path / "in"), str(tmp_path / "manifest"), out, source="xml", as_of="2025-05-31")
