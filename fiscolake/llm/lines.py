@@ -10,10 +10,12 @@ line, in the order of (doc_id, position), has the same text or a Jaccard similar
 2. Tokens are ordered by rarity: a table of 65,536 word classes with their counts over the whole corpus gives each
    token its rank. The table has that size whatever the input. Any total order makes the join exact; rarity only
    makes it cheap.
-3. Each line yields its prefix, the n - ceil(n * t) + 1 rarest tokens, each with its place, the number of tokens
-   and a 64-bit parity map of the set. Lines that share a prefix token meet, and go on if lengths, places and
-   parity maps leave the threshold possible. No pair that reaches it is lost.
-4. Pairs that are left fetch their words and are verified.
+3. Each line has its prefix, the n - ceil(n * t) + 1 rarest tokens, the number of tokens and a 64-bit parity map of the
+   set. Lines are first held against one line only, the earliest that shares two neighbours of the prefix. So nearly
+   all of a group of near copies is settled without forming its pairs.
+4. Lines that this does not settle meet all earlier lines that share a prefix token, settled or not, and go on if
+   lengths, places and parity maps leave the threshold possible. No line with a partner that reaches it is lost.
+5. Pairs that are left fetch their words and are verified.
 
 Rows: rows without ``doc_id`` or text take no part and keep their lines. Repeated rows of one ``doc_id`` share the
 positions, so their equal lines stand or fall together. Ties do not arise, as positions differ. An empty table gives
@@ -33,6 +35,10 @@ CLASSES = 65_536
 PERCENT = 80
 MIN_WORDS = 5
 HASH_BITS = 48
+#: Pairs of neighbours in the prefix by which a line looks for an earlier one before the join. Any number gives the same rows.
+CENTRE_KEYS = 3
+#: Documents and line numbers (some 16 bytes each) that may go to every task; beyond that, texts are shuffled to them.
+BROADCAST_ENTRIES = 500_000
 
 
 def plain(text: Column) -> Column:
@@ -71,28 +77,56 @@ def packed_tokens(words: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(hashes, pack)))
 
 
-def similar_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (doc_a, pos_a) before (doc_b, pos_b) that may reach the threshold."""
-    a = postings.select(*[F.col(c).alias(f"{c}_a") for c in postings.columns])
-    b = postings.select(*[F.col(c).alias(f"{c}_b") for c in postings.columns])
+def _alike(percent: int) -> Column:
+    """Do lengths and parity maps of columns n_a, map_a and n_b, map_b leave the threshold possible?"""
     n = F.col("n_a") + F.col("n_b")
-    first = (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("pos_a") < F.col("pos_b")))
     length = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return length & ((n - F.bit_count(F.col("map_a").bitwiseXOR(F.col("map_b")))) * (100 + percent) >= n * (2 * percent))
+
+
+def _before() -> Column:
+    return (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("pos_a") < F.col("pos_b")))
+
+
+def _side(frame: DataFrame, s: str) -> DataFrame:
+    return frame.select(*[F.col(c).alias(f"{c}_{s}") for c in frame.columns])
+
+
+def central_pairs(own: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each line with the earliest of those that share two neighbours of its prefix: one row per line and key,
+    however many lines share the key."""
+    head = F.slice("prefix", 1, CENTRE_KEYS + 1)
+    keys = F.transform(F.slice(head, F.lit(1), F.size(head) - 1), lambda x, i: F.xxhash64(x, F.get(head, i + 1)))
+    keyed = own.select("doc", "pos", "n", "map", F.explode_outer(keys).alias("key")).filter("key IS NOT NULL")
+    centres = (keyed.groupBy("key").agg(F.min(F.struct("doc", "pos", "n", "map")).alias("c"), F.count("*").alias("k"))
+               .filter("k > 1").select("key", *[F.col(f"c.{c}").alias(f"{c}_a") for c in ("doc", "pos", "n", "map")]))
+    return (_side(keyed, "b").withColumnRenamed("key_b", "key").join(centres, "key").filter(_before() & _alike(percent))
+            .select("doc_a", "pos_a", "doc_b", "pos_b").distinct())
+
+
+def similar_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs (doc_a, pos_a) before (doc_b, pos_b) that may reach the threshold, without those whose later line is settled."""
+    n = F.col("n_a") + F.col("n_b")
     # At the first token two lines share, what follows is all they can share beside it.
     place = (1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))) * (100 + percent) >= n * percent
-    parity = ((n - F.bit_count(F.col("map_a").bitwiseXOR(F.col("map_b")))) * (100 + percent) >= n * (2 * percent))
-    return (a.join(b, (F.col("token_a") == F.col("token_b")) & first & length & place & parity)
+    a, b = _side(postings.drop("settled"), "a"), _side(postings.filter("NOT settled").drop("settled"), "b")
+    return (a.join(b, (F.col("token_a") == F.col("token_b")) & _before() & place & _alike(percent))
             .select("doc_a", "pos_a", "doc_b", "pos_b").distinct())
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(doc_b, pos_b) of the pairs whose words reach the threshold. A document's needed lines are bounded by its lines."""
-    ends = pairs.select(F.explode(F.array(*[F.struct(F.col(f"doc_{s}").alias("doc_id"), F.col(f"pos_{s}").alias("pos"))
-                                            for s in "ab"])).alias("end")).select("end.*")
-    needed = ends.groupBy("doc_id").agg(F.collect_set("pos").alias("needed"))
+    """(doc, pos) of the later lines of the pairs whose words reach the threshold.
+
+    The lines to fetch go to every task while they are few, which is counted first; beyond that, texts are shuffled to
+    them. A document's needed lines are bounded by its lines."""
+    ends = pairs.select(F.explode_outer(F.array(*[F.struct(F.col(f"doc_{s}").alias("doc_id"), F.col(f"pos_{s}").alias("pos"))
+                                                  for s in "ab"])).alias("end")).select("end.*")
+    needed = written_table(ends.groupBy("doc_id").agg(F.collect_set("pos").alias("needed")), "needed")
+    size = needed.agg(F.count("*") + F.coalesce(F.sum(F.size("needed")), F.lit(0))).first()[0]
+    small = size <= BROADCAST_ENTRIES
     lines = F.transform(F.split(plain(F.col("text")), "\n"), lambda line, i: F.when(F.array_contains("needed", i), line))
-    words = (docs.join(needed, "doc_id").select("doc_id", F.posexplode(lines).alias("pos", "line"))
-             .filter("line IS NOT NULL")
+    words = (docs.join(F.broadcast(needed) if small else needed, "doc_id")
+             .select("doc_id", F.posexplode_outer(lines).alias("pos", "line")).filter("line IS NOT NULL")
              .select("doc_id", "pos", F.array_remove(F.array_distinct(words_of(F.col("line"))), "").alias("words"))
              .dropDuplicates(["doc_id", "pos"]))
     a, b = (words.select(F.col("doc_id").alias(f"doc_{s}"), F.col("pos").alias(f"pos_{s}"),
@@ -100,50 +134,51 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     shared = F.size(F.array_intersect("words_a", "words_b"))
     return (pairs.join(a, ["doc_a", "pos_a"]).join(b, ["doc_b", "pos_b"])
             .filter(shared * (100 + percent) >= (F.size("words_a") + F.size("words_b")) * percent)
-            .select("doc_b", "pos_b").distinct())
+            .select(F.col("doc_b").alias("doc"), F.col("pos_b").alias("pos")).distinct())
 
 
-def removed_lines(docs: DataFrame, *, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, removed): the positions (from 0) that go, for every document that loses any."""
-    docs = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    ranks = rarity_ranks(docs)
-    per_line = F.split(plain(F.col("text")), "\n")
-    # Fewer bytes than that cannot hold so many words.
-    long_enough = lambda line: F.octet_length(line) >= 2 * min_words - 1
-    lines = docs.select("doc_id", F.posexplode(per_line).alias("pos", "line")).filter(long_enough(F.col("line"))).select(
-        "doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    firsts = (lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("k"))
-              .filter("k > 1").select("h1", "h2", F.col("f.doc_id").alias("first_doc"), F.col("f.pos").alias("first_pos")))
-    copies = (lines.join(firsts, ["h1", "h2"])
-              .filter((F.col("doc_id") != F.col("first_doc")) | (F.col("pos") != F.col("first_pos"))))
-    copied = written_table(copies.groupBy("doc_id").agg(F.collect_set("pos").alias("copied")), "copied")
-    texts = docs.join(copied, "doc_id", "left")
+def line_table(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
+    """One row per line long enough for ``min_words`` words: doc, pos, two hashes of the line, n, map and, from ``min_words``
+    different words on, the prefix. The texts are not shuffled for it."""
     # The table of ranks has one row, and all documents share its key. It is applied per document, as each row handed
-    # on carries it. The key is never null, so that no filter for it parts this use of the texts from the later one.
-    ranked = texts.join(F.broadcast(ranks), F.hash("doc_id").bitwiseAND(F.lit(0)).cast("long") == F.col("zero"))
-    firsts_only = F.transform(per_line, lambda line, i: F.when(
-        long_enough(line) & (F.col("copied").isNull() | ~F.array_contains("copied", i)), packed_tokens(words_of(line))))
-    tokens = ranked.select("doc_id", F.posexplode(firsts_only).alias("pos", "t"))
+    # on carries it.
+    ranked = docs.join(F.broadcast(rarity_ranks(docs)),
+                       F.hash("doc_id").bitwiseAND(F.lit(0)).cast("long") == F.col("zero"))
+    # Fewer bytes than that cannot hold so many words.
+    read = F.transform(F.split(plain(F.col("text")), "\n"), lambda line: F.when(
+        F.octet_length(line) >= 2 * min_words - 1,
+        F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"),
+                 packed_tokens(words_of(line)).alias("t"))))
+    lines = (ranked.select(F.col("doc_id").alias("doc"), F.posexplode_outer(read).alias("pos", "l")).filter("l IS NOT NULL")
+             .select("doc", "pos", "l.*"))
     n = F.size("t")
     parity = F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.slice("t", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
-    postings = (tokens.filter(n >= min_words)
-                .select(F.col("doc_id").alias("doc"), "pos", n.alias("n"), parity.alias("map"),
-                        F.posexplode(prefix).alias("at", "token"))
+    return lines.select("doc", "pos", "h1", "h2", n.alias("n"), parity.alias("map"),
+                        F.when(n >= min_words, prefix).alias("prefix"))
+
+
+def removed_lines(docs: DataFrame, *, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, removed): the positions (from 0) that go, for every document that loses any."""
+    docs = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
+    lines = written_table(line_table(docs, percent, min_words), "lines")
+    firsts = (lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("f"), F.count("*").alias("k"))
+              .filter("k > 1").select("h1", "h2", F.col("f.doc").alias("first_doc"), F.col("f.pos").alias("first_pos")))
+    copies = (lines.join(firsts, ["h1", "h2"])
+              .filter((F.col("doc") != F.col("first_doc")) | (F.col("pos") != F.col("first_pos"))))
+    copied = written_table(copies.select("doc", "pos").distinct(), "copied")
+    own = written_table(lines.filter("prefix IS NOT NULL").select("doc", "pos", "n", "map", "prefix")
+                        .join(copied, ["doc", "pos"], "left_anti"), "own")
+    central = written_table(_verified(docs, written_table(central_pairs(own, percent), "central"), percent), "settled")
+    flagged = own.join(central.withColumn("found", F.lit(True)), ["doc", "pos"], "left")
+    postings = (flagged.select("doc", "pos", "n", "map", F.col("found").isNotNull().alias("settled"),
+                               F.posexplode_outer("prefix").alias("at", "token"))
                 .withColumn("at", F.col("at") + 1))
     pairs = written_table(similar_pairs(postings, percent), "pairs")
-    # One earlier match is enough: each line is first held against the earliest of its candidates, and only lines
-    # that this does not settle against all others.
-    first = pairs.groupBy("doc_b", "pos_b").agg(F.min(F.struct("doc_a", "pos_a")).alias("a")).select("a.*", "doc_b", "pos_b")
-    settled = written_table(_verified(docs, first, percent), "settled")
-    others = pairs.join(settled, ["doc_b", "pos_b"], "left_anti")
-    near = (settled.unionAll(_verified(docs, others, percent)).groupBy(F.col("doc_b").alias("doc_id"))
-            .agg(F.collect_set("pos_b").alias("near")))
     # A line that goes takes its copies with it, which are gone already.
-    none = F.array().cast("array<int>")
-    return copied.join(near, "doc_id", "full").select("doc_id", F.array_sort(
-        F.array_union(F.coalesce("copied", none), F.coalesce("near", none))).alias("removed"))
+    gone = copied.unionAll(central).unionAll(_verified(docs, pairs, percent))
+    return gone.groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
 def kept_text(text: Column, removed: Column) -> Column:
