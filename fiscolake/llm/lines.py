@@ -11,7 +11,7 @@ line, in the order of (doc_id, position), has the same text or a Jaccard similar
    token its rank. The table has that size whatever the input. Any total order makes the join exact; rarity only
    makes it cheap.
 3. Each line has its prefix, the n - ceil(n * t) + 1 rarest tokens, the number of tokens and a 64-bit parity map of the
-   set. Lines are first held against one line only, the earliest that shares two neighbours of the prefix. So nearly
+   set. Lines are first held against a fixed number of early lines that share two neighbours of the prefix. So nearly
    all of a group of near copies is settled without forming its pairs.
 4. Lines that this does not settle meet all earlier lines that share a prefix token, settled or not, and go on if
    lengths, places and parity maps leave the threshold possible. No line with a partner that reaches it is lost.
@@ -36,7 +36,9 @@ PERCENT = 80
 MIN_WORDS = 5
 HASH_BITS = 48
 #: Pairs of neighbours in the prefix by which a line looks for an earlier one before the join. Any number gives the same rows.
-CENTRE_KEYS = 3
+CENTRE_KEYS = 4
+#: Earlier lines per such pair that it is held against.
+CENTRES = 8
 #: Documents and line numbers (some 16 bytes each) that may go to every task; beyond that, texts are shuffled to them.
 BROADCAST_ENTRIES = 500_000
 
@@ -93,13 +95,19 @@ def _side(frame: DataFrame, s: str) -> DataFrame:
 
 
 def central_pairs(own: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each line with the earliest of those that share two neighbours of its prefix: one row per line and key,
-    however many lines share the key."""
-    head = F.slice("prefix", 1, CENTRE_KEYS + 1)
-    keys = F.transform(F.slice(head, F.lit(1), F.size(head) - 1), lambda x, i: F.xxhash64(x, F.get(head, i + 1)))
+    """Pairs of each line with early lines that share two neighbours of its prefix: at most ``CENTRES`` per line and key,
+    however many lines share the key. Lines of a key fall into that many parts, each of which gives its earliest."""
+    pairs = F.transform(F.slice("prefix", F.lit(1), F.size("prefix") - 1),
+                        lambda x, i: F.xxhash64(x, F.get("prefix", i + 1)))
+    # The least hashes, as tokens that only one copy has come first in the prefix.
+    keys = F.slice(F.array_sort(pairs), 1, CENTRE_KEYS)
     keyed = own.select("doc", "pos", "n", "map", F.explode_outer(keys).alias("key")).filter("key IS NOT NULL")
-    centres = (keyed.groupBy("key").agg(F.min(F.struct("doc", "pos", "n", "map")).alias("c"), F.count("*").alias("k"))
-               .filter("k > 1").select("key", *[F.col(f"c.{c}").alias(f"{c}_a") for c in ("doc", "pos", "n", "map")]))
+    part = F.pmod(F.xxhash64("doc", "pos"), F.lit(CENTRES))
+    earliest = (keyed.groupBy("key", part.alias("part"))
+                .agg(F.min(F.struct("doc", "pos", "n", "map")).alias("c"), F.count("*").alias("k")))
+    centres = (earliest.groupBy("key").agg(F.collect_list("c").alias("cs"), F.sum("k").alias("k")).filter("k > 1")
+               .select("key", F.explode_outer("cs").alias("c"))
+               .select("key", *[F.col(f"c.{c}").alias(f"{c}_a") for c in ("doc", "pos", "n", "map")]))
     return (_side(keyed, "b").withColumnRenamed("key_b", "key").join(centres, "key").filter(_before() & _alike(percent))
             .select("doc_a", "pos_a", "doc_b", "pos_b").distinct())
 
