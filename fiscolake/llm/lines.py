@@ -36,7 +36,7 @@ PERCENT = 80
 MIN_WORDS = 5
 HASH_BITS = 48
 #: Pairs of neighbours in the prefix by which a line looks for an earlier one before the join. Any number gives the same rows.
-CENTRE_KEYS = 4
+CENTRE_KEYS = 2
 #: Earlier lines per such pair that it is held against.
 CENTRES = 8
 #: Documents and line numbers (some 16 bytes each) that may go to every task; beyond that, texts are shuffled to them.
@@ -117,8 +117,10 @@ def similar_pairs(postings: DataFrame, percent: int) -> DataFrame:
     n = F.col("n_a") + F.col("n_b")
     # At the first token two lines share, what follows is all they can share beside it.
     place = (1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))) * (100 + percent) >= n * percent
-    a, b = _side(postings.drop("settled"), "a"), _side(postings.filter("NOT settled").drop("settled"), "b")
-    return (a.join(b, (F.col("token_a") == F.col("token_b")) & _before() & place & _alike(percent))
+    a, b = _side(postings, "a"), _side(postings, "b")
+    # That b is open, told by both sides: a filter of one side would part the shuffle that they share.
+    unsettled = F.col("open_b") * 2 > F.col("open_a")
+    return (a.join(b, (F.col("token_a") == F.col("token_b")) & unsettled & _before() & place & _alike(percent))
             .select("doc_a", "pos_a", "doc_b", "pos_b").distinct())
 
 
@@ -180,7 +182,7 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, min_words: int = M
                         .join(copied, ["doc", "pos"], "left_anti"), "own")
     central = written_table(_verified(docs, written_table(central_pairs(own, percent), "central"), percent), "settled")
     flagged = own.join(central.withColumn("found", F.lit(True)), ["doc", "pos"], "left")
-    postings = (flagged.select("doc", "pos", "n", "map", F.col("found").isNotNull().alias("settled"),
+    postings = (flagged.select("doc", "pos", "n", "map", F.col("found").isNull().cast("int").alias("open"),
                                F.posexplode_outer("prefix").alias("at", "token"))
                 .withColumn("at", F.col("at") + 1))
     pairs = written_table(similar_pairs(postings, percent), "pairs")
