@@ -15,7 +15,8 @@ line, in the order of (doc_id, position), has the same text or a Jaccard similar
    all of a group of near copies is settled without forming its pairs.
 4. Lines that this does not settle meet all earlier lines that share a prefix token, settled or not, and go on if
    lengths, places and parity maps leave the threshold possible. No line with a partner that reaches it is lost.
-5. Pairs that are left fetch their words and are verified.
+5. Pairs that are left compare their whole prefixes; those that may still reach the threshold fetch their words and
+   are verified.
 
 Rows: rows without ``doc_id`` or text take no part and keep their lines. Repeated rows of one ``doc_id`` share the
 positions, so their equal lines stand or fall together. Ties do not arise, as positions differ. An empty table gives
@@ -124,6 +125,17 @@ def similar_pairs(postings: DataFrame, percent: int) -> DataFrame:
             .select("doc_a", "pos_a", "doc_b", "pos_b").distinct())
 
 
+def hopeful_pairs(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose prefixes leave the threshold possible. Up to the smaller of the last tokens of both prefixes all that two
+    lines share is known; beyond it they share at most what the shorter rest holds."""
+    prefixes = own.select("doc", "pos", "n", "prefix")
+    both = (pairs.join(_side(prefixes, "a"), ["doc_a", "pos_a"]).join(_side(prefixes, "b"), ["doc_b", "pos_b"])
+            .withColumn("end", F.least(F.element_at("prefix_a", -1), F.element_at("prefix_b", -1))))
+    rest = [F.col(f"n_{s}") - F.size(F.filter(f"prefix_{s}", lambda x: x <= F.col("end"))) for s in "ab"]
+    bound = F.size(F.array_intersect("prefix_a", "prefix_b")) + F.least(*rest)
+    return both.filter(bound * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select(pairs.columns)
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(doc, pos) of the later lines of the pairs whose words reach the threshold.
 
@@ -186,6 +198,7 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT, min_words: int = M
                                F.posexplode_outer("prefix").alias("at", "token"))
                 .withColumn("at", F.col("at") + 1))
     pairs = written_table(similar_pairs(postings, percent), "pairs")
+    pairs = written_table(hopeful_pairs(pairs, own, percent).distinct(), "hopeful")
     # A line that goes takes its copies with it, which are gone already.
     gone = copied.unionAll(central).unionAll(_verified(docs, pairs, percent))
     return gone.groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set("pos")).alias("removed"))
