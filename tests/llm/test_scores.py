@@ -115,6 +115,28 @@ def test_decontamination_finds_planted_and_changed_items(spark, texts):
     assert not any(v for i, v in got.items() if i not in want)
 
 
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_items_are_found_whatever_the_size_of_the_corpus(spark, monkeypatch, scale):
+    """Items just above a window class, a third of whose window is foreign, in a corpus that holds their words often."""
+    draw = random.Random(4)
+    common = [f"common{k}" for k in range(300)]
+    rows = [(i, " ".join(draw.choice(common) if draw.random() < 0.7 else f"rare{draw.randrange(3000)}" for _ in range(150)))
+            for i in range(200)]
+    items = [(k, " ".join(draw.sample(common, (13, 19, 28, 41)[k % 4]))) for k in range(12)]
+    for k, text in items:
+        around = [f"foreign{k}x{j}" for j in range(120)]
+        rows.append((1000 + k, " ".join(around[:50 + k] + text.split() + around[50 + k:])))
+    counted = decontaminate._frequencies
+
+    def scaled(*args):
+        df, passages, documents = counted(*args)
+        return df * scale, passages * scale, documents
+
+    monkeypatch.setattr(decontaminate, "_frequencies", scaled)
+    got = leaked(spark, frame(spark, rows), items)
+    assert {i: v for i, v in got.items() if v} == {1000 + k: {k} for k, _ in items}
+
+
 def test_a_paraphrase_needs_its_answer(spark, texts):
     item = " ".join(f"q{k}" for k in range(30))
     half = " ".join(f"q{k}" if k % 5 < 3 else f"z{k}" for k in range(30))
