@@ -69,6 +69,25 @@ def test_suffix_tree_gains_where_words_follow_one_another(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
 
 
+def test_suffix_tree_keeps_rare_contexts(spark):
+    """Words of less than 1 / 4096 of the tokens, each of which tells the next."""
+    draw = random.Random(7)
+    names = ["".join(draw.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(6000)]
+    pairs = [f"{a} {b}" for a, b in zip(names[::2], names[1::2])] * 8
+    draw.shuffle(pairs)
+    rows = [(i, " ".join(pairs[20 * i:20 * i + 20])) for i in range(len(pairs) // 20)]
+    held = [r for r in suffix_tree.scored(frame(spark, rows)).collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.5 * sum(r.n_tokens for r in held)
+
+
+def test_suffix_tree_grows_as_deep_as_contexts_tell_more(spark):
+    """The last of four words follows from the first, which only a context of three words holds."""
+    draw = random.Random(8)
+    rows = [(i, " ".join(f"x{k} c c y{k}" for k in (draw.randrange(8) for _ in range(20)))) for i in range(300)]
+    held = [r for r in suffix_tree.scored(frame(spark, rows)).collect() if r.held_out]
+    assert sum(r.score for r in held) > -1.2 * 20 * len(held)
+
+
 def test_suffix_tree_probabilities_add_up(spark):
     draw = random.Random(6)
     texts = [(i, " ".join(f"{'uv'[i % 2]}{draw.randrange(20)}" for _ in range(60))) for i in range(200)]
