@@ -2,8 +2,9 @@
 
 A line is what stands between line feeds. Its tokens are its words, which blanks, tabs and carriage returns part. A line is removed if an earlier
 line, in the order of (doc_id, position), has the same text or a Jaccard similarity of token sets of at least
-``percent`` / 100. It does not matter whether that earlier line was itself removed. Lines of fewer than
-``min_words`` different words (blank lines, headings, list marks) always stay.
+``percent`` / 100. It does not matter whether that earlier line was itself removed. Exact copies
+are looked for among lines of at least 2 * ``min_words`` - 1 bytes, near copies among lines of at least ``min_words``
+different words: shorter lines always stay, and lines between the two bounds go as exact copies only.
 
 1. Equal lines are found by hash; sums and minima combine before the shuffle, so a line that a third of all rows
    hold is no hot key. Only the first of them goes on.
