@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from fiscolake.llm import decontaminate, lengths, lines, maxscore, minhash, mixing, page_text, suffix_tree, toxicity, urls
+from fiscolake.llm import (decontaminate, lengths, lines, maxscore, minhash, mixing, page_text, pii, suffix_tree, toxicity,
+                           urls)
 
 QUERIES = {
     "op1_length_histogram": lengths.op1_length_histogram,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_minhash": minhash.op9_minhash,
     "op10_line_dedup": lines.op10_line_dedup,
+    "op13_pii": pii.op13_pii,
 }
 
 ORACLES: dict[str, str] = {
