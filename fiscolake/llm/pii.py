@@ -29,7 +29,7 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -249,14 +249,17 @@ def spans(docs: DataFrame, cues: Sequence[str] = CUES) -> DataFrame:
     """Per row of ``doc_id, text``: ``doc_id`` and ``spans``, an array of (kind, start, end, value)."""
     cues = tuple(cues)
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    span = pa.struct([("kind", "string"), ("start", "int64"), ("end", "int64"), ("value", "string")])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton(cues)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "spans": [
-                [{"kind": k, "start": s, "end": e, "value": t[s:e]} for k, s, e in find(t, anchors)] for t in b["text"]]})
+            found = [[{"kind": k, "start": s, "end": e, "value": t[s:e]} for k, s, e in find(t, anchors)]
+                     for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "spans": pa.array(found, pa.list_(span))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
+    return docs.select("doc_id", "text").mapInArrow(
         search, f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long,value:string>>")
 
 
@@ -265,21 +268,21 @@ def redacted(docs: DataFrame, cues: Sequence[str] = CUES) -> DataFrame:
     one that starts first, then the longest, then the first kind. Null texts stay null."""
     cues = tuple(cues)
 
-    def mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton(cues)
         for b in batches:
             out = []
-            for text in b["text"]:
+            for text in b["text"].to_pylist():
                 parts, at = [], 0
                 for kind, start, end in sorted(find(text, anchors), key=lambda s: (s[1], -s[2])):
                     if start >= at:
                         parts += [text[at:start], f"<{kind}>"]
                         at = end
                 out.append(text if not parts else "".join(parts) + text[at:])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": out})
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "text": pa.array(out, "string")})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(mask, f"doc_id {kind}, text string")
+    return docs.select("doc_id", "text").mapInArrow(mask, f"doc_id {kind}, text string")
 
 
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +291,8 @@ def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("placed", lambda p: p["kind"] == kind)).cast("long")
 
-    placed = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), F.concat_ws(":", s["kind"], s["start"], s["end"]).alias("place")))
+    placed = F.transform("spans", lambda s: F.struct(
+        s["kind"].alias("kind"), F.concat_ws(":", s["kind"], s["start"], s["end"]).alias("place")))
     base = F.filter("placed", lambda p: p["kind"].isin(*BASE_KINDS))
     rows = spans(given(spark, sf_dir, "documents")).select(F.col("doc_id").cast("long"), placed.alias("placed"))
     return rows.select(
