@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fiscolake.llm import (decontaminate, lengths, lines, maxscore, minhash, mixing, page_text, pii, suffix_tree, toxicity,
-                           urls)
+from fiscolake.llm import (alignment, decontaminate, lengths, lines, maxscore, minhash, mixing, page_text, pii,
+                           suffix_tree, toxicity, urls)
 
 QUERIES = {
     "op1_length_histogram": lengths.op1_length_histogram,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_minhash": minhash.op9_minhash,
     "op10_line_dedup": lines.op10_line_dedup,
+    "op11_alignment": alignment.op11_alignment,
     "op13_pii": pii.op13_pii,
 }
 
