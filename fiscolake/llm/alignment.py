@@ -4,7 +4,8 @@ A text is encoded by tokenizer A (byte-level pairs) and by tokenizer B (pieces).
 the two sequences into groups; two tokens whose byte ranges overlap are linked. How many links hold a pair of ids over
 the whole corpus is counted through a minimal perfect hash of the distinct pairs:
 
-1. Texts are aligned; every task adds up its links by pair, and the distinct pairs come out of one small shuffle.
+1. Texts are aligned, stretch by stretch: at a blank between two words both tokenizers end a token, so a stretch that a
+   batch holds often is encoded once. Tasks add up their links by pair; the distinct pairs come out of one small shuffle.
 2. Pairs are dealt by their B id into shards of some 131,072. Each shard builds, in a task of its own, a minimal perfect
    hash (levels of bits, in which a key stays that meets no other, ranked by the bits before it) and keeps its keys in hash
    order, so that a lookup is verified.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import chain
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiscolake.llm.common import given, small_batches
+from fiscolake.llm.common import given, numbered, small_batches
 from fiscolake.llm.lengths import PATTERN
 from fiscolake.session import written_table
 
@@ -47,6 +49,9 @@ SHARDS_PER_PIECE = 16
 FAN = 32
 #: Distinct pairs a task holds before it hands its sums on.
 HELD_PAIRS = 1 << 20
+#: Blanks between two signs that are no white space, and what tells that a text has others.
+BLANK = re.compile(r"(?<=\S)(?= \S)")
+BESIDE_SPACE = re.compile(r" \s|\s ")
 _loaded: dict = {}
 
 
@@ -88,15 +93,26 @@ class Tokenizers:
         self.a_signs, self.b_signs = (np.array([f"{i}{e}" for i in range(len(names)) for e in signs], dtype=object)
                                       for names, signs in zip((self.a_bytes, self.b_bytes), ends))
 
-    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ids of both; none unless both give back the bytes of blank and text."""
-        if not text:
-            return [], []
-        whole = b" " + text.encode()
-        a, b = self.a.encode_ordinary(" " + text), self.b.encode(text)
-        if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
-            return [], []
-        return a, b
+        # No piece goes on after a blank, and no word of the pattern does: then blanks between words part all tokens.
+        self.parted = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
+
+    def stretches(self, text: str) -> list[str]:
+        """The text cut at the blanks that end a token of both whatever stands around: those between two signs that are
+        no white space. Each stretch is encoded as a text of its own would be."""
+        if not self.parted:
+            return [text]
+        if text[0].isspace() or text[-1].isspace() or BESIDE_SPACE.search(text):
+            return [s[1:] for s in BLANK.split(" " + text)]
+        return text.split(" ")
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Ids of both for each text; none unless both give back the bytes of blank and text."""
+        out = []
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
+            a, whole = self.a.encode_ordinary(" " + text), b" " + text.encode()
+            same = b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
+            out.append((a, b) if same else ([], []))
+        return out
 
 
 def tokenizers(a_path: str, b_path: str) -> Tokenizers:
@@ -108,35 +124,30 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
 
 # ---------------------------------------------------------------- alignment
 
-class Aligned:
-    """A batch of texts, aligned as one stream of bytes; the end of a text is an end in both."""
+class Stretches:
+    """Distinct stretches of text, aligned as one stream of bytes; the end of a stretch is an end in both."""
 
-    def __init__(self, texts: Iterable[str | None], tokens: Tokenizers):
+    def __init__(self, texts: list[str], tokens: Tokenizers):
         self.tokens = tokens
-        both = [tokens.encode(t) for t in texts]
+        both = tokens.encode(texts)
         self.n_a, self.n_b = (np.array([len(ids[side]) for ids in both], dtype=np.int64) for side in (0, 1))
         self.a, self.b = (np.fromiter(chain.from_iterable(ids[side] for ids in both), np.int64) for side in (0, 1))
         self.ends_a, self.ends_b = tokens.a_lengths[self.a].cumsum(), tokens.b_lengths[self.b].cumsum()
         self.common = np.intersect1d(self.ends_a, self.ends_b, assume_unique=True)
         ends = np.union1d(self.ends_a, self.ends_b)
         # Between two ends lies exactly one overlap of a token of A with one of B.
-        self.link_a = self.a[np.searchsorted(self.ends_a, ends)]
-        self.link_b = self.b[np.searchsorted(self.ends_b, ends)]
-        last = np.concatenate([[0], self.ends_a])[self.n_a.cumsum()]  # where each text ends
-        self.links_to = np.searchsorted(ends, last, "right")
-        self.groups_to = np.searchsorted(self.common, last, "right")
-        self.last = last
-
-    def pairs(self) -> np.ndarray:
-        return self.link_a * len(self.tokens.b_bytes) + self.link_b
-
-    def per_text(self, values: np.ndarray) -> np.ndarray:
-        """Sums of values of the links of each text."""
-        sums = np.concatenate([[0], values.cumsum()])
-        return np.diff(sums[self.links_to], prepend=0)
-
-    def group_texts(self) -> list[str]:
-        """Per text ``a1,a2|b1;a3|b2,b3``: the ids of each group, A before B."""
+        link_a, link_b = self.a[np.searchsorted(self.ends_a, ends)], self.b[np.searchsorted(self.ends_b, ends)]
+        self.pairs = link_a * len(tokens.b_bytes) + link_b
+        self.last = np.concatenate([[0], self.ends_a])[self.n_a.cumsum()]  # where each stretch ends
+        self.n_links = np.diff(np.searchsorted(ends, self.last, "right"), prepend=0)
+        self.n_groups = np.diff(np.searchsorted(self.common, self.last, "right"), prepend=0)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums of values of the links of each stretch."""
+        return np.diff(np.concatenate([[0], values.cumsum()])[self.n_links.cumsum()], prepend=0)
+
+    def groups(self) -> list[str]:
+        """Per stretch ``a1,a2|b1;a3|b2,b3``: the ids of each group, A before B."""
         group_a, group_b = np.searchsorted(self.common, self.ends_a), np.searchsorted(self.common, self.ends_b)
         closes_a, closes_b = np.isin(self.ends_a, self.common), np.isin(self.ends_b, self.common).astype(np.int64)
         closes_b[np.isin(self.ends_b, self.last)] = 2
@@ -147,6 +158,46 @@ class Aligned:
         return ["".join(signs[end - n:end]) for end, n in zip(to, self.n_a + self.n_b)]
 
 
+class Aligned:
+    """A batch of texts, each a row of stretches; a stretch that comes again is aligned once."""
+
+    def __init__(self, texts: Iterable[str | None], tokens: Tokenizers):
+        cut = [tokens.stretches(t) if t else [] for t in texts]
+        n = np.array([len(c) for c in cut], dtype=np.int64)
+        codes, distinct = numbered(chain.from_iterable(cut))
+        self.stretches = Stretches(distinct, tokens)
+        # One stretch that the tokens do not give back, and the text has none.
+        text = np.repeat(np.arange(len(n)), n)
+        lost = np.zeros(len(n), dtype=bool)
+        lost[text[self.stretches.n_a[codes] == 0]] = True
+        self.codes = codes[~lost[text]]
+        self.to = np.where(lost, 0, n).cumsum()
+
+    def per_text(self, values: np.ndarray) -> np.ndarray:
+        """Sums of values of the stretches of each text."""
+        return np.diff(np.concatenate([[0], values[self.codes].cumsum()])[self.to], prepend=0)
+
+    def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs, and how many links hold each."""
+        times = np.bincount(self.codes, minlength=len(self.stretches.n_links))
+        pairs, place = np.unique(self.stretches.pairs, return_inverse=True)
+        return _added(pairs, place, np.repeat(times, self.stretches.n_links))
+
+    def group_texts(self) -> list[str]:
+        groups, codes, at, out = self.stretches.groups(), self.codes.tolist(), 0, []
+        for to in self.to.tolist():
+            out.append(";".join([groups[c] for c in codes[at:to]]))
+            at = to
+        return out
+
+
+def _added(keys: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys with the sums of the numbers that belong to each; keys of which there are none are left out."""
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, place, n)
+    return keys[sums > 0], sums[sums > 0]
+
+
 # ---------------------------------------------------------------- minimal perfect hash
 
 def _mixed(keys: np.ndarray, level: int) -> np.ndarray:
@@ -208,11 +259,9 @@ def task_counts(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH) ->
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            pair, more = np.unique(Aligned(b["text"], tokenizers(a_path, b_path)).pairs(), return_counts=True)
-            held, place = np.unique(np.concatenate([held, pair]), return_inverse=True)
-            sums = np.zeros(len(held), np.int64)
-            np.add.at(sums, place, np.concatenate([n, more]))
-            n = sums
+            pairs, more = Aligned(b["text"], tokenizers(a_path, b_path)).pair_counts()
+            keys, place = np.unique(np.concatenate([held, pairs]), return_inverse=True)
+            held, n = _added(keys, place, np.concatenate([n, more]))
             if len(held) > HELD_PAIRS:
                 yield pd.DataFrame({"pair": held, "n": n})
                 held, n = held[:0], n[:0]
@@ -338,14 +387,17 @@ def looked_up(docs: DataFrame, piece: Piece, a_path: str, b_path: str) -> DataFr
         table, best = shared.value
         for b in batches:
             met = Aligned(b["text"].to_pylist(), tokenizers(a_path, b_path))
-            pairs, place = np.unique(met.pairs(), return_inverse=True)
-            counts = table.look_up(pairs)
-            highest = (counts == best[pairs % table.n_b]) & (counts > 0)
+            each, sums = met.stretches, met.stretches.sums
+            used = np.repeat(np.isin(np.arange(len(each.n_links)), met.codes), each.n_links)
+            pairs, place = np.unique(each.pairs[used], return_inverse=True)
+            counts = np.zeros(len(each.pairs), np.int64)
+            counts[used] = table.look_up(pairs)[place]
+            highest = (counts == best[each.pairs % table.n_b]) & (counts > 0)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": b["doc_id"], "n_a": met.n_a, "n_b": met.n_b,
-                "n_groups": np.diff(met.groups_to, prepend=0), "n_links": np.diff(met.links_to, prepend=0),
-                "groups_sha256": pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in met.group_texts()], "string"),
-                "n_best": met.per_text(highest[place].astype(np.int64)), "count_sum": met.per_text(counts[place])})
+                "doc_id": b["doc_id"], **{c: met.per_text(getattr(each, c)) for c in ("n_a", "n_b", "n_groups", "n_links")},
+                "groups_sha256": pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in met.group_texts()],
+                                          "string"),
+                "n_best": met.per_text(sums(highest.astype(np.int64))), "count_sum": met.per_text(sums(counts))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {kind}, {KEPT}, n_best long, count_sum long")
