@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fiscolake.llm import (alignment, decontaminate, lengths, lines, maxscore, minhash, mixing, page_text, pii,
+from fiscolake.llm import (alignment, decontaminate, lengths, lines, maxscore, minhash, mixing, page_text, phrases, pii,
                            suffix_tree, toxicity, urls)
 
 QUERIES = {
@@ -17,10 +17,12 @@ QUERIES = {
     "op9_minhash": minhash.op9_minhash,
     "op10_line_dedup": lines.op10_line_dedup,
     "op11_alignment": alignment.op11_alignment,
+    "op12_phrases": phrases.op12_phrases,
     "op13_pii": pii.op13_pii,
 }
 
 ORACLES: dict[str, str] = {
     "op2_maxscore": maxscore.OP2_SQL,
     "op10_line_dedup": lines.OP10_SQL,
+    "op12_phrases": phrases.OP12_SQL,
 }
