@@ -310,6 +310,19 @@ ORACLES = {
         file_path FROM declarations""",
     "load_xml": _ALL + f"SELECT * FROM ({_LABEL_AMOUNTS}) WHERE {_HAS_RETURN}",
     "load_documents": _ALL + f"SELECT * FROM ({_LABEL_AMOUNTS}) WHERE {_HAS_RETURN}",
+    "load_changes": sql_with("declarations", "doacoes_efetuadas", "pagamentos_efetuados") + """SELECT step, keys, table_name, name,
+        CAST(sum(copies) AS BIGINT) AS n, CAST(sum(v * copies) AS DOUBLE) AS amount FROM (
+          SELECT step, keys, table_name, summary AS name, v,
+            CASE WHEN step = 'first' AND keys = 'own' AND declaration_id % 4 = 0 THEN 2 ELSE 1 END AS copies
+          FROM (SELECT 'declarations' AS table_name, declaration_id, CAST(NULL AS DECIMAL(14, 2)) AS v FROM declarations
+                UNION ALL SELECT 'doacoes_efetuadas', declaration_id, valor_pago FROM doacoes_efetuadas
+                UNION ALL SELECT 'pagamentos_efetuados', declaration_id, valor_pago FROM pagamentos_efetuados)
+          JOIN (SELECT declaration_id, summary FROM declarations) USING (declaration_id),
+            (VALUES ('first'), ('second')) s(step), (VALUES ('own'), ('given')) k(keys)
+          WHERE step = 'first' OR NOT (declaration_id % 4 = 1 OR declaration_id % 4 = 2 AND table_name = 'doacoes_efetuadas')
+          UNION ALL SELECT step, keys, 'rejects', 'readable', NULL, 2
+          FROM (VALUES ('first'), ('second')) s(step), (VALUES ('own'), ('given')) k(keys))
+        GROUP BY ALL""",
     "file_changes": """SELECT '/kb/' || source || '/' || d.doc_id || '.txt' AS path,
         CASE WHEN quality IS NULL THEN 'new' ELSE 'modified' END AS change
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE quality IS NULL OR quality = 0""",

@@ -358,6 +358,54 @@ def load_documents(spark: Spark, sf: str) -> DataFrame:
     return _label_amounts({n: documents.read_stored(spark, f"{root}/out", n, T.LongType()) for n in SCHEDULES})
 
 
+def load_changes(spark: Spark, sf: str) -> DataFrame:
+    """Returns in files, some in two, beside a broken and a foreign file; then a file of those goes, one without copy goes,
+    and one is written anew without its donations. Under default keys and under keys of the returns' own."""
+    t = bridge.tables(spark, sf, "declarations", "doacoes_efetuadas", "pagamentos_efetuados")
+    docs = render.json_documents(render.nested(t, date=_doc_date()))
+    records = written_table(docs.select(
+        F.from_json("document", render.docs_schema()).alias("r"),
+        F.concat(F.lit("c"), F.col("declaration_id").cast("string")).alias("file_name"),
+        F.pmod("declaration_id", F.lit(4)).alias("part")).select("r.*", "file_name", "part"), "records")
+    root = shared_path(spark, "changes")
+
+    def put(rows: DataFrame, name: str) -> None:
+        rows.drop("part").write.json(f"{root}/in/{name}")
+
+    for k in range(4):
+        put(records.where(F.col("part") == k), f"part{k}")
+    put(records.where("part = 0"), "copy")
+    given(spark, sf, "region").coalesce(1).select(F.concat(F.lit('{"summary": '), "r_name").alias("value")).write.text(f"{root}/texts")
+    given(spark, sf, "region").coalesce(1).write.json(f"{root}/in/foreign")
+    spark.read.text(f"{root}/texts").coalesce(1).write.option("compression", "none").format("text").save(f"{root}/in/broken.json")
+    keys = {"own": None, "given": F.expr("try_cast(substring(file_name, 2) AS long)")}
+
+    def state(step: str) -> DataFrame:
+        parts = []
+        for name, key in keys.items():
+            kind = T.LongType() if name == "given" else None
+            documents.process_documents(spark, f"{root}/in", f"{root}/log-{name}", f"{root}/out-{name}", key=key,
+                                        key_type=kind, multi_line=False, buckets=4)
+            stored = {n: documents.read_stored(spark, f"{root}/out-{name}", n, kind)
+                      for n in ("declarations", "doacoes_efetuadas", "pagamentos_efetuados", "rejects")}
+            whose = stored["declarations"].select("declaration_id", F.col("summary").alias("name"))
+            rows = [whose.select(F.lit("declarations").alias("table_name"), "name", F.lit(None).cast("decimal(14,2)").alias("v")),
+                    stored["rejects"].select(F.lit("rejects").alias("table_name"), F.col("rule").alias("name"),
+                                             F.lit(None).cast("decimal(14,2)").alias("v"))]
+            rows += [stored[n].join(whose, "declaration_id").select(F.lit(n).alias("table_name"), "name", F.col("valor_pago").alias("v"))
+                     for n in ("doacoes_efetuadas", "pagamentos_efetuados")]
+            parts.append(reduce(DataFrame.unionByName, rows).groupBy("table_name", "name").agg(
+                F.count("*").alias("n"), F.sum("v").cast("double").alias("amount"))
+                .select(F.lit(step).alias("step"), F.lit(name).alias("keys"), "*"))
+        return written_table(parts[0].unionByName(parts[1]), "state")
+
+    first = state("first")
+    for gone in ("part0", "part1", "part2"):
+        readers.delete_folder(spark, f"{root}/in/{gone}")
+    put(records.where("part = 2").withColumn("doacoes_efetuadas", F.lit(None).cast(records.schema["doacoes_efetuadas"].dataType)), "part2")
+    return first.unionByName(state("second"))
+
+
 # ---------------------------------------------------------------- files
 
 def file_changes(spark: Spark, sf: str) -> DataFrame:
@@ -606,6 +654,7 @@ QUERIES = {
     "dense_ids": dense_ids,
     "load_xml": load_xml,
     "load_documents": load_documents,
+    "load_changes": load_changes,
     "file_changes": file_changes,
     "file_status": file_status,
     "stream_arrivals": stream_arrivals,

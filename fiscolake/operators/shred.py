@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from fiscolake.functions import scalars as S
 from fiscolake.operators import lines as L
-from fiscolake.schemas import DECLARATIONS, MONEY, SCHEDULES, json_schema
+from fiscolake.schemas import CORRUPT, DECLARATIONS, MONEY, SCHEDULES, json_schema
 from fiscolake.session import written_table
 
 KEY = "declaration_id"
+NO_FIELD = "no field of a return"
 
 
 def _aliased(cols: dict[str, Column]) -> list[Column]:
@@ -82,18 +83,28 @@ def typed_returns(returns: DataFrame, source: str) -> DataFrame:
 def json_returns(df: DataFrame, key: Column | None = None) -> DataFrame:
     """Nested returns read under the JSON schema, with key, file, date and summary.
 
-    A file may hold many returns, so the default key is a digest of the path and
-    the record; a record repeated word for word in one file is one return.
+    A file may hold many returns, so the default key is a digest of the file (``source_path`` where there is one, else
+    ``file_path``) and the record; a record repeated word for word in one file is one return. Where the text of broken
+    records was read too, ``parse_error`` tells what is wrong with a record: its text, or that no field of a return is in it.
     """
     columns = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("file_path", "file_name")]
     columns += [F.col(c) for c in ("source_path",) if c in df.columns]
-    record = F.xxhash64(*json_schema().fieldNames()).cast("string")
-    own = F.sha2(F.concat_ws("#", "file_path", record), 256)
+    own = F.sha2(F.concat_ws("#", "source_path" if "source_path" in df.columns else "file_path", json_digest()), 256)
+    if CORRUPT in df.columns:
+        fields = [*SCHEDULES, "data_documento", "summary"]
+        foreign = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in fields])
+        columns.append(F.coalesce(CORRUPT, F.when(foreign, NO_FIELD)).alias("parse_error"))
+        columns.append(json_digest().alias("digest"))
     return df.select((own if key is None else key).alias(KEY), *columns,
                      F.expr("try_cast(data_documento AS date)").alias("data_documento"),
                      S.summary_text(F.col("summary")).alias("summary"), *SCHEDULES)
 
 
+def json_digest() -> Column:
+    """Digest of a record as read."""
+    return F.xxhash64(*json_schema().fieldNames()).cast("string")
+
+
 def parse_json_column(df: DataFrame, text: str, key: Column | None = None) -> DataFrame:
     """Nested returns held as JSON text in a column."""
     parsed = df.withColumn("_return", F.from_json(text, json_schema(), {"mode": "PERMISSIVE"}))

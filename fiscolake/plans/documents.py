@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,13 +14,13 @@ from fiscolake.operators.shred import (declarations_of, return_json, schedule_li
 from fiscolake.operators.validate import REJECT_SCHEMA, split_declarations, split_lines, without_rejected
 from fiscolake.schemas import DECLARATIONS, SCHEDULES, table_schema
 from fiscolake.session import written_table
-from fiscolake.sources.readers import list_files, path_exists, paths_to_read, read_json_returns
-from fiscolake.sources.writers import BUCKETS, replace_rows, write_manifest
+from fiscolake.sources.readers import list_files, only_changed, path_exists, paths_to_read, read_json_returns
+from fiscolake.sources.store import Change, Store, Stored, as_struct
+from fiscolake.sources.writers import write_manifest
 from fiscolake.sources.xml import ROOT_TAG, read_xml_returns
 
 
-# The served tables, the rejects, and the file each return came from. The last
-# is replaced last: until then a repeated run still finds what it has to replace.
+# The served tables, the rejects, and the files each return is held by.
 STORED = (DECLARATIONS, *SCHEDULES, "rejects", "origin")
 
 
@@ -28,10 +28,10 @@ def checked_tables(returns: DataFrame, source: str, strict: bool = False) -> tup
     """Flat tables of the lines that pass the checks, and the rejects.
 
     ``strict`` refuses a whole return for one bad field; otherwise only the bad
-    lines are left out.
+    lines are left out, and a return without a summary stays, reported.
     """
-    declarations, bad = split_declarations(declarations_of(returns))
-    tables, rejects = {DECLARATIONS: declarations}, [bad]
+    declarations = declarations_of(returns)
+    tables, rejects = {DECLARATIONS: declarations}, [split_declarations(declarations)[1]]
     for name in SCHEDULES:
         tables[name], bad = split_lines(name, schedule_lines(returns, name, source, with_raw=True))
         rejects.append(bad)
@@ -43,18 +43,32 @@ def checked_tables(returns: DataFrame, source: str, strict: bool = False) -> tup
     return tables, all_rejects
 
 
+def document_store(spark: SparkSession, out: str, key_type: T.DataType | None = None) -> Store:
+    """The tables ``process_documents`` keeps below ``out``. Beside their columns they have ``return_id``, a digest of key
+    and content, by which rows are replaced; ``origin`` has a row for each file that holds a return."""
+    key = T.StructField("declaration_id", key_type or T.StringType())
+    own = T.StructField("return_id", T.StringType())
+    rejects = as_struct(spark, REJECT_SCHEMA).fields[1:]
+    schemas = {n: table_schema(n, key_type).fields for n in (DECLARATIONS, *SCHEDULES)}
+    tables = {n: Stored(T.StructType([*fields, own]), "return_id") for n, fields in {**schemas, "rejects": [key, *rejects]}.items()}
+    tables["origin"] = Stored(T.StructType([key, T.StructField("source_path", T.StringType()), own]), "source_path")
+    return Store(spark, out, tables)
+
+
 def process_documents(spark: SparkSession, folder: str, manifest: str, out: str, *, source: str = "json",
                       as_of: str | None = None, force: bool = False, strict: bool = False,
                       key: Column | None = None, key_type: T.DataType | None = None,
-                      multi_line: bool = True, buckets: int = BUCKETS) -> bool:
+                      multi_line: bool = True, buckets: int | None = None) -> bool:
     """Bring the stored tables up to date with a folder of returns, extracted
     ones in JSON or return files in XML (``source="xml"``, with ``as_of``).
 
-    Only new and changed files are read. The rows of their returns, and those of
-    files that are gone, are replaced in every table. ``multi_line`` is false for
-    JSON files of one return per line; ``key_type`` is the type of a ``key`` that
-    is no text; ``buckets`` is how many parts each stored table has, the same in
-    every run. Returns whether anything was done.
+    Only new and changed files are read. A return is stored once however many files hold it (the same content under the
+    same key), and goes with the last of them; a changed file rewrites only the returns in it that differ. Files that hold
+    no return are rejects (``readable``). All tables change together, when the update is complete, and it writes only what
+    changed (see ``sources/store.py``); one that fails leaves the old state and can be run again.
+
+    ``multi_line`` is false for JSON files of one return per line; ``key_type`` is the type of a ``key`` that
+    is no text; ``buckets`` is into how many files an update deals the rows of a table. Returns whether anything was done.
     """
     if not path_exists(spark, folder):
         return False
@@ -65,62 +79,123 @@ def process_documents(spark: SparkSession, folder: str, manifest: str, out: str,
     if changed.isEmpty() and gone.isEmpty():
         return False
 
-    touched = changed.select("path").unionByName(gone).withColumnRenamed("path", "source_path")
-    if changed.isEmpty():
-        rows = {n: read_stored(spark, out, n, key_type).where(F.lit(False)) for n in STORED}
+    store = document_store(spark, out, key_type)
+    returns = _read_changed(spark, folder, changed, source, as_of, key, multi_line)
+    if returns is None:
+        found = silent = spark.createDataFrame([], store.tables["origin"].schema)
     else:
-        paths = paths_to_read(changed)
-        if source == "xml":
-            read = read_xml_returns(spark, paths, as_of=as_of, key=key)
-        else:
-            read = read_json_returns(spark, paths, key=key, multi_line=multi_line)
-        returns = written_table(read, "returns")
-        rows = _stored_rows(returns, source, strict)
-        silent = written_table(_without_return(changed, returns, rows["origin"]), "silent")
-        rows["rejects"] = rows["rejects"].unionByName(_unread(silent))
-        rows["origin"] = rows["origin"].unionByName(silent)
-    stale = rows["origin"].select("declaration_id")
-    if path_exists(spark, f"{out}/origin"):
-        before = read_stored(spark, out, "origin", key_type).join(touched, "source_path", "left_semi")
-        stale = stale.unionByName(before.select("declaration_id"))
-    stale = written_table(stale.distinct(), "stale")  # for all tables
-    for name in STORED:
-        replace_rows(rows[name], stale, f"{out}/{name}", "declaration_id", buckets)
+        found = returns.select("declaration_id", "source_path", "return_id").distinct()
+        silent = written_table(_without_return(changed, returns), "silent")
+        found = found.unionByName(silent)
+    new = written_table(found, "origin")
+    touched = changed.select("path").unionByName(gone).withColumnRenamed("path", "source_path")
+    before, dropped, fresh = _what_changes(store, new, touched, force)
+
+    rows = {} if returns is None else _stored_rows(returns.join(fresh, "return_id", "left_semi"), source, strict)
+    if returns is not None:
+        rows["rejects"] = rows["rejects"].unionByName(_unread(silent.join(fresh, "return_id", "left_semi")))
+    changes = {n: Change(rows.get(n), dropped) for n in STORED if n != "origin"}
+    changes[DECLARATIONS] = _moved_declarations(store, before, new, touched, dropped, changes[DECLARATIONS])
+    changes["origin"] = Change(new, touched)
+    store.update(changes, buckets)
     write_manifest(changed, manifest, gone)
     return True
 
 
-def _stored_rows(returns: DataFrame, source: str, strict: bool) -> dict[str, DataFrame]:
-    """Every stored table of some returns; ``origin`` says which file a return is from."""
-    readable = returns.where("parse_error IS NULL") if source == "xml" else returns
-    tables, rejects = checked_tables(readable, source, strict)
+def _read_changed(spark: SparkSession, folder: str, changed: DataFrame, source: str, as_of: str | None,
+                  key: Column | None, multi_line: bool) -> DataFrame | None:
+    """The returns of changed files with their ``return_id``, each content once; ``None`` without any file."""
+    if changed.isEmpty():
+        return None
+    paths = paths_to_read(changed, folder)
     if source == "xml":
-        rejects = rejects.unionByName(unreadable(returns))
-    return {**tables, "rejects": rejects, "origin": returns.select("declaration_id", "source_path")}
+        read = read_xml_returns(spark, paths, as_of=as_of, key=key, once=False, pattern="*.xml")
+    else:
+        read = read_json_returns(spark, paths, key=key, multi_line=multi_line, once=False, pattern="*.json")
+    if isinstance(paths, str):
+        read = only_changed(read, changed)
+    kind = read.schema["declaration_id"].dataType
+    # What could not be read has no key of its own, and no content to tell it by: it goes by its file.
+    broken = F.col("parse_error").isNotNull()
+    by_file = F.sha2("source_path", 256) if kind == T.StringType() else F.xxhash64("source_path").cast(kind)
+    by_content = F.concat_ws("#", F.col("declaration_id").cast("string"), "digest")
+    return written_table(read.select(
+        F.when(broken, F.coalesce("declaration_id", by_file)).otherwise(F.col("declaration_id")).alias("declaration_id"),
+        F.sha2(F.when(broken, F.concat_ws("#", F.lit("file"), "source_path", "digest")).otherwise(by_content), 256).alias("return_id"),
+        F.monotonically_increasing_id().alias("row_id"), *[c for c in read.columns if c not in ("declaration_id", "digest")]), "returns")
+
+
+def _what_changes(store: Store, new: DataFrame, touched: DataFrame, force: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Origin rows of the touched files as they were; ids of returns whose stored rows go; ids whose rows are to be written."""
+    stored = store.read("origin")
+    before = written_table(stored.join(touched, "source_path", "left_semi"), "before")
+    asked = before.select("return_id").unionByName(new.select("return_id")).distinct()
+    others = stored.join(touched, "source_path", "left_anti").join(asked, "return_id", "left_semi")
+    held = written_table(others.select("return_id").distinct(), "held")
+    found = new.select("return_id").distinct()
+    left = before.select("return_id").distinct().join(held, "return_id", "left_anti")
+    if force:  # what is read again is written again, with what the checks say now
+        dropped = left.unionByName(found).distinct()
+        return before, written_table(dropped, "dropped"), found
+    dropped = written_table(left.join(found, "return_id", "left_anti"), "dropped")
+    fresh = found.join(before, "return_id", "left_anti").join(held, "return_id", "left_anti")
+    return before, dropped, written_table(fresh, "fresh")
+
+
+def _moved_declarations(store: Store, before: DataFrame, new: DataFrame, touched: DataFrame, dropped: DataFrame,
+                        change: Change) -> Change:
+    """The change of the returns' table with those added that stay, held by other files, while the file their row names
+    does not hold them any more: they name the first of the others now."""
+    now = store.read("origin").join(touched, "source_path", "left_anti").unionByName(new)
+    kept = before.select("return_id").distinct().join(dropped, "return_id", "left_anti")
+    if kept.isEmpty():
+        return change
+    holders = written_table(now.join(kept, "return_id", "left_semi").select("return_id", "source_path").distinct(), "holders")
+    named = (store.read(DECLARATIONS).join(kept, "return_id", "left_semi")
+             .join(touched.select(F.col("source_path").alias("file_path")), "file_path", "left_semi")
+             .join(holders.withColumnRenamed("source_path", "file_path"), ["return_id", "file_path"], "left_anti"))
+    first = holders.groupBy("return_id").agg(F.min("source_path").alias("first"))
+    moved = written_table(named.join(first, "return_id").select(
+        *[c for c in named.columns if c not in ("file_path", "file_name")], F.col("first").alias("file_path"),
+        F.regexp_extract("first", "([^/]*)$", 1).alias("file_name")), "moved")
+    rows = moved if change.rows is None else change.rows.unionByName(moved)
+    return Change(rows, change.gone.unionByName(moved.select("return_id")))
 
 
-def _without_return(changed: DataFrame, returns: DataFrame, origin: DataFrame) -> DataFrame:
-    """Origin rows, under a digest of the path, of files that gave no return: empty ones, and those of another root."""
+def _stored_rows(returns: DataFrame, source: str, strict: bool) -> dict[str, DataFrame]:
+    """Every stored table but ``origin`` of some returns, each content once: that of the first file that holds it."""
+    order = Window.partitionBy("return_id").orderBy("source_path", "row_id")
+    ranked = returns.select("return_id", "source_path", "row_id").withColumn("n", F.row_number().over(order))
+    repeats = written_table(ranked.where("n > 1").select("row_id"), "repeats")
+    if not repeats.isEmpty():
+        returns = returns.join(repeats, "row_id", "left_anti")
+    # Checks go return by return, also where several share a key.
+    both = returns.withColumn("declaration_id", F.struct("declaration_id", "return_id"))
+    tables, rejects = checked_tables(both.where("parse_error IS NULL"), source, strict)
+    rows = {**tables, "rejects": rejects.unionByName(unreadable(both))}
+    return {n: df.select("declaration_id.*", *[c for c in df.columns if c != "declaration_id"]) for n, df in rows.items()}
+
+
+def _without_return(changed: DataFrame, returns: DataFrame) -> DataFrame:
+    """Origin rows, under a digest of the path, of files that gave no return, such as those of another root."""
     lost = changed.select(F.col("path").alias("source_path")).join(returns.select("source_path"), "source_path", "left_anti")
-    kind = origin.schema["declaration_id"].dataType
+    kind = returns.schema["declaration_id"].dataType
     digest = F.sha2("source_path", 256) if kind == T.StringType() else F.xxhash64("source_path").cast(kind)
-    return lost.select(digest.alias("declaration_id"), "source_path")
+    return lost.select(digest.alias("declaration_id"), "source_path",
+                       F.sha2(F.concat_ws("#", F.lit("file"), "source_path"), 256).alias("return_id"))
 
 
 def _unread(files: DataFrame) -> DataFrame:
     """Rejects for files without a return, by their origin rows."""
-    return files.select("declaration_id", F.lit(DECLARATIONS).alias("table_name"), F.lit("file_path").alias("column_name"),
-                        F.lit("readable").alias("rule"), F.col("source_path").alias("raw_value"))
+    return files.select("declaration_id", "return_id", F.lit(DECLARATIONS).alias("table_name"),
+                        F.lit("file_path").alias("column_name"), F.lit("readable").alias("rule"),
+                        F.col("source_path").alias("raw_value"))
 
 
 def read_stored(spark: SparkSession, out: str, table: str, key_type: T.DataType | None = None) -> DataFrame:
     """A stored table of ``process_documents``, typed also while it is empty.
     ``key_type`` is the type of a key of the caller's own."""
-    key = (key_type or T.StringType()).simpleString()
-    schemas = {"rejects": REJECT_SCHEMA.replace("declaration_id string", f"declaration_id {key}"),
-               "origin": f"declaration_id {key}, source_path string"}
-    schema = schemas[table] if table in schemas else table_schema(table, key_type)
-    return spark.read.schema(schema).parquet(f"{out}/{table}")
+    return document_store(spark, out, key_type).read(table).drop("return_id")
 
 
 def unreadable(returns: DataFrame) -> DataFrame:
@@ -128,16 +203,18 @@ def unreadable(returns: DataFrame) -> DataFrame:
     return returns.where("parse_error IS NOT NULL").select(
         "declaration_id", F.lit(DECLARATIONS).alias("table_name"),
         F.lit("file_path").alias("column_name"), F.lit("readable").alias("rule"),
-        F.col("file_path").alias("raw_value"))
+        F.col("source_path").alias("raw_value"))
 
 
 def load_xml(spark: SparkSession, path: str | list[str], *, as_of: str, key: Column | None = None,
              strict: bool = False, root_tag: str = ROOT_TAG) -> tuple[dict[str, DataFrame], DataFrame]:
     """Return files in XML to flat tables and rejects. The files are read once
-    and kept as a written table, which the seven tables then share."""
+    and kept as a written table, which the seven tables then share. Files without a return are rejects too."""
     returns = written_table(read_xml_returns(spark, path, as_of=as_of, key=key, root_tag=root_tag), "returns")
     tables, rejects = checked_tables(returns.where("parse_error IS NULL"), "xml", strict)
-    return tables, rejects.unionByName(unreadable(returns))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    silent = _unread(_without_return(files, returns)).drop("return_id")
+    return tables, rejects.unionByName(unreadable(returns)).unionByName(silent)
 
 
 # What is said of a return that cannot be read.

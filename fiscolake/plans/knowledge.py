@@ -10,9 +10,9 @@ from fiscolake.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, chunk_sentences
 from fiscolake.operators.embed import Embedder, embed
 from fiscolake.operators.incremental import changed_files, read_manifest, removed_files
 from fiscolake.session import written_table
-from fiscolake.sources.readers import (TEXT_EXTENSIONS, list_files, path_exists, paths_to_read,
+from fiscolake.sources.readers import (TEXT_EXTENSIONS, list_files, only_changed, path_exists, paths_to_read,
                                        read_collection, read_scraped_json, read_texts)
-from fiscolake.sources.writers import BUCKETS, upsert_chunks, write_manifest
+from fiscolake.sources.writers import upsert_chunks, write_manifest
 
 SCRAPED_SCHEMA = "url string, title string, description string, text string"
 BUILT_EXTENSIONS = (*TEXT_EXTENSIONS, ".json")
@@ -36,10 +36,10 @@ def collection_rows(docs: DataFrame, embedder: Embedder | None = None,
 def build_knowledge_base(spark: SparkSession, root: str, collection: str, manifest: str, *,
                          force: bool = False, embedder: Embedder | None = None,
                          size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                         buckets: int = BUCKETS) -> tuple[DataFrame, bool]:
+                         buckets: int | None = None) -> tuple[DataFrame, bool]:
     """Bring the stored collection up to date with a folder.
 
-    Only new and modified files are read; chunks of removed files are dropped.
+    Only new and modified files are read; chunks of removed files are dropped. Nothing stored is read or written over.
     Returns the collection and whether anything was done.
     """
     if not path_exists(spark, root):
@@ -57,13 +57,11 @@ def build_knowledge_base(spark: SparkSession, root: str, collection: str, manife
         docs = spark.createDataFrame([], "doc_id string, path string, text string")
     else:
         # Where the whole folder is read, the join keeps the changed files.
-        docs = (folder_documents(spark, paths_to_read(changed))
-                .join(changed.select("path"), "path", "left_semi"))
+        docs = only_changed(folder_documents(spark, paths_to_read(changed, root)), changed, "path")
     rows = collection_rows(docs.select("doc_id", "text"), embedder, size, overlap)
-    stored = read_collection(spark, collection).select("doc_id").distinct()
-    stale = (stored.withColumn("path", F.regexp_replace("doc_id", r"#[0-9]+$", ""))
-             .join(touched, "path", "left_semi").select("doc_id"))
-    upsert_chunks(rows, stale.unionByName(docs.select("doc_id")).distinct(), collection, buckets)
+    # A scraped record's id is that of its file and a number; no other file's name ends that way.
+    placed = rows.withColumn("source", F.regexp_replace("doc_id", r"#[0-9]+$", ""))
+    upsert_chunks(placed, touched.withColumnRenamed("path", "source"), collection, buckets)
     write_manifest(changed, manifest, gone)
     return read_collection(spark, collection), True
 

@@ -97,6 +97,15 @@ def json_schema() -> T.StructType:
     return T.StructType(lists + plain)
 
 
+#: Column that takes the text of a record that could not be read.
+CORRUPT = "_corrupt_record"
+
+
+def json_reading_schema() -> T.StructType:
+    """The schema of records in files: the text of a broken record comes out beside the fields."""
+    return json_schema().add(CORRUPT, T.StringType())
+
+
 # Attributes of one XML line element, per schedule.
 XML_ATTRIBUTES = {
     "bens_direitos": "grupo codigo pais discriminacao valorExercicioAnterior valorExercicioAtual",

@@ -11,52 +11,54 @@ from pyspark.sql import types as T
 from fiscolake.functions import scalars as S
 from fiscolake.functions.files import file_name, file_path
 from fiscolake.operators.shred import json_returns
-from fiscolake.schemas import COLLECTION_SCHEMA, json_schema, table_schema
+from fiscolake.schemas import CORRUPT, json_reading_schema, table_schema
+from fiscolake.sources.filesystem import delete_folder, path_exists  # noqa: F401 (part of the readers)
+from fiscolake.sources.store import collection_store
 
 # The extensions a knowledge folder is searched for.
 KNOWLEDGE_EXTENSIONS = (".pdf", ".json", ".txt", ".doc", ".docx")
 TEXT_EXTENSIONS = (".txt", ".html", ".htm", ".md")
 
 
-def _file_system(spark: SparkSession, path: str):
-    named = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return named.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), named
+#: Changed files read by name; more are found by reading the folder's files of their times.
+MAX_NAMED = 10_000
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder, or any match of a pattern, is there, on whatever
-    file system the path names."""
-    system, named = _file_system(spark, path)
-    found = system.globStatus(named)
-    return found is not None and len(found) > 0
+def paths_to_read(changed: DataFrame, folder: str) -> list[str] | str:
+    """What to read for the changed files: their names, or the folder where they are more than the driver should hold.
+    Reading the folder needs ``only_changed`` behind it."""
+    named = [r.path for r in changed.select("path").limit(MAX_NAMED + 1).collect()]
+    if len(named) > MAX_NAMED:
+        return folder
+    return [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in named]  # names, no patterns
 
 
-def delete_folder(spark: SparkSession, path: str) -> None:
-    system, named = _file_system(spark, path)
-    system.delete(named, True)
-
-
-def paths_to_read(changed: DataFrame) -> list[str]:
-    """The changed files one by one, however many: the driver holds their names as it does for any scan it plans."""
-    return [re.sub(r"([\\*?\[\]{}])", r"\\\1", r.path)  # names, no patterns
-            for r in changed.select("path").toLocalIterator()]
+def only_changed(rows: DataFrame, changed: DataFrame, path: str = "source_path") -> DataFrame:
+    """Rows of changed files."""
+    return rows.join(changed.select(F.col("path").alias(path)), path, "left_semi")
 
 
 def read_json_returns(spark: SparkSession, path: str | list[str], *, key: Column | None = None,
-                      multi_line: bool = True) -> DataFrame:
+                      multi_line: bool = True, once: bool = True, pattern: str = "*") -> DataFrame:
     """Nested returns from JSON files. A record's own ``file_path`` and
     ``file_name``, those of the document it was extracted from, come before the
     JSON file's; ``source_path`` is the JSON file. Folders are read with all below
-    them. Under the default key a record repeated in a file comes out once."""
-    rows = (spark.read.schema(json_schema()).option("multiLine", multi_line)
-            .option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(path))
-    placed = rows.select(
+    them. Under the default key a record repeated in a file comes out once (unless ``once`` is false). A record that is
+    broken, or holds no field of a return, comes out with ``parse_error`` set. ``pattern`` is what file names look like."""
+    rows = (spark.read.schema(json_reading_schema()).option("multiLine", multi_line).option("pathGlobFilter", pattern)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+            .option("recursiveFileLookup", True).json(path))
+    returns = json_returns(placed(rows), key)
+    return returns.dropDuplicates(["declaration_id"]) if key is None and once else returns
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Records with the file they were read from, and the document they come from."""
+    return rows.select(
         *[c for c in rows.columns if c not in ("file_path", "file_name")],
         file_path().alias("source_path"),
         F.coalesce("file_path", file_path()).alias("file_path"),
         F.coalesce("file_name", file_name()).alias("file_name"))
-    returns = json_returns(placed, key)
-    return returns.dropDuplicates(["declaration_id"]) if key is None else returns
 
 
 def read_extracted_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -126,9 +128,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
     """Stored chunks with embeddings; typed and empty where none are stored yet."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], COLLECTION_SCHEMA)
-    return spark.read.schema(COLLECTION_SCHEMA).parquet(path)
+    return collection_store(spark, path).read("chunks").drop("source")
 
 
 # The words of a status report.

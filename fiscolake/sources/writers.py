@@ -8,10 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fiscolake.schemas import ALL_TABLES, COLLECTION_SCHEMA, DECLARED_TABLES
-from fiscolake.session import written_table
-from fiscolake.sources.readers import delete_folder, path_exists
-
-BUCKETS = 256
+from fiscolake.sources.store import Change, collection_store
 
 
 def write_csv_tables(tables: Mapping[str, DataFrame], folder: str) -> dict[str, str]:
@@ -77,42 +74,15 @@ def write_manifest(processed: DataFrame, path: str, gone: DataFrame | None = Non
     entries.withColumn("processed_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def replace_rows(rows: DataFrame, stale: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> int:
-    """Replace the stored rows of the ``stale`` keys by ``rows``, whose keys must
-    be among them. Returns how many rows were written.
+def upsert_chunks(changed: DataFrame, doc_ids: DataFrame, path: str, buckets: int | None = None) -> int:
+    """Replace the stored chunks of the given documents by ``changed``; returns how many chunks were written.
 
-    The store is split into buckets by key. Only the buckets of the stale keys
-    are read and written again; within a bucket rows are spread by their
-    content, so one key with very many rows does not fill one task.
+    Chunks and ids may name, as ``source``, the file a document was read from; chunks are then replaced by file. The
+    update appends and reads nothing stored, see ``sources/store.py``; ``buckets`` is into how many files it deals its chunks.
     """
-    spark = rows.sparkSession
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    fresh = rows.withColumn("bucket", bucket)
-    hit = []
-    if path_exists(spark, path):
-        # Written down, so that the join below is one of plain scans, in which
-        # adaptive execution can split a key with very many rows.
-        keys = written_table(stale.select(key).distinct().withColumn("bucket", bucket), "keys")
-        hit = [r.bucket for r in keys.select("bucket").distinct().collect()]  # at most `buckets`
-        if not hit:
-            return 0
-        kept = (spark.read.schema(fresh.schema).parquet(path).where(F.col("bucket").isin(hit))
-                .join(keys.select(key), key, "left_anti"))
-        fresh = fresh.unionByName(kept)
-    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(8))
-    counted = Observation()
-    (fresh.repartition("bucket", spread)
-     .observe(counted, F.count(F.lit(1)).alias("n_rows"), F.collect_set("bucket").alias("filled"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(path))
-    # A bucket that lost its last row got nothing written over it.
-    for emptied in set(hit) - set(counted.get["filled"]):
-        delete_folder(spark, f"{path}/bucket={emptied}")
-    return counted.get["n_rows"]
-
+    def source(df: DataFrame):
+        return F.col("source" if "source" in df.columns else "doc_id").cast("string").alias("source")
 
-def upsert_chunks(changed: DataFrame, doc_ids: DataFrame, path: str, buckets: int = BUCKETS) -> int:
-    """Replace the stored chunks of the given documents by ``changed``."""
     columns = [part.split()[0] for part in COLLECTION_SCHEMA.split(", ")]
-    return replace_rows(changed.select(*columns), doc_ids.select(F.col("doc_id").cast("string").alias("doc_id")),
-                        path, "doc_id", buckets)
+    change = Change(changed.select(*columns, source(changed)), doc_ids.select(source(doc_ids)))
+    return collection_store(changed.sparkSession, path).update({"chunks": change}, buckets)["chunks"]

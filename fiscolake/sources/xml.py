@@ -14,10 +14,9 @@ from pyspark.sql import types as T
 
 from fiscolake.functions import scalars as S
 from fiscolake.functions.files import file_name, file_path
-from fiscolake.schemas import SCHEDULES, xml_line_schema
+from fiscolake.schemas import CORRUPT, SCHEDULES, xml_line_schema
 
 ROOT_TAG = "declaracao"
-CORRUPT = "_corrupt_record"
 _IDENT, _DATE, _VERSION = "identificadorDeclaracao", "dataDeclaracao", "_versao"
 READ_OPTIONS = {"inferSchema": "false", "ignoreNamespace": "true", "mode": "PERMISSIVE",
             "columnNameOfCorruptRecord": CORRUPT}
@@ -25,10 +24,10 @@ READ_OPTIONS = {"inferSchema": "false", "ignoreNamespace": "true", "mode": "PERM
 Path = tuple[str, ...]
 
 
-def learn_layout(spark: SparkSession, path: str | list[str], root_tag: str = ROOT_TAG) -> T.StructType:
+def learn_layout(spark: SparkSession, path: str | list[str], root_tag: str = ROOT_TAG, pattern: str = "*") -> T.StructType:
     """Tag tree of the files, by one distributed pass over all of them."""
     return (spark.read.format("xml").options(**READ_OPTIONS).option("rowTag", root_tag)
-            .option("recursiveFileLookup", True).load(path).schema)
+            .option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).schema)
 
 
 def _element(t: T.DataType) -> T.DataType:
@@ -157,28 +156,28 @@ def raw_columns(schema: T.StructType, as_of: Column, root: Column | None = None)
 
 def read_xml_returns(spark: SparkSession, path: str | list[str], *, as_of: str,
                      key: Column | None = None, layout: T.StructType | None = None,
-                     root_tag: str = ROOT_TAG) -> DataFrame:
+                     root_tag: str = ROOT_TAG, once: bool = True, pattern: str = "*") -> DataFrame:
     """One row per return: key, file, date, summary, six arrays of raw lines.
 
     ``key`` may use ``file_path`` and ``cpf``; by default it is a digest of the
-    path and the return, and a return repeated in a file comes out once. ``as_of`` (a date) stands in for a missing document date. Unreadable
-    files come out with ``parse_error`` set and no lines.
+    path and the return, and a return repeated in a file comes out once (unless ``once`` is false). ``as_of`` (a date)
+    stands in for a missing document date. Unreadable files come out with ``parse_error`` set and no lines.
     """
-    schema = reading_schema(layout or learn_layout(spark, path, root_tag))
-    files = (spark.read.format("xml").options(**READ_OPTIONS).option("rowTag", root_tag)
+    schema = reading_schema(layout or learn_layout(spark, path, root_tag, pattern))
+    files = (spark.read.format("xml").options(**READ_OPTIONS).option("rowTag", root_tag).option("pathGlobFilter", pattern)
              .option("recursiveFileLookup", True).schema(schema).load(path))
     rows = files.select(file_path(), file_name(), file_path().alias("source_path"),
                         *raw_columns(schema, F.lit(as_of).cast("date")),
                         parse_error())
     returns = keyed(rows, key)
-    return returns.dropDuplicates(["declaration_id"]) if key is None else returns
+    return returns.dropDuplicates(["declaration_id"]) if key is None and once else returns
 
 
 def keyed(rows: DataFrame, key: Column | None) -> DataFrame:
-    """Rows under the caller's key, or a digest of the path and the return."""
+    """Rows under the caller's key, or a digest of the path and the return, with the ``digest`` of the return."""
     content = F.xxhash64(*[c for c in rows.columns if c not in ("file_path", "file_name", "source_path")]).cast("string")
     own = F.sha2(F.concat_ws("#", "file_path", content), 256)
-    return rows.select((own if key is None else key).alias("declaration_id"), "*")
+    return rows.select((own if key is None else key).alias("declaration_id"), "*", content.alias("digest"))
 
 
 def parse_xml_column(df: DataFrame, text: str, *, as_of: str, layout: T.StructType) -> DataFrame:

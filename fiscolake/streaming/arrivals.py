@@ -17,10 +17,11 @@ from pyspark.sql.streaming import StreamingQuery
 from fiscolake.functions.files import file_name, file_path
 from fiscolake.operators.embed import Embedder
 from fiscolake.operators.shred import json_returns
-from fiscolake.plans.documents import checked_tables
+from fiscolake.plans.documents import checked_tables, unreadable
 from fiscolake.plans.knowledge import collection_rows
-from fiscolake.schemas import json_schema
+from fiscolake.schemas import CORRUPT, json_reading_schema
 from fiscolake.session import written_table
+from fiscolake.sources.readers import placed
 from fiscolake.sources.writers import upsert_chunks
 from fiscolake.sources.xml import READ_OPTIONS, ROOT_TAG, keyed, parse_error, raw_columns, reading_schema
 
@@ -47,7 +48,7 @@ def stream_xml_returns(spark: SparkSession, path: str, layout: T.StructType, out
     schema = reading_schema(layout)
     files = (spark.readStream.format("xml").options(**READ_OPTIONS).option("rowTag", root_tag)
              .option("maxFilesPerTrigger", files_per_batch).schema(schema).load(path))
-    rows = files.select(file_path(), file_name(),
+    rows = files.select(file_path(), file_name(), file_path().alias("source_path"),
                         *raw_columns(schema, F.lit(as_of).cast("date")),
                         parse_error())
     returns = keyed(rows, key)
@@ -55,7 +56,7 @@ def stream_xml_returns(spark: SparkSession, path: str, layout: T.StructType, out
     def load(batch: DataFrame, number: int) -> None:
         kept = written_table(_once(batch, key), "batch")
         tables, rejects = checked_tables(kept.where("parse_error IS NULL"), "xml")
-        _write_batch({**tables, "rejects": rejects}, out, number)
+        _write_batch({**tables, "rejects": rejects.unionByName(unreadable(kept))}, out, number)
 
     return _run(returns, load, checkpoint)
 
@@ -63,17 +64,14 @@ def stream_xml_returns(spark: SparkSession, path: str, layout: T.StructType, out
 def stream_json_returns(spark: SparkSession, path: str, out: str, checkpoint: str, *,
                         key: Column | None = None, files_per_batch: int = 1000) -> StreamingQuery:
     """Arriving JSON returns (one per line) to the served tables."""
-    files = (spark.readStream.schema(json_schema()).option("maxFilesPerTrigger", files_per_batch)
-             .json(path))
-    placed = files.select(
-        *[c for c in files.columns if c not in ("file_path", "file_name")],
-        F.coalesce("file_path", file_path()).alias("file_path"),
-        F.coalesce("file_name", file_name()).alias("file_name"))
-    returns = json_returns(placed, key)
+    files = (spark.readStream.schema(json_reading_schema()).option("maxFilesPerTrigger", files_per_batch)
+             .option("columnNameOfCorruptRecord", CORRUPT).json(path))
+    returns = json_returns(placed(files), key)
 
     def load(batch: DataFrame, number: int) -> None:
-        tables, rejects = checked_tables(written_table(_once(batch, key), "batch"), "json")
-        _write_batch({**tables, "rejects": rejects}, out, number)
+        kept = written_table(_once(batch, key), "batch")
+        tables, rejects = checked_tables(kept.where("parse_error IS NULL"), "json")
+        _write_batch({**tables, "rejects": rejects.unionByName(unreadable(kept))}, out, number)
 
     return _run(returns, load, checkpoint)
 
