@@ -49,6 +49,9 @@ SHARDS_PER_PIECE = 16
 FAN = 32
 #: Distinct pairs a task holds before it hands its sums on.
 HELD_PAIRS = 1 << 20
+#: Texts a process remembers the ids of, and how long they may be.
+HELD_TEXTS = 200_000
+SHORT_TEXT = 40
 #: Blanks between two signs that are no white space, and what tells that a text has others.
 BLANK = re.compile(r"(?<=\S)(?= \S)")
 BESIDE_SPACE = re.compile(r" \s|\s ")
@@ -87,8 +90,9 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b_bytes = [bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
                         for i, piece in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
-        self.a_lengths = np.array([len(t) for t in self.a_bytes])
-        self.b_lengths = np.array([len(t) for t in self.b_bytes])
+        self.a_sizes, self.b_sizes = [len(t) for t in self.a_bytes], [len(t) for t in self.b_bytes]
+        self.a_lengths, self.b_lengths = np.array(self.a_sizes), np.array(self.b_sizes)
+        self.met: dict[str, tuple[list[int], list[int]]] = {}
         ends = (",", "|"), (",", ";", "")
         self.a_signs, self.b_signs = (np.array([f"{i}{e}" for i in range(len(names)) for e in signs], dtype=object)
                                       for names, signs in zip((self.a_bytes, self.b_bytes), ends))
@@ -106,14 +110,26 @@ class Tokenizers:
         return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both for each text; none unless both give back the bytes of blank and text."""
-        out = []
-        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
-            a, whole = self.a.encode_ordinary(" " + text), b" " + text.encode()
-            same = b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
-            out.append((a, b) if same else ([], []))
+        """Ids of both for each text; none unless both give back the bytes of blank and text. Short texts met before are
+        not encoded again."""
+        new = [t for t in texts if t not in self.met]
+        a, b = [self.a.encode_ordinary(" " + t) for t in new], self.b.encode(new, num_threads=1)
+        wholes = [b" " + t.encode() for t in new]
+        whole = b"".join(wholes)
+        lengths = np.array([len(w) for w in wholes], dtype=np.int64)
+        same = all(b"".join([names[i] for i in chain.from_iterable(ids)]) == whole and np.array_equal(
+            np.fromiter((sum(map(sizes.__getitem__, i)) for i in ids), np.int64), lengths)
+            for ids, names, sizes in ((a, self.a_bytes, self.a_sizes), (b, self.b_bytes, self.b_sizes)))
+        found = dict(zip(new, zip(a, b) if same else (self._checked(*each) for each in zip(wholes, a, b))))
+        out = [self.met.get(t) or found[t] for t in texts]
+        if len(self.met) < HELD_TEXTS:
+            self.met.update((t, ids) for t, ids in found.items() if len(t) <= SHORT_TEXT)
         return out
 
+    def _checked(self, whole: bytes, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+        same = b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
+        return (a, b) if same else ([], [])
+
 
 def tokenizers(a_path: str, b_path: str) -> Tokenizers:
     """The tokenizers of a pair of files, loaded once per process."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Hashable, Iterable
 
 import numpy as np
@@ -35,8 +36,9 @@ def lower_ascii(text: Column) -> Column:
 def numbered(values: Iterable[Hashable]) -> tuple[np.ndarray, list]:
     """A number for each value, and the different values in the order of their numbers. Unlike factorize() of pandas,
     which ends strings at a null character."""
-    numbers: dict = {}
-    codes = np.fromiter((numbers.setdefault(v, len(numbers)) for v in values), np.int64)
+    numbers: defaultdict = defaultdict()
+    numbers.default_factory = numbers.__len__
+    codes = np.fromiter(map(numbers.__getitem__, values), np.int64)
     return codes, list(numbers)
 
 

@@ -2,9 +2,10 @@
 
 The tree holds every run of up to five words, per language, and is never in one place. It is partitioned vertically:
 
-1. Words are counted. A word below the least count is in no phrase asked for, so runs end before it; tasks know the other
-   words by a Bloom filter of 16 MB whatever the vocabulary (a false positive costs room, no exactness).
-2. Every position begins a suffix of up to five words, cut at the end of its piece. Equal suffixes are added up in the
+1. Words are counted, then pairs of neighbours of which both are seen often enough. A pair below the least count is in no
+   phrase asked for, so runs end between its words. Tasks know the frequent words, and then the frequent pairs, by a
+   Bloom filter of 16 MB whatever the vocabulary (a false positive costs room, no exactness).
+2. Every position begins a suffix of up to five words, cut at the end of its run. Equal suffixes are added up in the
    task and again by the shuffle: these are the leaves of the tree, truncated in depth, with their totals.
 3. Prefixes are sized. One whose leaves exceed the memory budget is lengthened by a word, until each fits; prefixes are
    then grouped until a group reaches the budget (so a group holds twice the budget at most).
@@ -94,30 +95,50 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return each.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
-# ---------------------------------------------------------------- filter of frequent words
+# ---------------------------------------------------------------- filters of frequent words and pairs
 
-def _places(lang: str, words: list[bytes]) -> np.ndarray:
-    """The bits of each word of a language, a row per word."""
+def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
     head = lang.encode() + STOP
-    hashes = np.array([xxhash.xxh64_intdigest(head + w) for w in words], dtype=np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(head + w) for w in words), np.uint64)
+
+
+def _pairs(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """A hash for each word of a stream and the next."""
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    pairs = mixed[codes[:-1]] + (hashes ^ (hashes >> np.uint64(31)))[codes[1:]]
+    return pairs ^ (pairs >> np.uint64(32))
+
+
+def _places(hashes: np.ndarray) -> np.ndarray:
+    """The bits of each hash, a row per hash."""
     step = (hashes >> np.uint64(32)) | np.uint64(1)
     return np.stack([(hashes + np.uint64(i) * step) % np.uint64(FILTER_BITS) for i in range(PROBES)], axis=1).astype(np.int64)
 
 
-def word_filter(words: DataFrame) -> np.ndarray:
-    """A Bloom filter of (lang, phrase), put together from slices that tasks fill."""
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def word_hashes(words: DataFrame) -> DataFrame:
+    """(h): hashes of (lang, phrase)."""
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lang, group in b.groupby("lang"):
-                bits = np.unique(_places(lang, [w.encode() for w in group["phrase"]]))
-                yield pd.DataFrame({"slice": bits // SLICE_BITS, "bit": bits % SLICE_BITS})
+                yield pd.DataFrame({"h": _hashes(lang, [w.encode() for w in group["phrase"]]).view(np.int64)})
+
+    return words.select("lang", "phrase").mapInPandas(hashes, "h long")
+
+
+def bloom_filter(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of the hashes ``h``, put together from slices that tasks fill."""
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            bits = np.unique(_places(b["h"].to_numpy().view(np.uint64)))
+            yield pd.DataFrame({"slice": bits // SLICE_BITS, "bit": bits % SLICE_BITS})
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(SLICE_BITS, dtype=bool)
         bits[rows["bit"]] = True
         return pd.DataFrame({"slice": key, "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    slices = (words.select("lang", "phrase").mapInPandas(places, "slice long, bit long").distinct()
+    slices = (hashes.mapInPandas(places, "slice long, bit long").distinct()
               .groupBy("slice").applyInPandas(fill, "slice long, bits binary"))
     bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     for row in slices.toLocalIterator():
@@ -126,25 +147,44 @@ def word_filter(words: DataFrame) -> np.ndarray:
     return bits
 
 
-def _passes(bits: np.ndarray, lang: str, words: list[bytes]) -> np.ndarray:
-    at = _places(lang, words)
+def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = _places(hashes)
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
 
 
+def frequent_pairs(docs: DataFrame, words: DataFrame, least: int) -> DataFrame:
+    """(h): hashes of the pairs of neighbours seen ``least`` times, among them by chance some that are not."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(word_hashes(words)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, stream in _by_language(b):
+                codes, distinct = numbered(stream)
+                hashes = _hashes(lang, distinct)
+                known = (_passes(shared.value, hashes) & np.array([w != STOP for w in distinct], dtype=bool))[codes]
+                pairs, n = np.unique(_pairs(hashes, codes)[known[:-1] & known[1:]], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"h": pairs.view(np.int64), "n": n})
+
+    counted = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    out = written_table(counted.where(F.col("n") >= least).select("h"), "pairs")
+    shared.destroy()
+    return out
+
+
 # ---------------------------------------------------------------- leaves
 
 def _suffixes(words: list[bytes], lang: str, bits: np.ndarray, depth: int) -> tuple[list[str], np.ndarray]:
-    """Suffixes of 2 to ``depth`` frequent words of a stream, and how often each begins."""
+    """Suffixes of 2 to ``depth`` words of a stream, each pair of neighbours frequent, and how often each begins."""
     codes, distinct = numbered(words)
-    known = _passes(bits, lang, distinct) & np.array([w != STOP for w in distinct])
-    good = known[codes]
-    ends = np.flatnonzero(~np.append(good, False))
-    at = np.flatnonzero(good)
-    lengths = np.minimum(ends[np.searchsorted(ends, at)] - at, depth)
-    at, lengths = at[lengths >= 2], lengths[lengths >= 2]
+    inner = np.array([w != STOP for w in distinct], dtype=bool)[codes]
+    linked = inner[:-1] & inner[1:]
+    linked[linked] = _passes(bits, _pairs(_hashes(lang, distinct), codes)[linked])
+    ends = np.flatnonzero(~np.append(linked, False))
+    at = np.flatnonzero(linked)
     if not len(at):
         return [], at
-    key = codes[at].astype(np.int64)
+    lengths = np.minimum(ends[np.searchsorted(ends, at)] - at + 1, depth)
+    key = codes[at]
     for d in range(1, depth):
         more = np.where(lengths > d, codes[np.minimum(at + d, len(codes) - 1)] + 1, 0)
         key = np.unique(key * (len(distinct) + 1) + more, return_inverse=True)[1].astype(np.int64)
@@ -152,17 +192,16 @@ def _suffixes(words: list[bytes], lang: str, bits: np.ndarray, depth: int) -> tu
     return [b" ".join(words[i:i + k]).decode() for i, k in zip(at[first].tolist(), lengths[first].tolist())], n
 
 
-def leaves(docs: DataFrame, words: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(lang, suffix, n): truncated suffixes of frequent words and their totals; a table in the shared folder."""
-    shared = docs.sparkSession.sparkContext.broadcast(word_filter(words))
+def leaves(docs: DataFrame, pairs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(lang, suffix, n): truncated suffixes and their totals; a table in the shared folder."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(pairs))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lang, stream in _by_language(b):
-                if stream:
-                    suffixes, n = _suffixes(stream, lang, shared.value, depth)
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(suffixes), "string"),
-                                                      "suffix": pa.array(suffixes, "string"), "n": pa.array(n, "int64")})
+                suffixes, n = _suffixes(stream, lang, shared.value, depth)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(suffixes), "string"),
+                                                  "suffix": pa.array(suffixes, "string"), "n": pa.array(n, "int64")})
 
     each = docs.mapInArrow(begin, "lang string, suffix string, n long")
     out = written_table(each.groupBy("lang", "suffix").agg(F.sum("n").alias("n")), "leaves")
@@ -253,7 +292,7 @@ def frequent_phrases(docs: DataFrame, words: DataFrame, *, least: int = LEAST, d
                      budget: int = BUDGET) -> DataFrame:
     """(lang, phrase, a, lefts): all phrases of 2 to ``depth`` words seen ``least`` times, each with the counts of its
     first 1, 2, ... words. ``words`` are the words seen that often."""
-    tree = leaves(docs, words, depth)
+    tree = leaves(docs, frequent_pairs(docs, words, least), depth)
     closed, longer = prefixes(tree, words, depth, budget)
     parts = written_table(grouped(closed, budget), "parts")
     # How long the prefix of a leaf is: one more than the prefixes of it that were lengthened.

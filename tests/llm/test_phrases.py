@@ -83,9 +83,9 @@ def test_large_counts_stay_exact(spark):
 
 def test_filter_knows_its_words(spark):
     words = spark.createDataFrame([("en" if i % 2 else "fr", f"w{i}", 1) for i in range(2000)], "lang string, phrase string, a long")
-    bits = phrases.word_filter(words)
-    assert phrases._passes(bits, "en", [f"w{i}".encode() for i in range(1, 2000, 2)]).all()
-    assert phrases._passes(bits, "en", [f"w{i}".encode() for i in range(0, 2000, 2)]).sum() < 20
+    bits = phrases.bloom_filter(phrases.word_hashes(words))
+    assert phrases._passes(bits, phrases._hashes("en", [f"w{i}".encode() for i in range(1, 2000, 2)])).all()
+    assert phrases._passes(bits, phrases._hashes("en", [f"w{i}".encode() for i in range(0, 2000, 2)])).sum() < 20
 
 
 def test_query_matches_sql(spark):
