@@ -144,9 +144,9 @@ def _slots(name: str, source: str, key: str, text: str) -> str:
     {name} AS (SELECT id, slot, CAST(CAST(c / norm AS FLOAT) AS DOUBLE) AS v FROM {name}_c JOIN {name}_n USING (id))"""
 
 
-def _top(scores: str) -> str:
+def _top(scores: str, k: int = 2) -> str:
     return f"""SELECT * FROM (SELECT query_id, item_id, score, CAST(row_number() OVER (
-        PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM ({scores})) WHERE rank <= 2"""
+        PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM ({scores})) WHERE rank <= {k}"""
 
 
 _ANY_SCORE = """SELECT a.id AS query_id, b.id AS item_id, round(coalesce(max(s.score), 0), 6) AS score
@@ -342,6 +342,10 @@ ORACLES = {
     "vector_topk": "WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, "
         "range(1, 65) r(i) GROUP BY label, i) " + _top("""SELECT m.label AS query_id, vec_id AS item_id,
         round(sum(m.v * CAST(embedding[m.i] AS DOUBLE)), 6) AS score FROM m, embeddings GROUP BY ALL"""),
+    "vector_cells": _top("""SELECT q.vec_id AS query_id, e.vec_id AS item_id,
+        round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
+        FROM embeddings q, embeddings e WHERE q.vec_id % 10 = 0""", 5),
+    "bm25_stored": "WITH " + _BM25 + _top("SELECT * FROM bm"),
     "embed_hashed": f"WITH {_DOCS} SELECT id AS doc_id, CAST(slot AS INTEGER) AS slot, round(v, 5) AS value FROM dv",
     "hybrid_hits": f"WITH {_BM25}, {_QUESTIONS}, {_DOCS} SELECT *, 'vector' AS source FROM ("
         + _top(_ANY_SCORE.format(q="qv", d="dv", items="SELECT doc_id AS id FROM documents"))

@@ -13,8 +13,10 @@ from checks.bridge import AS_OF, given, money
 from fiscolake.functions import scalars as S
 from fiscolake.functions import urls as U
 from fiscolake.operators import crawl, incremental, retrieve, shred, validate
+from fiscolake.operators.cells import build_cells
 from fiscolake.operators.chunk import chunk_sentences, chunk_words
 from fiscolake.operators.embed import embed
+from fiscolake.operators.postings import posting_blocks
 from fiscolake.plans import analytics, catalog, documents
 from fiscolake.plans.knowledge import build_knowledge_base, collection_rows
 from fiscolake.plans.web import crawl_to_json
@@ -483,6 +485,21 @@ def vector_topk(spark: Spark, sf: str) -> DataFrame:
     return retrieve.vector_topk(means, items)
 
 
+def vector_cells(spark: Spark, sf: str) -> DataFrame:
+    """Every tenth vector against all of them, by the index of cells."""
+    vectors = given(spark, sf, "embeddings")
+    asked = vectors.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieve.vector_topk(asked, build_cells(vectors.select(F.col("vec_id").alias("item_id"), "embedding")), 5)
+
+
+def bm25_stored(spark: Spark, sf: str) -> DataFrame:
+    """The questions against stored blocks of the postings of all documents."""
+    docs = _docs(spark, sf).withColumnRenamed("doc_id", "item_id")
+    size = written_table(retrieve.collection_size(docs), "size")
+    blocks = written_table(posting_blocks(retrieve.postings(docs), size, k1=retrieve.K1, b=retrieve.B), "blocks")
+    return retrieve.bm25_topk(_questions(spark, sf), docs, size=size, blocks=blocks)
+
+
 def _doc_vectors(spark: Spark, sf: str) -> DataFrame:
     return embed(_docs(spark, sf)).select(F.col("doc_id").alias("item_id"), "embedding")
 
@@ -662,6 +679,8 @@ QUERIES = {
     "chunk_sentences": chunk_sentences_query,
     "bm25_topk": bm25_topk,
     "vector_topk": vector_topk,
+    "vector_cells": vector_cells,
+    "bm25_stored": bm25_stored,
     "hybrid_hits": hybrid_hits,
     "embed_hashed": embed_hashed,
     "kb_context": kb_context,

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscolake.functions.tokens import Normalizer, same_term, terms
+from fiscolake.operators.cells import Cells, best_by_cells
 from fiscolake.operators.embed import Embedder, embed
+from fiscolake.operators.postings import BLOCK_SIZE, best_by_blocks, posting_blocks
 from fiscolake.operators.topk import best_matches
 from fiscolake.session import written_table
 
@@ -29,8 +31,11 @@ def _dot(queries: pd.DataFrame, items: pd.DataFrame) -> np.ndarray:
     return scores
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, **limits: int) -> DataFrame:
-    """Nearest vectors by dot product: ``query_id, embedding`` against ``item_id, embedding``."""
+def vector_topk(queries: DataFrame, vectors: DataFrame | Cells, k: int = TOP_K, **limits: int) -> DataFrame:
+    """Nearest vectors by dot product: ``query_id, embedding`` against ``item_id, embedding``, or against an index of
+    them (from ``build_cells``), of which only the cells that can hold a hit are searched."""
+    if isinstance(vectors, Cells):
+        return best_by_cells(queries, vectors, k, _dot, **limits)
     return best_matches(queries.select("query_id", "embedding"),
                         vectors.select("item_id", "embedding"),
                         _dot, k, query_bytes=F.size("embedding") * 4, item_bytes=F.size("embedding") * 4, **limits)
@@ -54,57 +59,27 @@ def collection_size(docs: DataFrame, normalize: Normalizer = same_term) -> DataF
     return docs.agg(F.count("*").alias("n_docs"), F.avg(length).alias("mean_length"))
 
 
-def _term_scores(queries: pd.DataFrame, items: pd.DataFrame) -> np.ndarray:
-    """Sum, over the terms of a query, of what each term is worth in the item."""
-    vocabulary = pd.Index(np.unique(np.concatenate(queries["terms"].to_list())))
-    weight = np.zeros((len(vocabulary), len(queries)))
-    for column, (names, counts) in enumerate(zip(queries["terms"], queries["counts"])):
-        weight[vocabulary.get_indexer(names), column] = counts
-    lengths = np.array([len(t) for t in items["terms"]])
-    scores = np.zeros((len(items), len(queries)))
-    # Entries of whole items at a time, so that the working matrix stays small.
-    step = max(1, 2_000_000 // max(1, len(queries) * max(1, int(lengths.mean()))))
-    for at in range(0, len(items), step):
-        part = items.iloc[at:at + step]
-        found = vocabulary.get_indexer(np.concatenate(part["terms"].to_list()))
-        worth = np.concatenate(part["worth"].to_list())
-        entries = np.where((found >= 0)[:, None], weight[found], 0.0) * worth[:, None]
-        starts = np.concatenate([[0], np.cumsum(lengths[at:at + step])[:-1]])
-        scores[at:at + step] = np.add.reduceat(entries, starts, axis=0)
-    return scores.T
-
-
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, *,
               normalize: Normalizer = same_term, k1: float = K1, b: float = B,
               index: DataFrame | None = None, size: DataFrame | None = None,
-              **limits: int) -> DataFrame:
+              blocks: DataFrame | None = None, block_size: int = BLOCK_SIZE) -> DataFrame:
     """Best documents by BM25: ``query_id, text`` against ``item_id, text``.
 
-    A stored ``index`` (from ``postings``) and ``size`` (from
-    ``collection_size``) save reading the documents. A document sharing no term
+    A stored ``index`` (from ``postings``) and ``size`` (from ``collection_size``) save reading the documents, stored
+    ``blocks`` (from ``posting_blocks``) save sorting the postings, too. A document sharing no term
     with a query is no hit of it.
     """
-    index = postings(docs, normalize) if index is None else index
     size = collection_size(docs, normalize) if size is None else size
     asked = (queries.select("query_id", F.explode(terms(F.col("text"), normalize)).alias("term"))
              .groupBy("query_id", "term").agg(F.count("*").alias("n")))
-    # Both are needed again, and a join of plain scans lets adaptive execution
-    # split the postings of a term that is everywhere.
-    matching = written_table(index.join(asked.select("term"), "term", "left_semi"), "matching")
-    frequency = written_table(matching.groupBy("term").agg(F.count("*").alias("df")), "frequency")
-    n_docs, mean_length = (size.select(c).scalar() for c in ("n_docs", "mean_length"))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    worths = frequency.select("term", idf.alias("idf"))
-    tf = F.col("tf").cast("double")
-    worth = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n_terms") / mean_length))
-    items = (matching.join(worths, "term").groupBy("item_id")
-             .agg(F.collect_list(F.struct("term", worth.alias("w"))).alias("e"))
-             .select("item_id", F.col("e.term").alias("terms"), F.col("e.w").alias("worth")))
-    asked_lists = (asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "n")).alias("e"))
-                   .select("query_id", F.col("e.term").alias("terms"), F.col("e.n").alias("counts")))
-    bytes_of = F.length(F.array_join("terms", "")) + F.size("terms") * 16
-    return best_matches(asked_lists, items, _term_scores, k, query_bytes=bytes_of, item_bytes=bytes_of,
-                        positive_only=True, **limits)
+    if blocks is None:
+        index = postings(docs, normalize) if index is None else index
+        asked = written_table(asked, "asked")
+        size = written_table(size, "size")
+        matching = index.join(asked.select("term").distinct(), "term", "left_semi")
+        # Read several times, and a join of plain scans lets adaptive execution split a term that is everywhere.
+        blocks = written_table(posting_blocks(matching, size, k1=k1, b=b, block_size=block_size), "blocks")
+    return best_by_blocks(asked, blocks, size, k)
 
 
 def hybrid_topk(vector_hits: DataFrame, keyword_hits: DataFrame, dedupe: bool = False) -> DataFrame:
@@ -120,10 +95,13 @@ def hybrid_topk(vector_hits: DataFrame, keyword_hits: DataFrame, dedupe: bool =
 
 
 def ask(questions: DataFrame, collection: DataFrame, k: int = TOP_K,
-        embedder: Embedder | None = None, **limits: int) -> DataFrame:
-    """Context of each question (``query_id, text``): the nearest chunks' text by rank."""
+        embedder: Embedder | None = None, index: Cells | None = None, **limits: int) -> DataFrame:
+    """Context of each question (``query_id, text``): the nearest chunks' text by rank. ``index`` holds the collection's
+    vectors under their chunk ids."""
     asked = embed(questions, embedder).select("query_id", "embedding")
-    hits = vector_topk(asked, collection.withColumnRenamed("chunk_id", "item_id"), k, **limits)
+    vectors = collection.withColumnRenamed("chunk_id", "item_id") if index is None else index
+    # A few rows per question; the collection is read past them instead of being shuffled, where their size allows.
+    hits = written_table(vector_topk(asked, vectors, k, **limits), "hits")
     texts = collection.select(F.col("chunk_id").alias("item_id"), "doc_id", "chunk_no",
                               F.col("text").alias("context"))
     return (hits.join(texts, "item_id")

@@ -9,9 +9,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fiscolake.functions.tokens import strip_plural, terms
-from fiscolake.operators import retrieve
+from fiscolake.operators import cells, postings, retrieve
 from fiscolake.operators.chunk import chunk_sentences, chunk_words
 from fiscolake.operators.embed import embed, hashed_words
+from fiscolake.session import written_table
 
 DOCS = [(i, " ".join(f"w{(i * j) % 13}" for j in range(1, 5 + i % 7)) + (" comum" * (i % 3))) for i in range(60)]
 QUERIES = [(i, f"w{i} comum w{(i * 5) % 13} w{i}") for i in range(12)]
@@ -53,9 +54,26 @@ def grouped(hits):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, SMALL_BLOCKS, {"max_shared_bytes": 100, "items_per_block": 10}])
-def test_bm25_matches_brute_force(spark, limits):
-    assert grouped(retrieve.bm25_topk(_queries(spark), _docs(spark), 3, **limits)) == _bm25(3)
+@pytest.mark.parametrize("k, block_size", [(3, 128), (1, 3), (3, 1), (100, 2)])
+def test_bm25_matches_brute_force(spark, k, block_size):
+    assert grouped(retrieve.bm25_topk(_queries(spark), _docs(spark), k, block_size=block_size)) == _bm25(k)
+
+
+def test_bm25_reads_few_of_the_stored_blocks(spark):
+    """A word of every document and rare ones: the common word's postings are not taken apart, and hits stay the same."""
+    docs = spark.range(4000).selectExpr("id AS item_id", "concat('todos ', repeat('todos ', cast(id % 3 AS int)), "
+                                        "'raro', id div 40, ' cheio', id % 7) AS text")
+    size, index = retrieve.collection_size(docs), retrieve.postings(docs)
+    blocks = written_table(postings.posting_blocks(index, size, k1=retrieve.K1, b=retrieve.B), "blocks")
+    assert blocks.agg(F.max("n"), F.sum("n")).first()[1] == index.count()
+    queries = spark.createDataFrame([(i, f"todos raro{i * 9}") for i in range(8)], "query_id long, text string")
+    asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term"), F.lit(1).alias("n"))
+    judged = postings.essential_terms(asked, blocks, size, 2)
+    assert judged.where("essential").select("term").where("term = 'todos'").count() == 0
+    read = postings.blocks_to_read(judged, blocks).agg(F.sum("n")).first()[0]
+    assert read <= 8 * 40 and blocks.where("term = 'todos'").agg(F.sum("n")).first()[0] == 4000
+    stored = grouped(retrieve.bm25_topk(queries, docs, 2, size=size, blocks=blocks))
+    assert stored == grouped(retrieve.bm25_topk(queries, docs, 2)) and len(stored) == 8
 
 
 def test_bm25_stored_index_and_normalizer(spark):
@@ -82,6 +100,46 @@ def test_vector_topk_matches_brute_force(spark, limits):
     assert grouped(retrieve.vector_topk(q, v, 4, **limits)) == want
 
 
+def _clustered(n, dim=8, groups=20):
+    rng = np.random.default_rng(7)
+    middles = rng.normal(size=(groups, dim)) * 5
+    x = (middles[rng.integers(0, groups, n)] + rng.normal(size=(n, dim)) * 0.1).astype(np.float32)
+    x[: n // 3] = x[0]  # a third are copies of one vector
+    return x
+
+
+@pytest.mark.parametrize("options, limits", [({}, {}), ({"n_cells": 3, "part_size": 50}, {"block_size": 4}), ({"n_cells": 1}, {})])
+def test_cells_give_what_all_vectors_give(spark, options, limits):
+    items = _clustered(600)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(items)] + [(9999, None), (9998, [float("nan")] * 8)],
+                              "item_id int, embedding array<float>")
+    asked = np.vstack([items[:3], np.random.default_rng(1).normal(size=(10, 8)).astype(np.float32), np.zeros((1, 8), np.float32)])
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(asked)], "query_id int, embedding array<float>")
+    index = cells.build_cells(v, **options)
+    scores = np.round(asked.astype(np.float64) @ items.astype(np.float64).T, 6)
+    want = {i: [(int(j), s[j]) for j in sorted(range(600), key=lambda j: (-s[j], j))[:5]] for i, s in enumerate(scores)}
+    assert grouped(retrieve.vector_topk(q, index, 5, **limits)) == want
+
+
+def test_few_cells_are_read(spark):
+    items = _clustered(3000)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(items)], "item_id int, embedding array<float>")
+    q = spark.createDataFrame([(i, items[i].tolist()) for i in range(1500, 1520)], "query_id int, embedding array<float>")
+    index = cells.build_cells(v)
+    first = cells.cells_to_read(q, index, 2).count()
+    floors = retrieve.vector_topk(q, index, 2).groupBy("query_id").agg(F.min("score").alias("least"))
+    assert first + cells.cells_to_read(q, index, 2, floors).count() < 0.25 * 20 * index.cells.count()
+    assert index.cells.agg(F.sum("n")).first()[0] == 3000
+
+
+def test_cells_of_nothing(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0])], "item_id int, embedding array<float>")
+    q = v.withColumnRenamed("item_id", "query_id")
+    assert retrieve.vector_topk(q, cells.build_cells(v.limit(0)), 3).count() == 0
+    assert grouped(retrieve.vector_topk(q, cells.build_cells(v), 3)) == {1: [(1, 1.0)]}
+    assert retrieve.vector_topk(q.limit(0), cells.build_cells(v), 3).count() == 0
+
+
 def test_fewer_items_than_k_and_empty_sides(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0])], "item_id int, embedding array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id int, embedding array<float>")
