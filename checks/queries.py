@@ -23,6 +23,7 @@ from fiscolake.plans.web import crawl_to_json
 from fiscolake.schemas import INCOME_TABLES, SCHEDULES, xml_line_schema
 from fiscolake.session import shared_path, written_table
 from fiscolake.sources import readers, writers
+from fiscolake.sources.filesystem import move_file
 from fiscolake.sources.xml import parse_xml_column, read_xml_returns
 from fiscolake.streaming import arrivals
 
@@ -379,7 +380,8 @@ def load_changes(spark: Spark, sf: str) -> DataFrame:
     put(records.where("part = 0"), "copy")
     given(spark, sf, "region").coalesce(1).select(F.concat(F.lit('{"summary": '), "r_name").alias("value")).write.text(f"{root}/texts")
     given(spark, sf, "region").coalesce(1).write.json(f"{root}/in/foreign")
-    spark.read.text(f"{root}/texts").coalesce(1).write.option("compression", "none").format("text").save(f"{root}/in/broken.json")
+    for n, text in enumerate(spark.read.text(f"{root}/texts").inputFiles()):
+        move_file(spark, text, f"{root}/in/broken/{n}.json")
     keys = {"own": None, "given": F.expr("try_cast(substring(file_name, 2) AS long)")}
 
     def state(step: str) -> DataFrame:

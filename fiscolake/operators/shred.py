@@ -89,12 +89,13 @@ def json_returns(df: DataFrame, key: Column | None = None) -> DataFrame:
     """
     columns = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("file_path", "file_name")]
     columns += [F.col(c) for c in ("source_path",) if c in df.columns]
-    own = F.sha2(F.concat_ws("#", "source_path" if "source_path" in df.columns else "file_path", json_digest()), 256)
+    digest = F.col("digest") if "digest" in df.columns else json_digest()
+    own = F.sha2(F.concat_ws("#", "source_path" if "source_path" in df.columns else "file_path", digest), 256)
     if CORRUPT in df.columns:
         fields = [*SCHEDULES, "data_documento", "summary"]
         foreign = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in fields])
         columns.append(F.coalesce(CORRUPT, F.when(foreign, NO_FIELD)).alias("parse_error"))
-        columns.append(json_digest().alias("digest"))
+        columns.append(digest.alias("digest"))
     return df.select((own if key is None else key).alias(KEY), *columns,
                      F.expr("try_cast(data_documento AS date)").alias("data_documento"),
                      S.summary_text(F.col("summary")).alias("summary"), *SCHEDULES)

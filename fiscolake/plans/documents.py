@@ -91,12 +91,14 @@ def process_documents(spark: SparkSession, folder: str, manifest: str, out: str,
     touched = changed.select("path").unionByName(gone).withColumnRenamed("path", "source_path")
     before, dropped, fresh = _what_changes(store, new, touched, force)
 
-    rows = {} if returns is None else _stored_rows(returns.join(fresh, "return_id", "left_semi"), source, strict)
-    if returns is not None:
+    rows = {}
+    if returns is not None and not fresh.isEmpty():
+        rows = _stored_rows(returns.join(fresh, "return_id", "left_semi"), source, strict)
         rows["rejects"] = rows["rejects"].unionByName(_unread(silent.join(fresh, "return_id", "left_semi")))
     changes = {n: Change(rows.get(n), dropped) for n in STORED if n != "origin"}
-    changes[DECLARATIONS] = _moved_declarations(store, before, new, touched, dropped, changes[DECLARATIONS])
-    changes["origin"] = Change(new, touched)
+    if before is not None:
+        changes[DECLARATIONS] = _moved_declarations(store, before, new, touched, dropped, changes[DECLARATIONS])
+    changes["origin"] = Change(new, None if before is None else touched)
     store.update(changes, buckets)
     write_manifest(changed, manifest, gone)
     return True
@@ -125,31 +127,39 @@ def _read_changed(spark: SparkSession, folder: str, changed: DataFrame, source:
         F.monotonically_increasing_id().alias("row_id"), *[c for c in read.columns if c not in ("declaration_id", "digest")]), "returns")
 
 
-def _what_changes(store: Store, new: DataFrame, touched: DataFrame, force: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Origin rows of the touched files as they were; ids of returns whose stored rows go; ids whose rows are to be written."""
+def _what_changes(store: Store, new: DataFrame, touched: DataFrame,
+                  force: bool) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """Origin rows of the touched files as they were; ids of returns whose stored rows go; ids whose rows are to be written.
+    The first two are ``None`` where there are none."""
+    found = written_table(new.select("return_id").distinct(), "found")
+    if not store.version():
+        return None, None, found
     stored = store.read("origin")
-    before = written_table(stored.join(touched, "source_path", "left_semi"), "before")
-    asked = before.select("return_id").unionByName(new.select("return_id")).distinct()
-    others = stored.join(touched, "source_path", "left_anti").join(asked, "return_id", "left_semi")
-    held = written_table(others.select("return_id").distinct(), "held")
-    found = new.select("return_id").distinct()
+    asked = stored.join(touched, "source_path", "left_semi").select("return_id").unionByName(found)
+    # Who else holds what the touched files held or hold; both sides are needed several times.
+    near = written_table(stored.join(asked.distinct(), "return_id", "left_semi"), "near")
+    before = near.join(touched, "source_path", "left_semi")
+    held = near.join(touched, "source_path", "left_anti").select("return_id").distinct()
     left = before.select("return_id").distinct().join(held, "return_id", "left_anti")
     if force:  # what is read again is written again, with what the checks say now
-        dropped = left.unionByName(found).distinct()
-        return before, written_table(dropped, "dropped"), found
+        dropped = written_table(left.unionByName(found).distinct(), "dropped")
+        return before, None if dropped.isEmpty() else dropped, found
     dropped = written_table(left.join(found, "return_id", "left_anti"), "dropped")
-    fresh = found.join(before, "return_id", "left_anti").join(held, "return_id", "left_anti")
-    return before, dropped, written_table(fresh, "fresh")
+    fresh = written_table(found.join(near, "return_id", "left_anti"), "fresh")
+    return before, None if dropped.isEmpty() else dropped, fresh
 
 
-def _moved_declarations(store: Store, before: DataFrame, new: DataFrame, touched: DataFrame, dropped: DataFrame,
+def _moved_declarations(store: Store, before: DataFrame, new: DataFrame, touched: DataFrame, dropped: DataFrame | None,
                         change: Change) -> Change:
     """The change of the returns' table with those added that stay, held by other files, while the file their row names
     does not hold them any more: they name the first of the others now."""
-    now = store.read("origin").join(touched, "source_path", "left_anti").unionByName(new)
-    kept = before.select("return_id").distinct().join(dropped, "return_id", "left_anti")
+    kept = before.select("return_id").distinct()
+    if dropped is not None:
+        kept = kept.join(dropped, "return_id", "left_anti")
+    kept = written_table(kept, "kept")
     if kept.isEmpty():
         return change
+    now = store.read("origin").join(touched, "source_path", "left_anti").unionByName(new)
     holders = written_table(now.join(kept, "return_id", "left_semi").select("return_id", "source_path").distinct(), "holders")
     named = (store.read(DECLARATIONS).join(kept, "return_id", "left_semi")
              .join(touched.select(F.col("source_path").alias("file_path")), "file_path", "left_semi")
@@ -158,8 +168,11 @@ def _moved_declarations(store: Store, before: DataFrame, new: DataFrame, touched
     moved = written_table(named.join(first, "return_id").select(
         *[c for c in named.columns if c not in ("file_path", "file_name")], F.col("first").alias("file_path"),
         F.regexp_extract("first", "([^/]*)$", 1).alias("file_name")), "moved")
-    rows = moved if change.rows is None else change.rows.unionByName(moved)
-    return Change(rows, change.gone.unionByName(moved.select("return_id")))
+    if moved.isEmpty():
+        return change
+    rows, gone = moved, moved.select("return_id")
+    return Change(rows if change.rows is None else change.rows.unionByName(rows),
+                  gone if change.gone is None else change.gone.unionByName(gone))
 
 
 def _stored_rows(returns: DataFrame, source: str, strict: bool) -> dict[str, DataFrame]:

@@ -21,3 +21,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def delete_folder(spark: SparkSession, path: str) -> None:
     system, named = _file_system(spark, path)
     system.delete(named, True)
+
+
+def move_file(spark: SparkSession, path: str, to: str) -> None:
+    system, named = _file_system(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(to)
+    system.mkdirs(target.getParent())
+    system.rename(named, target)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from fiscolake.functions import scalars as S
 from fiscolake.functions.files import file_name, file_path
-from fiscolake.operators.shred import json_returns
+from fiscolake.operators.shred import json_digest, json_returns
 from fiscolake.schemas import CORRUPT, json_reading_schema, table_schema
 from fiscolake.sources.filesystem import delete_folder, path_exists  # noqa: F401 (part of the readers)
 from fiscolake.sources.store import collection_store
@@ -53,8 +53,9 @@ def read_json_returns(spark: SparkSession, path: str | list[str], *, key: Column
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """Records with the file they were read from, and the document they come from."""
+    """Records with the file they were read from, the document they come from, and a digest of what the file says."""
     return rows.select(
+        json_digest().alias("digest"),
         *[c for c in rows.columns if c not in ("file_path", "file_name")],
         file_path().alias("source_path"),
         F.coalesce("file_path", file_path()).alias("file_path"),

@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,7 @@ from fiscolake.schemas import COLLECTION_SCHEMA
 from fiscolake.sources.filesystem import delete_folder, path_exists
 
 VERSION, ATTEMPT = "store_version", "store_attempt"
+WRITERS = 4
 COMMIT_SCHEMA = f"{VERSION} long, attempt string, base long, filled array<string>, emptied array<string>"
 
 
@@ -58,15 +60,16 @@ class Store:
         self.spark, self.root, self.tables = spark, root.rstrip("/"), dict(tables)
 
     def commits(self) -> list:
-        """The commits that count, from the newest base on: a row for each update since the last compaction."""
+        """The commits that count, oldest first, from the newest base on."""
         path = f"{self.root}/commits"
         if not path_exists(self.spark, path):
             return []
-        stored = self.spark.read.schema(COMMIT_SCHEMA).parquet(path)
-        first = F.min_by(F.struct("attempt", "base", "filled", "emptied"), F.struct("_metadata.file_modification_time", "attempt"))
-        counting = stored.groupBy(VERSION).agg(first.alias("c")).select(VERSION, "c.*")
-        base = F.max("base").over(Window.partitionBy(F.lit(0)))  # over one short row per update
-        return counting.withColumn("newest", base).where(F.col(VERSION) >= F.col("newest")).orderBy(VERSION).collect()
+        stored = self.spark.read.schema(COMMIT_SCHEMA).parquet(path).select("*", "_metadata.file_modification_time")
+        counting: dict[int, object] = {}  # one short row per update
+        for row in sorted(stored.collect(), key=lambda r: (r[VERSION], r.file_modification_time, r.attempt)):
+            counting.setdefault(row[VERSION], row)
+        base = max((c["base"] for c in counting.values()), default=0)
+        return [c for c in counting.values() if c[VERSION] >= base]
 
     def version(self) -> int:
         """The newest version; 0 before the first update."""
@@ -109,18 +112,26 @@ class Store:
         return self._commit(changes, max((c[VERSION] for c in done), default=0) + 1, max((c["base"] for c in done), default=0), files)
 
     def _commit(self, changes: Mapping[str, Change], version: int, base: int, files: int | None = None) -> dict[str, int]:
-        attempt, written = uuid.uuid4().hex, {}
+        attempt = uuid.uuid4().hex
         at = f"{VERSION}={version}/{ATTEMPT}={attempt}"
-        for name, change in changes.items():
-            table = self.tables[name]
-            if change.rows is not None:
-                counted = Observation()
-                rows = change.rows.select(*table.schema.fieldNames())
-                (rows.repartition(files) if files else rows).observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(
-                    f"{self.root}/{name}/rows/{at}")
-                written[name] = counted.get["n"]
-            if change.gone is not None:
-                change.gone.select(table.key).distinct().write.parquet(f"{self.root}/{name}/gone/{at}")
+
+        def write_rows(name: str, rows: DataFrame) -> int:
+            counted = Observation()
+            kept = rows.select(*self.tables[name].schema.fieldNames())
+            (kept.repartition(files) if files else kept).observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(
+                f"{self.root}/{name}/rows/{at}")
+            return counted.get["n"]
+
+        def write_gone(name: str, gone: DataFrame) -> None:
+            gone.select(self.tables[name].key).distinct().write.parquet(f"{self.root}/{name}/gone/{at}")
+
+        # The tables of one update do not wait for each other; small ones would mostly wait.
+        with ThreadPoolExecutor(WRITERS) as pool:
+            counts = {n: pool.submit(write_rows, n, c.rows) for n, c in changes.items() if c.rows is not None}
+            rest = [pool.submit(write_gone, n, c.gone) for n, c in changes.items() if c.gone is not None]
+            for done in rest:
+                done.result()
+            written = {n: c.result() for n, c in counts.items()}
         if any(c[VERSION] >= version for c in self.commits()):
             raise ConcurrentUpdate(f"{self.root}: version {version} is there already")
         commit = [(attempt, base, [n for n, c in changes.items() if c.rows is not None],

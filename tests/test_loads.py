@@ -97,6 +97,18 @@ def test_a_shared_return_goes_with_its_last_file(spark, tmp_path):
     assert f.run() and f.rows("declarations", "file_name") == [] and f.rows("pagamentos_efetuados", "codigo") == []
 
 
+def test_a_shared_json_return_names_the_file_that_holds_it(spark, tmp_path):
+    f = Folder(spark, tmp_path, key=F.lit("k"))
+    f.put("a.json", [record("um"), record("dois", file_path="/doc/d.pdf", file_name="d.pdf")])
+    f.put("b.json", [record("um"), record("dois", file_path="/doc/d.pdf", file_name="d.pdf")])
+    assert f.run()
+    assert f.rows("declarations", "file_path", "summary") == [("a.json", "um"), ("d.pdf", "dois")]
+    f.move("a.json")
+    assert f.run()
+    assert f.rows("declarations", "file_name", "summary") == [("b.json", "um"), ("d.pdf", "dois")]
+    assert len(f.rows("pagamentos_efetuados", "codigo")) == 2
+
+
 def test_a_touched_file_rewrites_only_what_differs(spark, tmp_path):
     f = Folder(spark, tmp_path)
     f.put("a.json", [record(f"n{i}") for i in range(20)])
