@@ -120,6 +120,24 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, corpus):
     assert sum(r.doc_id is None for r in out) == 2
 
 
+def test_signatures_of_unrelated_texts_differ_in_half_of_their_bits(spark):
+    draw = random.Random(4)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(n)) for n in (30, 300, 3000, 3001)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r.signature for r in minhash.signatures(docs, 3, 25).collect()}
+    for a in rows:
+        for b in rows:
+            apart = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(rows[a], rows[b]))
+            assert apart == 0 if a == b else 400 < apart < 624
+
+
+def test_stage_keeps_the_same_row_of_a_repeated_id(spark):
+    rows = [(1, "one two three four five six", "x"), (1, "quite another text of other words", "y"), (1, None, "z")]
+    kept = [minhash.stage(spark, spark.createDataFrame(order, "doc_id long, text string, row string"), "").collect()
+            for order in (rows, rows[::-1])]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
+
+
 def test_a_large_group_round_a_centre_that_is_not_its_smallest(spark):
     """Copies of one text that are closer to it than to one another, and whose smallest id is a far copy."""
     draw = random.Random(8)
