@@ -8,35 +8,35 @@ from pyspark.sql import types as T
 MONEY = T.DecimalType(14, 2)
 STORED_MONEY = "decimal(15,2)"
 
-_KINDS = {"s": T.StringType(), "m": MONEY, "b": T.BooleanType()}
+_KINDS = {"string": T.StringType(), "decimal(14,2)": MONEY, "boolean": T.BooleanType()}
 
 
-def _struct(spec: str) -> T.StructType:
-    fields = []
-    for item in spec.split():
-        name, _, kind = item.partition(":")
-        fields.append(T.StructField(name, _KINDS[kind or "s"]))
-    return T.StructType(fields)
+def _struct(columns: str) -> T.StructType:
+    """The struct of a plain list of columns; no session is needed to read it."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in columns.split(", "))])
 
 
-_OTHER_INCOME = ("tipo_rendimento tipo_beneficiario beneficiario cpf_beneficiario "
-                 "cnpj_fonte_pagadora nome_fonte_pagadora valor:m")
-
-# One entry per schedule; a line of the schedule is one struct.
+# The columns of the six schedules. A line of a schedule is one struct.
 SCHEDULES: dict[str, T.StructType] = {
     "bens_direitos": _struct(
-        "grupo codigo pais discriminacao valor_2023:m valor_2024:m repetir_valor:b"),
+        "grupo string, codigo string, pais string, discriminacao string, valor_2023 decimal(14,2), "
+        "valor_2024 decimal(14,2), repetir_valor boolean"),
     "doacoes_efetuadas": _struct(
-        "codigo cnpj_proponente nome_proponente valor_pago:m"),
+        "codigo string, cnpj_proponente string, nome_proponente string, valor_pago decimal(14,2)"),
     "pagamentos_efetuados": _struct(
-        "codigo pessoa_beneficiada cpf_beneficiario nome_beneficiario cpf_cnpj_prestador "
-        "nome_prestador descricao valor_pago:m parcela_nao_dedutivel:m"),
-    "rendimentos_exclusivos": _struct(_OTHER_INCOME),
-    "rendimentos_isentos": _struct(_OTHER_INCOME),
+        "codigo string, pessoa_beneficiada string, cpf_beneficiario string, nome_beneficiario string, "
+        "cpf_cnpj_prestador string, nome_prestador string, descricao string, valor_pago decimal(14,2), "
+        "parcela_nao_dedutivel decimal(14,2)"),
+    "rendimentos_exclusivos": _struct(
+        "tipo_rendimento string, tipo_beneficiario string, beneficiario string, cpf_beneficiario string, "
+        "cnpj_fonte_pagadora string, nome_fonte_pagadora string, valor decimal(14,2)"),
+    "rendimentos_isentos": _struct(
+        "tipo_rendimento string, tipo_beneficiario string, beneficiario string, cpf_beneficiario string, "
+        "cnpj_fonte_pagadora string, nome_fonte_pagadora string, valor decimal(14,2)"),
     "rendimentos_tributaveis_pj": _struct(
-        "cpf_cnpj_fonte_pagadora nome_fonte_pagadora beneficiario cpf_beneficiario "
-        "rendimentos:m contribuicao_previdenciaria:m imposto_retido:m decimo_terceiro:m "
-        "irrf_decimo_terceiro:m"),
+        "cpf_cnpj_fonte_pagadora string, nome_fonte_pagadora string, beneficiario string, cpf_beneficiario string, "
+        "rendimentos decimal(14,2), contribuicao_previdenciaria decimal(14,2), imposto_retido decimal(14,2), "
+        "decimo_terceiro decimal(14,2), irrf_decimo_terceiro decimal(14,2)"),
 }
 
 INCOME_TABLES = ("rendimentos_tributaveis_pj", "rendimentos_exclusivos", "rendimentos_isentos")
@@ -66,16 +66,6 @@ def empty_table(spark: SparkSession, name: str, key_type: T.DataType | None = No
     return spark.createDataFrame([], table_schema(name, key_type))
 
 
-def nested_schema() -> T.StructType:
-    """A whole return in one row."""
-    lists = [T.StructField(n, T.ArrayType(s)) for n, s in SCHEDULES.items()]
-    return T.StructType([
-        *lists,
-        T.StructField("data_documento", T.DateType()),
-        T.StructField("summary", T.StructType([T.StructField("text", T.StringType())])),
-    ])
-
-
 # Money may be written as a JSON number or as text, so it is read as text and
 # typed afterwards. Aliases are the names under which a return may carry a field.
 JSON_ALIASES = {
@@ -106,26 +96,23 @@ def json_reading_schema() -> T.StructType:
     return json_schema().add(CORRUPT, T.StringType())
 
 
-# Attributes of one XML line element, per schedule.
+# Attributes of one XML line element, per schedule.
 XML_ATTRIBUTES = {
-    "bens_direitos": "grupo codigo pais discriminacao valorExercicioAnterior valorExercicioAtual",
-    "doacoes_efetuadas": "codigo cnpjProponente nomeProponente valorPago",
-    "pagamentos_efetuados": ("codigo tipo cpfBeneficiario niBeneficiario cpfPrestador "
-                             "nomeBeneficiario nomePrestador descricao valorPago "
-                             "parcelaNaoDedutivel"),
-    "rendimentos_exclusivos": "tipoBeneficiario cpfBeneficiario cnpjEmpresa nomeFonte valor",
-    "rendimentos_isentos": ("tipoBeneficiario cpfBeneficiario cnpjEmpresa nomeFonte "
-                            "descricaoRendimento valor"),
-    "rendimentos_tributaveis_pj": ("NIFontePagadora nomeFontePagadora cpfBeneficiario "
-                                   "rendRecebidoPJ contribuicaoPrevOficial impostoRetidoFonte "
-                                   "decimoTerceiro IRRFDecimoTerceiro"),
+    "bens_direitos": ("grupo", "codigo", "pais", "discriminacao", "valorExercicioAnterior", "valorExercicioAtual"),
+    "doacoes_efetuadas": ("codigo", "cnpjProponente", "nomeProponente", "valorPago"),
+    "pagamentos_efetuados": ("codigo", "tipo", "cpfBeneficiario", "niBeneficiario", "cpfPrestador", "nomeBeneficiario",
+                             "nomePrestador", "descricao", "valorPago", "parcelaNaoDedutivel"),
+    "rendimentos_exclusivos": ("tipoBeneficiario", "cpfBeneficiario", "cnpjEmpresa", "nomeFonte", "valor"),
+    "rendimentos_isentos": ("tipoBeneficiario", "cpfBeneficiario", "cnpjEmpresa", "nomeFonte", "descricaoRendimento", "valor"),
+    "rendimentos_tributaveis_pj": ("NIFontePagadora", "nomeFontePagadora", "cpfBeneficiario", "rendRecebidoPJ",
+                                   "contribuicaoPrevOficial", "impostoRetidoFonte", "decimoTerceiro", "IRRFDecimoTerceiro"),
 }
 
 
 def xml_line_schema(name: str) -> T.StructType:
     """All-text struct of one line element; attributes carry a leading underscore."""
     return T.StructType([T.StructField("_" + a, T.StringType())
-                         for a in XML_ATTRIBUTES[name].split()])
+                         for a in XML_ATTRIBUTES[name]])
 
 
 # Six tables a fresh installation declares before any data arrives.

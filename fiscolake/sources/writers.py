@@ -32,15 +32,6 @@ def save_tables(tables: Mapping[str, DataFrame], database: str | None = None) ->
     return names
 
 
-def write_parquet_tables(tables: Mapping[str, DataFrame], folder: str) -> dict[str, str]:
-    """The served tables as parquet, one folder each."""
-    paths = {}
-    for name, df in tables.items():
-        paths[name] = f"{folder}/{name}"
-        df.write.mode("overwrite").parquet(paths[name])
-    return paths
-
-
 def declare_tables(spark: SparkSession, database: str | None = None) -> list[str]:
     """Declare the six empty tables of a fresh installation, unless the table of
     returns is there already. Keys are checked on the data, not by the tables."""
