@@ -19,7 +19,6 @@ scored alike. Without any labels of both classes the score is 0. Columns other t
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscolake.llm.common import fold, given, small_batches
+from fiscolake.session import written_table
 
 WORDS = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.3
@@ -65,48 +65,67 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _discounts(counts: Counter) -> np.ndarray:
-    """Discounts of counts 0, 1, 2 and 3 or more."""
-    n1, n2, n3, n4 = (max(1, sum(1 for v in counts.values() if v == k)) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    found = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return np.array([0.0, *(min(max(d, 0.1), 0.9 * (k + 1)) for k, d in enumerate(found))])
-
-
-def _level(counts: Counter) -> tuple[Counter, np.ndarray, float, int]:
-    """Counts, discounts, the share left to the next level, and the total."""
-    total = max(1, sum(counts.values()))
-    d = _discounts(counts)
-    left = sum(d[min(3, n)] for n in counts.values()) / total if counts else 1.0
-    return counts, d, left, total
-
-
-def kneser_ney(counts: dict[int, Counter], stem_chars: int, cutoff: int) -> tuple[dict, dict, float]:
-    """Log ratios from word counts of the classes 0 and 1.
-
-    Words met fewer than ``cutoff`` times in all are left to their stem.
+@dataclass
+class Level:
+    """What one level of a class's model knows of all its counts: how many are 1, 2, 3, 4 and 3 or more, and their sum."""
+
+    seen: tuple[int, int, int, int]
+    many: int
+    total: int
+
+    @property
+    def discounts(self) -> np.ndarray:
+        """Discounts of counts 0, 1, 2 and 3 or more."""
+        n1, n2, n3, n4 = (max(1, n) for n in self.seen)
+        y = n1 / (n1 + 2 * n2)
+        found = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+        return np.array([0.0, *(min(max(d, 0.1), 0.9 * (k + 1)) for k, d in enumerate(found))])
+
+    def share(self, counts: np.ndarray) -> np.ndarray:
+        """Discounted shares of the counts."""
+        return (counts - self.discounts[np.minimum(3, counts)]) / max(1, self.total)
+
+    @property
+    def left(self) -> float:
+        """The share left to the next level."""
+        if not self.total:
+            return 1.0
+        return float(self.discounts[1:] @ (*self.seen[:2], self.many)) / self.total
+
+
+def _level_of(frame: DataFrame) -> list[Level]:
+    """The levels of the classes 0 and 1 from their counts ``c0, c1``: one row of sums comes to the driver."""
+    one = frame.agg(*[F.count_if(F.col(c) == n).alias(f"{c}_{n}") for c in ("c0", "c1") for n in (1, 2, 3, 4)],
+                    *[F.count_if(F.col(c) > 2).alias(f"{c}_many") for c in ("c0", "c1")],
+                    *[F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_total") for c in ("c0", "c1")]).first()
+    return [Level(tuple(one[f"{c}_{n}"] for n in (1, 2, 3, 4)), one[f"{c}_many"], one[f"{c}_total"]) for c in ("c0", "c1")]
+
+
+def kneser_ney(words: DataFrame, stem_chars: int, cutoff: int) -> tuple[dict, dict, float]:
+    """Log ratios from the counts ``w, c0, c1`` of words in the classes 0 and 1.
+
+    A stem counts the different words it begins. Words met fewer than ``cutoff`` times in all are left to their stem, and
+    never leave the executors.
     """
-    known = set(counts[0]) | set(counts[1])
-    shared = Counter(w[:stem_chars] for w in known)
-    types, size = max(1, sum(shared.values())), len(shared) + 1
-    words = [_level(counts[k]) for k in (0, 1)]
-    stems = [_level(Counter(w[:stem_chars] for w in counts[k])) for k in (0, 1)]
-
-    def of_stem(k: int, s: str) -> float:
-        c, d, left, total = stems[k]
-        n = c.get(s, 0)
-        return (n - d[min(3, n)]) / total + left * (shared.get(s, 0) + 0.5) / (types + 0.5 * size)
-
-    def of_word(k: int, w: str) -> float:
-        c, d, left, total = words[k]
-        n, s = c.get(w, 0), w[:stem_chars]
-        return (n - d[min(3, n)]) / total + left * of_stem(k, s) / (shared[s] + 1)
-
-    base = np.log(words[1][2] / words[0][2])
-    stem = {s: float(base + np.log(of_stem(1, s) / of_stem(0, s))) for s in shared}
-    word = {w: float(np.log(of_word(1, w) / of_word(0, w))) for w in known
-            if counts[0].get(w, 0) + counts[1].get(w, 0) >= cutoff}
-    return word, stem, float(base + np.log(of_stem(1, "") / of_stem(0, "")))
+    stems = written_table(words.groupBy(F.substring("w", 1, stem_chars).alias("w")).agg(
+        F.count_if(F.col("c0") > 0).alias("c0"), F.count_if(F.col("c1") > 0).alias("c1"), F.count("*").alias("types")), "stems")
+    of_words, of_stems = _level_of(words), _level_of(stems)
+    kept = words.where(F.col("c0") + F.col("c1") >= cutoff).toPandas()
+    stems = stems.toPandas().set_index("w")
+    types, size = max(1, int(stems["types"].sum())), len(stems) + 1
+
+    def of_stem(k: int, counts: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        return of_stems[k].share(counts) + of_stems[k].left * (shared + 0.5) / (types + 0.5 * size)
+
+    by_stem = [of_stem(k, stems[f"c{k}"].to_numpy(), stems["types"].to_numpy()) for k in (0, 1)]
+    place = stems.index.get_indexer(kept["w"].str.slice(0, stem_chars))
+    by_word = [of_words[k].share(kept[f"c{k}"].to_numpy())
+               + of_words[k].left * by_stem[k][place] / (stems["types"].to_numpy()[place] + 1) for k in (0, 1)]
+    base = np.log(of_words[1].left / of_words[0].left)
+    nothing = np.zeros(1, dtype=np.int64)
+    other = base + np.log(of_stem(1, nothing, nothing) / of_stem(0, nothing, nothing))[0]
+    return (dict(zip(kept["w"], np.log(by_word[1] / by_word[0]).tolist())),
+            dict(zip(stems.index, (base + np.log(by_stem[1] / by_stem[0])).tolist())), float(other))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, steps: int = 50) -> np.ndarray:
@@ -140,14 +159,13 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out: int = 2, folds: int =
     # At most 4 * max_docs short rows, hence the broadcast.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").drop("doc_id")
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
-    counted = (texts.filter(F.col("part") != calibrates).select("toxic", F.explode(words).alias("w"))
-               .groupBy("w", "toxic").count().toPandas())
-    counts = {k: Counter(dict(zip(part["w"], part["count"].tolist())))
-              for k in (0, 1) for part in [counted[counted["toxic"] == k]]}
+    counted = written_table(
+        texts.filter(F.col("part") != calibrates).select("toxic", F.explode(words).alias("w")).groupBy("w")
+        .agg(F.count_if(F.col("toxic") == 0).alias("c0"), F.count_if(F.col("toxic") == 1).alias("c1")), "word_counts")
     model = Model(stem_chars=stem_chars, peak=peak)
-    if not counts[0] or not counts[1]:
+    if not all(level.total for level in _level_of(counted)):
         return model
-    model.word, model.stem, model.other = kneser_ney(counts, stem_chars, cutoff)
+    model.word, model.stem, model.other = kneser_ney(counted, stem_chars, cutoff)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,6 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out: int = 2, folds: int =
 
     seen = texts.filter(F.col("part") == calibrates).mapInPandas(measure, "a double, b double, c double, toxic int")
     seen = seen.toPandas().sort_values(["a", "b", "c", "toxic"])
+    sent.destroy()
     y = seen["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
         x = seen[["a", "b", "c"]].to_numpy()
