@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from fiscolake.functions.tokens import Normalizer, same_term, terms
 from fiscolake.operators.cells import Cells, best_by_cells
 from fiscolake.operators.embed import Embedder, embed
-from fiscolake.operators.postings import BLOCK_SIZE, best_by_blocks, posting_blocks
-from fiscolake.operators.topk import best_matches
+from fiscolake.operators.postings import best_by_blocks, rarity
+from fiscolake.operators.topk import DIGITS, best_matches, ranked
 from fiscolake.session import written_table
 
 TOP_K = 2
@@ -62,23 +62,30 @@ def collection_size(docs: DataFrame, normalize: Normalizer = same_term) -> DataF
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, *,
               normalize: Normalizer = same_term, k1: float = K1, b: float = B,
               index: DataFrame | None = None, size: DataFrame | None = None,
-              blocks: DataFrame | None = None, block_size: int = BLOCK_SIZE) -> DataFrame:
+              blocks: DataFrame | None = None) -> DataFrame:
     """Best documents by BM25: ``query_id, text`` against ``item_id, text``.
 
     A stored ``index`` (from ``postings``) and ``size`` (from ``collection_size``) save reading the documents, stored
-    ``blocks`` (from ``posting_blocks``) save sorting the postings, too. A document sharing no term
+    ``blocks`` (from ``posting_blocks``) save reading most of the postings, too. A document sharing no term
     with a query is no hit of it.
     """
     size = collection_size(docs, normalize) if size is None else size
     asked = (queries.select("query_id", F.explode(terms(F.col("text"), normalize)).alias("term"))
              .groupBy("query_id", "term").agg(F.count("*").alias("n")))
     if blocks is None:
+        # Sorting postings into blocks pays when they are kept; for one search each posting is read once, and sums
+        # of query and item are made in the tasks.
         index = postings(docs, normalize) if index is None else index
         asked = written_table(asked, "asked")
-        size = written_table(size, "size")
-        matching = index.join(asked.select("term").distinct(), "term", "left_semi")
-        # Read several times, and a join of plain scans lets adaptive execution split a term that is everywhere.
-        blocks = written_table(posting_blocks(matching, size, k1=k1, b=b, block_size=block_size), "blocks")
+        matching = written_table(index.join(asked.select("term").distinct(), "term", "left_semi"), "matching")
+        n_docs, mean_length = (size.select(c).scalar() for c in ("n_docs", "mean_length"))
+        rare = matching.groupBy("term").agg(F.count("*").alias("df"))
+        weights = written_table(asked.join(rare, "term").select("query_id", "term", (F.col("n") * rarity(n_docs, F.col("df"))).alias("weight")), "weights")
+        tf = F.col("tf").cast("double")
+        worth = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n_terms") / mean_length))
+        sums = (matching.select("item_id", "term", worth.alias("w")).join(weights, "term").groupBy("query_id", "item_id")
+                .agg(F.round(F.sum(F.col("weight") * F.col("w")), DIGITS).alias("score")))
+        return ranked(sums.where("score > 0"), k)
     return best_by_blocks(asked, blocks, size, k)
 
 

@@ -56,7 +56,11 @@ def grouped(hits):
 
 @pytest.mark.parametrize("k, block_size", [(3, 128), (1, 3), (3, 1), (100, 2)])
 def test_bm25_matches_brute_force(spark, k, block_size):
-    assert grouped(retrieve.bm25_topk(_queries(spark), _docs(spark), k, block_size=block_size)) == _bm25(k)
+    assert grouped(retrieve.bm25_topk(_queries(spark), _docs(spark), k)) == _bm25(k)
+    size = retrieve.collection_size(_docs(spark))
+    blocks = written_table(postings.posting_blocks(retrieve.postings(_docs(spark)), size, k1=retrieve.K1, b=retrieve.B,
+                                                   block_size=block_size), "blocks")
+    assert grouped(retrieve.bm25_topk(_queries(spark), _docs(spark), k, size=size, blocks=blocks)) == _bm25(k)
 
 
 def test_bm25_reads_few_of_the_stored_blocks(spark):
