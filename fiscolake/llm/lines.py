@@ -1,13 +1,13 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame operations only.
 
 A line is what stands between line feeds. Its tokens are its words, which blanks, tabs and carriage returns part. A line is removed if an earlier
-line, in the order of (doc_id, position), has the same text or a Jaccard similarity of token sets of at least
-``percent`` / 100. It does not matter whether that earlier line was itself removed. Exact copies
-are looked for among lines of at least 2 * ``min_words`` - 1 bytes, near copies among lines of at least ``min_words``
-different words: shorter lines always stay, and lines between the two bounds go as exact copies only.
+line, in the order of (doc_id, digest of the text, position), has a Jaccard similarity of token sets of at least
+``percent`` / 100, as every copy has. It does not matter whether that earlier line was itself removed. Lines of any
+length are compared; a line without words parts others and always stays.
 
-1. Equal lines are found by hash; sums and minima combine before the shuffle, so a line that a third of all rows
-   hold is no hot key. Only the first of them goes on.
+1. Lines of equal token sets are found by hash; sums and minima combine before the shuffle, so a line that a third of all
+   rows hold is no hot key. Only the first of them goes on, and only if it has words enough that another set can reach
+   the threshold at all: below percent / (100 - percent) words, one word more or less is too much.
 2. Tokens are ordered by rarity: a table of 65,536 word classes with their counts over the whole corpus gives each
    token its rank. The table has that size whatever the input. Any total order makes the join exact; rarity only
    makes it cheap.
@@ -19,9 +19,10 @@ different words: shorter lines always stay, and lines between the two bounds go
 5. Pairs that are left compare their whole prefixes; those that may still reach the threshold fetch their words and
    are verified.
 
-Rows: rows without ``doc_id`` or text take no part and keep their lines. Repeated rows of one ``doc_id`` share the
-positions, so their equal lines stand or fall together. Ties do not arise, as positions differ. An empty table gives
-an empty result. Further columns are carried by ``stage`` and never read.
+Rows: rows without ``doc_id`` or text take no part and keep their lines. Rows of one ``doc_id`` are told apart by their
+texts, in the order of a digest; rows that share the text, too, are one document, whose lines stand or fall together. Ties
+do not arise, as positions differ. An empty table gives an empty result. Further columns are carried by ``stage``,
+whatever their names, and never read.
 """
 
 from __future__ import annotations
@@ -30,12 +31,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiscolake.llm.common import given
+from fiscolake.llm.common import free_name, given
 from fiscolake.session import written_table
 
 CLASSES = 65_536
 PERCENT = 80
-MIN_WORDS = 5
+#: What names a line: its document, the text among those of one id, and the place in it.
+LINE = ("doc", "twin", "pos")
 HASH_BITS = 48
 #: Pairs of neighbours in the prefix by which a line looks for an earlier one before the join. Any number gives the same rows.
 CENTRE_KEYS = 2
@@ -50,6 +52,11 @@ def plain(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
 
 
+def twin_of(text: Column) -> Column:
+    """60 bits of a digest, which tell (and order) texts that share an id."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def words_of(line: Column) -> Column:
     """Words of a plain line; runs of blanks leave empty words among them."""
     return F.split(line, " ")
@@ -89,7 +96,12 @@ def _alike(percent: int) -> Column:
 
 
 def _before() -> Column:
-    return (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("pos_a") < F.col("pos_b")))
+    (doc_a, doc_b), (twin_a, twin_b), (pos_a, pos_b) = ((F.col(f"{c}_a"), F.col(f"{c}_b")) for c in LINE)
+    return (doc_a < doc_b) | ((doc_a == doc_b) & ((twin_a < twin_b) | ((twin_a == twin_b) & (pos_a < pos_b))))
+
+
+def _ends(*sides: str) -> list[str]:
+    return [f"{c}_{s}" for s in sides for c in LINE]
 
 
 def _side(frame: DataFrame, s: str) -> DataFrame:
@@ -103,34 +115,35 @@ def central_pairs(own: DataFrame, percent: int) -> DataFrame:
                         lambda x, i: F.xxhash64(x, F.get("prefix", i + 1)))
     # The least hashes, as tokens that only one copy has come first in the prefix.
     keys = F.slice(F.array_sort(pairs), 1, CENTRE_KEYS)
-    keyed = own.select("doc", "pos", "n", "map", F.explode_outer(keys).alias("key")).filter("key IS NOT NULL")
-    part = F.pmod(F.xxhash64("doc", "pos"), F.lit(CENTRES))
+    keyed = own.select(*LINE, "n", "map", F.explode_outer(keys).alias("key")).filter("key IS NOT NULL")
+    part = F.pmod(F.xxhash64(*LINE), F.lit(CENTRES))
     earliest = (keyed.groupBy("key", part.alias("part"))
-                .agg(F.min(F.struct("doc", "pos", "n", "map")).alias("c"), F.count("*").alias("k")))
+                .agg(F.min(F.struct(*LINE, "n", "map")).alias("c"), F.count("*").alias("k")))
     centres = (earliest.groupBy("key").agg(F.collect_list("c").alias("cs"), F.sum("k").alias("k")).filter("k > 1")
                .select("key", F.explode_outer("cs").alias("c"))
-               .select("key", *[F.col(f"c.{c}").alias(f"{c}_a") for c in ("doc", "pos", "n", "map")]))
+               .select("key", *[F.col(f"c.{c}").alias(f"{c}_a") for c in (*LINE, "n", "map")]))
     return (_side(keyed, "b").withColumnRenamed("key_b", "key").join(centres, "key").filter(_before() & _alike(percent))
-            .select("doc_a", "pos_a", "doc_b", "pos_b").distinct())
+            .select(*_ends("a", "b")).distinct())
 
 
 def similar_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (doc_a, pos_a) before (doc_b, pos_b) that may reach the threshold, without those whose later line is settled."""
+    """Pairs of a line before another that may reach the threshold, without those whose later line is settled. The place
+    ``at`` of a token is negative in settled lines."""
     n = F.col("n_a") + F.col("n_b")
     # At the first token two lines share, what follows is all they can share beside it.
-    place = (1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))) * (100 + percent) >= n * percent
+    place = (1 + F.least(F.col("n_a") - F.abs("at_a"), F.col("n_b") - F.abs("at_b"))) * (100 + percent) >= n * percent
     a, b = _side(postings, "a"), _side(postings, "b")
     # That b is open, told by both sides: a filter of one side would part the shuffle that they share.
-    unsettled = F.col("open_b") * 2 > F.col("open_a")
+    unsettled = (F.col("at_b") > 0) & (F.col("at_a") != 0)
     return (a.join(b, (F.col("token_a") == F.col("token_b")) & unsettled & _before() & place & _alike(percent))
-            .select("doc_a", "pos_a", "doc_b", "pos_b").distinct())
+            .select(*_ends("a", "b")).distinct())
 
 
 def hopeful_pairs(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Pairs whose prefixes leave the threshold possible. Up to the smaller of the last tokens of both prefixes all that two
     lines share is known; beyond it they share at most what the shorter rest holds."""
-    prefixes = own.select("doc", "pos", "n", "prefix")
-    both = (pairs.join(_side(prefixes, "a"), ["doc_a", "pos_a"]).join(_side(prefixes, "b"), ["doc_b", "pos_b"])
+    prefixes = own.select(*LINE, "n", "prefix")
+    both = (pairs.join(_side(prefixes, "a"), _ends("a")).join(_side(prefixes, "b"), _ends("b"))
             .withColumn("end", F.least(F.element_at("prefix_a", -1), F.element_at("prefix_b", -1))))
     rest = [F.col(f"n_{s}") - F.size(F.filter(f"prefix_{s}", lambda x: x <= F.col("end"))) for s in "ab"]
     bound = F.size(F.array_intersect("prefix_a", "prefix_b")) + F.least(*rest)
@@ -138,126 +151,131 @@ def hopeful_pairs(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(doc, pos) of the later lines of the pairs whose words reach the threshold.
+    """The later lines of the pairs whose words reach the threshold.
 
     The lines to fetch go to every task while they are few, which is counted first; beyond that, texts are shuffled to
     them. A document's needed lines are bounded by its lines."""
-    ends = pairs.select(F.explode_outer(F.array(*[F.struct(F.col(f"doc_{s}").alias("doc_id"), F.col(f"pos_{s}").alias("pos"))
+    ends = pairs.select(F.explode_outer(F.array(*[F.struct(*[F.col(f"{c}_{s}").alias(c) for c in LINE])
                                                   for s in "ab"])).alias("end")).select("end.*")
-    needed = written_table(ends.groupBy("doc_id").agg(F.collect_set("pos").alias("needed")), "needed")
+    needed = written_table(ends.groupBy("doc", "twin").agg(F.collect_set("pos").alias("needed")), "needed")
     size = needed.agg(F.count("*") + F.coalesce(F.sum(F.size("needed")), F.lit(0))).first()[0]
     small = size <= BROADCAST_ENTRIES
     lines = F.transform(F.split(plain(F.col("text")), "\n"), lambda line, i: F.when(F.array_contains("needed", i), line))
-    words = (docs.join(F.broadcast(needed) if small else needed, "doc_id")
-             .select("doc_id", F.posexplode_outer(lines).alias("pos", "line")).filter("line IS NOT NULL")
-             .select("doc_id", "pos", F.array_remove(F.array_distinct(words_of(F.col("line"))), "").alias("words"))
-             .dropDuplicates(["doc_id", "pos"]))
-    a, b = (words.select(F.col("doc_id").alias(f"doc_{s}"), F.col("pos").alias(f"pos_{s}"),
-                         F.col("words").alias(f"words_{s}")) for s in "ab")
+    words = (docs.join(F.broadcast(needed) if small else needed, ["doc", "twin"])
+             .select("doc", "twin", F.posexplode_outer(lines).alias("pos", "line")).filter("line IS NOT NULL")
+             .select(*LINE, F.array_remove(F.array_distinct(words_of(F.col("line"))), "").alias("words"))
+             .dropDuplicates(list(LINE)))
     shared = F.size(F.array_intersect("words_a", "words_b"))
-    return (pairs.join(a, ["doc_a", "pos_a"]).join(b, ["doc_b", "pos_b"])
+    return (pairs.join(_side(words, "a"), _ends("a")).join(_side(words, "b"), _ends("b"))
             .filter(shared * (100 + percent) >= (F.size("words_a") + F.size("words_b")) * percent)
-            .select(F.col("doc_b").alias("doc"), F.col("pos_b").alias("pos")).distinct())
+            .select(*[F.col(f"{c}_b").alias(c) for c in LINE]).distinct())
 
 
-def line_table(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
-    """One row per line long enough for ``min_words`` words: doc, pos, two hashes of the line, n, map and, from ``min_words``
-    different words on, the prefix. The texts are not shuffled for it."""
+def line_table(docs: DataFrame, percent: int) -> DataFrame:
+    """One row per line with words: the columns that name it, two hashes of its token set, n, map and, where another set can
+    reach the threshold, the prefix. The texts are not shuffled for it."""
     # The table of ranks has one row, and all documents share its key. It is applied per document, as each row handed
     # on carries it.
     ranked = docs.join(F.broadcast(rarity_ranks(docs)),
-                       F.hash("doc_id").bitwiseAND(F.lit(0)).cast("long") == F.col("zero"))
-    # Fewer bytes than that cannot hold so many words.
-    read = F.transform(F.split(plain(F.col("text")), "\n"), lambda line: F.when(
-        F.octet_length(line) >= 2 * min_words - 1,
-        F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"),
-                 packed_tokens(words_of(line)).alias("t"))))
-    lines = (ranked.select(F.col("doc_id").alias("doc"), F.posexplode_outer(read).alias("pos", "l")).filter("l IS NOT NULL")
-             .select("doc", "pos", "l.*"))
+                       F.hash("doc").bitwiseAND(F.lit(0)).cast("long") == F.col("zero"))
+    # One word changed in a longer line leaves it a near copy, so hashes of words suffice there. In shorter ones two
+    # words of one hash must not make lines equal, and the words are hashed together.
+    spelled = 2 * percent // (100 - percent) + 1
+    read = F.transform(F.split(plain(F.col("text")), "\n"), lambda line: F.when(F.length(F.trim(line)) > 0, F.struct(
+        packed_tokens(words_of(line)).alias("t"), line.alias("line"))))
+    # Runs of blanks leave an empty word, which sorts first.
+    spelling = F.trim(F.concat_ws(" ", F.array_sort(F.array_distinct(words_of(F.col("l.line"))))))
+    lines = (ranked.select("doc", "twin", F.posexplode_outer(read).alias("pos", "l")).filter("l IS NOT NULL")
+             .select(*LINE, "l.t", F.when(F.size("l.t") <= spelled, F.xxhash64(spelling)).alias("words")))
     n = F.size("t")
     parity = F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.slice("t", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
-    return lines.select("doc", "pos", "h1", "h2", n.alias("n"), parity.alias("map"),
-                        F.when(n >= min_words, prefix).alias("prefix"))
-
-
-def removed_lines(docs: DataFrame, *, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, removed): the positions (from 0) that go, for every document that loses any."""
-    docs = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    lines = written_table(line_table(docs, percent, min_words), "lines")
-    firsts = (lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("f"), F.count("*").alias("k"))
-              .filter("k > 1").select("h1", "h2", F.col("f.doc").alias("first_doc"), F.col("f.pos").alias("first_pos")))
-    copies = (lines.join(firsts, ["h1", "h2"])
-              .filter((F.col("doc") != F.col("first_doc")) | (F.col("pos") != F.col("first_pos"))))
-    copied = written_table(copies.select("doc", "pos").distinct(), "copied")
-    own = written_table(lines.filter("prefix IS NOT NULL").select("doc", "pos", "n", "map", "prefix")
-                        .join(copied, ["doc", "pos"], "left_anti"), "own")
+    return lines.select(*LINE, F.xxhash64("t").alias("h1"), F.coalesce("words", F.xxhash64(F.lit(1), "t")).alias("h2"),
+                        n.alias("n"), parity.alias("map"), F.when(n * (100 - percent) >= percent, prefix).alias("prefix"))
+
+
+def removed_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+    """(doc, twin, removed): the positions (from 0) that go, for every document that loses any; ``doc`` is the id, ``twin``
+    is ``twin_of`` the text."""
+    docs = (docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+            .select(F.col("doc_id").alias("doc"), twin_of(F.col("text")).alias("twin"), "text"))
+    lines = written_table(line_table(docs, percent), "lines")
+    firsts = (lines.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("f"), F.count("*").alias("k")).filter("k > 1"))
+    copies = lines.join(firsts, ["h1", "h2"]).filter(F.struct(*LINE) != F.col("f"))
+    copied = written_table(copies.select(*LINE).distinct(), "copied")
+    own = written_table(lines.filter("prefix IS NOT NULL").select(*LINE, "n", "map", "prefix")
+                        .join(copied, list(LINE), "left_anti").dropDuplicates(list(LINE)), "own")
     central = written_table(_verified(docs, written_table(central_pairs(own, percent), "central"), percent), "settled")
-    flagged = own.join(central.withColumn("found", F.lit(True)), ["doc", "pos"], "left")
-    postings = (flagged.select("doc", "pos", "n", "map", F.col("found").isNull().cast("int").alias("open"),
-                               F.posexplode_outer("prefix").alias("at", "token"))
-                .withColumn("at", F.col("at") + 1))
+    flagged = own.join(central.withColumn("found", F.lit(True)), list(LINE), "left")
+    sign = F.when(F.col("found"), -1).otherwise(1)
+    postings = (flagged.select(*LINE, "n", "map", sign.alias("sign"), F.posexplode_outer("prefix").alias("at", "token"))
+                .select(*LINE, "n", "map", ((F.col("at") + 1) * F.col("sign")).alias("at"), "token"))
     pairs = written_table(similar_pairs(postings, percent), "pairs")
     pairs = written_table(hopeful_pairs(pairs, own, percent).distinct(), "hopeful")
     # A line that goes takes its copies with it, which are gone already.
     gone = copied.unionAll(central).unionAll(_verified(docs, pairs, percent))
-    return gone.groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    return gone.groupBy("doc", "twin").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
 def kept_text(text: Column, removed: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(removed, i)), "\n")
 
 
+def _with_removed(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the positions that go, in a column whose name comes second."""
+    names = {c: free_name(docs.columns, f"line_{c}") for c in gone.columns}
+    gone = gone.select(*[F.col(c).alias(names[c]) for c in gone.columns])
+    same = (F.col("doc_id") == F.col(names["doc"])) & (twin_of(F.col("text")) == F.col(names["twin"]))
+    return docs.join(gone, same, "left").select(*docs.columns, names["removed"]), names["removed"]
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its lines, how many go, and which."""
-    docs = given(spark, sf_dir, "documents")
-    gone = removed_lines(docs).select(F.col("doc_id").alias("id"), F.col("removed").alias("gone"))
-    counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    return counted.join(gone, F.col("doc_id") == F.col("id"), "left").select(
-        "doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
-        F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
+    docs = given(spark, sf_dir, "documents").select("doc_id", "text")
+    told, removed = _with_removed(docs, removed_lines(docs))
+    return told.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"),
+                       F.coalesce(F.size(removed), F.lit(0)).alias("n_removed"),
+                       F.coalesce(F.array_join(removed, ","), F.lit("")).alias("removed"))
 
 
 OP10_SQL = r"""
-WITH line AS (
-    SELECT doc_id, n_lines, i AS pos, replace(replace(l[i + 1], chr(9), ' '), chr(13), ' ') AS line
-    FROM (SELECT doc_id, l, len(l) AS n_lines, unnest(range(len(l))) AS i
-          FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) x),
-numbered AS (
-    SELECT *, min((doc_id, pos)) OVER (PARTITION BY line) AS f FROM line WHERE strlen(line) >= 9),
-firsts AS (
-    SELECT doc_id, pos, list_distinct(regexp_extract_all(line, '[^ ]+')) AS w
-    FROM numbered WHERE f = (doc_id, pos)),
-token AS (SELECT doc_id, pos, len(w) AS n, unnest(w) AS t FROM firsts WHERE len(w) >= 5),
+WITH given AS (
+    SELECT row_number() OVER () AS r, doc_id, substr(md5(text), 1, 15) AS twin, string_split(text, chr(10)) AS l FROM documents),
+line AS (
+    SELECT DISTINCT doc_id, twin, i AS pos, replace(replace(l[i + 1], chr(9), ' '), chr(13), ' ') AS line
+    FROM (SELECT *, unnest(range(len(l))) AS i FROM given WHERE doc_id IS NOT NULL) x),
+worded AS (
+    SELECT doc_id, twin, pos, list_sort(list_distinct(regexp_extract_all(line, '[^ ]+'))) AS w FROM line WHERE trim(line) <> ''),
+numbered AS (SELECT *, min((doc_id, twin, pos)) OVER (PARTITION BY w) AS f FROM worded),
+firsts AS (SELECT * FROM numbered WHERE f = (doc_id, twin, pos)),
+token AS (SELECT doc_id, twin, pos, len(w) AS n, unnest(w) AS t FROM firsts),
 often AS (SELECT t, count(*) AS c FROM token GROUP BY t),
 prefix AS (
     SELECT * FROM (
-        SELECT token.*, row_number() OVER (PARTITION BY doc_id, pos ORDER BY c, t) AS place FROM token JOIN often USING (t)) x
+        SELECT token.*, row_number() OVER (PARTITION BY doc_id, twin, pos ORDER BY c, t) AS place FROM token JOIN often USING (t)) x
     WHERE place <= n - ceil(n * 80 / 100.0) + 1),
 pair AS (
-    SELECT DISTINCT a.doc_id AS da, a.pos AS pa, b.doc_id AS db, b.pos AS pb
-    FROM prefix a JOIN prefix b ON a.t = b.t AND (a.doc_id, a.pos) < (b.doc_id, b.pos)
+    SELECT DISTINCT a.doc_id AS da, a.twin AS ta, a.pos AS pa, b.doc_id AS db, b.twin AS tb, b.pos AS pb
+    FROM prefix a JOIN prefix b ON a.t = b.t AND (a.doc_id, a.twin, a.pos) < (b.doc_id, b.twin, b.pos)
         AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
 gone AS (
-    SELECT doc_id, pos FROM numbered WHERE f <> (doc_id, pos)
+    SELECT doc_id, twin, pos FROM numbered WHERE f <> (doc_id, twin, pos)
     UNION
-    SELECT db, pb FROM pair JOIN firsts a ON a.doc_id = da AND a.pos = pa JOIN firsts b ON b.doc_id = db AND b.pos = pb
+    SELECT db, tb, pb FROM pair JOIN firsts a ON (a.doc_id, a.twin, a.pos) = (da, ta, pa)
+        JOIN firsts b ON (b.doc_id, b.twin, b.pos) = (db, tb, pb)
     WHERE len(list_intersect(a.w, b.w)) * 180 >= (len(a.w) + len(b.w)) * 80)
-SELECT doc_id, CAST(any_value(n_lines) AS INTEGER) AS n_lines, CAST(count(g.pos) AS INTEGER) AS n_removed,
+SELECT given.doc_id, CAST(coalesce(any_value(len(l)), 0) AS INTEGER) AS n_lines, CAST(count(g.pos) AS INTEGER) AS n_removed,
     coalesce(string_agg(CAST(g.pos AS VARCHAR), ',' ORDER BY g.pos), '') AS removed
-FROM line LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id
+FROM given LEFT JOIN gone g ON given.doc_id = g.doc_id AND given.twin = g.twin GROUP BY given.r, given.doc_id
 """
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their later lines, ``n_chars`` counted anew. A document that loses every line goes; one that
     had no text stays."""
-    gone = written_table(removed_lines(docs), "removed")
-    keys = [c for c in docs.columns if c not in ("text", "n_chars")]
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("removed").alias("__removed"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col("__removed")))
-    out = joined.filter(F.col("__removed").isNull() | (F.size("__removed") < F.size(F.split("text", "\n"))))
-    columns = {c: F.col(c) for c in keys} | {"text": text, "n_chars": F.length(text).cast("long")}
-    return out.select(*[columns[c].alias(c) for c in docs.columns])
+    told, removed = _with_removed(docs, written_table(removed_lines(docs), "removed"))
+    text = F.when(F.col(removed).isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col(removed)))
+    out = told.filter(F.col(removed).isNull() | (F.size(removed) < F.size(F.split("text", "\n"))))
+    changed = {"text": text, "n_chars": F.length(text).cast("long")}
+    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -1,5 +1,6 @@
 """Line dedup, MinHash and components against brute force."""
 
+import hashlib
 import random
 
 import pytest
@@ -46,24 +47,48 @@ def token_set(line):
     return {w for w in line.replace("\t", " ").replace("\r", " ").split(" ") if w}
 
 
+def twin(text):
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
 def expected_lines(rows):
-    found = sorted({(i, p, line.replace("\t", " ").replace("\r", " ")) for i, t in rows if i is not None and t is not None
-                    for p, line in enumerate(t.split("\n"))})
+    """Positions that go, by (doc_id, text): all lines with words against all earlier ones."""
+    found = sorted({(i, twin(t), p, t, line) for i, t in rows if i is not None and t is not None
+                    for p, line in enumerate(t.split("\n")) if token_set(line)})
+    sets = [token_set(line) for *_, line in found]
     gone = {}
-    for k, (i, p, line) in enumerate(found):
-        mine = token_set(line)
-        for j, q, other in found[:k]:
-            its = token_set(other)
-            same = line == other and len(line.encode()) >= 9
-            near = min(len(mine), len(its)) >= 5 and 100 * len(mine & its) >= 80 * len(mine | its)
-            if same or near:
-                gone.setdefault(i, set()).add(p)
+    for k, (i, _, p, t, _) in enumerate(found):
+        if any(100 * len(sets[k] & its) >= 80 * len(sets[k] | its) for its in sets[:k]):
+            gone.setdefault((i, t), set()).add(p)
     return gone
 
 
+def removed(spark, rows):
+    texts = {(i, twin(t)): (i, t) for i, t in rows if i is not None and t is not None}
+    return {texts[r.doc, r.twin]: set(r.removed) for r in lines.removed_lines(frame(spark, rows)).collect()}
+
+
 def test_lines_match_brute_force(spark, corpus):
-    got = {r.doc_id: set(r.removed) for r in lines.removed_lines(frame(spark, corpus)).collect()}
-    assert got == expected_lines(corpus)
+    assert removed(spark, corpus) == expected_lines(corpus)
+
+
+def test_short_lines_and_unlike_texts_of_one_id(spark):
+    rows = [(1, "Les.\n\nLes."), (2, "Les.\none two three four"), (3, "four three two one\n \t\none two three four five"),
+            (4, "a text of this row alone, quite long"), (4, "Les."), (4, "another text of the row, not as long"), (4, "Les."),
+            (5, "one two three\nthree two\tone\none two six"), (6, "a  b\rb"), (7, "b a\nab"), (8, "\n\n")]
+    assert removed(spark, rows) == expected_lines(rows)
+    assert removed(spark, rows)[4, "Les."] == {0} and (4, rows[3][1]) not in removed(spark, rows)
+    out = lines.stage(spark, frame(spark, rows), "").collect()
+    assert sorted(r.text for r in out if r.doc_id == 4) == sorted(rows[k][1] for k in (3, 5))
+    assert [r.text for r in out if r.doc_id == 8] == ["\n\n"]
+
+
+def test_line_stage_carries_columns_of_any_name(spark):
+    names = ("doc_id", "text", "line_doc", "LINE_removed", "__id", "twin", "pos")
+    docs = spark.createDataFrame([(1, "one two\nthree", *"abcde"), (2, "three", *"abcde"), (3, "four", *"abcde")],
+                                 ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    out = lines.stage(spark, docs, "")
+    assert out.columns == list(names) and sorted(r.text for r in out.collect()) == ["four", "one two\nthree"]
 
 
 def test_line_stage_keeps_columns_and_rows_without_id(spark, corpus):
@@ -73,7 +98,7 @@ def test_line_stage_keeps_columns_and_rows_without_id(spark, corpus):
     gone = expected_lines(corpus)
     want = []
     for i, t in corpus:
-        kept = [line for p, line in enumerate((t or "").split("\n")) if p not in gone.get(i, ())]
+        kept = [line for p, line in enumerate((t or "").split("\n")) if p not in gone.get((i, t), ())]
         if kept:
             want.append((i, None if t is None else "\n".join(kept)))
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
@@ -81,7 +106,7 @@ def test_line_stage_keeps_columns_and_rows_without_id(spark, corpus):
 
 def test_a_line_most_rows_share(spark):
     rows = [(i, "the same line in very many rows here\nown line number %d of this text alone" % i) for i in range(300)]
-    got = {r.doc_id: r.removed for r in lines.removed_lines(frame(spark, rows)).collect()}
+    got = {i: positions for (i, _), positions in removed(spark, rows).items()}
     assert all(0 in got[i] for i in range(1, 300)) and 0 not in got
 
 
