@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from fiscolake.llm.common import WORD, given
+from fiscolake.llm.common import WORD, free_name, given
 from fiscolake.session import written_table
 
 MARGINS = ("source", "lang", "topic")
@@ -152,20 +152,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn, with all their columns and the weight of their cell as a last column."""
-    name = "mixing_weight"
-    while name in docs.columns:
-        name = f"_{name}"
+    name = free_name(docs.columns, "mixing_weight")
+    own = {m: free_name(docs.columns, f"cell_{m}") for m in (*MARGINS, "weight")}
     cells = cells_of(measured(docs, form(F.col("text"))))
     weighed = written_table(rake(cells), "weights")
     scale = calibrate(weighed, 0.5)
-    values = [F.coalesce(c.cast("string"), F.lit(NONE)).alias(f"__{m}") for m, c in
+    values = [F.coalesce(c.cast("string"), F.lit(NONE)).alias(own[m]) for m, c in
               zip(MARGINS, (F.col("source"), F.col("lang"), form(F.col("text"))))]
-    factors = weighed.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("weight").alias("__weight"))
+    factors = weighed.select(*[F.col(m).alias(own[m]) for m in (*MARGINS, "weight")])
     sources = cells.select("source").distinct().count()
     if sources <= MAX_SENT_SOURCES:
         factors = F.broadcast(factors)
     draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), "text"), F.lit("mixing")).bitwiseAND(F.lit((1 << 53) - 1))
-    weight = F.coalesce("__weight", F.lit(1.0 / scale))
-    return (docs.select("*", *values).join(factors, [f"__{m}" for m in MARGINS], "left")
+    weight = F.coalesce(own["weight"], F.lit(1.0 / scale))
+    return (docs.select("*", *values).join(factors, [own[m] for m in MARGINS], "left")
             .filter(draw / F.lit(float(1 << 53)) < F.least(F.lit(1.0), weight * scale))
             .select(*docs.columns, weight.alias(name)))
