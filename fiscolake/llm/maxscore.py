@@ -11,7 +11,8 @@ group, and only its best k per query leave it. The shards are merged by a window
 
 Rows: vectors that are null or hold null, NaN or infinite components take no part; neither do null ids. An item is
 not compared with the query of the same id. Vectors of unlike length are compared over the dimensions both have. Repeated
-rows are items each and queries each. Empty tables give an empty result; further columns are not read.
+rows are items each and queries each: every one of them has a list of its own. Empty tables give an empty result; further
+columns are not read.
 """
 
 from __future__ import annotations
@@ -72,16 +73,18 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, *, query_rows: int = QUE
     of_item = max(1, -(-n_items // item_rows))
 
     def dealt(frame: DataFrame, blocks: int) -> DataFrame:
-        return frame.select("id", "v", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).alias("own"))
+        # By row and not by id, so that rows of one id neither share a block nor a list.
+        numbered = frame.select("id", "v", F.monotonically_increasing_id().alias("row"))
+        return numbered.select("*", F.pmod(F.xxhash64("row", F.lit("block")), F.lit(blocks)).alias("own"))
 
-    asked = dealt(queries, of_query).select("id", "v", F.col("own").alias("q"), F.explode(
+    asked = dealt(queries, of_query).select("id", "v", "row", F.col("own").alias("q"), F.explode(
         F.sequence(F.lit(0).cast("long"), F.lit(of_item - 1).cast("long"))).alias("i"))
     held = dealt(items, of_item).select("id", "v", F.col("own").alias("i"), F.explode(
         F.sequence(F.lit(0).cast("long"), F.lit(of_query - 1).cast("long"))).alias("q"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}, dtype="int64")
         width = min(len(v) for v in (*left["v"], *right["v"]))
         wide = max(len(v) for v in (*left["v"], *right["v"]))
 
@@ -92,11 +95,11 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, *, query_rows: int = QUE
 
         ids = left["id"].to_numpy(np.int64)
         row, item, score = best_of_block(matrix(left["v"]), ids, matrix(right["v"]), right["id"].to_numpy(np.int64), k)
-        return pd.DataFrame({"query_id": ids[row], "vec_id": item, "score": score})
+        return pd.DataFrame({"row": left["row"].to_numpy(np.int64)[row], "query_id": ids[row], "vec_id": item, "score": score})
 
     shards = asked.groupBy("q", "i").cogroup(held.groupBy("q", "i")).applyInPandas(
-        search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        search, "row long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return (shards.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
@@ -116,14 +119,14 @@ def op2_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH v AS (
-    SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+    SELECT row_number() OVER () AS row, CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 ranked AS (
-    SELECT q.id AS query_id, i.id AS vec_id, CAST(list_inner_product(q.v, i.v) AS BIGINT) AS score
+    SELECT q.row, q.id AS query_id, i.id AS vec_id, CAST(list_inner_product(q.v, i.v) AS BIGINT) AS score
     FROM v q JOIN v i ON q.id % 100 = 0 AND q.id <> i.id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ranked) x
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM ranked) x
 WHERE rank <= 10
 """
