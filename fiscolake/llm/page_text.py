@@ -11,7 +11,8 @@ headers, footers, sidebars, notices, adverts, forms, reader comments); ``train``
 
 Rows: a null or empty page, and one without main blocks, gives an empty text. Tags that are not closed, or closed
 without being open, are read as browsers read them in the cases that occur: paragraphs, list items and cells end where
-the next one begins. Repeated rows give equal results; extra columns are not read.
+the next one begins. A quote that never closes is a character of its tag. Repeated rows give equal results; extra
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +30,14 @@ from pyspark.sql import functions as F
 
 from fiscolake.llm.common import given, small_batches
 
-#: Comments, elements without readable text (to their end, or the end of the page), and tags.
+#: Attributes up to the end of a tag. A quote opens a value only after an equals sign; elsewhere it is a character.
+ATTRIBUTES = r"(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+"
+#: Comments, elements without readable text (to their end, or the end of the page; those closed in their own tag hold
+#: nothing), and tags.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<([/!?]?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b(?!-)" + ATTRIBUTES
+    + r"(?:(?<=/)>|>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<([/!?]?)([a-zA-Z][a-zA-Z0-9:-]*)(" + ATTRIBUTES + r")(?:>|\Z)", re.S | re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
                    "strike strong sub sup time tt u var wbr".split())
@@ -283,8 +288,11 @@ def labelled_pages(count: int = 320, seed: int = 5) -> list[tuple[list[Block], l
         inside = some(0.15, comments)
         kind = draw.random()
         article = (f"<article>{body}{inside}</article>" if kind < 0.5 else f"<main>{body}{inside}</main>" if kind < 0.65 else
-                   box("content article post entry story main", body + inside))
+                   box("content article post entry story main", body + inside) if kind < 0.85 else
+                   box("page wrapper container text body column", body + inside) if kind < 0.95 else f"<div>{body}{inside}</div>")
         order = [head, menu, notice, some(0.6, advert), *draw.sample([article, side], 2), form, some(0.7, comments), foot]
+        if draw.random() < 0.1:    # nothing around the article
+            order = [article]
         page = (f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style><script>var a='</p>';</script></head>"
                 f"<body>{''.join(order)}</body></html>")
         found = blocks(page)

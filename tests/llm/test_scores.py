@@ -202,6 +202,8 @@ def test_raking_to_given_targets_and_of_nothing(spark, texts):
     staged = mixing.stage(spark, frame(spark, texts).withColumn("mixing_weight", F.lit(1)), "")
     assert staged.columns[-1] == "_mixing_weight" and 0 < staged.count() < len(texts)
     assert mixing.stage(spark, frame(spark, []), "").count() == 0
+    clashing = frame(spark, texts).withColumns({c: F.lit(1) for c in ("cell_source", "__weight", "__lang", "CELL_weight")})
+    assert mixing.stage(spark, clashing, "").columns == [*clashing.columns, "mixing_weight"]
 
 
 def test_page_field_on_pages_it_has_not_seen():
@@ -232,6 +234,26 @@ def test_blocks_of_broken_pages():
     assert page_text.Field().text(None) == ""
 
 
+def test_blocks_after_elements_closed_in_their_own_tag_and_odd_quotes():
+    page = ("<svg class='i'/><p>one</p><iframe src=\"x\" /><p title=don't>two</p><p title=\"a > b\">three</p>"
+            "<svg><text>no</text></svg><p data-x='it\"s'>four <select><option>no</select></p><svg-box>five</svg-box>")
+    assert [b.text for b in page_text.blocks(page)] == ["one", "two", "three", "four", "five"]
+    assert [b.text for b in page_text.blocks("<p title=\"open>one</p>")] == ["one"]
+
+
+def test_page_text_of_plain_containers_and_repeated_rows(spark):
+    main_text = page_text.extract(spark, page_text.train(page_text.labelled_pages()))
+    body = "<p>The first paragraph of a text that says something, and goes on.</p>"
+    rows = [(1, f"<html><body><div id='page'>{body}</div></body></html>"), (2, f"<body>{body}{body}</body>"), (3, None), (3, ""), (3, ""),
+            (4, "<article>" + body * 3000 + "</article>"), (5, f"<div><svg/><h1>Some title</h1>{body}</div><footer>&copy; none</footer>")]
+    pages = spark.createDataFrame([(i, h, "x") for i, h in rows], "page_id long, html string, text string")
+    out = sorted((r.page_id, r.t) for r in pages.select("page_id", main_text("html").alias("t")).collect())
+    plain = body[3:-4]
+    assert out == [(1, plain), (2, f"{plain}\n{plain}"), (3, ""), (3, ""), (3, ""), (4, "\n".join([plain] * 3000)),
+                   (5, f"Some title\n{plain}")]
+    assert pages.limit(0).select(main_text("html")).count() == 0
+
+
 def test_url_parts_rules_and_verdicts(spark):
     rows = [(1, "HTTP://WWW.Example.com/en/1?x#y"), (2, "http://a.example.com/en/2"), (3, "https://example.com/de"), (4, "http://x.net/es/1"),
             (5, "http://notexample.com"), (6, None), (7, "no scheme"), (8, "http://free-casino-win.example.org/en/1"),
@@ -261,6 +283,14 @@ def test_maxscore_matches_all_products(spark):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
 
 
+def test_maxscore_gives_each_row_of_a_repeated_query_its_own_list(spark):
+    items = spark.createDataFrame([(0, [1, 2])] * 3 + [(0, [-1, 0])] + [(i, [i, -i]) for i in range(1, 9)], "id long, v array<long>")
+    got = maxscore.top_k(items.filter("id = 0"), items, 4, query_rows=2, item_rows=3).collect()
+    want = 3 * [(0, k + 1, k + 1, -k - 1) for k in range(4)] + [(0, k + 1, k + 1, -k - 1) for k in range(4)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+    assert maxscore.top_k(items.limit(0), items, 4).count() == 0
+
+
 def test_maxscore_leaves_out_broken_vectors(spark):
     rows = [(0, [1.0, 0.5]), (1, [0.5, float("nan")]), (2, None), (3, [None, 1.0]), (4, [float("inf"), 0.0]), (None, [1.0, 1.0]), (5, [-0.0001, 1.0])]
     v = maxscore.quantised(spark.createDataFrame([(i, x, 9) for i, x in rows], "vec_id long, embedding array<float>, id int"))
