@@ -215,6 +215,16 @@ _SEEN = """seen AS (
         UNION SELECT p.page_id FROM seen s, pages p WHERE p.page_id IN (2 * s.page_id + 1, 2 * s.page_id + 2)
             OR (s.page_id > 2 AND p.page_id = (s.page_id - 1) // 2))"""
 
+_RETURN_TOTALS = (f"""SELECT declaration_id, strftime({_DATE}, '%Y-%m-%d') AS data_documento, summary, """
+    + ", ".join(f"""CAST((SELECT count(*) FROM {n} x WHERE x.declaration_id = d.declaration_id) AS BIGINT)
+        AS n_{n}""" for n in SCHEDULES)
+    + """, coalesce((SELECT CAST(sum(CAST(valor_pago * 100 AS BIGINT)) AS BIGINT) FROM pagamentos_efetuados x
+        WHERE x.declaration_id = d.declaration_id), 0) AS paid_cents,
+    coalesce((SELECT CAST(sum(CAST(imposto_retido * 100 AS BIGINT)) AS BIGINT) FROM rendimentos_tributaveis_pj x
+        WHERE x.declaration_id = d.declaration_id), 0) AS tax_cents,
+    CAST((SELECT count(*) FROM rendimentos_isentos x WHERE x.declaration_id = d.declaration_id
+        AND nome_fonte_pagadora IS NULL) AS BIGINT) AS n_nameless FROM declarations d""")
+
 ORACLES = {
     "income_sources": _SOURCES,
     "income_sources_guard": _SOURCES,
@@ -290,15 +300,10 @@ ORACLES = {
         CAST((SELECT count(*) FROM doacoes_efetuadas x WHERE x.declaration_id = d.declaration_id) AS INTEGER)
             AS n_donations FROM declarations d""",
     "json_shred": _ALL + f"SELECT * FROM ({_LABEL_AMOUNTS}) WHERE {_HAS_RETURN}",
-    "return_to_json": _ALL + f"""SELECT declaration_id, strftime({_DATE}, '%Y-%m-%d') AS data_documento, summary, """
-        + ", ".join(f"""CAST((SELECT count(*) FROM {n} x WHERE x.declaration_id = d.declaration_id) AS BIGINT)
-            AS n_{n}""" for n in SCHEDULES)
-        + """, coalesce((SELECT CAST(sum(CAST(valor_pago * 100 AS BIGINT)) AS BIGINT) FROM pagamentos_efetuados x
-            WHERE x.declaration_id = d.declaration_id), 0) AS paid_cents,
-        coalesce((SELECT CAST(sum(CAST(imposto_retido * 100 AS BIGINT)) AS BIGINT) FROM rendimentos_tributaveis_pj x
-            WHERE x.declaration_id = d.declaration_id), 0) AS tax_cents,
-        CAST((SELECT count(*) FROM rendimentos_isentos x WHERE x.declaration_id = d.declaration_id
-            AND nome_fonte_pagadora IS NULL) AS BIGINT) AS n_nameless FROM declarations d""",
+    "return_to_json": _ALL + _RETURN_TOTALS,
+    "return_documents": _ALL + "SELECT data_documento, summary, " + ", ".join(
+        f"CAST(sum({c}) AS BIGINT) AS {c}" for c in (*[f"n_{n}" for n in SCHEDULES], "paid_cents", "tax_cents", "n_nameless"))
+        + f" FROM ({_RETURN_TOTALS}) GROUP BY data_documento, summary",
     "typed_empty_schedule": _ALL + "SELECT " + ", ".join(
         f"count(*) FILTER (table_name = '{n}') AS {n}" for n in SCHEDULES) + f""", round(sum(amount), 2) AS amount
         FROM ({_LABEL_AMOUNTS}) WHERE {_HAS_RETURN} AND table_name NOT IN ('doacoes_efetuadas', 'bens_direitos')""",

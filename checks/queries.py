@@ -12,9 +12,11 @@ from checks import bridge, render
 from checks.bridge import AS_OF, given, money
 from fiscolake.functions import scalars as S
 from fiscolake.functions import urls as U
+from fiscolake.functions.merges import read_ranks
+from fiscolake.functions.stems import english_stems
 from fiscolake.operators import crawl, incremental, retrieve, shred, validate
 from fiscolake.operators.cells import build_cells
-from fiscolake.operators.chunk import chunk_sentences, chunk_words
+from fiscolake.operators.chunk import chunk_sentences, chunk_tokens, chunk_words
 from fiscolake.operators.embed import embed
 from fiscolake.operators.postings import posting_blocks
 from fiscolake.plans import analytics, catalog, documents
@@ -29,6 +31,9 @@ from fiscolake.streaming import arrivals
 
 Spark = SparkSession
 
+#: A vocabulary of ranked merges, outside the repository.
+VOCABULARY = "file:///opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def plain(df: DataFrame) -> DataFrame:
     """Decimals as floating point, so that both engines give one type."""
@@ -289,26 +294,38 @@ def json_shred(spark: Spark, sf: str) -> DataFrame:
     return _label_amounts(shred.shred(_parsed(docs), "json"))
 
 
-def return_to_json(spark: Spark, sf: str) -> DataFrame:
-    docs = shred.return_json(render.nested(bridge.tables(spark, sf), date=_doc_date()))
+def _document_totals(docs: DataFrame, *own: str) -> DataFrame:
+    """What JSON documents of returns hold, by columns of theirs; a very large return has several documents, which
+    together hold its lines."""
     back = docs.withColumn("r", F.from_json("document", render.docs_schema()))
 
     def total(table: str, column: str) -> Column:
         cents = F.transform(F.col(f"r.{table}.{column}"), lambda v: (v.cast("decimal(14,2)") * 100).cast("long"))
         return F.aggregate(cents, F.lit(0).cast("long"), lambda a, v: a + v)
 
+    own = (*own, "data_documento", "summary")
     pages = back.select(
-        "declaration_id", F.col("r.data_documento").alias("data_documento"),
+        *own[:-2], F.col("r.data_documento").alias("data_documento"),
         F.col("r.summary.text").alias("summary"),
         *[F.size(f"r.{n}").alias("n_" + n) for n in SCHEDULES],
         total("pagamentos_efetuados", "valor_pago").alias("paid_cents"),
         total("rendimentos_tributaveis_pj", "imposto_retido").alias("tax_cents"),
         F.size(F.filter("r.rendimentos_isentos", lambda x: x["nome_fonte_pagadora"].isNull())).alias("n_nameless"))
-    # A very large return has several documents, which together hold its lines.
-    own = ["declaration_id", "data_documento", "summary"]
     return pages.groupBy(*own).agg(*[F.sum(c).alias(c) for c in pages.columns if c not in own])
 
 
+def return_to_json(spark: Spark, sf: str) -> DataFrame:
+    docs = shred.return_json(render.nested(bridge.tables(spark, sf), date=_doc_date()))
+    return _document_totals(docs, "declaration_id")
+
+
+def return_documents(spark: Spark, sf: str) -> DataFrame:
+    """Return files to JSON documents, added up by date and summary."""
+    path = shared_path(spark, "xml")
+    render.write_xml(render.xml_returns(render.nested(bridge.tables(spark, sf), date=_doc_date()), *SCHEDULES), path)
+    return _document_totals(documents.return_documents(spark, path, as_of=AS_OF))
+
+
 def typed_empty_schedule(spark: Spark, sf: str) -> DataFrame:
     docs = render.json_documents(
         render.nested(bridge.tables(spark, sf), date=_doc_date()), "doacoes_efetuadas", "bens_direitos")
@@ -471,11 +488,20 @@ def chunk_sentences_query(spark: Spark, sf: str) -> DataFrame:
     return _chunk_view(chunk_sentences(_docs(spark, sf)))
 
 
+def chunk_tokens_query(spark: Spark, sf: str) -> DataFrame:
+    return _chunk_view(chunk_tokens(_docs(spark, sf), read_ranks(spark, VOCABULARY)))
+
+
 def bm25_topk(spark: Spark, sf: str) -> DataFrame:
     docs = _docs(spark, sf).withColumnRenamed("doc_id", "item_id")
     return retrieve.bm25_topk(_questions(spark, sf), docs)
 
 
+def bm25_stemmed(spark: Spark, sf: str) -> DataFrame:
+    docs = _docs(spark, sf).withColumnRenamed("doc_id", "item_id")
+    return retrieve.bm25_topk(_questions(spark, sf), docs, normalize=english_stems)
+
+
 def vector_topk(spark: Spark, sf: str) -> DataFrame:
     """For each label, the vectors nearest to the mean of its vectors."""
     vectors = given(spark, sf, "embeddings")
@@ -667,6 +693,7 @@ QUERIES = {
     "xml_returns": xml_returns,
     "json_shred": json_shred,
     "return_to_json": return_to_json,
+    "return_documents": return_documents,
     "typed_empty_schedule": typed_empty_schedule,
     "csv_round_trip": csv_round_trip,
     "money_double": money_double,
@@ -679,7 +706,9 @@ QUERIES = {
     "stream_arrivals": stream_arrivals,
     "chunk_words": chunk_words_query,
     "chunk_sentences": chunk_sentences_query,
+    "chunk_tokens": chunk_tokens_query,
     "bm25_topk": bm25_topk,
+    "bm25_stemmed": bm25_stemmed,
     "vector_topk": vector_topk,
     "vector_cells": vector_cells,
     "bm25_stored": bm25_stored,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,16 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 Normalizer = Callable[[Column], Column]
 
 
+@dataclass(frozen=True)
+class OfLists:
+    """A normalizer that takes the list of terms instead of each term, for functions that cannot stand in a lambda."""
+
+    of_list: Normalizer
+
+    def __call__(self, found: Column) -> Column:
+        return self.of_list(found)
+
+
 def same_term(term: Column) -> Column:
     return term
 
@@ -30,9 +41,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \t\n\r\f]+"), lambda w: w != "")
 
 
-def terms(text: Column, normalize: Normalizer = same_term) -> Column:
+def terms(text: Column, normalize: Normalizer | OfLists = same_term) -> Column:
     """Lower-case search terms; a normalizer drops a term by emptying it."""
     found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
     if normalize is same_term:
         return found
-    return F.filter(F.transform(found, normalize), lambda t: t != "")
+    changed = normalize(found) if isinstance(normalize, OfLists) else F.transform(found, normalize)
+    return F.filter(changed, lambda t: t != "")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fiscolake.functions.merges import Ranks, token_counter
 from fiscolake.functions.tokens import words
 
 CHUNK_SIZE = 1024
@@ -15,6 +17,13 @@ CHUNK_OVERLAP = 200
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+"
 
 
+# Where a text may be cut without changing its tokens: before white space that follows closing punctuation or holds a
+# line feed.
+BREAK = r"(?U)(?<=[.!?])(?=\s)|(?<=\S)(?=\s*\n)"
+# White space and the word after it.
+SPACED = r"\s*\S+|\s+$"
+
+
 def _chunk_id(doc_id: Column, chunk_no: Column) -> Column:
     return F.sha2(F.concat_ws("/", doc_id.cast("string"), chunk_no.cast("string")), 256)
 
@@ -92,3 +101,53 @@ def chunk_sentences(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
                                F.col("_span.last") - F.col("_span.first")))
     return _finish(each.select("doc_id", "chunk_no", F.array_join(packed, " ").alias("text"),
                                F.size(packed).alias("n_tokens")))
+
+
+def _fitted(text: str, count, size: int) -> list[tuple[str, int]]:
+    """Parts of a text, each of at most ``size`` tokens, with their numbers of tokens: as many words as fit, and halves of
+    words that do not fit alone."""
+    n = count(text)
+    if n <= size or len(text) < 2:
+        return [(text, n)] if n else []
+    spaced = regex.findall(SPACED, text)
+    if len(spaced) < 2:
+        half = len(text) // 2
+        return _fitted(text[:half], count, size) + _fitted(text[half:], count, size)
+    out: list[tuple[str, int]] = []
+    held, total = [], 0
+    for word in spaced:
+        n = count(word)
+        if held and total + n > size:
+            out.append(("".join(held), total))
+            held, total = [], 0
+        if n > size:
+            out += _fitted(word, count, size)
+        else:
+            held.append(word)
+            total += n
+    return out + ([("".join(held), total)] if held else [])
+
+
+def chunk_tokens(docs: DataFrame, ranks: Ranks, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Whole sentences packed into chunks of at most ``size`` tokens of a vocabulary (from ``read_ranks``), where a chunk
+    begins with the last sentences of the one before, up to ``overlap`` tokens.
+
+    A sentence keeps the white space before it, so that chunks are parts of the text as it stands, and holds as many tokens
+    in a chunk as alone. Longer sentences are cut between words, and a word longer than a chunk is halved until it fits: only
+    there may the tokens of the text and those of its parts differ. Null and empty texts have no chunks."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and less than size")
+
+    @F.pandas_udf("array<struct<text:string,n:int>>")
+    def pieces(sentences: pd.Series) -> pd.Series:
+        count = token_counter(ranks)
+        return pd.Series([[] if many is None else [{"text": t, "n": n} for s in many for t, n in _fitted(s, count, size)]
+                          for many in sentences])
+
+    cut = docs.select("doc_id", pieces(F.split("text", BREAK)).alias("_pieces"))
+    counted = cut.select("doc_id", "_pieces", _spans(size, overlap)(F.col("_pieces.n")).alias("_spans"))
+    each = (counted.select("doc_id", "_pieces", F.posexplode_outer("_spans").alias("chunk_no", "_span"))
+            .where("_span IS NOT NULL"))
+    own = F.slice("_pieces", F.col("_span.first") + 1, F.col("_span.last") - F.col("_span.first"))
+    return _finish(each.select("doc_id", "chunk_no", F.array_join(F.transform(own, lambda p: p["text"]), "").alias("text"),
+                               F.aggregate(own, F.lit(0), lambda n, p: n + p["n"]).alias("n_tokens")))
