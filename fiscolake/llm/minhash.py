@@ -10,7 +10,9 @@ a whole. Two documents are linked if their sets have a Jaccard similarity of ``p
 3. In each bucket of a band the member with most meetings is the centre, and every member is paired with it: one
    row per member, never all pairs. Pairs pass the filter of lengths and of signatures, and are confirmed on the full sets.
 4. Buckets whose members the first components do not join yet give the pairs across them, so that no link is
-   lost where the centre was the wrong one; these pass the same tests, lengths and signatures within the join itself.
+   lost where the centre was the wrong one; these pass the same tests within the join itself, with signatures of one bit of
+   each of 2,048 minima, and one more: shingles that no other document of these buckets has can be shared with none, so what is left of the smaller
+   set bounds what two share. Copies that are too far from all others by their own changes meet nobody.
    Pairs within a component would change nothing.
 5. Components by alternating stars.
 
@@ -37,7 +39,8 @@ from fiscolake.session import written_table
 ROWS_PER_BAND = 5
 #: Minima of a signature, and bits kept of each. Their number is a multiple of 16, so that they fill whole longs.
 HASHES, BITS = 256, 4
-LONGS = HASHES * BITS // 64
+#: The same for documents that meet others across components, which are fewer.
+OPEN_HASHES, OPEN_BITS = 2048, 1
 #: Signatures of a pair at the threshold differ by more than this many standard deviations above the mean with
 #: probability 1e-6.
 DEVIATIONS = 4.75
@@ -70,27 +73,33 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def packed(least: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` bits of each minimum in longs. A minimum of many hashes is near zero; its own top bits would tell nothing."""
+    x = (mixed(least) >> np.uint64(64 - bits)).reshape(len(least) * bits // 64, -1)
+    return (x << (np.arange(x.shape[1], dtype=np.uint64) * np.uint64(bits))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def minima(hashes: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
     """The least value of each universal hash (a * x + b modulo 2^64), in blocks so that long texts stay small."""
     least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), BLOCK):
-        part = hashes[None, i:i + BLOCK] * factors[:, None]
+    block = max(1, BLOCK * HASHES // len(factors))
+    for i in range(0, len(hashes), block):
+        part = hashes[None, i:i + block] * factors[:, None]
         part += shifts[:, None]
         np.minimum(least, part.min(axis=1), out=least)
     return least
 
 
-def family(bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors and shifts of the hash functions, the same in every run."""
+def family(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and shifts of ``n`` hash functions, the same in every run."""
     draw = np.random.Generator(np.random.PCG64(20240607))
-    n = max(HASHES, bands * ROWS_PER_BAND)
     factors = draw.integers(0, 2**63, n, np.uint64) * np.uint64(2) + np.uint64(1)
     return factors, draw.integers(0, 2**63, n, np.uint64)
 
 
 def signatures(docs: DataFrame, words: int, bands: int) -> DataFrame:
     """Per row: doc_id, n_shingles, print (two longs), keys of the bands, signature bytes; null prints without a set."""
-    factors, shifts = family(bands)
+    factors, shifts = family(max(HASHES, bands * ROWS_PER_BAND))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -104,10 +113,7 @@ def signatures(docs: DataFrame, words: int, bands: int) -> DataFrame:
                 high, low = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
                 keys = [np.int64(np.uint64(xxhash.xxh64_intdigest(least[i * ROWS_PER_BAND:(i + 1) * ROWS_PER_BAND]
                                                                   .tobytes(), seed=i)).astype(np.int64)) for i in range(bands)]
-                # A minimum of many hashes is near zero; its own top bits would tell nothing.
-                bits = (mixed(least[:HASHES]) >> np.uint64(64 - BITS)).reshape(LONGS, -1)
-                packed = (bits << (np.arange(bits.shape[1], dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64)
-                rows.append((len(h), high, low, keys, packed.view(np.int64)))
+                rows.append((len(h), high, low, keys, packed(least[:HASHES], BITS)))
             out = pd.DataFrame(rows, columns=["n_shingles", "print_a", "print_b", "keys", "signature"])
             out["print_a"], out["print_b"] = out["print_a"].astype("Int64"), out["print_b"].astype("Int64")
             out.insert(0, "doc_id", b["doc_id"].astype("Int64"))
@@ -125,18 +131,36 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", hashes("text").alias("set"))
 
 
-def _hopeful(percent: int):
+def _hopeful(percent: int, hashes: int = HASHES, bits: int = BITS):
     """A test of columns n_shingles_a, signature_a and the like: could sets of these lengths and signatures reach the
     threshold? Minima that differ differ in half of their bits."""
     miss = 1 - percent / 100
-    mean = HASHES * miss * BITS / 2
-    spread = (HASHES * miss * (1 - miss) * (BITS / 2) ** 2 + HASHES * miss * BITS / 4) ** 0.5
+    mean = hashes * miss * bits / 2
+    spread = (hashes * miss * (1 - miss) * (bits / 2) ** 2 + hashes * miss * bits / 4) ** 0.5
     close = F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent
     apart = sum((F.bit_count(F.get("signature_a", F.lit(i)).bitwiseXOR(F.get("signature_b", F.lit(i))))
-                 for i in range(LONGS)), F.lit(0))
+                 for i in range(hashes * bits // 64)), F.lit(0))
     return close & (apart <= mean + DEVIATIONS * spread)
 
 
+def _alone(sets: DataFrame) -> DataFrame:
+    """(doc_id, alone): how many shingles of a document no other one has; no row where that is none. Counts combine before
+    the shuffle."""
+    held = sets.select("doc_id", F.explode_outer("set").alias("shingle"))
+    return (held.groupBy("shingle").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).filter("k = 1")
+            .groupBy("doc_id").agg(F.count("*").alias("alone")))
+
+
+def _long_signatures(sets: DataFrame) -> DataFrame:
+    factors, shifts = family(OPEN_HASHES)
+
+    @F.pandas_udf("array<long>")
+    def bits(sets: pd.Series) -> pd.Series:
+        return pd.Series([packed(minima(h.view(np.uint64), factors, shifts), OPEN_BITS) for h in sets])
+
+    return sets.select("doc_id", bits("set").alias("signature"))
+
+
 def _side(frame: DataFrame, s: str) -> DataFrame:
     return frame.select(*[F.col(c).alias(s if c == "doc_id" else f"{c}_{s}") for c in frame.columns])
 
@@ -179,10 +203,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, percent: int = 85, bands
              .select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     split = (named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .filter("low < high").select("key"))
-    named = written_table(named.join(split, "key").join(told, "doc_id"), "split")
+    named = written_table(named.join(split, "key"), "split")
+    own = sets.join(named.select("doc_id").distinct(), "doc_id", "left_semi")
+    common = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
+    facts = (told.select("doc_id", "n_shingles").join(_long_signatures(own), "doc_id").join(_alone(own), "doc_id", "left")
+             .select("doc_id", "n_shingles", "signature", common.alias("common")))
+    named = written_table(named.join(facts, "doc_id"), "open")
+    enough = F.least("common_a", "common_b") * (100 + percent) >= (F.col("n_shingles_a") + F.col("n_shingles_b")) * percent
     left, right = (_side(named, s).withColumnRenamed(f"key_{s}", "key") for s in "ab")
     across = (left.join(right.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b"))
-                        & (F.col("component_a") != F.col("component_b")) & _hopeful(percent))
+                        & (F.col("component_a") != F.col("component_b")) & enough & _hopeful(percent, OPEN_HASHES, OPEN_BITS))
               .select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
     more = written_table(_confirmed(across, sets, percent), "links")
     joined = components(links.unionAll(more).select("a", "b"))

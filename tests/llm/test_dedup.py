@@ -177,6 +177,24 @@ def test_a_large_group_round_a_centre_that_is_not_its_smallest(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == sorted(expected_components(rows, 3, 85))
 
 
+def test_groups_whose_copies_differ_from_one_another_by_shared_and_own_changes(spark):
+    """Chains of links beside copies that are linked with nothing: some changes are those of many copies, some of one."""
+    draw = random.Random(9)
+    base = words(draw, 120, 10**6)
+    rows = []
+    for i in range(120):
+        text = list(base)
+        for k in range(i % 8):
+            text[k * 13] = f"both{k}"
+        for k in draw.sample(range(120), i % 5):
+            text[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(text)))
+    out = minhash.near_duplicates(frame(spark, rows)).collect()
+    want = expected_components(rows, 3, 85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == sorted(want)
+    assert 3 < len({c for *_, c in want}) < 110
+
+
 def test_nothing_in_nothing_out(spark):
     empty = frame(spark, [])
     assert lines.removed_lines(empty).count() == 0
