@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval, then longest common subsequences and answers.
 
 1. Passages of ``passage`` words of all documents give each benchmark word its document frequency (all passages count).
-2. A randomised SVD of TF-IDF rows: the items, weighted to half of the total, and the passages of a sample of about
-   ``fit_docs`` documents (a hash of doc_id; the bound). Each power step multiplies the rows where they lie and sums
-   one small matrix per partition. Its right singular vectors are the latent space.
+2. A randomised SVD of TF-IDF rows: the items, weighted to half of the total, and the passages of all documents. Tasks
+   add up the Gram matrix of the passages' rows in slabs of bounded size; each power step multiplies by it where it lies
+   and sums one small matrix per partition. The right singular vectors are the latent space.
 3. Every text is searched whole, in windows of the items' lengths (classes a factor 1.5 apart) at a quarter of the
    length. Every window that holds a benchmark word is compared with the items by the cosine of their latent vectors
    over their full norms. Words foreign to the benchmark weigh nothing there, so that neither the text around an item
@@ -24,6 +24,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,12 @@ BLOCK_ITEMS = 256
 MIN_WORDS = 8
 #: Windows of a text whose products are held at once.
 WINDOWS = 1024
+#: Numbers of the Gram matrix that a task adds up at once.
+GRAM_CELLS = 1 << 25
+GRAM = "word long, others array<int>, sums array<float>"
+#: Rows of the Gram matrix that a task sends or multiplies at once, and that are merged as one group.
+SENT_WORDS = 64
+MERGED_WORDS = 8
 LEAK = "array<struct<item_id: bigint, cosine: double, covered: double, answered: boolean>>"
 
 
@@ -58,7 +66,7 @@ class Search:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         other, get = len(self.vocabulary), self.vocabulary.get
-        return np.fromiter((get(w, other) for w in words), np.int64, len(words))
+        return np.fromiter(map(get, words, repeat(other)), np.int64, len(words))
 
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(item, start, end, cosine) of windows at or above the cosine."""
@@ -129,67 +137,125 @@ def last_sentence(text: str) -> str:
     return re.split(r"(?<=[.!?])\s+|\n", text.strip())[-1]
 
 
-def _frequencies(docs: DataFrame, vocabulary: dict[bytes, int], passage: int) -> tuple[np.ndarray, int, int]:
-    """Passages that hold each word, passages, and documents; a row per word and task goes to the sums."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, passages, rows, get = np.zeros(len(vocabulary), np.int64), 0, 0, vocabulary.get
+def _known_words(docs: DataFrame, vocabulary: dict[bytes, int], passage: int) -> DataFrame:
+    """Per text its number of passages, and the benchmark's words in it (``words``) with the passage each stands in (``at``)."""
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = vocabulary.get
         for b in batches:
-            rows += len(b)
+            passages, at, words = [], [], []
             for text in b["text"]:
-                ids = np.fromiter((get(w, -1) for w in byte_words(text)), np.int64)
+                ids = np.fromiter(map(get, byte_words(text), repeat(-1)), np.int32)
                 known = np.flatnonzero(ids >= 0)
-                pairs = np.unique(known // passage * len(vocabulary) + ids[known])
-                held += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
-                passages += -(-len(ids) // passage)
-        word = np.flatnonzero(held)
-        yield pd.DataFrame({"word": [-2, -1, *word], "held": [rows, passages, *held[word]]})
+                passages.append(-(-len(ids) // passage))
+                at.append((known // passage).astype(np.int32))
+                words.append(ids[known])
+            yield pd.DataFrame({"passages": passages, "at": at, "words": words})
+
+    return docs.select("text").mapInPandas(find, "passages long, at array<int>, words array<int>")
 
-    sums = docs.select("text").mapInPandas(count, "word long, held long").groupBy("word").agg(F.sum("held").alias("n"))
-    found = dict(sums.toPandas().itertuples(index=False))
-    df = np.array([found.get(i, 0) for i in range(len(vocabulary))], float)
-    return df, int(found.get(-1, 0)), int(found.get(-2, 0))
 
+def _held(batch: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passage, word and how often it stands there, by passage and word; the passages of a batch are numbered through."""
+    lengths = batch["words"].str.len().to_numpy()
+    before = np.cumsum(batch["passages"].to_numpy()) - batch["passages"].to_numpy()
+    passage = np.concatenate([*batch["at"], np.zeros(0, np.int32)]).astype(np.int64) + np.repeat(before, lengths)
+    pairs, often = np.unique(passage * width + np.concatenate([*batch["words"], np.zeros(0, np.int32)]), return_counts=True)
+    return pairs // width, pairs % width, often
 
-def _sampled_rows(docs: DataFrame, search: Search, passage: int, fit_docs: int, rows: int) -> DataFrame:
-    """TF-IDF rows (word numbers, values, unit length) of the passages of the sample."""
-    share = min(1.0, fit_docs / max(1, rows))
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _frequencies(known: DataFrame, width: int) -> tuple[np.ndarray, int, int]:
+    """Passages that hold each word, passages, and passages that hold any word; a row per word and task goes to the sums."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, passages, holding = np.zeros(width, np.int64), 0, 0
         for b in batches:
-            out = []
-            for text in b["text"]:
-                ids = search.numbers(byte_words(text))
-                for i in range(0, len(ids), passage):
-                    inside, often = np.unique(ids[i:i + passage], return_counts=True)
-                    value = often * search.idf[inside]
-                    value /= np.sqrt((value ** 2).sum()) + 1e-12
-                    known = inside < len(search.vocabulary)
-                    if known.any():
-                        out.append((inside[known], value[known]))
-            yield pd.DataFrame(out, columns=["ids", "values"])
+            at, words, _ = _held(b, width)
+            passages += int(b["passages"].sum())
+            holding += int(np.count_nonzero(np.diff(at, prepend=-1)))
+            held += np.bincount(words, minlength=width)
+        word = np.flatnonzero(held)
+        yield pd.DataFrame({"word": [-2, -1, *word], "held": [holding, passages, *held[word]]})
 
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(share * 1_000_000)).select("text")
-    return sample.mapInPandas(build, "ids array<long>, values array<double>")
+    sums = known.mapInPandas(count, "word long, held long").groupBy("word").agg(F.sum("held").alias("n"))
+    found = dict(sums.toPandas().itertuples(index=False))
+    df = np.array([found.get(i, 0) for i in range(width)], float)
+    return df, int(found.get(-1, 0)), int(found.get(-2, 0))
 
 
-def randomised_svd(rows: DataFrame, extra: list[tuple[np.ndarray, np.ndarray]], width: int, rank: int,
+def gram_rows(known: DataFrame, idf: np.ndarray, cells: int = GRAM_CELLS) -> DataFrame:
+    """Upper triangle of the Gram matrix of the TF-IDF rows (unit length) of all passages: ``word, others, sums``.
+
+    A task adds up a slab of the matrix, of ``cells`` numbers at most, and sends what it met of it; a wider vocabulary
+    takes several slabs, each a further pass over the words found."""
+    width = len(idf)
+
+    def slab(low: int, high: int) -> DataFrame:
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((high - low, width), np.float32)
+            flat = total.reshape(-1)
+            for b in batches:
+                at, words, often = _held(b, width)
+                value = often * idf[words]
+                norm = np.sqrt(np.bincount(at, value ** 2)) + 1e-12
+                value = (value / norm[at]).astype(np.float32)
+                # Words of a passage follow each other in order: each with itself, the next, the one after that ...
+                left = np.flatnonzero((words >= low) & (words < high))
+                start, ahead = (words - low) * width, 0
+                while len(left):
+                    right = left + ahead
+                    np.add.at(flat, start[left] + words[right], value[left] * value[right])
+                    ahead += 1
+                    left = left[left + ahead < len(at)]
+                    left = left[at[left] == at[left + ahead]]
+            for at in range(0, high - low, SENT_WORDS):
+                rows = [(low + i, low + i + np.flatnonzero(total[i, low + i:]))
+                        for i in range(at, min(at + SENT_WORDS, high - low))]
+                rows = [(w, others, total[w - low, others]) for w, others in rows if len(others)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["word", "others", "sums"])
+
+        return known.mapInPandas(add, GRAM)
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for word, parts in rows.groupby("word"):
+            total = np.zeros(width)
+            for others, sums in zip(parts["others"], parts["sums"]):
+                total[others] += sums
+            met = np.flatnonzero(total)
+            out.append((word, met, total[met]))
+        return pd.DataFrame(out, columns=["word", "others", "sums"])
+
+    step = max(1, cells // max(1, width))
+    slabs = [slab(low, min(low + step, width)) for low in range(0, width, step)]
+    return (reduce(DataFrame.unionByName, slabs).groupBy(F.floor(F.col("word") / MERGED_WORDS))
+            .applyInPandas(merge, GRAM))
+
+
+def randomised_svd(gram: DataFrame, extra: list[tuple[np.ndarray, np.ndarray]], width: int, rank: int,
                    steps: int = 2) -> np.ndarray:
-    """Right singular vectors (width by rank) of sparse rows, with ``extra`` rows added on the driver.
-
-    Each step multiplies by the Gram matrix of the rows: partitions send one matrix each."""
-    def gram(batches, basis: np.ndarray) -> np.ndarray:
-        out = np.zeros((width, basis.shape[1]))
-        for ids, values in batches:
-            np.add.at(out, ids, values[:, None] * (values @ basis[ids]))
-        return out
+    """Right singular vectors (width by rank) of the rows whose Gram matrix is given by its upper triangle, with ``extra``
+    sparse rows added on the driver.
 
+    Each step multiplies by the Gram matrix where it lies: partitions send one matrix each."""
     def product(basis: np.ndarray) -> np.ndarray:
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = sum((gram(zip(b["ids"], b["values"]), basis) for b in batches), np.zeros((width, basis.shape[1])))
+            total = np.zeros((width, basis.shape[1]))
+            for b in batches:
+                for at in range(0, len(b), SENT_WORDS):
+                    some = b.iloc[at:at + SENT_WORDS]
+                    words = some["word"].to_numpy()
+                    upper = np.zeros((len(some), width))
+                    for i, (others, sums) in enumerate(zip(some["others"], some["sums"])):
+                        upper[i, others] = sums
+                    total[words] += upper @ basis
+                    upper[np.arange(len(some)), words] = 0.0
+                    total += upper.T @ basis[words]
             yield pd.DataFrame({"m": [total.astype(np.float32).tobytes()]})
 
-        total = gram(extra, basis)
-        for r in rows.mapInPandas(part, "m binary").toLocalIterator():
+        total = np.zeros((width, basis.shape[1]))
+        for ids, values in extra:
+            total[ids] += values[:, None] * (values @ basis[ids])
+        for r in gram.mapInPandas(part, "m binary").toLocalIterator():
             total += np.frombuffer(r.m, np.float32).reshape(total.shape)
         return total
 
@@ -201,7 +267,7 @@ def randomised_svd(rows: DataFrame, extra: list[tuple[np.ndarray, np.ndarray]],
     return basis @ turn[:, ::-1][:, :rank]
 
 
-def fit(docs: DataFrame, items: list, *, passage: int = 64, fit_docs: int = 1000, rank: int | None = None,
+def fit(docs: DataFrame, items: list, *, passage: int = 64, rank: int | None = None,
         cosine: float = 0.45, sure: float = 0.7, likely: float = 0.5) -> Search:
     """Frequencies over all documents and the latent space for one block of items (item_id, text, answer)."""
     items = [(r.item_id, byte_words(r.text), byte_words(r.answer or last_sentence(r.text))) for r in items if r.text]
@@ -218,16 +284,17 @@ def fit(docs: DataFrame, items: list, *, passage: int = 64, fit_docs: int = 1000
                     cosine, sure, likely)
     if not items:
         return search
-    df, passages, rows = _frequencies(docs, vocabulary, passage)
+    known = written_table(_known_words(docs, vocabulary, passage), "known")
+    df, passages, holding = _frequencies(known, len(vocabulary))
     search.idf = np.append(np.log((2.0 + passages) / (1.0 + df)), 0.0)
     extra = []
     for _, words, _ in items:
         inside, often = np.unique(search.numbers(words), return_counts=True)
         value = often * search.idf[inside]
         extra.append((inside, value / (np.sqrt((value ** 2).sum()) + 1e-12)))
-    sample = written_table(_sampled_rows(docs, search, passage, fit_docs, rows).coalesce(4), "passages")
-    weight = max(1.0, sample.count() / len(items)) ** 0.5
-    vectors = randomised_svd(sample, [(i, v * weight) for i, v in extra], len(vocabulary),
+    gram = written_table(gram_rows(known, search.idf[:-1]), "gram")
+    weight = max(1.0, holding / len(items)) ** 0.5
+    vectors = randomised_svd(gram, [(i, v * weight) for i, v in extra], len(vocabulary),
                              min(len(vocabulary), rank or len(items) + 64))
     latent = vectors * search.idf[:-1, None]
     for length, wanted in search.classes.items():

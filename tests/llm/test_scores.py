@@ -156,6 +156,34 @@ def test_items_are_found_whatever_the_size_of_the_corpus(spark, monkeypatch, sca
     assert {i: v for i, v in got.items() if v} == {1000 + k: {k} for k, _ in items}
 
 
+def test_the_latent_space_is_fitted_on_every_passage(spark):
+    """More documents than a sample would hold; the matrix in one slab, and in slabs of a few words."""
+    draw = random.Random(3)
+    texts = [(i, " ".join(f"w{draw.randrange(60)}" for _ in range(draw.randrange(40)))) for i in range(2500)] + [(9000, None), (9001, "")]
+    vocabulary, idf = {b"w%d" % k: k for k in range(40)}, np.linspace(0.5, 3, 40)
+    want, holding = np.zeros((40, 40)), 0
+    for _, text in texts:
+        words = text.split() if text else []
+        for at in range(0, len(words), 16):
+            ids = [int(w[1:]) for w in words[at:at + 16] if int(w[1:]) < 40]
+            if ids:
+                row = np.bincount(ids, minlength=40) * idf
+                row /= np.linalg.norm(row)
+                want += np.outer(row, row)
+                holding += 1
+    known = decontaminate._known_words(frame(spark, texts).repartition(3), vocabulary, 16)
+    assert decontaminate._frequencies(known, 40)[2] == holding
+    for cells in (1 << 20, 300):
+        got = np.zeros((40, 40))
+        for r in decontaminate.gram_rows(known, idf, cells).collect():
+            assert min(r.others) >= r.word
+            got[r.word, r.others] = r.sums
+        assert np.allclose(got, np.triu(want), rtol=1e-4, atol=1e-4)
+    gram = decontaminate.gram_rows(known, idf)
+    top = decontaminate.randomised_svd(gram, [], 40, 40)
+    assert np.allclose(top.T @ want @ top, np.diag(np.linalg.eigvalsh(want)[::-1]), atol=0.05)
+
+
 def test_a_paraphrase_needs_its_answer(spark, texts):
     item = " ".join(f"q{k}" for k in range(30))
     half = " ".join(f"q{k}" if k % 5 < 3 else f"z{k}" for k in range(30))
