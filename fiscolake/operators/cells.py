@@ -26,6 +26,8 @@ from fiscolake.session import written_table
 #: Centres go to every task and to the driver; this bounds them whatever the collection.
 MAX_CELLS = 1024
 ROUNDS = 4
+#: Queries whose bounds for all cells are held at once.
+BOUNDED = 256
 SLACK = 2 * 10.0 ** -DIGITS
 
 
@@ -108,29 +110,31 @@ def cells_to_read(queries: DataFrame, index: Cells, k: int, floors: DataFrame |
     known = index.cells.orderBy("cell").toPandas()
     centres = index.centres[known["cell"].to_numpy()]
     further = floors is not None
-    number, n, radius, parts = (known[c].to_numpy() for c in ("cell", "n", "radius", "parts"))
+    number, n, radius = (known[c].to_numpy() for c in ("cell", "n", "radius"))
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            q = _stacked(b["embedding"])
+    @F.pandas_udf("array<long>")
+    def choose(embedding: pd.Series, least: pd.Series) -> pd.Series:
+        out = []
+        for at in range(0, len(embedding), BOUNDED):
+            q, floor = _stacked(embedding.iloc[at:at + BOUNDED]), least.iloc[at:at + BOUNDED].to_numpy()
             bound = q @ centres.T + np.sqrt((q * q).sum(axis=1))[:, None] * radius[None, :]
             order = np.argsort(-bound, axis=1, kind="stable")
             before = np.cumsum(n[order], axis=1) - n[order]
             first = np.zeros(bound.shape, dtype=bool)
             np.put_along_axis(first, order, before < k, axis=1)
             if further:
-                first = ~first & (bound >= b["least"].to_numpy()[:, None] - SLACK)
-            row, cell = np.nonzero(first)
-            yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[row], "embedding": b["embedding"].to_numpy()[row],
-                                "cell": number[cell], "parts": parts[cell]})
+                first = ~first & (bound >= floor[:, None] - SLACK)
+            out += [number[row] for row in first]
+        return pd.Series(out, dtype=object)
 
-    kind = queries.schema["query_id"].dataType.simpleString()
-    out = f"query_id {kind}, embedding {queries.schema['embedding'].dataType.simpleString()}, cell long, parts long"
     asked = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
-    if floors is not None:
-        # A query that found fewer than k has no floor: all its cells are read already or may hold more.
-        asked = asked.join(floors, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    return asked.mapInPandas(choose, out)
+    # A query that found fewer than k has no floor: all its cells are read already or may hold more.
+    asked = (asked.withColumn("least", F.lit(float("-inf"))) if floors is None else
+             asked.join(floors, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))))
+    # A query has one row, with its cells; a row per cell would hold its vector as often.
+    chosen = written_table(asked.select("query_id", "embedding", choose("embedding", "least").alias("cells")), "chosen")
+    return (chosen.select("query_id", "embedding", F.explode("cells").alias("cell"))
+            .join(F.broadcast(index.cells.select("cell", "parts")), "cell").select("query_id", "embedding", "cell", "parts"))
 
 
 def _hits(chosen: DataFrame, index: Cells, k: int, score: Scorer, blocks: int) -> DataFrame:
@@ -155,8 +159,8 @@ def best_by_cells(queries: DataFrame, index: Cells, k: int, score: Scorer, block
         kinds = [f"{c} {f.schema[c].dataType.simpleString()}" for f, c in ((queries, "query_id"), (index.items, "item_id"))]
         return queries.sparkSession.createDataFrame([], ", ".join(kinds) + ", score double, rank int")
     blocks = max(1, -(-queries.count() // block_size))
-    some = written_table(_hits(written_table(cells_to_read(queries, index, k), "chosen"), index, k, score, blocks), "some")
+    some = written_table(_hits(cells_to_read(queries, index, k), index, k, score, blocks), "some")
     floors = (ranked(some, k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("found"))
               .where(F.col("found") == k).select("query_id", "least"))
-    more = _hits(written_table(cells_to_read(queries, index, k, written_table(floors, "floors")), "chosen"), index, k, score, blocks)
+    more = _hits(cells_to_read(queries, index, k, written_table(floors, "floors")), index, k, score, blocks)
     return ranked(some.unionByName(more), k)

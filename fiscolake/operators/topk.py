@@ -25,7 +25,7 @@ MAX_SHARED_QUERIES = 4096
 MAX_SHARED_BYTES = 16 << 20
 ITEMS_PER_BLOCK = 50_000
 BYTES_PER_BLOCK = 64 << 20
-_CELLS = 4_000_000
+_CELLS = 1_000_000
 _ROWS = 4096
 
 
@@ -33,7 +33,7 @@ def _best(queries: pd.DataFrame, items: pd.DataFrame, score: Scorer, k: int,
           positive_only: bool) -> pd.DataFrame:
     """Best ``k`` items of every query; equal scores go by item id."""
     ids, keys = queries["query_id"].to_numpy(), items["item_id"].to_numpy()
-    found = []
+    found, rows = [], 0
     step = max(1, min(_ROWS, _CELLS // max(1, len(ids))))
     for at in range(0, len(keys) if len(ids) else 0, step):
         part = items.iloc[at:at + step]
@@ -46,6 +46,10 @@ def _best(queries: pd.DataFrame, items: pd.DataFrame, score: Scorer, k: int,
         q, i = np.nonzero(mask)
         found.append(_head(pd.DataFrame({
             "query_id": ids[q], "item_id": keys[at:at + step][i], "score": scores[q, i]}), k))
+        rows += len(found[-1])
+        if rows > _CELLS and len(found) > 1:
+            found = [_head(pd.concat(found, ignore_index=True), k)]
+            rows = len(found[0])
     if not found:
         return pd.DataFrame({"query_id": ids[:0], "item_id": keys[:0], "score": np.zeros(0)})
     return _head(pd.concat(found, ignore_index=True), k)

@@ -136,6 +136,24 @@ def test_few_cells_are_read(spark):
     assert index.cells.agg(F.sum("n")).first()[0] == 3000
 
 
+def test_a_query_is_held_once_however_many_cells_it_reads(spark, monkeypatch):
+    rng, rows = np.random.default_rng(3), {}
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(900, 8)).astype(np.float32))],
+                              "item_id int, embedding array<float>")
+    q = v.where("item_id % 2 = 0").withColumnRenamed("item_id", "query_id")
+
+    def counted(df, name):
+        out = written_table(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(cells, "written_table", counted)
+    index = cells.build_cells(v)
+    assert retrieve.vector_topk(q, index, 5).count() == 5 * 450
+    assert rows["chosen"] == [450, 450]
+    assert cells.cells_to_read(q, index, 5).count() > 450
+
+
 def test_cells_of_nothing(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0])], "item_id int, embedding array<float>")
     q = v.withColumnRenamed("item_id", "query_id")
