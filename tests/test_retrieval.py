@@ -151,7 +151,8 @@ def test_a_query_is_held_once_however_many_cells_it_reads(spark, monkeypatch):
     index = cells.build_cells(v)
     assert retrieve.vector_topk(q, index, 5).count() == 5 * 450
     assert rows["chosen"] == [450, 450]
-    assert cells.cells_to_read(q, index, 5).count() > 450
+    none = spark.createDataFrame([], "query_id int, least double")
+    assert cells.cells_to_read(q, index, 5, none).count() > 10 * 450
 
 
 def test_cells_of_nothing(spark):
