@@ -109,9 +109,9 @@ def xml_texts(documents: DataFrame) -> tuple[DataFrame, T.StructType]:
 
 
 def write_xml(documents: DataFrame, path: str) -> None:
-    """Files of many returns each, below a common root."""
+    """Files of many returns each, below a common root. As gzip: tags are most of their text."""
     (documents.select(f"{ROOT_TAG}.*").write.format("xml").option("rootTag", "lote")
-     .option("rowTag", ROOT_TAG).save(path))
+     .option("rowTag", ROOT_TAG).option("compression", "gzip").save(path))
 
 
 def json_documents(returns: DataFrame, *drop: str) -> DataFrame:

@@ -3,10 +3,11 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from checks.render import write_xml
 from fiscolake.operators.shred import flatten_returns, return_json, shred, typed_returns
 from fiscolake.plans.documents import load_xml, read_tax_return, requested_documents, return_documents
 from fiscolake.schemas import SCHEDULES
-from fiscolake.sources.xml import learn_layout, read_xml_returns
+from fiscolake.sources.xml import ROOT_TAG, learn_layout, read_xml_returns
 
 FULL = """<?xml version="1.0" encoding="UTF-8"?>
 <declaracao xmlns="http://www.receita.example/declaracao" versao="1">
@@ -185,3 +186,12 @@ def test_latin_files(spark, tmp_path):
     tables, _ = load_xml(spark, str(tmp_path), as_of="2025-05-31")
     assert tables["bens_direitos"].first().discriminacao == "ação"
     assert tables["declarations"].first().summary == "Declaração IRPF-2025 de João (CPF 1)."
+
+
+def test_written_returns_are_compressed(spark, tmp_path):
+    ident = F.struct(F.col("id").cast("string").alias("_cpf"), F.lit("Ana").alias("_nome")).alias("identificadorDeclaracao")
+    path = str(tmp_path / "xml")
+    write_xml(spark.range(500).select(F.struct(F.lit("x").alias("_xmlns"), ident).alias(ROOT_TAG)), path)
+    assert all(p.name.endswith(".xml.gz") for p in (tmp_path / "xml").glob("part-*"))
+    back = read_xml_returns(spark, path, as_of="2025-05-31", key=F.col("cpf").cast("long"))
+    assert sorted(r.declaration_id for r in back.select("declaration_id").collect()) == list(range(500))
