@@ -370,7 +370,7 @@ def load_documents(spark: Spark, sf: str) -> DataFrame:
     # The file name carries the key of a return, which its lines come back with.
     (docs.select(F.from_json("document", render.docs_schema()).alias("r"),
                  F.col("declaration_id").cast("string").alias("file_name"))
-     .select("r.*", "file_name").write.json(f"{root}/in"))
+     .select("r.*", "file_name").write.option("compression", "gzip").json(f"{root}/in"))
     key = F.col("file_name").cast("long")
     for _ in range(2):
         documents.process_documents(spark, f"{root}/in", f"{root}/log", f"{root}/out", key=key,
@@ -390,7 +390,7 @@ def load_changes(spark: Spark, sf: str) -> DataFrame:
     root = shared_path(spark, "changes")
 
     def put(rows: DataFrame, name: str) -> None:
-        rows.drop("part").write.json(f"{root}/in/{name}")
+        rows.drop("part").write.option("compression", "gzip").json(f"{root}/in/{name}")
 
     for k in range(4):
         put(records.where(F.col("part") == k), f"part{k}")
@@ -413,10 +413,13 @@ def load_changes(spark: Spark, sf: str) -> DataFrame:
             rows = [whose.select(F.lit("declarations").alias("table_name"), "name", F.lit(None).cast("decimal(14,2)").alias("v")),
                     stored["rejects"].select(F.lit("rejects").alias("table_name"), F.col("rule").alias("name"),
                                              F.lit(None).cast("decimal(14,2)").alias("v"))]
-            rows += [stored[n].join(whose, "declaration_id").select(F.lit(n).alias("table_name"), "name", F.col("valor_pago").alias("v"))
+            rows = [r.withColumn("n", F.lit(1).cast("long")).withColumn("v", F.col("v").cast("decimal(24,2)")) for r in rows]
+            # Lines are added up by return before they meet its name, so that few rows are joined.
+            rows += [stored[n].groupBy("declaration_id").agg(F.count("*").alias("n"), F.sum("valor_pago").alias("v"))
+                     .join(whose, "declaration_id").select(F.lit(n).alias("table_name"), "name", "v", "n")
                      for n in ("doacoes_efetuadas", "pagamentos_efetuados")]
             parts.append(reduce(DataFrame.unionByName, rows).groupBy("table_name", "name").agg(
-                F.count("*").alias("n"), F.sum("v").cast("double").alias("amount"))
+                F.sum("n").alias("n"), F.sum("v").cast("double").alias("amount"))
                 .select(F.lit(step).alias("step"), F.lit(name).alias("keys"), "*"))
         return written_table(parts[0].unionByName(parts[1]), "state")
 

@@ -14,7 +14,7 @@ from fiscolake.operators.shred import (declarations_of, return_json, schedule_li
 from fiscolake.operators.validate import REJECT_SCHEMA, split_declarations, split_lines, without_rejected
 from fiscolake.schemas import DECLARATIONS, SCHEDULES, table_schema
 from fiscolake.session import written_table
-from fiscolake.sources.readers import list_files, only_changed, path_exists, paths_to_read, read_json_returns
+from fiscolake.sources.readers import list_files, name_pattern, only_changed, path_exists, paths_to_read, read_json_returns
 from fiscolake.sources.store import Change, Store, Stored, as_struct
 from fiscolake.sources.writers import write_manifest
 from fiscolake.sources.xml import ROOT_TAG, read_xml_returns
@@ -55,6 +55,11 @@ def document_store(spark: SparkSession, out: str, key_type: T.DataType | None =
     return Store(spark, out, tables)
 
 
+def extensions(source: str) -> tuple[str, ...]:
+    """How names of returns' files end, plain or compressed."""
+    return f".{source}", f".{source}.gz"
+
+
 def process_documents(spark: SparkSession, folder: str, manifest: str, out: str, *, source: str = "json",
                       as_of: str | None = None, force: bool = False, strict: bool = False,
                       key: Column | None = None, key_type: T.DataType | None = None,
@@ -68,12 +73,13 @@ def process_documents(spark: SparkSession, folder: str, manifest: str, out: str,
     changed (see ``sources/store.py``); one that fails leaves the old state and can be run again.
 
     ``multi_line`` is false for JSON files of one return per line; ``key_type`` is the type of a ``key`` that
-    is no text; ``buckets`` is into how many files an update deals the rows of a table. Returns whether anything was done.
+    is no text; ``buckets`` is how many files an update writes for a table at most. Files may be compressed with gzip
+    (``.json.gz``, ``.xml.gz``). Returns whether anything was done.
     """
     if not path_exists(spark, folder):
         return False
     known = read_manifest(spark, manifest)
-    files = list_files(spark, folder, (f".{source}",))
+    files = list_files(spark, folder, extensions(source))
     changed = written_table(changed_files(files, known, force), "changed")
     gone = written_table(removed_files(files, known).select("path"), "removed")
     if changed.isEmpty() and gone.isEmpty():
@@ -93,7 +99,7 @@ def process_documents(spark: SparkSession, folder: str, manifest: str, out: str,
 
     rows = {}
     if returns is not None and not fresh.isEmpty():
-        rows = _stored_rows(returns.join(fresh, "return_id", "left_semi"), source, strict)
+        rows = _stored_rows(_to_store(returns, None if before is None or force else fresh), source, strict)
         rows["rejects"] = rows["rejects"].unionByName(_unread(silent.join(fresh, "return_id", "left_semi")))
     changes = {n: Change(rows.get(n), dropped) for n in STORED if n != "origin"}
     if before is not None:
@@ -111,9 +117,9 @@ def _read_changed(spark: SparkSession, folder: str, changed: DataFrame, source:
         return None
     paths = paths_to_read(changed, folder)
     if source == "xml":
-        read = read_xml_returns(spark, paths, as_of=as_of, key=key, once=False, pattern="*.xml")
+        read = read_xml_returns(spark, paths, as_of=as_of, key=key, once=False, pattern=name_pattern(extensions(source)))
     else:
-        read = read_json_returns(spark, paths, key=key, multi_line=multi_line, once=False, pattern="*.json")
+        read = read_json_returns(spark, paths, key=key, multi_line=multi_line, once=False, pattern=name_pattern(extensions(source)))
     if isinstance(paths, str):
         read = only_changed(read, changed)
     kind = read.schema["declaration_id"].dataType
@@ -175,13 +181,21 @@ def _moved_declarations(store: Store, before: DataFrame, new: DataFrame, touched
                   gone if change.gone is None else change.gone.unionByName(gone))
 
 
-def _stored_rows(returns: DataFrame, source: str, strict: bool) -> dict[str, DataFrame]:
-    """Every stored table but ``origin`` of some returns, each content once: that of the first file that holds it."""
+def _to_store(returns: DataFrame, fresh: DataFrame | None) -> DataFrame:
+    """The returns to be stored: those of some ids (``None`` for all), each content once, that of the first file that holds it.
+
+    What stays out is found by narrow rows; where there is any, returns are joined and written once, for all tables."""
     order = Window.partitionBy("return_id").orderBy("source_path", "row_id")
     ranked = returns.select("return_id", "source_path", "row_id").withColumn("n", F.row_number().over(order))
-    repeats = written_table(ranked.where("n > 1").select("row_id"), "repeats")
-    if not repeats.isEmpty():
-        returns = returns.join(repeats, "row_id", "left_anti")
+    out = ranked.where("n > 1").select("row_id")
+    if fresh is not None:
+        out = out.unionByName(ranked.where("n = 1").join(fresh, "return_id", "left_anti").select("row_id"))
+    out = written_table(out, "out")
+    return returns if out.isEmpty() else written_table(returns.join(out, "row_id", "left_anti"), "kept")
+
+
+def _stored_rows(returns: DataFrame, source: str, strict: bool) -> dict[str, DataFrame]:
+    """Every stored table but ``origin`` of some returns."""
     # Checks go return by return, also where several share a key.
     both = returns.withColumn("declaration_id", F.struct("declaration_id", "return_id"))
     tables, rejects = checked_tables(both.where("parse_error IS NULL"), source, strict)

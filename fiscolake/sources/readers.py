@@ -75,10 +75,13 @@ def read_table_csv(spark: SparkSession, path: str, table: str,
             .schema(table_schema(table, key_type)).csv(path))
 
 
+def name_pattern(extensions: tuple[str, ...]) -> str:
+    return "*{" + ",".join(extensions) + "}"
+
+
 def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = KNOWLEDGE_EXTENSIONS) -> DataFrame:
     """Files below ``root`` with one of the extensions; contents are not read."""
-    pattern = "*{" + ",".join(extensions) + "}"
-    return (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    return (spark.read.format("binaryFile").option("pathGlobFilter", name_pattern(extensions))
             .option("recursiveFileLookup", True).load(root)
             .select("path", F.col("modificationTime").alias("modified_at"), "length"))
 
@@ -86,8 +89,7 @@ def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = KNO
 def read_texts(spark: SparkSession, root: str | list[str],
                extensions: tuple[str, ...] = TEXT_EXTENSIONS) -> DataFrame:
     """Whole text files below ``root``, one row each."""
-    pattern = "*{" + ",".join(extensions) + "}"
-    return (spark.read.option("pathGlobFilter", pattern)
+    return (spark.read.option("pathGlobFilter", name_pattern(extensions))
             .option("recursiveFileLookup", True).text(root, wholetext=True)
             .select(file_path().alias("path"), F.col("value").alias("text")))
 

@@ -106,7 +106,8 @@ class Store:
         """Append the changes and commit them as one version. Returns the rows written by table. Rows that go by a key
         may come back in the same update.
 
-        ``files`` says into how many files the rows of a table are dealt; by default as their plan has them.
+        ``files`` says how many files the rows of a table fill at most; by default as their plan has them. Partitions are
+        joined for it, so that rows are not shuffled, and those of one key stay beside each other.
         """
         done = self.commits()
         return self._commit(changes, max((c[VERSION] for c in done), default=0) + 1, max((c["base"] for c in done), default=0), files)
@@ -118,12 +119,13 @@ class Store:
         def write_rows(name: str, rows: DataFrame) -> int:
             counted = Observation()
             kept = rows.select(*self.tables[name].schema.fieldNames())
-            (kept.repartition(files) if files else kept).observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(
-                f"{self.root}/{name}/rows/{at}")
+            (kept.coalesce(files) if files else kept).observe(counted, F.count(F.lit(1)).alias("n")).write.option(
+                "compression", "zstd").parquet(f"{self.root}/{name}/rows/{at}")
             return counted.get["n"]
 
         def write_gone(name: str, gone: DataFrame) -> None:
-            gone.select(self.tables[name].key).distinct().write.parquet(f"{self.root}/{name}/gone/{at}")
+            gone.select(self.tables[name].key).distinct().write.option("compression", "zstd").parquet(
+                f"{self.root}/{name}/gone/{at}")
 
         # The tables of one update do not wait for each other; small ones would mostly wait.
         with ThreadPoolExecutor(WRITERS) as pool:

@@ -1,5 +1,6 @@
 """Loads by file: what happens to stored returns when files repeat, change, break and go."""
 
+import gzip
 import json
 import os
 import time
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from fiscolake.plans import documents
 from fiscolake.plans.documents import document_store, load_xml, process_documents, read_stored
+from fiscolake.schemas import DECLARATIONS, SCHEDULES
 from fiscolake.sources import readers
+from fiscolake.sources.store import Store
 
 XML = ('<declaracao><identificadorDeclaracao cpf="{0}" nome="N{0}"/><pagamentos>'
        '<item codigo="1" cpfBeneficiario="12345678909" valorPago="{1},00"/></pagamentos></declaracao>')
@@ -158,3 +161,32 @@ def test_load_xml_reports_files_without_a_return(spark, tmp_path):
     tables, rejects = load_xml(spark, str(tmp_path), as_of="2025-05-31")
     assert tables["declarations"].count() == 1
     assert [(r.rule, r.raw_value.rsplit("/", 1)[1]) for r in rejects.collect()] == [("readable", "other.xml")]
+
+
+def test_compressed_files_are_loaded(spark, tmp_path):
+    for source, text, options in (("json", json.dumps(record("um")), {}),
+                                  ("xml", XML.format("111", 1), {"as_of": "2025-05-31", "key": F.col("cpf")})):
+        f = Folder(spark, tmp_path / source, source=source, **options)
+        (tmp_path / source / "in").mkdir(parents=True)
+        (tmp_path / source / "in" / f"a.{source}.gz").write_bytes(gzip.compress(text.encode()))
+        assert f.run() and not f.run()
+        assert f.rows("pagamentos_efetuados", "codigo", "valor_pago") == [("10" if source == "json" else "01", "1.00")]
+        assert f.rows("rejects", "rule") == []
+
+
+def test_a_first_load_moves_no_lines(spark, tmp_path, monkeypatch):
+    """Lines are written from the tasks that read their returns: no table's plan has a shuffle or a join."""
+    f, plans = Folder(spark, tmp_path), {}
+    f.put("a.json", [record(f"n{i}") for i in range(20)])
+    update = Store.update
+
+    def seen(store, changes, files=None):
+        for name, change in changes.items():
+            if name in (DECLARATIONS, *SCHEDULES):
+                plans[name] = change.rows._jdf.queryExecution().executedPlan().toString()
+        return update(store, changes, files)
+
+    monkeypatch.setattr(Store, "update", seen)
+    assert f.run(buckets=2)
+    assert len(plans["pagamentos_efetuados"]) > 0 and len(f.rows("pagamentos_efetuados", "codigo")) == 20
+    assert not [n for n, p in plans.items() if "Exchange" in p or "Join" in p]
