@@ -43,7 +43,11 @@ def words(text: Column) -> Column:
 
 def terms(text: Column, normalize: Normalizer | OfLists = same_term) -> Column:
     """Lower-case search terms; a normalizer drops a term by emptying it."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return normalized(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), normalize)
+
+
+def normalized(found: Column, normalize: Normalizer | OfLists) -> Column:
+    """A list of terms as the normalizer gives it, without those it drops."""
     if normalize is same_term:
         return found
     changed = normalize(found) if isinstance(normalize, OfLists) else F.transform(found, normalize)

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fiscolake.functions.tokens import strip_plural, terms
+from fiscolake.functions.tokens import OfLists, strip_plural, terms
 from fiscolake.operators import cells, postings, retrieve
 from fiscolake.operators.chunk import chunk_sentences, chunk_words
 from fiscolake.operators.embed import embed, hashed_words
@@ -253,3 +253,33 @@ def test_ask_returns_contexts_in_order(spark):
     got = retrieve.ask(asked, collection, 2).collect()
     assert [(r.query_id, r["rank"], r.doc_id) for r in got] == [(7, 1, "a"), (7, 2, "c")]
     assert got[0].context == "prazo de entrega da declaração"
+
+
+def test_postings_are_counted_within_their_row(spark):
+    index = retrieve.postings(spark.createDataFrame([(1, "b aa bb aa"), (2, ""), (3, None), (4, "aa")], "item_id int, text string"))
+    assert sorted(tuple(r) for r in index.collect()) == [(1, 3, "aa", 2), (1, 3, "bb", 1), (4, 1, "aa", 1)]
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan
+
+
+def test_stems_are_worked_out_once_for_each_different_term(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @OfLists
+    def counted(found):
+        @F.udf("array<string>")
+        def shorter(many):
+            seen.add(len(many))
+            return [t.removesuffix("s") for t in many]
+        return shorter(found)
+
+    monkeypatch.setattr(retrieve, "ROWS_PER_PART", 2)
+    docs = spark.createDataFrame([(i, "taxes tax taxs " * 50 + "bread") for i in range(20)], "item_id int, text string")
+    asked = spark.createDataFrame([(1, "tax"), (2, "bread")], "query_id int, text string")
+    hits = grouped(retrieve.bm25_topk(asked, docs, normalize=counted))
+    assert seen.value < 100  # 3,020 terms in the texts, 4 different ones
+    plain = spark.createDataFrame([(i, "taxe tax tax " * 50 + "bread") for i in range(20)], "item_id int, text string")
+    assert hits == grouped(retrieve.bm25_topk(asked, plain)) and len(hits) == 2
+    drops = OfLists(lambda found: F.filter(found, lambda t: t != "taxs"))
+    kept = spark.createDataFrame([(i, "taxes tax " * 50 + "bread") for i in range(20)], "item_id int, text string")
+    assert grouped(retrieve.bm25_topk(asked, docs, normalize=drops)) == grouped(retrieve.bm25_topk(asked, kept))
