@@ -526,8 +526,8 @@ def vector_cells(spark: Spark, sf: str) -> DataFrame:
 def bm25_stored(spark: Spark, sf: str) -> DataFrame:
     """The questions against stored blocks of the postings of all documents."""
     docs = _docs(spark, sf).withColumnRenamed("doc_id", "item_id")
-    size = written_table(retrieve.collection_size(docs), "size")
-    blocks = written_table(posting_blocks(retrieve.postings(docs), size, k1=retrieve.K1, b=retrieve.B), "blocks")
+    index, size = retrieve.stored_postings(docs)
+    blocks = written_table(posting_blocks(index, size, k1=retrieve.K1, b=retrieve.B), "blocks")
     return retrieve.bm25_topk(_questions(spark, sf), docs, size=size, blocks=blocks)
 
 

@@ -28,6 +28,8 @@ LEVELS = 32
 FIRST = 4
 #: Scores count rounded, so a bound is below the floor only if it is so by more than this.
 SLACK = 2 * 10.0 ** -DIGITS
+#: Items up to which postings are held against them before they are shuffled.
+FEW_ITEMS = 200_000
 
 
 def posting_blocks(index: DataFrame, size: DataFrame, *, k1: float, b: float, block_size: int = BLOCK_SIZE) -> DataFrame:
@@ -37,10 +39,10 @@ def posting_blocks(index: DataFrame, size: DataFrame, *, k1: float, b: float, bl
     worth = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n_terms") / mean_length))
     rated = (index.select("term", "item_id", worth.alias("w"))
              .withColumn("level", F.floor(F.col("w") * (LEVELS / (k1 + 1)))))
-    large = (rated.groupBy("term", "level").agg(F.count("*").alias("n")).where(F.col("n") > block_size)
-             .select("term", "level", F.ceil(F.col("n") / block_size).alias("parts")))
-    part = F.coalesce(F.pmod(F.xxhash64("item_id"), F.col("parts")), F.lit(0))
-    return (rated.join(large, ["term", "level"], "left").groupBy("term", "level", part.alias("part"))
+    # Postings are shuffled once: numbered within term and level, where they are also put together.
+    by_item = Window.partitionBy("term", "level").orderBy("item_id")
+    part = F.floor((F.row_number().over(by_item) - 1) / block_size)
+    return (rated.withColumn("part", part).groupBy("term", "level", "part")
             .agg(F.max("w").alias("most"), F.count("*").alias("n"), F.collect_list(F.struct("item_id", "w")).alias("items"))
             .select("term", "most", "n", "items"))
 
@@ -64,10 +66,14 @@ def _postings(blocks: DataFrame) -> DataFrame:
 
 
 def _looked_up(pairs: DataFrame, terms: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``query_id, item_id, s``: what each of the terms of a query adds to the items paired with it."""
-    wanted = pairs.select("query_id", "item_id").join(terms.select("query_id", "term", "weight"), "query_id")
+    """``query_id, item_id, s``: what the terms of a query add together to the items paired with it. Pairs meet the postings of
+    their item; which of these are their query's is told there, so that no row per pair and term is shuffled."""
     own = _postings(blocks.join(terms.select("term").distinct(), "term", "left_semi"))
-    return wanted.join(own, ["term", "item_id"]).select("query_id", "item_id", (F.col("weight") * F.col("w")).alias("s"))
+    items = written_table(pairs.select("item_id").distinct(), "items")
+    if items.count() <= FEW_ITEMS:
+        own = own.join(F.broadcast(items), "item_id", "left_semi")
+    met = pairs.select("query_id", "item_id").join(own, "item_id").join(terms.select("query_id", "term", "weight"), ["query_id", "term"])
+    return met.groupBy("query_id", "item_id").agg(F.sum(F.col("weight") * F.col("w")).alias("s"))
 
 
 def _floors(terms: DataFrame, blocks: DataFrame, k: int) -> DataFrame:

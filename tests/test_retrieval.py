@@ -283,3 +283,21 @@ def test_stems_are_worked_out_once_for_each_different_term(spark, monkeypatch):
     drops = OfLists(lambda found: F.filter(found, lambda t: t != "taxs"))
     kept = spark.createDataFrame([(i, "taxes tax " * 50 + "bread") for i in range(20)], "item_id int, text string")
     assert grouped(retrieve.bm25_topk(asked, docs, normalize=drops)) == grouped(retrieve.bm25_topk(asked, kept))
+
+
+def test_postings_are_shuffled_once_into_blocks(spark):
+    index, size = retrieve.stored_postings(_docs(spark))
+    assert size.first() == retrieve.collection_size(_docs(spark)).first()
+    blocks = postings.posting_blocks(index, size, k1=retrieve.K1, b=retrieve.B, block_size=5)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert blocks.agg(F.max("n"), F.sum("n")).first() == (5, index.count())
+
+
+def test_lookups_shuffle_no_row_per_pair_and_term(spark):
+    index, size = retrieve.stored_postings(_docs(spark))
+    blocks = written_table(postings.posting_blocks(index, size, k1=retrieve.K1, b=retrieve.B), "blocks")
+    pairs = written_table(spark.range(2).crossJoin(spark.range(20).withColumnRenamed("id", "item_id")).withColumnRenamed("id", "query_id"), "pairs")
+    asked = spark.createDataFrame([(q, f"w{i}", 1.0) for q in range(2) for i in range(13)], "query_id long, term string, weight double")
+    found = postings._looked_up(pairs, asked, blocks)
+    assert found.count() == found.select("query_id", "item_id").distinct().count() == 40
