@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from fiscolake.functions.merges import Ranks, token_counter
 from fiscolake.functions.tokens import words
 
 CHUNK_SIZE = 1024
 CHUNK_OVERLAP = 200
+#: Texts of a batch that a worker holds as Python objects at once.
+TEXTS_AT_ONCE = 128
 
 # A sentence: text up to closing punctuation and the blanks after it, or a line.
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+"
@@ -128,6 +134,19 @@ def _fitted(text: str, count, size: int) -> list[tuple[str, int]]:
     return out + ([("".join(held), total)] if held else [])
 
 
+def _pieces_of(sentences: pa.Array, count, size: int) -> Iterator[pa.Array]:
+    """Lists of the parts of each text's sentences and their numbers of tokens, by a few texts of the batch at a time."""
+    for at in range(0, len(sentences), TEXTS_AT_ONCE):
+        texts, sizes, offsets = [], [], [0]
+        for many in sentences.slice(at, TEXTS_AT_ONCE).to_pylist():
+            for part, n in (f for s in many or () for f in _fitted(s, count, size)):
+                texts.append(part)
+                sizes.append(n)
+            offsets.append(len(texts))
+        parts = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(sizes, pa.int32())], names=["text", "n"])
+        yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts)
+
+
 def chunk_tokens(docs: DataFrame, ranks: Ranks, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Whole sentences packed into chunks of at most ``size`` tokens of a vocabulary (from ``read_ranks``), where a chunk
     begins with the last sentences of the one before, up to ``overlap`` tokens.
@@ -138,11 +157,10 @@ def chunk_tokens(docs: DataFrame, ranks: Ranks, size: int = CHUNK_SIZE, overlap:
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
 
-    @F.pandas_udf("array<struct<text:string,n:int>>")
-    def pieces(sentences: pd.Series) -> pd.Series:
-        count = token_counter(ranks)
-        return pd.Series([[] if many is None else [{"text": t, "n": n} for s in many for t, n in _fitted(s, count, size)]
-                          for many in sentences])
+    @arrow_udf("array<struct<text:string,n:int>>")
+    def pieces(sentences: pa.Array) -> pa.Array:
+        found = list(_pieces_of(sentences, token_counter(ranks), size))
+        return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.struct([("text", pa.string()), ("n", pa.int32())])))
 
     cut = docs.select("doc_id", pieces(F.split("text", BREAK)).alias("_pieces"))
     counted = cut.select("doc_id", "_pieces", _spans(size, overlap)(F.col("_pieces.n")).alias("_spans"))

@@ -1,6 +1,7 @@
 import base64
 import random
 
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -11,7 +12,7 @@ from fiscolake.functions.merges import PIECE, count_tokens, merged, read_ranks
 from fiscolake.functions.stems import english_stem, english_stems
 from fiscolake.functions.tokens import terms
 from fiscolake.operators import retrieve
-from fiscolake.operators.chunk import chunk_tokens
+from fiscolake.operators.chunk import TEXTS_AT_ONCE, _pieces_of, chunk_tokens
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 TEXTS = ["", " ", "one", "Hello world. It's 3.14 today!  Is it?\n\nYes, it's.\r\n\tEnd ", "maçã é água; ações\u00a0de 2024. 日本語のテキスト。",
@@ -129,3 +130,12 @@ def test_bm25_of_stems_is_bm25_of_stemmed_texts(spark):
 
     found = hits(str, normalize=english_stems)
     assert found and found == hits(lambda t: " ".join(map(english_stem, t.split())))
+
+
+def test_few_texts_of_a_batch_are_held_at_once():
+    """Pieces come out as Arrow arrays of a bounded number of texts, however many a batch has."""
+    texts = [["aa bb", "cc"], None, [], *[["aa"]] * (3 * TEXTS_AT_ONCE)]
+    found = list(_pieces_of(pa.array(texts, pa.list_(pa.string())), lambda t: len(t.split()), 4))
+    assert len(found) == 4 and max(map(len, found)) == TEXTS_AT_ONCE
+    lists = pa.concat_arrays(found).to_pylist()
+    assert lists[:3] == [[{"text": "aa bb", "n": 2}, {"text": "cc", "n": 1}], [], []] and len(lists) == len(texts)
