@@ -11,11 +11,12 @@ length are compared; a line without words parts others and always stays.
 2. Tokens are ordered by rarity: a table of 65,536 word classes with their counts over the whole corpus gives each
    token its rank. The table has that size whatever the input. Any total order makes the join exact; rarity only
    makes it cheap.
-3. Each line has its prefix, the n - ceil(n * t) + 1 rarest tokens, the number of tokens and a 64-bit parity map of the
-   set. Lines are first held against a fixed number of early lines that share two neighbours of the prefix. So nearly
+3. Each line has its prefix, the n - ceil(n * t) + 1 rarest tokens, the number of tokens and a parity map of the
+   set, of 64 bits, and of 256 for long lines, whose pairs 64 bits would not tell apart. Lines are first held against a fixed number of early lines that share two neighbours of the prefix. So nearly
    all of a group of near copies is settled without forming its pairs.
 4. Lines that this does not settle meet all earlier lines that share a prefix token, settled or not, and go on if
-   lengths, places and parity maps leave the threshold possible. No line with a partner that reaches it is lost.
+   lengths, places and parity maps leave the threshold possible. No line with a partner that reaches it is lost. Tokens are
+   taken in a few parts, so that not all postings are shuffled at once.
 5. Pairs that are left compare their whole prefixes; those that may still reach the threshold fetch their words and
    are verified.
 
@@ -27,6 +28,8 @@ whatever their names, and never read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +48,13 @@ CENTRE_KEYS = 2
 CENTRES = 8
 #: Documents and line numbers (some 16 bytes each) that may go to every task; beyond that, texts are shuffled to them.
 BROADCAST_ENTRIES = 500_000
+#: Parts by token in which lines meet, one after the other, so that a fraction of the postings is on disk at once. Their number
+#: is fixed, as each part reads all lines.
+PARTS = 4
+#: Words from which a line has a parity map of 256 bits. 64 bits of such lines differ by as much as the threshold allows.
+WIDE = 96
+#: What tells of a line's set in a pair: tokens, the parity map, and the last three quarters of the wide one.
+MARKS = ("n", "map", "map1", "map2", "map3")
 
 
 def plain(text: Column) -> Column:
@@ -89,10 +99,17 @@ def packed_tokens(words: Column) -> Column:
 
 
 def _alike(percent: int) -> Column:
-    """Do lengths and parity maps of columns n_a, map_a and n_b, map_b leave the threshold possible?"""
+    """Do lengths and parity maps of columns n_a, map_a and n_b, map_b (and so on) leave the threshold possible?"""
     n = F.col("n_a") + F.col("n_b")
     length = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return length & ((n - F.bit_count(F.col("map_a").bitwiseXOR(F.col("map_b")))) * (100 + percent) >= n * (2 * percent))
+
+    def near(differ: Column) -> Column:
+        return (n - differ) * (100 + percent) >= n * (2 * percent)
+
+    changed, *quarters = (F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b")) for m in MARKS[1:])
+    # The narrow map is the sum of the quarters of the wide one, so the first quarter is what the others leave of it.
+    first = reduce(Column.bitwiseXOR, quarters, changed)
+    return length & near(F.bit_count(changed)) & F.coalesce(near(sum(map(F.bit_count, quarters), F.bit_count(first))), F.lit(True))
 
 
 def _before() -> Column:
@@ -115,17 +132,24 @@ def central_pairs(own: DataFrame, percent: int) -> DataFrame:
                         lambda x, i: F.xxhash64(x, F.get("prefix", i + 1)))
     # The least hashes, as tokens that only one copy has come first in the prefix.
     keys = F.slice(F.array_sort(pairs), 1, CENTRE_KEYS)
-    keyed = own.select(*LINE, "n", "map", F.explode_outer(keys).alias("key")).filter("key IS NOT NULL")
+    keyed = own.select(*LINE, *MARKS, F.explode_outer(keys).alias("key")).filter("key IS NOT NULL")
     part = F.pmod(F.xxhash64(*LINE), F.lit(CENTRES))
     earliest = (keyed.groupBy("key", part.alias("part"))
-                .agg(F.min(F.struct(*LINE, "n", "map")).alias("c"), F.count("*").alias("k")))
+                .agg(F.min(F.struct(*LINE, *MARKS)).alias("c"), F.count("*").alias("k")))
     centres = (earliest.groupBy("key").agg(F.collect_list("c").alias("cs"), F.sum("k").alias("k")).filter("k > 1")
                .select("key", F.explode_outer("cs").alias("c"))
-               .select("key", *[F.col(f"c.{c}").alias(f"{c}_a") for c in (*LINE, "n", "map")]))
+               .select("key", *[F.col(f"c.{c}").alias(f"{c}_a") for c in (*LINE, *MARKS)]))
     return (_side(keyed, "b").withColumnRenamed("key_b", "key").join(centres, "key").filter(_before() & _alike(percent))
             .select(*_ends("a", "b")).distinct())
 
 
+def postings(flagged: DataFrame, part: int) -> DataFrame:
+    """One row per line and token of its prefix, of the tokens in one of ``PARTS`` parts."""
+    return (flagged.select(*LINE, *MARKS, "sign", F.posexplode_outer("prefix").alias("at", "token"))
+            .filter(F.pmod("token", F.lit(PARTS)) == part)
+            .select(*LINE, *MARKS, ((F.col("at") + 1) * F.col("sign")).alias("at"), "token"))
+
+
 def similar_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Pairs of a line before another that may reach the threshold, without those whose later line is settled. The place
     ``at`` of a token is negative in settled lines."""
@@ -172,7 +196,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def line_table(docs: DataFrame, percent: int) -> DataFrame:
-    """One row per line with words: the columns that name it, two hashes of its token set, n, map and, where another set can
+    """One row per line with words: the columns that name it, two hashes of its token set, n, its parity maps and, where another set can
     reach the threshold, the prefix. The texts are not shuffled for it."""
     # The table of ranks has one row, and all documents share its key. It is applied per document, as each row handed
     # on carries it.
@@ -188,11 +212,18 @@ def line_table(docs: DataFrame, percent: int) -> DataFrame:
     lines = (ranked.select("doc", "twin", F.posexplode_outer(read).alias("pos", "l")).filter("l IS NOT NULL")
              .select(*LINE, "l.t", F.when(F.size("l.t") <= spelled, F.xxhash64(spelling)).alias("words")))
     n = F.size("t")
-    parity = F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    def parity(tokens: Column | str) -> Column:
+        return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    def quarter(k: int) -> Column:
+        return F.when(n >= WIDE, parity(F.filter("t", lambda x: x.bitwiseAND(F.lit(192)) == 64 * k)))
+
     prefix = F.slice("t", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
     return lines.select(*LINE, F.xxhash64("t").alias("h1"), F.coalesce("words", F.xxhash64(F.lit(1), "t")).alias("h2"),
-                        n.alias("n"), parity.alias("map"), F.when(n * (100 - percent) >= percent, prefix).alias("prefix"))
+                        n.alias("n"), parity("t").alias("map"), *[quarter(k).alias(f"map{k}") for k in (1, 2, 3)],
+                        F.when(n * (100 - percent) >= percent, prefix).alias("prefix"))
 
 
 def removed_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
@@ -204,14 +235,14 @@ def removed_lines(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     firsts = (lines.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("f"), F.count("*").alias("k")).filter("k > 1"))
     copies = lines.join(firsts, ["h1", "h2"]).filter(F.struct(*LINE) != F.col("f"))
     copied = written_table(copies.select(*LINE).distinct(), "copied")
-    own = written_table(lines.filter("prefix IS NOT NULL").select(*LINE, "n", "map", "prefix")
+    own = written_table(lines.filter("prefix IS NOT NULL").select(*LINE, *MARKS, "prefix")
                         .join(copied, list(LINE), "left_anti").dropDuplicates(list(LINE)), "own")
     central = written_table(_verified(docs, written_table(central_pairs(own, percent), "central"), percent), "settled")
-    flagged = own.join(central.withColumn("found", F.lit(True)), list(LINE), "left")
     sign = F.when(F.col("found"), -1).otherwise(1)
-    postings = (flagged.select(*LINE, "n", "map", sign.alias("sign"), F.posexplode_outer("prefix").alias("at", "token"))
-                .select(*LINE, "n", "map", ((F.col("at") + 1) * F.col("sign")).alias("at"), "token"))
-    pairs = written_table(similar_pairs(postings, percent), "pairs")
+    flagged = written_table(own.join(central.withColumn("found", F.lit(True)), list(LINE), "left")
+                            .select(*LINE, *MARKS, "prefix", sign.alias("sign")), "flagged")
+    pairs = reduce(DataFrame.unionAll, [written_table(similar_pairs(postings(flagged, k), percent), "pairs")
+                                        for k in range(PARTS)]).distinct()
     pairs = written_table(hopeful_pairs(pairs, own, percent).distinct(), "hopeful")
     # A line that goes takes its copies with it, which are gone already.
     gone = copied.unionAll(central).unionAll(_verified(docs, pairs, percent))
@@ -222,19 +253,22 @@ def kept_text(text: Column, removed: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(removed, i)), "\n")
 
 
-def _with_removed(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with the positions that go, in a column whose name comes second."""
+def _with_removed(docs: DataFrame, gone: DataFrame, twin: Column) -> tuple[DataFrame, str]:
+    """``docs``, whose texts have the digest ``twin``, with the positions that go, in a column whose name comes second."""
     names = {c: free_name(docs.columns, f"line_{c}") for c in gone.columns}
     gone = gone.select(*[F.col(c).alias(names[c]) for c in gone.columns])
-    same = (F.col("doc_id") == F.col(names["doc"])) & (twin_of(F.col("text")) == F.col(names["twin"]))
+    same = (F.col("doc_id") == F.col(names["doc"])) & (twin == F.col(names["twin"]))
     return docs.join(gone, same, "left").select(*docs.columns, names["removed"]), names["removed"]
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its lines, how many go, and which."""
     docs = given(spark, sf_dir, "documents").select("doc_id", "text")
-    told, removed = _with_removed(docs, removed_lines(docs))
-    return told.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"),
+    # The join takes digests and numbers of lines; texts stay where they are.
+    counted = docs.select("doc_id", twin_of(F.col("text")).alias("digest"),
+                          F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    told, removed = _with_removed(counted, written_table(removed_lines(docs), "removed"), F.col("digest"))
+    return told.select("doc_id", "n_lines",
                        F.coalesce(F.size(removed), F.lit(0)).alias("n_removed"),
                        F.coalesce(F.array_join(removed, ","), F.lit("")).alias("removed"))
 
@@ -274,7 +308,7 @@ FROM given LEFT JOIN gone g ON given.doc_id = g.doc_id AND given.twin = g.twin G
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their later lines, ``n_chars`` counted anew. A document that loses every line goes; one that
     had no text stays."""
-    told, removed = _with_removed(docs, written_table(removed_lines(docs), "removed"))
+    told, removed = _with_removed(docs, written_table(removed_lines(docs), "removed"), twin_of(F.col("text")))
     text = F.when(F.col(removed).isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col(removed)))
     out = told.filter(F.col(removed).isNull() | (F.size(removed) < F.size(F.split("text", "\n"))))
     changed = {"text": text, "n_chars": F.length(text).cast("long")}

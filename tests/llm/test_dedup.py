@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import tempfile
+from pathlib import Path
 
 import pytest
 
 from fiscolake.llm import lines, minhash
 from fiscolake.llm.components import components
+from fiscolake.session import written_table
 
 SCHEMA = "doc_id long, text string, removed string, kept string, score double"
 
@@ -83,6 +86,35 @@ def test_short_lines_and_unlike_texts_of_one_id(spark):
     assert [r.text for r in out if r.doc_id == 8] == ["\n\n"]
 
 
+def test_long_unlike_lines_that_share_a_rare_word_make_no_pairs(spark):
+    draw = random.Random(17)
+    one = words(draw, 240, 10**6)
+    near = [*one[:-20], *words(draw, 20, 10**6)]
+    rows = [(i, " ".join(["rare", *line])) for i, line in enumerate([one, near, *(words(draw, 240, 10**6) for _ in range(30))])]
+    docs = frame(spark, rows).selectExpr("doc_id AS doc", "0L AS twin", "text")
+    table = lines.line_table(docs, 80).drop("prefix", "h1", "h2")
+    a, b = (lines._side(table, s) for s in "ab")
+    pairs = a.join(b, (a.doc_a < b.doc_b) & lines._alike(80)).select("doc_a", "doc_b").collect()
+    assert [tuple(p) for p in pairs] == [(0, 1)]
+
+
+def test_parts_hold_every_posting_once(spark):
+    flagged = spark.createDataFrame([(1, 0, 0, 30, 5, None, None, None, list(range(7)), -1)],
+                                    "doc long, twin long, pos int, n int, map long, map1 long, map2 long, map3 long, "
+                                    "prefix array<long>, sign int")
+    parts = [[(r.at, r.token) for r in lines.postings(flagged, k).collect()] for k in range(lines.PARTS)]
+    assert sorted(sum(parts, [])) == sorted((-t - 1, t) for t in range(7)) and all(len(p) < 7 for p in parts)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def shuffled():
+        return set(Path(tempfile.gettempdir()).glob("blockmgr-*/*/shuffle_*.data"))
+
+    before = shuffled()
+    table = written_table(spark.range(1000).repartition(4, "id"), "kept")
+    assert not shuffled() - before and table.count() == 1000
+
+
 def test_line_stage_carries_columns_of_any_name(spark):
     names = ("doc_id", "text", "line_doc", "LINE_removed", "__id", "twin", "pos")
     docs = spark.createDataFrame([(1, "one two\nthree", *"abcde"), (2, "three", *"abcde"), (3, "four", *"abcde")],
