@@ -10,7 +10,7 @@ a whole. Two documents are linked if their sets have a Jaccard similarity of ``p
 3. In each bucket of a band the member with most meetings is the centre, and every member is paired with it: one
    row per member, never all pairs. Pairs pass the filter of lengths and of signatures, and are confirmed on the full sets.
 4. Buckets whose members the first components do not join yet give the pairs across them, so that no link is
-   lost where the centre was the wrong one; these pass the same tests within the join itself, with signatures of one bit of
+   lost where the centre was the wrong one, each in the first bucket where they meet; these pass the same tests within the join itself, with signatures of one bit of
    each of 2,048 minima, and one more: shingles that no other document of these buckets has can be shared with none, so what is left of the smaller
    set bounds what two share. Copies that are too far from all others by their own changes meet nobody.
    Pairs within a component would change nothing.
@@ -165,6 +165,18 @@ def _side(frame: DataFrame, s: str) -> DataFrame:
     return frame.select(*[F.col(c).alias(s if c == "doc_id" else f"{c}_{s}") for c in frame.columns])
 
 
+def pairs_across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket, in different components, that may reach the threshold. ``members`` has key,
+    doc_id, component, n_shingles, signature, common and, as ``keys``, all its buckets; a pair that meets in many buckets leaves
+    the join in the first of them."""
+    enough = F.least("common_a", "common_b") * (100 + percent) >= (F.col("n_shingles_a") + F.col("n_shingles_b")) * percent
+    left, right = (_side(members, s) for s in "ab")
+    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key_a")
+    return (left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b"))
+                      & (F.col("component_a") != F.col("component_b")) & enough
+                      & _hopeful(percent, OPEN_HASHES, OPEN_BITS) & first).select("a", "b"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold."""
     both = pairs.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b")
@@ -206,14 +218,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, percent: int = 85, bands
     named = written_table(named.join(split, "key"), "split")
     own = sets.join(named.select("doc_id").distinct(), "doc_id", "left_semi")
     common = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
+    # A document has at most as many keys as there are bands.
+    buckets = named.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     facts = (told.select("doc_id", "n_shingles").join(_long_signatures(own), "doc_id").join(_alone(own), "doc_id", "left")
-             .select("doc_id", "n_shingles", "signature", common.alias("common")))
+             .join(buckets, "doc_id").select("doc_id", "n_shingles", "signature", common.alias("common"), "keys"))
     named = written_table(named.join(facts, "doc_id"), "open")
-    enough = F.least("common_a", "common_b") * (100 + percent) >= (F.col("n_shingles_a") + F.col("n_shingles_b")) * percent
-    left, right = (_side(named, s).withColumnRenamed(f"key_{s}", "key") for s in "ab")
-    across = (left.join(right.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b"))
-                        & (F.col("component_a") != F.col("component_b")) & enough & _hopeful(percent, OPEN_HASHES, OPEN_BITS))
-              .select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
+    across = pairs_across(named, percent).join(star, ["a", "b"], "left_anti")
     more = written_table(_confirmed(across, sets, percent), "links")
     joined = components(links.unionAll(more).select("a", "b"))
     named = folded.join(joined, F.col("first") == F.col("node"), "left").select(

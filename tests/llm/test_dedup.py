@@ -227,6 +227,14 @@ def test_groups_whose_copies_differ_from_one_another_by_shared_and_own_changes(s
     assert 3 < len({c for *_, c in want}) < 110
 
 
+def test_a_pair_leaves_the_join_of_buckets_once(spark):
+    rows = [(k, d, d, 100, [0] * 32, 100, [3, 4, 5, d + 10]) for d in range(4) for k in (3, 4, 5)]
+    members = spark.createDataFrame(rows, "key long, doc_id long, component long, n_shingles long, signature array<long>, "
+                                          "common long, keys array<long>")
+    pairs = sorted(tuple(r) for r in minhash.pairs_across(members, 85).collect())
+    assert pairs == [(a, b) for a in range(4) for b in range(a + 1, 4)]
+
+
 def test_nothing_in_nothing_out(spark):
     empty = frame(spark, [])
     assert lines.removed_lines(empty).count() == 0
