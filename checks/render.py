@@ -116,11 +116,7 @@ def write_xml(documents: DataFrame, path: str) -> None:
 
 def json_documents(returns: DataFrame, *drop: str) -> DataFrame:
     """``declaration_id, document``; the named schedules are left out of the text."""
-    docs = return_json(returns)
-    if not drop:
-        return docs
-    kept = T.StructType([f for f in docs_schema().fields if f.name not in drop])
-    return docs.withColumn("document", F.to_json(F.from_json("document", kept)))
+    return return_json(returns, without=drop)
 
 
 def docs_schema() -> T.StructType:

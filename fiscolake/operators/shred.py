@@ -187,13 +187,13 @@ def money_as_double(df: DataFrame) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
-def return_json(typed: DataFrame) -> DataFrame:
-    """Returns as JSON text: money as text, ISO dates, nulls and accents kept."""
+def return_json(typed: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """Returns as JSON text: money as text, ISO dates, nulls and accents kept. The text lacks the schedules ``without``."""
     def text_money(table: str) -> Column:
         return F.transform(table, lambda x: F.struct(*[
             (x[f.name].cast("string") if f.dataType == MONEY else x[f.name]).alias(f.name)
             for f in SCHEDULES[table].fields])).alias(table)
-    document = F.struct(*[text_money(t) for t in SCHEDULES], "data_documento", "summary")
+    document = F.struct(*[text_money(t) for t in SCHEDULES if t not in without], "data_documento", "summary")
     kept = [c for c in (KEY, "page", "file_path", "file_name", "parse_error") if c in typed.columns]
     return typed.select(*kept, F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
 

@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from checks import render
 from fiscolake.operators import shred, validate
 from fiscolake.plans.documents import checked_tables
 from fiscolake.schemas import ALL_TABLES, SCHEDULES, empty_table, table_schema
@@ -142,3 +143,12 @@ def test_extracted_documents(spark, tmp_path):
 
 def test_date_of_a_json_return(returns):
     assert {r.data_documento for r in returns.collect()} == {datetime.date(2025, 3, 1), datetime.date(2025, 3, 2)}
+
+
+def test_documents_without_some_schedules(spark):
+    own = spark.createDataFrame([(1, "/in/a.xml", "a.xml", "s")], "declaration_id long, file_path string, file_name string, summary string")
+    returns = render.nested({"declarations": own}, date=F.lit("2025-01-01").cast("date"))
+    docs = shred.return_json(returns, without=("doacoes_efetuadas", "bens_direitos"))
+    found = json.loads(docs.first().document)
+    assert set(found) == {*SCHEDULES, "data_documento", "summary"} - {"doacoes_efetuadas", "bens_direitos"}
+    assert render.json_documents(returns, "doacoes_efetuadas", "bens_direitos").collect() == docs.collect()
