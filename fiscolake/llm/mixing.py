@@ -8,7 +8,8 @@ symbols, prose, nothing). Any column or expression can be passed instead.
 - The corpus is first summed up to cells (source, language, topic); sums combine before the shuffle, so a source with
   a third of all rows is no hot key. Everything after works on cells.
 - A round gives each source the factor that its target asks for, where the cells lie, and sums up the rest by
-  language and topic. Only that small table (languages x topics) comes to the driver, which corrects both factors.
+  language and topic. Only that small table (languages x topics, one per partition) comes to the driver, which corrects
+  both factors. Rounds shuffle nothing: each shuffle of a plan keeps a thread of the driver for a minute.
 - ``calibrate`` finds the scale at which min(1, scale * weight) keeps the ``budget`` of tokens in expectation. A
   document is kept if a hash of its id, as a number from 0 to 1, is below its probability.
 
@@ -21,10 +22,15 @@ left out; targets that no weights can meet end after ``rounds`` with the nearest
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from fiscolake.llm.common import WORD, free_name, given
 from fiscolake.session import written_table
@@ -55,60 +61,101 @@ def cells_of(rows: DataFrame) -> DataFrame:
     return written_table(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "cells")
 
 
-def target_table(cells: DataFrame, margin: str, temper: float, given_shares: dict | None) -> DataFrame:
-    """(value, target) of one margin for the values with tokens, adding up to 1."""
-    seen = cells.groupBy(margin).agg(F.sum("tokens").alias("t")).filter("t > 0")
-    if given_shares is None:
-        raw = seen.withColumn("raw", F.pow("t", F.lit(temper)))
-    else:
-        rows = [(NONE if k is None else str(k), float(v)) for k, v in given_shares.items() if v > 0]
-        raw = seen.join(cells.sparkSession.createDataFrame(rows, f"{margin} string, raw double"), margin)
-    total = raw.agg(F.sum("raw")).first()[0] or 1.0
-    return raw.select(margin, (F.col("raw") / total).alias("target"))
-
-
-def _times(column: str, values: dict[str, float]) -> Column:
-    """The factor of a value, from a small map; 0 for values without."""
-    pairs = [F.lit(x) for kv in values.items() for x in kv]
-    return F.coalesce(F.create_map(*pairs)[F.col(column)], F.lit(0.0)) if pairs else F.lit(0.0)
+def _summed(rows: DataFrame, add: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """The sums that ``add`` gives for the batches. A partition sends one row of ``size`` numbers; nothing is shuffled."""
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            total += add(b)
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+    return sum((np.array(r.sums) for r in rows.mapInArrow(part, "sums array<double>").collect()), np.zeros(size))
+
+
+def _shares(raw: dict[str, float]) -> dict[str, float]:
+    total = sum(raw.values()) or 1.0
+    return {k: v / total for k, v in raw.items()}
+
+
+def _spelled(shares: dict) -> dict[str, float]:
+    return {NONE if k is None else str(k): float(v) for k, v in shares.items() if v > 0}
+
+
+@dataclass
+class Factors:
+    """Languages and topics with their targets and factors (0 without a target), on the driver and in the tasks."""
+
+    values: dict[str, list[str]]
+    targets: dict[str, np.ndarray]
+    factors: dict[str, np.ndarray]
+    total: float        # tokens
+    total_raw: float    # of the sources
+
+    def cells(self, b: pa.RecordBatch) -> tuple[pa.StructArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the cells of a batch of sources: the cells, whose source each is, its place among languages and topics, its
+        share, and the factor of its source."""
+        flat = b["cells"].flatten()
+        row = np.repeat(np.arange(len(b)), b["cells"].value_lengths().to_numpy())
+        lang, topic = (pc.index_in(flat.field(m), pa.array(self.values[m], flat.field(m).type)).to_numpy()
+                       for m in ("lang", "topic"))
+        share = flat.field("tokens").to_numpy() / self.total
+        inside = np.bincount(row, share * self.factors["lang"][lang] * self.factors["topic"][topic], len(b))
+        target = b["raw"].to_numpy() / self.total_raw
+        by_source = np.divide(target, inside, out=np.zeros(len(b)), where=inside > 0)
+        return flat, row, lang * len(self.values["topic"]) + topic, share, by_source
+
+    def sums(self, b: pa.RecordBatch) -> np.ndarray:
+        _, row, place, share, by_source = self.cells(b)
+        return np.bincount(place, share * by_source[row], len(self.values["lang"]) * len(self.values["topic"]))
+
+    def weights(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, row, place, _, by_source = self.cells(b)
+            both = np.outer(self.factors["lang"], self.factors["topic"]).reshape(-1)
+            yield pa.RecordBatch.from_arrays(
+                [b["source"].take(pa.array(row)), *[flat.field(c) for c in ("lang", "topic", "tokens", "docs")],
+                 pa.array(by_source[row] * both[place])], [*MARGINS, "tokens", "docs", "weight"])
+
+    def corrected(self, found: np.ndarray) -> float:
+        """Correct the factors by the sums found; the largest change."""
+        found = found.reshape(len(self.values["lang"]), len(self.values["topic"]))
+        change = 0.0
+        for m, axis in (("lang", 1), ("topic", 0)):
+            got = (found * np.outer(self.factors["lang"], self.factors["topic"])).sum(axis=axis)
+            ratio = np.divide(self.targets[m], got, out=np.ones(len(got)), where=got > 0)
+            self.factors[m] = self.factors[m] * ratio
+            change = max(change, np.abs(ratio - 1).max(initial=0.0))
+        return change
 
 
 def rake(cells: DataFrame, targets: dict[str, dict] | None = None, *, temper: float = 0.5, rounds: int = 40,
          tolerance: float = 1e-9) -> DataFrame:
     """Cells with ``weight``, the ratio of the share raked to the share in the corpus (0 without a target)."""
     targets = targets or {}
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    if not total:
+    tokens: dict[str, Counter] = {"lang": Counter(), "topic": Counter()}
+    for r in cells.filter("tokens > 0").groupBy("lang", "topic").agg(F.sum("tokens").alias("tokens")).collect():
+        tokens["lang"][r.lang] += r.tokens
+        tokens["topic"][r.topic] += r.tokens
+    if not tokens["lang"]:
         return cells.withColumn("weight", F.lit(1.0))
-    wanted = {m: dict(target_table(cells, m, temper, targets.get(m)).collect()) for m in ("lang", "topic")}
-    by_source = target_table(cells, "source", temper, targets.get("source"))
-    # Targets are attached once; each round then needs one shuffle of cells by source.
-    base = written_table(cells.filter("tokens > 0").join(by_source, "source")
-                         .withColumn("share", F.col("tokens") / F.lit(float(total))), "raking")
-    factor = {m: dict.fromkeys(wanted[m], 1.0) for m in wanted}
-
-    def source_step() -> DataFrame:
-        f = _times("lang", factor["lang"]) * _times("topic", factor["topic"])
-        inside = F.sum(F.col("share") * f).over(Window.partitionBy("source"))
-        return base.withColumn("by_source", F.when(inside > 0, F.col("target") / inside).otherwise(F.lit(0.0)))
-
+    # A source has one row with its cells, at most languages x topics of them. So a round shuffles nothing.
+    each = (cells.filter("tokens > 0").groupBy("source")
+            .agg(F.sum("tokens").alias("t"), F.collect_list(F.struct("lang", "topic", "tokens", "docs")).alias("cells")))
+    if targets.get("source") is None:
+        each = each.withColumn("raw", F.pow("t", F.lit(temper)))
+    else:
+        wanted = list(_spelled(targets["source"]).items())
+        each = each.join(cells.sparkSession.createDataFrame(wanted, "source string, raw double"), "source")
+    base = written_table(each.select("source", "raw", "cells"), "raking")
+    wanted = {m: _shares({k: float(t) ** temper for k, t in seen.items()} if targets.get(m) is None
+                         else {k: v for k, v in _spelled(targets[m]).items() if k in seen}) for m, seen in tokens.items()}
+    goals = {m: np.array([wanted[m].get(k, 0.0) for k in seen]) for m, seen in tokens.items()}
+    factors = Factors({m: list(seen) for m, seen in tokens.items()}, goals, {m: np.sign(goals[m]) for m in goals},
+                      float(tokens["lang"].total()), float(base.agg(F.sum("raw")).first()[0] or 1.0))
     for _ in range(rounds):
-        found = source_step().groupBy("lang", "topic").agg(F.sum(F.col("share") * F.col("by_source")).alias("r")).collect()
-        change = 0.0
-        for m in ("lang", "topic"):
-            sums = dict.fromkeys(wanted[m], 0.0)
-            for row in found:
-                if row[m] in sums:
-                    sums[row[m]] += row["r"] * factor["lang"].get(row["lang"], 0.0) * factor["topic"].get(row["topic"], 0.0)
-            for value, got in sums.items():
-                if got > 0:
-                    ratio = wanted[m][value] / got
-                    factor[m][value] *= ratio
-                    change = max(change, abs(ratio - 1))
-        if change < tolerance:
+        if factors.corrected(_summed(base, factors.sums, len(goals["lang"]) * len(goals["topic"]))) < tolerance:
             break
-    weight = F.col("by_source") * _times("lang", factor["lang"]) * _times("topic", factor["topic"])
-    return source_step().select(*MARGINS, "tokens", "docs", weight.alias("weight"))
+    return base.mapInArrow(factors.weights, "source string, lang string, topic string, tokens long, docs long, weight double")
 
 
 def calibrate(weighed: DataFrame, budget: float) -> float:
@@ -120,8 +167,12 @@ def calibrate(weighed: DataFrame, budget: float) -> float:
     low, high = math.log(1e-9 / largest), math.log(1 / least)
     for _ in range(6):
         grid = [low + (high - low) * i / (GRID - 1) for i in range(GRID)]
-        sums = weighed.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * math.exp(g))).alias(f"g{i}")
-                             for i, g in enumerate(grid)]).first()
+        scales = np.exp(grid)
+
+        def kept(b: pa.RecordBatch, scales: np.ndarray = scales) -> np.ndarray:
+            return b["tokens"].to_numpy() @ np.minimum(1.0, np.outer(b["weight"].to_numpy(), scales))
+
+        sums = _summed(weighed.select("tokens", "weight"), kept, GRID)
         reached = next((i for i, s in enumerate(sums) if s >= budget * total), GRID - 1)
         low, high = grid[max(0, reached - 1)], grid[reached]
     return math.exp(high)

@@ -234,6 +234,14 @@ def test_raking_to_given_targets_and_of_nothing(spark, texts):
     assert mixing.stage(spark, clashing, "").columns == [*clashing.columns, "mixing_weight"]
 
 
+def test_raking_shuffles_nothing_once_cells_lie_by_source(spark, texts):
+    weighed = mixing.rake(mixing.cells_of(mixing.measured(frame(spark, texts), F.lit("t"))))
+    assert "Exchange" not in weighed._jdf.queryExecution().executedPlan().toString()
+    given = mixing.rake(mixing.cells_of(mixing.measured(frame(spark, texts), F.lit("t"))), {"source": {"s1": 3, "s2": 1}}).toPandas()
+    mass = (given.tokens * given.weight).groupby(given.source).sum()
+    assert set(mass.index) == {"s1", "s2"} and np.isclose(mass["s1"] / mass.sum(), 0.75)
+
+
 def test_page_field_on_pages_it_has_not_seen():
     field = page_text.train(page_text.labelled_pages(160, seed=1))
     right = total = 0
