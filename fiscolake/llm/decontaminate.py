@@ -29,6 +29,8 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +39,11 @@ from fiscolake.session import written_table
 
 BLOCK_ITEMS = 256
 MIN_WORDS = 8
-#: Windows of a text whose products are held at once.
-WINDOWS = 1024
+#: Bytes of texts that are searched together.
+GROUP_BYTES = 1 << 22
+#: Items of a window length that are tried together, and words whose products with them are held at once.
+SCREENED = 8
+PRODUCED = 1 << 16
 #: Numbers of the Gram matrix that a task adds up at once.
 GRAM_CELLS = 1 << 25
 GRAM = "word long, others array<int>, sums array<float>"
@@ -58,7 +63,7 @@ class Search:
     vocabulary: dict[bytes, int]
     idf: np.ndarray      # of the vocabulary, and 0 for any other word at the end
     classes: dict[int, np.ndarray]  # window length: the items it is for
-    gains: dict[int, np.ndarray]    # window length: what each word adds to the latent product with each of its items
+    gains: dict[int, np.ndarray]    # window length: what each word (column) adds to the latent product with each of its items
     most: dict[int, np.ndarray]     # window length: the largest of these per word, 0 at least
     cosine: float
     sure: float
@@ -68,50 +73,108 @@ class Search:
         other, get = len(self.vocabulary), self.vocabulary.get
         return np.fromiter(map(get, words, repeat(other)), np.int64, len(words))
 
-    def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """(item, start, end, cosine) of windows at or above the cosine."""
-        n, held = len(ids), ids < len(self.vocabulary)
+    def candidates(self, ids: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """(text, item, start, end, cosine) of windows at or above the cosine, for the words (-1: none of the benchmark) of
+        several texts in a row and the number of words of each. All windows of a length are tried at once."""
+        to = np.cumsum(lengths)
+        held = ids >= 0
         before = np.concatenate(([0], np.cumsum(held)))
         inside = ids[held]
         squares = np.concatenate(([0.0], np.cumsum(self.idf[inside] ** 2)))
         for length, wanted in self.classes.items():
             step = max(1, length // 4)
-            start = np.arange(0, max(1, n - length + step), step)
-            end = np.minimum(start + length, n)
+            count = np.where(lengths < MIN_WORDS, 0, -(-np.maximum(1, lengths - length + step) // step))
+            text = np.repeat(np.arange(len(lengths)), count)
+            start = (to - lengths)[text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * step
+            end = np.minimum(start + length, to[text])
             first, last = before[start], before[end]
             # Repeated words only add to a norm, so this is never above it.
             least = self.cosine * np.sqrt(squares[last] - squares[first]) - 1e-6
             # What a window's words give at most to any item, then what they give to each.
             best = np.concatenate(([0.0], np.cumsum(self.most[length][inside])))
             hopeful = np.flatnonzero((last > first) & (best[last] - best[first] >= least))
-            for part in np.array_split(hopeful, -(-len(hopeful) // WINDOWS)) if len(hopeful) else ():
-                low, high = first[part[0]], last[part[-1]]
-                gains = np.zeros((high - low + 1, len(wanted)))
-                np.cumsum(self.gains[length][inside[low:high]], axis=0, out=gains[1:])
-                product = gains[last[part] - low] - gains[first[part] - low]
-                rows, items = np.nonzero(product >= least[part, None])
-                for r in np.unique(rows):
-                    k = part[r]
-                    often = np.unique(inside[first[k]:last[k]], return_counts=True)
-                    norm = max(np.sqrt(((often[1] * self.idf[often[0]]) ** 2).sum()), 1e-12)
-                    for j in items[rows == r]:
-                        if product[r, j] / norm >= self.cosine:
-                            yield int(wanted[j]), int(start[k]), int(end[k]), float(product[r, j] / norm)
-
-    def leaks(self, text: str | None) -> list[dict]:
-        words = byte_words(text)
-        if len(words) < MIN_WORDS:
-            return []
-        best: dict[int, tuple] = {}
-        for item, start, end, cosine in self.candidates(self.numbers(words)):
-            margin = len(self.words[item])
-            near = words[max(0, start - margin):end + margin]
-            covered = common_words(self.words[item], near) / len(self.words[item])
-            answered = occurs(self.answers[item], near)
-            if covered >= self.sure or covered >= self.likely and answered:
-                best[item] = max(best.get(item, (0.0,)), (covered, cosine, answered))
-        return [{"item_id": self.ids[i], "cosine": c, "covered": v, "answered": a}
-                for i, (v, c, a) in sorted(best.items(), key=lambda x: self.ids[x[0]])]
+            words, low, high = covered(inside, first[hopeful], last[hopeful])
+            for at in range(0, len(wanted), SCREENED):
+                some = wanted[at:at + SCREENED]
+                gains = self.gains[length][at:at + SCREENED]
+                # The same bound again, of a few items.
+                best = np.concatenate(([0.0], np.cumsum(gains.max(axis=0).clip(0)[words])))
+                left = best[high] - best[low] >= least[hopeful]
+                k = hopeful[left]
+                own, own_low, own_high = covered(words, low[left], high[left])
+                for part in np.split(np.arange(len(k)), np.flatnonzero(np.diff(own_low // PRODUCED)) + 1) if len(k) else ():
+                    origin, beyond = own_low[part[0]], own_high[part[-1]]
+                    # A row per item, as sums along a row are the fast ones.
+                    sums = np.zeros((len(some), beyond - origin + 1))
+                    np.cumsum(gains[:, own[origin:beyond]], axis=1, out=sums[:, 1:])
+                    product = (sums[:, own_high[part] - origin] - sums[:, own_low[part] - origin]).T
+                    rows, items = np.nonzero(product >= least[k[part], None])
+                    for r in np.unique(rows):
+                        w = k[part[r]]
+                        t, often = text[w], np.unique(inside[first[w]:last[w]], return_counts=True)
+                        norm = max(np.sqrt(((often[1] * self.idf[often[0]]) ** 2).sum()), 1e-12)
+                        for j in items[rows == r]:
+                            if product[r, j] / norm >= self.cosine:
+                                yield (int(t), int(some[j]), int(start[w] - to[t] + lengths[t]),
+                                       int(end[w] - to[t] + lengths[t]), float(product[r, j] / norm))
+
+    def leaks(self, texts: pa.Array) -> list[list[dict]]:
+        """Of each text. Texts are taken together up to ``GROUP_BYTES``."""
+        known, out = vocabulary_array(self.vocabulary), []
+        for group in grouped_texts(texts):
+            found: dict[int, dict[int, tuple]] = {}
+            words: dict[int, list[bytes]] = {}
+            for t, item, start, end, cosine in self.candidates(*word_numbers(group, known)):
+                if t not in words:
+                    words[t] = byte_words(group[t].as_py())
+                margin = len(self.words[item])
+                near = words[t][max(0, start - margin):end + margin]
+                covered = common_words(self.words[item], near) / len(self.words[item])
+                answered = occurs(self.answers[item], near)
+                if covered >= self.sure or covered >= self.likely and answered:
+                    best = found.setdefault(t, {})
+                    best[item] = max(best.get(item, (0.0,)), (covered, cosine, answered))
+            out += [[{"item_id": self.ids[i], "cosine": c, "covered": v, "answered": a}
+                     for i, (v, c, a) in sorted(found.get(t, {}).items(), key=lambda x: self.ids[x[0]])]
+                    for t in range(len(group))]
+        return out
+
+
+def covered(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words that stand in any of the windows, in order, and the ends of the windows among them."""
+    edges = np.bincount(first, minlength=len(words) + 1) - np.bincount(last, minlength=len(words) + 1)
+    inside = np.cumsum(edges)[:-1] > 0
+    place = np.concatenate(([0], np.cumsum(inside)))
+    return words[inside], place[first], place[last]
+
+
+def vocabulary_array(vocabulary: dict[bytes, int]) -> pa.Array:
+    """The words in the order of their numbers."""
+    return pa.array([w.decode() for w in sorted(vocabulary, key=vocabulary.__getitem__)], pa.string())
+
+
+def grouped_texts(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts in a row that together have at most ``GROUP_BYTES``, or one that has more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + GROUP_BYTES, "right"))
+        yield texts.slice(start, max(stop, start + 1) - start)
+        start = max(stop, start + 1)
+
+
+def word_numbers(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The number of every word of the texts, -1 for words outside the vocabulary, and how many words each text has. Words are
+    those of ``byte_words``."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words, lengths = split.flatten(), split.value_lengths().to_numpy().astype(np.int64)
+    ids = pc.fill_null(pc.index_in(words, vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    # White space at the ends of a text leaves empty words there.
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    if not real.all():
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[real], minlength=len(lengths))
+        ids = ids[real]
+    return ids, lengths
 
 
 def common_words(item: list[bytes], text: list[bytes]) -> int:
@@ -139,19 +202,22 @@ def last_sentence(text: str) -> str:
 
 def _known_words(docs: DataFrame, vocabulary: dict[bytes, int], passage: int) -> DataFrame:
     """Per text its number of passages, and the benchmark's words in it (``words``) with the passage each stands in (``at``)."""
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = vocabulary.get
+    known = vocabulary_array(vocabulary)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            passages, at, words = [], [], []
-            for text in b["text"]:
-                ids = np.fromiter(map(get, byte_words(text), repeat(-1)), np.int32)
-                known = np.flatnonzero(ids >= 0)
-                passages.append(-(-len(ids) // passage))
-                at.append((known // passage).astype(np.int32))
-                words.append(ids[known])
-            yield pd.DataFrame({"passages": passages, "at": at, "words": words})
+            for group in grouped_texts(b["text"]):
+                ids, lengths = word_numbers(group, known)
+                held = ids >= 0
+                text = np.repeat(np.arange(len(lengths)), lengths)
+                at = (np.arange(len(ids)) - (np.cumsum(lengths) - lengths)[text])[held] // passage
+                ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(text[held], minlength=len(lengths))))), pa.int32())
+                yield pa.RecordBatch.from_pydict({
+                    "passages": pa.array(-(-lengths // passage), pa.int64()),
+                    "at": pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())),
+                    "words": pa.ListArray.from_arrays(ends, pa.array(ids[held], pa.int32()))})
 
-    return docs.select("text").mapInPandas(find, "passages long, at array<int>, words array<int>")
+    return docs.select("text").mapInArrow(find, "passages long, at array<int>, words array<int>")
 
 
 def _held(batch: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -298,8 +364,8 @@ def fit(docs: DataFrame, items: list, *, passage: int = 64, rank: int | None = N
                              min(len(vocabulary), rank or len(items) + 64))
     latent = vectors * search.idf[:-1, None]
     for length, wanted in search.classes.items():
-        search.gains[length] = latent @ np.array([extra[i][1] @ vectors[extra[i][0]] for i in wanted]).T
-        search.most[length] = search.gains[length].max(axis=1).clip(0)
+        search.gains[length] = np.array([extra[i][1] @ vectors[extra[i][0]] for i in wanted]) @ latent.T
+        search.most[length] = search.gains[length].max(axis=0).clip(0)
     return search
 
 
@@ -320,7 +386,7 @@ def leaks(spark: SparkSession, found: list[Search], text: Column) -> Column:
 
         @F.pandas_udf(LEAK)
         def part(texts: pd.Series) -> pd.Series:
-            return pd.Series([sent.value.leaks(t) for t in texts])
+            return pd.Series(sent.value.leaks(pa.array(texts, pa.string(), from_pandas=True)))
 
         return part
 

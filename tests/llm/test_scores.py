@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,29 @@ def test_decontamination_of_nothing(spark, texts):
     assert not any(leaked(spark, frame(spark, texts[:20]), []).values())
 
 
+def test_words_of_many_texts_are_numbered_at_once():
+    odd = ["", None, "  A b\tB\u00a0 c ", "\x0b\x0c\r\n", "b\x00 b\x85b \x1cb \u0130B B", "a"]
+    known = {b"a": 0, b"b": 2, "b\u00a0".encode(): 1}
+    ids, lengths = decontaminate.word_numbers(pa.array(odd, pa.string()), decontaminate.vocabulary_array(known))
+    words = [decontaminate.byte_words(t) for t in odd]
+    assert lengths.tolist() == [len(w) for w in words]
+    assert ids.tolist() == [known.get(w, -1) for ws in words for w in ws]
+
+
+def test_texts_searched_together_leak_what_each_leaks_alone(spark, texts, monkeypatch):
+    draw = random.Random(4)
+    items = [(k, " ".join(f"item{draw.randrange(300)}" for _ in range(draw.randrange(9, 60)))) for k in range(40)]
+    rows = [(i, t if i is None or i % 7 or not t else f"{t} {items[i % 40][1]}") for i, t in texts]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    search, = decontaminate.searches(frame(spark, rows), bench)
+    alone = [search.leaks(pa.array([t], pa.string()))[0] for _, t in rows]
+    assert sum(map(bool, alone)) > 40
+    for size in (decontaminate.GROUP_BYTES, 3000):
+        monkeypatch.setattr(decontaminate, "GROUP_BYTES", size)
+        together = search.leaks(pa.array([t for _, t in rows], pa.string()))
+        assert [[x["item_id"] for x in found] for found in together] == [[x["item_id"] for x in found] for found in alone]
+
+
 def test_subsequences_match_the_table(spark):
     draw = random.Random(2)
     for _ in range(50):
