@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,82 @@ def test_suffix_tree_probabilities_add_up(spark):
         assert abs(sum(every) - 1) < 1e-9
 
 
+def repeating():
+    """Passages that come back in other texts, some of them often, between words of their own."""
+    draw = random.Random(9)
+    passages = [[f"w{draw.randrange(400)}" for _ in range(9)] for _ in range(40)]
+    rows = [(i, " ".join(w for _ in range(6) for w in (*draw.choice(passages), *(f"n{draw.randrange(3000)}" for _ in range(4)), "the")))
+            for i in range(250)]
+    return rows + [(400, ""), (401, None), (402, "the the " * 500), (None, "no id the w1 w2"), rows[0], rows[0]]
+
+
+def scored_by_dictionaries(rows, tree, evidence=2, strength=20.0):
+    """Scores by (id, tokens), with all runs of words in dictionaries."""
+    texts = [(t or "").encode().lower().split() + [b"\n"] for _, t in rows]
+    trained = [i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    counts = Counter(w for words, t in zip(texts, trained) if t for w in words)
+    number = {**tree.frequent, b"\n": tree.symbols - 1}
+
+    def symbol(w):
+        return number.get(w, len(tree.frequent) + suffix_tree.class_of(w))
+
+    def within(w):
+        return 1.0 if w in number else (counts[w] + 1) / tree.class_total[suffix_tree.class_of(w)]
+
+    s = [np.array([symbol(w) for w in words]) for words in texts]
+    share = [np.array([within(w) for w in words]) for words in texts]
+    p = [tree.root[a] * b for a, b in zip(s, share)]
+    some = [np.zeros(len(a), bool) for a in s]
+    alive, depth = {(k, i) for k, words in enumerate(texts) for i in range(len(words))}, 0
+    while alive:
+        depth += 1
+        cells, sizes, gains = Counter(), Counter(), Counter()
+        alive = {(k, i) for k, i in alive if i >= depth}
+        for k, i in alive:
+            if trained[k]:
+                cells[tuple(texts[k][i - depth:i + 1])] += 1
+                sizes[tuple(texts[k][i - depth:i])] += 1
+        at = {tuple(texts[k][i - depth:i + 1]): p[k][i] for k, i in alive}
+        for run, n in cells.items():
+            predicted = (n - 1 + strength * at[run]) / (sizes[run[:-1]] - 1 + strength)
+            gains[run[:-1]] += n * math.log(predicted / at[run])
+        alive = {(k, i) for k, i in alive if sizes[c := tuple(texts[k][i - depth:i])] >= evidence and gains[c] > math.log(sizes[c])}
+        for k, i in alive:
+            run = tuple(texts[k][i - depth:i + 1])
+            p[k][i] = (cells[run] + strength * p[k][i]) / (sizes[run[:-1]] + strength)
+            some[k][i] = True
+    out = [np.log10(np.where(c, a, tree.probabilities(x) * b)).sum() for a, b, c, x in zip(p, share, some, s)]
+    return sorted((str(i), len(words), round(v, 6)) for (i, _), words, v in zip(rows, texts, out)), depth
+
+
+def test_suffix_tree_is_that_of_dictionaries(spark):
+    """Also where contexts lie in many parts and frequent ones are dealt out by their runs."""
+    rows = repeating()
+    docs = frame(spark, rows)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    blocks = docs.select("text", F.lit(0).cast("long").alias("block"), held.alias("held_out"))
+    counts = suffix_tree.block_words(blocks).groupBy("word").agg(F.sum("c").alias("c"))
+    want, depth = scored_by_dictionaries(rows, suffix_tree.fit(blocks, counts))
+    assert depth > 3
+    for settings in ({}, {"part": 40}):
+        got = suffix_tree.scored(docs, **settings).collect()
+        assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in got) == want
+
+
+def test_suffix_tree_keeps_few_bytes(spark):
+    """What stays in the shared folder is little beside the texts."""
+    draw = random.Random(10)
+    rows = [(i, " ".join(f"{draw.randrange(20000)}x{draw.randrange(9)}" for _ in range(400))) for i in range(600)]
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+
+    def size():
+        return sum(f.stat().st_size for f in shared.rglob("*.parquet"))
+
+    before = size()
+    assert suffix_tree.scored(frame(spark, rows)).count() == 600
+    assert size() - before < 2.5 * sum(len(t) for _, t in rows)
+
+
 def test_suffix_tree_of_nothing(spark):
     assert suffix_tree.scored(frame(spark, [])).count() == 0
     row = suffix_tree.scored(frame(spark, [(2, None)])).first()
