@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,12 +48,16 @@ def rules(table: str, raw: Mapping[str, Column]) -> list[Rule]:
     return out
 
 
+def _raw_texts(lines: DataFrame) -> dict[str, Column]:
+    if "_raw" not in lines.columns:
+        return {}
+    return {n: F.col("_raw")[n] for n in lines.schema["_raw"].dataType.fieldNames()}
+
+
 def flag_lines(table: str, lines: DataFrame) -> DataFrame:
     """Add ``errors``, one struct per broken rule. ``lines`` may hold a struct
     ``_raw`` with the text of the checked columns."""
-    raw = {}
-    if "_raw" in lines.columns:
-        raw = {n: F.col("_raw")[n] for n in lines.schema["_raw"].dataType.fieldNames()}
+    raw = _raw_texts(lines)
     found = [F.when(r.broken, F.struct(
         F.lit(r.column).alias("column_name"), F.lit(r.name).alias("rule"),
         raw.get(r.column, F.lit(None)).cast("string").alias("raw_value")))
@@ -61,10 +66,11 @@ def flag_lines(table: str, lines: DataFrame) -> DataFrame:
 
 
 def split_lines(table: str, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines that pass every rule, and one row per broken rule of the others."""
-    flagged = flag_lines(table, lines)
-    valid = flagged.where(F.size("errors") == 0).drop("errors", "_raw")
-    rejects = (flagged.where(F.size("errors") > 0)
+    """Lines that pass every rule, and one row per broken rule of the others. What is wrong is only put down
+    for lines that break one."""
+    broken = reduce(lambda a, b: a | b, [F.coalesce(r.broken, F.lit(False)) for r in rules(table, _raw_texts(lines))])
+    valid = lines.where(~broken).drop("_raw")
+    rejects = (flag_lines(table, lines.where(broken))
                .select("declaration_id", F.lit(table).alias("table_name"), F.inline("errors")))
     return valid, rejects
 

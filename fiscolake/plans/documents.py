@@ -101,6 +101,8 @@ def process_documents(spark: SparkSession, folder: str, manifest: str, out: str,
     if returns is not None and not fresh.isEmpty():
         rows = _stored_rows(_to_store(returns, None if before is None or force else fresh), source, strict)
         rows["rejects"] = rows["rejects"].unionByName(_unread(silent.join(fresh, "return_id", "left_semi")))
+        if buckets:  # All schedules are read for few rows: these are moved, so that a few tasks do not read it all.
+            rows["rejects"] = rows["rejects"].repartition(buckets, "return_id")
     changes = {n: Change(rows.get(n), dropped) for n in STORED if n != "origin"}
     if before is not None:
         changes[DECLARATIONS] = _moved_declarations(store, before, new, touched, dropped, changes[DECLARATIONS])

@@ -190,3 +190,23 @@ def test_a_first_load_moves_no_lines(spark, tmp_path, monkeypatch):
     assert f.run(buckets=2)
     assert len(plans["pagamentos_efetuados"]) > 0 and len(f.rows("pagamentos_efetuados", "codigo")) == 20
     assert not [n for n, p in plans.items() if "Exchange" in p or "Join" in p]
+
+
+def test_rejects_are_not_looked_for_in_the_few_tasks_that_write(spark, tmp_path, monkeypatch):
+    """With few files per table, joined partitions would have one task read whole schedules for a handful of rejects."""
+    plans, update = {}, Store.update
+
+    def watched(self, changes, files=None):
+        plans.update({n: c.rows._jdf.queryExecution().optimizedPlan().toString() for n, c in changes.items() if c.rows is not None})
+        return update(self, changes, files)
+
+    monkeypatch.setattr(Store, "update", watched)
+    f = Folder(spark, tmp_path, buckets=2)
+    f.put("a.json", [record("um"), record("dois", paid="x"), record("três", paid=None)])
+    f.run()
+    assert plans["rejects"].startswith(("RepartitionByExpression", "Repartition"))
+    # Lines that break no rule are not given a list of what is wrong.
+    assert "array" not in plans["pagamentos_efetuados"].split("Generate")[0]
+    assert f.rows("pagamentos_efetuados", "valor_pago") == [("1.00",)]
+    assert f.rows("rejects", "column_name", "rule", "raw_value") == [
+        ("valor_pago", "money", "x"), ("valor_pago", "required", "None")]
